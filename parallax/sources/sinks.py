@@ -13,18 +13,20 @@ def format_prediction(key: str = "key", prediction: str = "prediction") -> Colum
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
-                      key: str = "key", prediction: str = "prediction") -> None:
+                      key: str = "key", prediction: str = "prediction", width: int | None = None) -> None:
     """Write scored rows.  ``mode`` defaults to failing on an existing path.
 
     * ``parquet`` keeps every column, the prediction as an array;
-    * ``csv`` spreads the prediction over ``p0 .. pN`` columns;
+    * ``csv`` spreads the prediction over ``p0 .. pN`` columns (``width`` =
+      the model's output count; found with one extra pass when not given);
     * ``text`` writes one ``key: [v0, ...]`` line per row.
     """
     writer_df = df
     if fmt == "text":
         writer_df = df.select(format_prediction(key, prediction).alias("value"))
     elif fmt == "csv":
-        width = df.select(F.max(F.size(prediction))).first()[0] or 0
+        if width is None:
+            width = df.select(F.max(F.size(prediction))).first()[0] or 0
         others = [c for c in df.columns if c != prediction]
         writer_df = df.select(*others, *[F.col(prediction)[i].alias(f"p{i}") for i in range(width)])
     elif fmt != "parquet":

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The workloads this package re-creates are batch jobs: a file is scanned,
+scored or trained on, and timed.  There are no watermarks, windows, state or
+late data to handle.  The scoring operators are stateless projections
+(``operators.score.score_expr``) or Arrow map UDFs (``score_batched``), so
+they already apply unchanged to a ``spark.readStream`` DataFrame; no
+streaming-specific operator is needed or provided.
+"""
