@@ -1,0 +1,127 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF001, SF01
+from parallax.fixtures import linear_2_1, net_price_records, read_table, relu_2_8_1
+from parallax.model import sgd_steps
+from parallax.operators.examples import to_examples
+from parallax.operators.train import TrainOptions, assign_workers, average_parameters, fit, fit_round
+
+
+def _examples(spark, sf=SF001):
+    return to_examples(net_price_records(read_table(spark, sf, "lineitem")), ["x1", "x2"], ["y"])
+
+
+def _brute_force(assigned_pdf, model, epochs, lr, workers):
+    """Sequential numpy replay of the same schedule (the test oracle)."""
+    hist = []
+    rounds = int(assigned_pdf.round_no.max()) + 1
+    for _ in range(epochs):
+        loss, rows = 0.0, 0
+        for r in range(rounds):
+            ps, ns = [], []
+            for w in range(workers):
+                d = assigned_pdf[(assigned_pdf.worker == w) & (assigned_pdf.round_no == r)]
+                if len(d) == 0:
+                    continue
+                x, y = np.stack(d.features.to_numpy()), np.stack(d.label.to_numpy())
+                p, k, l = sgd_steps(model, x, y, d.batch_no.to_numpy(), lr)
+                ps.append(p)
+                ns.append(k)
+                loss += l
+                rows += k
+            model = model.with_params(sum(p * k for p, k in zip(ps, ns)) / sum(ns))
+        hist.append(loss / rows)
+    return model, hist
+
+
+def test_assignment_places_one_worker_per_partition(spark):
+    a = assign_workers(_examples(spark, SF01), 4, 1000, 3).withColumn("pid", F.spark_partition_id())
+    g = a.groupBy("worker").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                F.max("batch_no").alias("b"), F.countDistinct("batch_no").alias("nb"))
+    rows = g.collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert r.lo == r.hi == r.worker
+        assert r.nb == r.b + 1 == -(-r.n // 1000)
+    sizes = a.groupBy("worker", "batch_no").count().agg(F.max("count")).first()[0]
+    assert sizes == 1000
+
+
+def test_assignment_with_a_hot_worker_column(spark):
+    # a third of the rows share one worker value; numbering stays exact
+    ev = read_table(spark, SF01, "events").select("event_id")
+    ev = ev.withColumn("w", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % 5))
+    a = assign_workers(ev, 5, 100, 2, worker_col="w", order_col="event_id").toPandas()
+    for w, d in a.groupby("worker"):
+        d = d.sort_values("event_id")
+        pos = np.arange(len(d))
+        assert (d.batch_no.to_numpy() == pos // 100).all()
+        assert (d.round_no.to_numpy() == pos // 200).all()
+
+
+def test_fit_equals_sequential_replay(spark):
+    ex = _examples(spark)
+    opts = TrainOptions(workers=3, batch_size=64, averaging_frequency=4, learning_rate=0.3)
+    assigned = assign_workers(ex, 3, 64, 4, seed=opts.seed).toPandas()
+    m_ref, h_ref = _brute_force(assigned, relu_2_8_1(), 2, 0.3, 3)
+    m, h = fit(ex, relu_2_8_1(), 2, opts)
+    assert np.abs(m.params() - m_ref.params()).max() < 1e-12
+    assert np.allclose([e["loss"] for e in h], h_ref, rtol=1e-12)
+
+
+def test_one_batch_per_worker_equals_full_batch_step(spark):
+    ex = _examples(spark)
+    lr = 0.5
+    placed = assign_workers(ex, 4, 1 << 40, 1)
+    avg = [r.value for r in average_parameters(fit_round(placed, linear_2_1(), 0, lr)).collect()]
+    pdf = ex.toPandas()
+    x, y = np.stack(pdf.features.to_numpy()), np.stack(pdf.label.to_numpy())
+    p, _, _ = sgd_steps(linear_2_1(), x, y, np.zeros(len(x)), lr)
+    assert np.abs(np.array(avg) - p).max() < 1e-12
+
+
+def test_minibatch_split_over_arrow_chunks_is_exact(spark):
+    ex = _examples(spark)
+    opts = TrainOptions(workers=2, batch_size=1500, averaging_frequency=2, learning_rate=0.2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        m_small, _ = fit(ex, relu_2_8_1(), 1, opts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    m_big, _ = fit(ex, relu_2_8_1(), 1, opts)
+    assert np.abs(m_small.params() - m_big.params()).max() < 1e-12
+
+
+def test_loss_falls_and_runs_are_deterministic(spark):
+    ex = _examples(spark, SF01)
+    opts = TrainOptions(workers=4, batch_size=256, averaging_frequency=5, learning_rate=0.1)
+    m1, h1 = fit(ex, relu_2_8_1(), 3, opts)
+    m2, h2 = fit(ex, relu_2_8_1(), 3, opts)
+    losses = [e["loss"] for e in h1]
+    assert losses[-1] < losses[0]
+    assert all(e["rows"] == 60000 for e in h1)
+    assert np.abs(m1.params() - m2.params()).max() < 1e-12
+
+
+def test_checkpoint_storage_and_once_per_epoch_averaging(spark):
+    ex = _examples(spark)
+    opts = TrainOptions(workers=2, batch_size=128, averaging_frequency=None, learning_rate=0.1,
+                        storage="checkpoint")
+    m, h = fit(ex, relu_2_8_1(), 2, opts)
+    assert h[0]["rounds"] == 1 and h[0]["rows"] == 6000
+    assert np.isfinite(m.params()).all()
+
+
+def test_average_parameters_weighting(spark):
+    wp = spark.createDataFrame([([1.0, 2.0], 1), ([3.0, 6.0], 3)], "params array<double>, n bigint")
+    assert [r.value for r in average_parameters(wp).collect()] == [2.5, 5.0]
+    assert [r.value for r in average_parameters(wp, weight=None).collect()] == [2.0, 4.0]
+
+
+def test_options_validation():
+    with pytest.raises(ValueError):
+        TrainOptions(workers=0)
+    with pytest.raises(ValueError):
+        TrainOptions(averaging_frequency=0)
