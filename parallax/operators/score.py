@@ -56,8 +56,16 @@ def _predict_fn_factory(model: Model):
     return make_predict_fn
 
 
+def spread_for_python(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when it has fewer input
+    partitions than cores (e.g. one Parquet row group), so Python work runs in
+    parallel.  Large inputs already have more splits than cores: no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def score_batched(df: DataFrame, model: Model, batch_size: int = 8192, features: str = "features",
-                  output: str = "prediction", keep: list[str] | None = None) -> DataFrame:
+                  output: str = "prediction", keep: list[str] | None = None, spread: bool = True) -> DataFrame:
     """Predictions from Arrow batches of ``batch_size`` rows (``predict_batch_udf``).
 
     Batch size changes speed, not results.  For exact batches set
@@ -74,7 +82,8 @@ def score_batched(df: DataFrame, model: Model, batch_size: int = 8192, features:
         batch_size=batch_size,
         input_tensor_shapes=[[model.n_inputs]],
     )
-    return df.select(*keep, udf(F.col(features).cast(T.ArrayType(T.DoubleType()))).alias(output))
+    src = spread_for_python(df) if spread else df
+    return src.select(*keep, udf(F.col(features).cast(T.ArrayType(T.DoubleType()))).alias(output))
 
 
 def score(df: DataFrame, model: Model, batch_size: int = 8192, features: str = "features",

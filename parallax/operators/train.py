@@ -32,13 +32,15 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax.model import Model, loss_grad_sums
-from parallax.session import checkpoint_dir
+from parallax.session import checkpoint_dir, scratch_path
 
 WORKER_PARAMS_SCHEMA = "worker int, params array<double>, n bigint, loss double"
+# Largest workers x parameters count averaged on the driver (4M doubles, 32 MB).
+DRIVER_AVERAGE_MAX = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -61,9 +63,16 @@ class TrainOptions:
             raise ValueError("storage must be 'persist' or 'checkpoint'")
 
 
+def _order_columns(examples: DataFrame, seed: int, order_col: str | None, row_id: str) -> list:
+    tie = [F.col(row_id)] if row_id in examples.columns else []
+    if order_col is None:
+        return [F.xxhash64(F.col(row_id), F.lit(seed + 1)), *tie]
+    return [F.col(order_col), *([] if order_col == row_id else tie)]
+
+
 def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging_frequency: int | None = None,
                    seed: int = 12345, worker_col: str | None = None, order_col: str | None = None,
-                   row_id: str = "row_id") -> DataFrame:
+                   row_id: str = "row_id", layout: str = "auto", num_partitions: int | None = None) -> DataFrame:
     """``worker_batches``: the input plus ``worker, batch_no, round_no``.
 
     ``worker`` is ``pmod(xxhash64(row_id, seed), workers)`` unless
@@ -72,30 +81,66 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     ``row_id``, i.e. shuffled), ``batch_no = pos div batch_size``,
     ``round_no = batch_no div averaging_frequency`` (0 for all when None).
 
-    Output partition ``w`` holds exactly worker ``w``, sorted by position.
+    Two layouts give the same numbers:
+
+    * ``"worker"``: partition ``w`` holds exactly worker ``w``, sorted; the
+      position is the row's index in its partition.  One shuffle, no extra
+      job, but one task sorts a whole worker's share: for inputs that fit
+      a task per worker (``auto`` picks it when the input has no more splits
+      than workers).
+    * ``"range"``: range-partitioned on ``(worker, order)`` into many
+      partitions (``num_partitions``, default: the input's split count), so
+      no task holds more than one range however large (or skewed) a worker
+      is.  Position = the row's index in its partition + the rows of its
+      worker in earlier partitions, from a per-(partition, worker) count
+      table of at most ``partitions + workers`` rows, broadcast back.  The
+      range-partitioned rows are checkpointed first (one job, reliable
+      storage).  Adds ``_pos`` (kept: it orders a worker's rows in a round).
     """
     if workers < 1 or batch_size < 1:
         raise ValueError("workers and batch_size must be positive")
-    base = examples
     if worker_col is None:
         worker = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(workers))
     else:
         worker = F.pmod(F.col(worker_col), F.lit(workers))
-    if order_col is None:
-        order = [F.xxhash64(F.col(row_id), F.lit(seed + 1)), F.col(row_id)]
+    order = _order_columns(examples, seed, order_col, row_id)
+    n_in = examples.rdd.getNumPartitions()
+    if layout == "auto":
+        layout = "worker" if n_in <= workers else "range"
+    keyed = examples.withColumn("worker", worker.cast("int"))
+    local_idx = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    if layout == "worker":
+        placed = keyed.repartitionById(workers, F.col("worker")).sortWithinPartitions(*order)
+        placed = placed.withColumn("_p", local_idx)
+    elif layout == "range":
+        parts = num_partitions or max(n_in, workers)
+        ranged = (
+            keyed.repartitionByRange(parts, F.col("worker"), *order)
+            .sortWithinPartitions(F.col("worker"), *order)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_idx", local_idx)
+        )
+        # Materialise once (shared checkpoint folder): the counts and the rows
+        # must see the same partitioning, and two separately optimised copies
+        # of the range exchange may sample different bounds.
+        checkpoint_dir(examples.sparkSession)
+        ranged = ranged.checkpoint(eager=True)
+        counts = ranged.groupBy("_pid", "worker").agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
+        before = Window.partitionBy("worker").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("_pid", "worker", "_first",
+                                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        placed = (
+            ranged.join(F.broadcast(offsets), ["_pid", "worker"])
+            .withColumn("_p", F.col("_off") + F.col("_idx") - F.col("_first"))
+            .drop("_pid", "_idx", "_off", "_first")
+        )
     else:
-        order = [F.col(order_col)]
-    placed = (
-        base.withColumn("worker", worker.cast("int"))
-        .repartitionById(workers, F.col("worker"))
-        .sortWithinPartitions(*order)
-    )
-    pos = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    placed = placed.withColumn("_pos", pos).withColumn("batch_no", F.expr(f"_pos div {int(batch_size)}"))
+        raise ValueError("layout must be 'auto', 'worker' or 'range'")
+    placed = placed.withColumn("batch_no", F.expr(f"_p div {int(batch_size)}"))
     rounds = F.lit(0).cast("long") if averaging_frequency is None else F.expr(
         f"batch_no div {int(averaging_frequency)}")
-    placed = placed.drop("_pos")
-    return placed.withColumn("round_no", rounds)
+    placed = placed.withColumn("round_no", rounds)
+    return placed.withColumnRenamed("_p", "_pos") if layout == "range" else placed.drop("_p")
 
 
 def _round_runner(model: Model, learning_rate: float, n_in: int, n_out: int):
@@ -167,20 +212,28 @@ def _round_runner(model: Model, learning_rate: float, n_in: int, n_out: int):
 
 
 def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_rate: float,
-              features: str = "features", label: str = "label") -> DataFrame:
+              features: str = "features", label: str = "label", workers: int | None = None) -> DataFrame:
     """``worker_params`` after one averaging round: each worker starts from
     ``model`` and steps through its minibatches of round ``round_no`` (all
     rounds when None); ``loss`` is the mean loss over its rows, each taken
-    before the step of its minibatch.  No shuffle: rows are already placed."""
+    before the step of its minibatch.  With the ``worker`` layout there is no
+    shuffle (rows are already placed); with the ``range`` layout the round's
+    rows (``workers x batch_size x F`` at most) are regrouped by worker."""
     rows = placed if round_no is None else placed.filter(F.col("round_no") == F.lit(round_no))
-    n_out = model.n_outputs
-    flat = rows.select(
-        "worker",
-        "batch_no",
-        *[F.col(features)[i].alias(f"x{i}") for i in range(model.n_inputs)],
-        *[F.col(label)[j].alias(f"y{j}") for j in range(n_out)],
-    )
-    return flat.mapInPandas(_round_runner(model, learning_rate, model.n_inputs, n_out), WORKER_PARAMS_SCHEMA)
+    n_in, n_out = model.n_inputs, model.n_outputs
+    if all(f"x{i}" in placed.columns for i in range(n_in)) and all(f"y{j}" in placed.columns for j in range(n_out)):
+        xs = [F.col(f"x{i}") for i in range(n_in)]
+        ys = [F.col(f"y{j}") for j in range(n_out)]
+    else:
+        xs = [F.col(features)[i].alias(f"x{i}") for i in range(n_in)]
+        ys = [F.col(label)[j].alias(f"y{j}") for j in range(n_out)]
+    if "_pos" in placed.columns:
+        # range layout: bring each worker's rows of this round (at most
+        # batch_size x F of them) into one task, in position order
+        parts = workers or placed.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
+    flat = rows.select("worker", "batch_no", *xs, *ys)
+    return flat.mapInPandas(_round_runner(model, learning_rate, n_in, n_out), WORKER_PARAMS_SCHEMA)
 
 
 def average_parameters(worker_params: DataFrame, params: str = "params", weight: str | None = "n") -> DataFrame:
@@ -195,10 +248,25 @@ def average_parameters(worker_params: DataFrame, params: str = "params", weight:
     )
 
 
-def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learning_rate: float):
-    """Run one round; return (averaged params, mean loss, rows).  The loss rides
-    along as one more averaged position, so it is one job."""
-    wp = fit_round(placed, model, round_no, learning_rate)
+def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learning_rate: float,
+                    workers: int):
+    """Run one round; return (averaged params, mean loss, rows).
+
+    With at most ``DRIVER_AVERAGE_MAX`` values in ``workers x params`` the
+    worker rows themselves are collected (what a tree aggregate would bring
+    to the driver anyway) and averaged in numpy, saving a shuffle stage per
+    round.  Above it, the average is a Spark aggregate (``posexplode`` +
+    ``groupBy(pos)``), with the loss riding along as one more position.
+    """
+    wp = fit_round(placed, model, round_no, learning_rate, workers=workers)
+    if workers * (model.n_params + 1) <= DRIVER_AVERAGE_MAX:
+        got = wp.collect()
+        if not got:
+            return None, None, 0
+        n = np.array([r["n"] for r in got], dtype=np.float64)
+        params = np.array([r["params"] for r in got], dtype=np.float64)
+        loss = np.array([r["loss"] for r in got], dtype=np.float64)
+        return (params * n[:, None]).sum(axis=0) / n.sum(), float((loss * n).sum() / n.sum()), int(n.sum())
     packed = wp.select(F.concat("params", F.array(F.col("loss"))).alias("params"), "n")
     agg = (
         packed.select(F.posexplode("params").alias("pos", "v"), F.col("n").cast("double").alias("_w"))
@@ -217,21 +285,47 @@ def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learn
 
 
 def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = None,
-          order_col: str | None = None) -> tuple[DataFrame, int]:
-    """Assign, place and materialise the examples; returns ``(placed, n_rounds)``."""
-    placed = assign_workers(examples, options.workers, options.batch_size, options.averaging_frequency,
-                            options.seed, worker_col, order_col)
-    if options.storage == "checkpoint":
-        checkpoint_dir(placed.sparkSession)
-        placed = placed.checkpoint(eager=True)
+          order_col: str | None = None, n_inputs: int | None = None,
+          n_outputs: int | None = None, layout: str = "auto") -> tuple[DataFrame, int]:
+    """Assign, place and materialise the examples; returns ``(placed, n_rounds)``.
+
+    With the widths given, features and label are stored as plain double
+    columns ``x0..``, ``y0..`` (cheaper to cache, scan and ship to Arrow).
+
+    ``worker`` layout: persisted (or checkpointed) as placed.  ``range``
+    layout: written as Parquet under the shared checkpoint folder with one
+    directory per round, clustered by round first so each task writes few
+    directories; a round then reads only its own directory.
+    """
+    spark = examples.sparkSession
+    assigned = assign_workers(examples, options.workers, options.batch_size, options.averaging_frequency,
+                              options.seed, worker_col, order_col, layout=layout)
+    ranged = "_pos" in assigned.columns
+    if n_inputs is not None and n_outputs is not None:
+        assigned = assigned.select(
+            "worker", "batch_no", "round_no", *(["_pos"] if ranged else []),
+            *[F.col("features")[i].alias(f"x{i}") for i in range(n_inputs)],
+            *[F.col("label")[j].alias(f"y{j}") for j in range(n_outputs)],
+        )
+    if ranged:
+        path = scratch_path(spark, "placed")
+        parts = max(examples.rdd.getNumPartitions(), options.workers)
+        (assigned.repartitionByRange(parts, "round_no", "worker", "_pos")
+         .sortWithinPartitions("round_no", "worker", "_pos")
+         .write.partitionBy("round_no").parquet(path))
+        placed = spark.read.parquet(path)
+    elif options.storage == "checkpoint":
+        checkpoint_dir(spark)
+        placed = assigned.checkpoint(eager=True)
     else:
-        placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+        placed = assigned.persist(StorageLevel.MEMORY_AND_DISK)
     top = placed.agg(F.max("round_no")).first()[0]
     return placed, (0 if top is None else int(top) + 1)
 
 
 def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOptions = TrainOptions(),
-        worker_col: str | None = None, order_col: str | None = None, placed: tuple[DataFrame, int] | None = None):
+        worker_col: str | None = None, order_col: str | None = None, placed: tuple[DataFrame, int] | None = None,
+        layout: str = "auto"):
     """Train ``model`` for ``epochs`` passes; returns ``(model, history)``.
 
     ``history`` has one entry per epoch: ``epoch, rounds, rows, loss,
@@ -239,14 +333,15 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
     ``placed`` reuses an earlier ``place`` result (e.g. across benchmark runs).
     """
     own = placed is None
-    placed_df, n_rounds = place(examples, options, worker_col, order_col) if own else placed
+    placed_df, n_rounds = (place(examples, options, worker_col, order_col, model.n_inputs, model.n_outputs,
+                                 layout) if own else placed)
     history = []
     try:
         for epoch in range(epochs):
             t0 = time.perf_counter()
             loss_sum, rows = 0.0, 0
             for r in range(n_rounds):
-                vec, loss, n = _averaged_round(placed_df, model, r, options.learning_rate)
+                vec, loss, n = _averaged_round(placed_df, model, r, options.learning_rate, options.workers)
                 if vec is None:
                     continue
                 model = model.with_params(vec)
@@ -256,6 +351,6 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
                             "loss": (loss_sum / rows) if rows else None,
                             "seconds": time.perf_counter() - t0})
     finally:
-        if own and options.storage == "persist":
+        if own and placed_df.is_cached:
             placed_df.unpersist()
     return model, history

@@ -48,7 +48,7 @@ def bench_fit(spark: SparkSession, examples: DataFrame, model: Model, epochs: in
     ``n_records`` = rows trained on.  Placement is done once, untimed, and
     reused by every iteration.
     """
-    placed = place(examples, options)
+    placed = place(examples, options, n_inputs=model.n_inputs, n_outputs=model.n_outputs)
     try:
         for _ in range(warmup):
             model, _h = fit(examples, model, epochs, options, placed=placed)

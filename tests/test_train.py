@@ -125,3 +125,32 @@ def test_options_validation():
         TrainOptions(workers=0)
     with pytest.raises(ValueError):
         TrainOptions(averaging_frequency=0)
+
+
+def test_range_layout_numbers_rows_like_worker_layout(spark):
+    ex = _examples(spark, SF01)
+    cols = ["row_id", "worker", "batch_no", "round_no"]
+    a = assign_workers(ex, 4, 500, 3, layout="worker").select(*cols).toPandas().sort_values("row_id")
+    b = assign_workers(ex, 4, 500, 3, layout="range", num_partitions=13).select(*cols).toPandas().sort_values("row_id")
+    assert (a.to_numpy() == b.to_numpy()).all()
+
+
+def test_range_layout_splits_a_hot_worker(spark):
+    ev = read_table(spark, SF01, "events").select("event_id")
+    ev = ev.withColumn("w", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % 5))
+    a = assign_workers(ev, 5, 100, 2, worker_col="w", order_col="event_id", layout="range", num_partitions=16)
+    per_part = a.withColumn("pid", F.spark_partition_id()).groupBy("pid").count().agg(F.max("count")).first()[0]
+    assert per_part < 10000 / 3  # the hot worker (a third of rows) is spread over several tasks
+    for w, d in a.toPandas().groupby("worker"):
+        d = d.sort_values("event_id")
+        pos = np.arange(len(d))
+        assert (d.batch_no.to_numpy() == pos // 100).all() and (d._pos.to_numpy() == pos).all()
+
+
+def test_fit_range_layout_equals_worker_layout(spark):
+    ex = _examples(spark)
+    opts = TrainOptions(workers=3, batch_size=64, averaging_frequency=4, learning_rate=0.3)
+    m_w, h_w = fit(ex, relu_2_8_1(), 2, opts, layout="worker")
+    m_r, h_r = fit(ex, relu_2_8_1(), 2, opts, layout="range")
+    assert np.abs(m_w.params() - m_r.params()).max() < 1e-12
+    assert [e["rows"] for e in h_r] == [6000, 6000]
