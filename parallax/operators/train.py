@@ -1,28 +1,34 @@
 """Data-parallel minibatch training with periodic parameter averaging.
 
-Layout (one shuffle, once per ``fit``):
-
-1. ``assign_workers``: every example gets ``worker`` (a hash of its id, or
-   ``pmod`` of a given column), then each worker's rows are placed in their
-   own partition (``repartitionById``) and sorted by a seeded hash, which is
-   the shuffled example order.  The position in that order gives
-   ``batch_no = pos div batch_size`` and ``round_no = batch_no div F``.
-   No window, no driver loop: a per-partition index after the sort.
-2. The placed rows are persisted (or checkpointed to the shared checkpoint
-   folder).  Rows are sorted by round inside each partition, so the cached
-   batches of other rounds are skipped by their min/max statistics.
+1. ``assign_workers``: every example gets ``worker`` (a seeded hash of its
+   id, or ``pmod`` of a given column) and a position in a per-worker order
+   (a second seeded hash, i.e. shuffled, or a given column);
+   ``batch_no = pos div batch_size``, ``round_no = batch_no div F``.
+   Two layouts compute the same numbers (see ``assign_workers``): ``worker``
+   (one partition per worker, position = index after a local sort) for
+   inputs with no more splits than workers, and ``range`` (range partitions
+   over ``(worker, order)`` + a small per-partition count table) so that no
+   task holds a whole worker's share, however large or skewed.
+2. ``place`` materialises the placement once per ``fit``: persisted /
+   checkpointed (``worker`` layout, rows sorted by round so cached batches of
+   other rounds are skipped by min/max statistics) or written as Parquet
+   with one directory per round under the shared checkpoint folder
+   (``range`` layout, so a round reads only its own files).
 3. One Spark job per averaging round: ``filter(round_no = r)`` ->
-   ``mapInPandas`` streaming each worker's rows in batch order (the
-   gradient of a minibatch is summed over Arrow chunks, so memory is bounded
-   by the Arrow batch, not by ``batch_size * F``) -> one
-   ``(worker, params, n, loss)`` row per worker -> ``average_parameters``
-   (``posexplode`` + ``groupBy(pos)``: a partial aggregate, then a shuffle of
-   ``workers x params`` values) -> the averaged vector, the size of the model,
-   is collected and becomes the next round's starting point.
+   (``range`` layout: regroup the round's rows by worker, at most
+   ``workers x batch_size x F`` of them) -> ``mapInPandas`` streaming each
+   worker's rows in batch order (the gradient of a minibatch is summed over
+   Arrow chunks, so memory is bounded by the Arrow batch, not by
+   ``batch_size x F``) -> one ``(worker, params, n, loss)`` row per worker ->
+   the row-weighted average (numpy on the driver while ``workers x params``
+   is small, else ``average_parameters``: ``posexplode`` + ``groupBy(pos)``),
+   which becomes the next round's starting point.
 
 Plain SGD on squared error; averaging is weighted by rows, over the workers
 that had rows in the round (Zinkevich et al. 2010; McDonald et al. 2010).
 Lineage does not grow across rounds: parameters travel as task closures.
+A lost executor re-runs only its tasks: placement is persisted, checkpointed
+or written, and every round is a deterministic function of its inputs.
 """
 
 from __future__ import annotations
@@ -85,9 +91,9 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
 
     * ``"worker"``: partition ``w`` holds exactly worker ``w``, sorted; the
       position is the row's index in its partition.  One shuffle, no extra
-      job, but one task sorts a whole worker's share: for inputs that fit
-      a task per worker (``auto`` picks it when the input has no more splits
-      than workers).
+      job, but one task sorts a whole worker's share: ``auto`` picks it
+      when that share is at most about one input split (hash-assigned
+      workers and no more splits than workers, or a one-split input).
     * ``"range"``: range-partitioned on ``(worker, order)`` into many
       partitions (``num_partitions``, default: the input's split count), so
       no task holds more than one range however large (or skewed) a worker
@@ -106,7 +112,12 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     order = _order_columns(examples, seed, order_col, row_id)
     n_in = examples.rdd.getNumPartitions()
     if layout == "auto":
-        layout = "worker" if n_in <= workers else "range"
+        # one partition per worker only when that partition cannot exceed
+        # about one input split: hash-assigned workers (balanced) and no more
+        # splits than workers, or a single-split input.  A given worker
+        # column may be skewed, so it gets range partitions.
+        balanced = worker_col is None and n_in <= workers
+        layout = "worker" if (balanced or n_in == 1) else "range"
     keyed = examples.withColumn("worker", worker.cast("int"))
     local_idx = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     if layout == "worker":

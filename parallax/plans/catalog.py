@@ -19,7 +19,7 @@ from parallax.operators.examples import key_examples, split_by_position, to_exam
 from parallax.operators.partition import write_partitioned
 from parallax.operators.score import score_batched, score_expr
 from parallax.operators.train import TrainOptions, assign_workers, average_parameters, fit, fit_round
-from parallax.plans.bench import count_predictions, summarise_runs
+from parallax.plans.bench import bench_fit, bench_score, count_predictions, summarise_runs
 from parallax.session import scratch_path
 from parallax.sources.csv import good_records, read_records
 from parallax.sources.model_store import load_model, save_model
@@ -208,6 +208,20 @@ def q_bench_summary(spark, sf_dir):
     return summarise_runs(runs)
 
 
+def q_bench_score_runs(spark, sf_dir):
+    """Three timed scoring passes; the timings themselves are left out."""
+    scored = score_expr(_lineitem_keyed(spark, sf_dir), relu_2_3_1())
+    return bench_score(spark, scored, iterations=3, name="score").select("name", "iteration", "n_records")
+
+
+def q_bench_fit_runs(spark, sf_dir):
+    """Two timed iterations of two epochs each; rows trained per iteration."""
+    ex = to_examples(net_price_records(read_table(spark, sf_dir, "lineitem")), ["x1", "x2"], ["y"])
+    opts = TrainOptions(workers=4, batch_size=2048, averaging_frequency=5, learning_rate=0.1)
+    runs, _, _ = bench_fit(spark, ex, relu_2_8_1(), epochs=2, iterations=2, options=opts)
+    return runs.select("name", "iteration", "n_records")
+
+
 def q_assign_batches(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id")
     a = assign_workers(ev, workers=4, batch_size=128, averaging_frequency=4, worker_col="event_id",
@@ -266,6 +280,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "full_pipeline": q_full_pipeline,
     "count_predictions": q_count_predictions,
     "bench_summary": q_bench_summary,
+    "bench_score_runs": q_bench_score_runs,
+    "bench_fit_runs": q_bench_fit_runs,
     "assign_batches": q_assign_batches,
     "average_parameters": q_average_parameters,
     "sgd_round": q_sgd_round,
@@ -326,6 +342,10 @@ ORACLES: dict[str, str] = {
         "CAST(sum(ns) // 1000000 AS BIGINT) AS total_ms, "
         "CAST(sum(ns) // nullif(sum(n_records), 0) AS BIGINT) AS mean_ns_per_record FROM runs GROUP BY name"
     ),
+    "bench_score_runs": ("SELECT 'score' AS name, CAST(i AS INTEGER) AS iteration, "
+                         "(SELECT count(*) FROM lineitem) AS n_records FROM range(3) AS t(i)"),
+    "bench_fit_runs": ("SELECT 'fit' AS name, CAST(i AS INTEGER) AS iteration, "
+                       "2 * (SELECT count(*) FROM lineitem) AS n_records FROM range(2) AS t(i)"),
     "assign_batches": (
         "SELECT event_id, CAST(event_id % 4 AS INTEGER) AS worker, "
         "(row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1) // 128 AS batch_no, "

@@ -154,3 +154,12 @@ def test_fit_range_layout_equals_worker_layout(spark):
     m_r, h_r = fit(ex, relu_2_8_1(), 2, opts, layout="range")
     assert np.abs(m_w.params() - m_r.params()).max() < 1e-12
     assert [e["rows"] for e in h_r] == [6000, 6000]
+
+
+def test_auto_layout_choice(spark):
+    ex = _examples(spark)  # one input split
+    assert "_pos" not in assign_workers(ex, 4, 10).columns
+    many = ex.repartition(6)
+    assert "_pos" not in assign_workers(many, 8, 10).columns  # hashed workers, splits <= workers
+    assert "_pos" in assign_workers(many, 4, 10).columns  # more splits than workers
+    assert "_pos" in assign_workers(many.withColumn("w", F.lit(1)), 8, 10, worker_col="w").columns  # given column
