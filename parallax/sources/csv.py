@@ -63,9 +63,13 @@ def parse_lines(lines: DataFrame, columns: int | list[str], sep: str = ",", valu
     """
     names = column_names(columns)
     opts = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    # The one-element explode is a Generate node: filters on the parsed
+    # struct (e.g. ``_bad IS NULL``) cannot be pushed below it, so Catalyst
+    # does not substitute ``from_csv`` into the filter and parse every line
+    # twice.  It stays inside the same codegen stage.
     parsed = (
         lines.filter(F.trim(F.col(value)) != "")
-        .select(F.from_csv(F.col(value), _ddl(names), opts).alias("_r"))
+        .select(F.explode(F.array(F.from_csv(F.col(value), _ddl(names), opts))).alias("_r"))
     )
     bad = F.col(f"_r.{BAD}")
     return parsed.select(

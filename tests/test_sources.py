@@ -94,3 +94,9 @@ def test_sinks(spark, tmp_dir, capsys):
         write_predictions(df, os.path.join(tmp_dir, "p"))
     lines = show_predictions(df, n=1)
     assert len(lines) == 1 and capsys.readouterr().out.strip() == lines[0]
+
+
+def test_each_line_is_parsed_once(spark, tmp_dir):
+    _write(tmp_dir, "a.csv", "1,2,3\n4,5\n")
+    plan = good_records(read_records(spark, tmp_dir, 3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_csv(") == 1
