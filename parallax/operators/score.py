@@ -47,9 +47,12 @@ def score_expr(df: DataFrame, model: Model, features: str = "features", output:
 
 
 def _predict_fn_factory(model: Model):
+    single = model.n_outputs == 1
+
     def make_predict_fn():
         def predict(x: np.ndarray) -> np.ndarray:
-            return forward(model, x)
+            out = forward(model, x)
+            return out[:, 0] if single else out
 
         return predict
 
@@ -76,14 +79,20 @@ def score_batched(df: DataFrame, model: Model, batch_size: int = 8192, features:
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
     keep = _passthrough(df, features, keep)
+    single = model.n_outputs == 1
     udf = predict_batch_udf(
         _predict_fn_factory(model),
-        return_type=T.ArrayType(T.DoubleType()),
+        return_type=T.DoubleType() if single else T.ArrayType(T.DoubleType()),
         batch_size=batch_size,
-        input_tensor_shapes=[[model.n_inputs]],
     )
+    # One struct of scalar inputs arrives as a pandas DataFrame and becomes
+    # the (rows, inputs) matrix in one ``to_numpy``; an array column would
+    # be stacked row by row.  A single output comes back as a plain double
+    # and is wrapped into the array on the JVM side.
+    inputs = F.struct(*[F.col(features)[i].cast("double").alias(f"x{i}") for i in range(model.n_inputs)])
     src = spread_for_python(df) if spread else df
-    return src.select(*keep, udf(F.col(features).cast(T.ArrayType(T.DoubleType()))).alias(output))
+    pred = F.array(udf(inputs)) if single else udf(inputs)
+    return src.select(*keep, pred.alias(output))
 
 
 def score(df: DataFrame, model: Model, batch_size: int = 8192, features: str = "features",

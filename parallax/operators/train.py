@@ -347,6 +347,13 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
     placed_df, n_rounds = (place(examples, options, worker_col, order_col, model.n_inputs, model.n_outputs,
                                  layout) if own else placed)
     history = []
+    spark = placed_df.sparkSession
+    # Round jobs have no shuffle to re-plan (worker layout) or a fixed-count
+    # one (range layout): adaptive planning only adds latency to each of the
+    # many small jobs (0.21 -> 0.145 s per round measured), so it is off
+    # while rounds run and restored after.
+    aqe = spark.conf.get("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         for epoch in range(epochs):
             t0 = time.perf_counter()
@@ -362,6 +369,7 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
                             "loss": (loss_sum / rows) if rows else None,
                             "seconds": time.perf_counter() - t0})
     finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
         if own and placed_df.is_cached:
             placed_df.unpersist()
     return model, history
