@@ -58,8 +58,10 @@ def read_lines_skip_header(spark: SparkSession, path: str | list[str]) -> DataFr
 def parse_lines(lines: DataFrame, columns: int | list[str], sep: str = ",", value: str = "value") -> DataFrame:
     """``records_checked``: the named double columns plus ``_bad``.
 
-    Blank lines are dropped.  For a malformed line every data column is null
-    and ``_bad`` holds the line; for a good line ``_bad`` is null.
+    Blank lines are dropped.  A line is malformed when it has too few or too
+    many fields, or a field that is empty or not a number; then every data
+    column is null and ``_bad`` holds the line.  For a good line ``_bad`` is
+    null and no data column is.
     """
     names = column_names(columns)
     opts = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
@@ -69,11 +71,20 @@ def parse_lines(lines: DataFrame, columns: int | list[str], sep: str = ",", valu
     # twice.  It stays inside the same codegen stage.
     parsed = (
         lines.filter(F.trim(F.col(value)) != "")
-        .select(F.explode(F.array(F.from_csv(F.col(value), _ddl(names), opts))).alias("_r"))
+        .select(F.explode(F.array(F.struct(
+            F.from_csv(F.col(value), _ddl(names), opts).alias("r"),
+            F.col(value).alias("line"),
+        ))).alias("_p"))
     )
-    bad = F.col(f"_r.{BAD}")
+    # An empty field parses as null: a record with a missing number is
+    # malformed too (a null feature would poison scoring and training).
+    missing = None
+    for n in names:
+        c = F.col(f"_p.r.`{n}`").isNull()
+        missing = c if missing is None else (missing | c)
+    bad = F.coalesce(F.col(f"_p.r.{BAD}"), F.when(missing, F.col("_p.line")))
     return parsed.select(
-        *[F.when(bad.isNull(), F.col(f"_r.`{n}`")).alias(n) for n in names],
+        *[F.when(bad.isNull(), F.col(f"_p.r.`{n}`")).alias(n) for n in names],
         bad.alias(BAD),
     )
 

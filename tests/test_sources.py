@@ -22,11 +22,11 @@ def test_read_lines_round_trip(spark, tmp_dir):
 
 
 def test_bad_records_are_split_out(spark, tmp_dir):
-    _write(tmp_dir, "a.csv", "1,2,3\n4,5\nx,1,2\n7,8,9,10\n\nc0,c1,c2\n\"1.5\",2e3,-4\n")
+    _write(tmp_dir, "a.csv", "1,2,3\n4,5\nx,1,2\n7,8,9,10\n\nc0,c1,c2\n\"1.5\",2e3,-4\n1,,3\n")
     checked = read_records(spark, tmp_dir, 3)
     good, bad = split_records(checked)
     assert sorted(tuple(r) for r in good.collect()) == [(1.0, 2.0, 3.0), (1.5, 2000.0, -4.0)]
-    assert sorted(r._bad for r in bad.collect()) == ["4,5", "7,8,9,10", "c0,c1,c2", "x,1,2"]
+    assert sorted(r._bad for r in bad.collect()) == ["1,,3", "4,5", "7,8,9,10", "c0,c1,c2", "x,1,2"]
     # pruning a later projection must not let a bad row through
     assert good.select("c0").count() == 2
     assert sorted(r.c0 for r in good.select("c0").collect()) == [1.0, 1.5]
