@@ -196,3 +196,39 @@ def sgd_steps(model: Model, x: np.ndarray, y: np.ndarray, batch_no: np.ndarray,
         params = params - learning_rate * g
         m = m.with_params(params)
     return params, int(x.shape[0]), loss_sum
+
+
+# -- shipping a model to tasks -------------------------------------------------
+
+# Models up to this many parameters ride in the task closure; larger ones are
+# sent once per executor as a Spark broadcast variable.
+CLOSURE_MAX_PARAMS = 100_000
+
+
+class ModelRef:
+    """A picklable handle to a model for task closures.
+
+    Small models are carried inline; large ones through a broadcast variable
+    (fetched once per executor, not once per task).  ``get()`` returns the
+    ``Model`` on either side.
+    """
+
+    def __init__(self, model: Model, spark_context=None, max_inline: int | None = None):
+        self._inline = None
+        self._bc = None
+        limit = CLOSURE_MAX_PARAMS if max_inline is None else max_inline
+        if model.n_params <= limit or spark_context is None:
+            self._inline = model
+        else:
+            self._bc = spark_context.broadcast(model)
+
+    @property
+    def broadcast(self):
+        return self._bc
+
+    def get(self) -> Model:
+        return self._inline if self._bc is None else self._bc.value
+
+    def release(self) -> None:
+        if self._bc is not None:
+            self._bc.unpersist()

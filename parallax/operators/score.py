@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parallax.functions.network import dense_layer_columns
-from parallax.model import Model, forward
+from parallax.model import Model, ModelRef, forward
 
 # Networks with at most this many weights are scored as expressions.
 EXPR_MAX_WEIGHTS = 256
@@ -46,10 +46,10 @@ def score_expr(df: DataFrame, model: Model, features: str = "features", output:
     return cur.select(*keep, F.array(*[F.col(n) for n in names]).alias(output))
 
 
-def _predict_fn_factory(model: Model):
-    single = model.n_outputs == 1
-
+def _predict_fn_factory(ref: ModelRef, single: bool):
     def make_predict_fn():
+        model = ref.get()  # once per Python worker
+
         def predict(x: np.ndarray) -> np.ndarray:
             out = forward(model, x)
             return out[:, 0] if single else out
@@ -81,7 +81,7 @@ def score_batched(df: DataFrame, model: Model, batch_size: int = 8192, features:
     keep = _passthrough(df, features, keep)
     single = model.n_outputs == 1
     udf = predict_batch_udf(
-        _predict_fn_factory(model),
+        _predict_fn_factory(ModelRef(model, df.sparkSession.sparkContext), single),
         return_type=T.DoubleType() if single else T.ArrayType(T.DoubleType()),
         batch_size=batch_size,
     )

@@ -41,7 +41,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallax.model import Model, loss_grad_sums
+from parallax.model import Model, ModelRef, loss_grad_sums
 from parallax.session import checkpoint_dir, scratch_path
 
 WORKER_PARAMS_SCHEMA = "worker int, params array<double>, n bigint, loss double"
@@ -154,13 +154,15 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     return placed.withColumnRenamed("_p", "_pos") if layout == "range" else placed.drop("_p")
 
 
-def _round_runner(model: Model, learning_rate: float, n_in: int, n_out: int):
+def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int):
     """The per-partition function of one round (runs in Python workers)."""
-    start = model.params()
 
     def run(batches):
         import pandas as pd
 
+        model = ref.get()
+        start = model.params()
+
         xcols = [f"x{i}" for i in range(n_in)]
         ycols = [f"y{i}" for i in range(n_out)]
         out = []
@@ -223,7 +225,8 @@ def _round_runner(model: Model, learning_rate: float, n_in: int, n_out: int):
 
 
 def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_rate: float,
-              features: str = "features", label: str = "label", workers: int | None = None) -> DataFrame:
+              features: str = "features", label: str = "label", workers: int | None = None,
+              model_ref: ModelRef | None = None) -> DataFrame:
     """``worker_params`` after one averaging round: each worker starts from
     ``model`` and steps through its minibatches of round ``round_no`` (all
     rounds when None); ``loss`` is the mean loss over its rows, each taken
@@ -244,7 +247,8 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
         parts = workers or placed.sparkSession.sparkContext.defaultParallelism
         rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
     flat = rows.select("worker", "batch_no", *xs, *ys)
-    return flat.mapInPandas(_round_runner(model, learning_rate, n_in, n_out), WORKER_PARAMS_SCHEMA)
+    ref = model_ref or ModelRef(model, placed.sparkSession.sparkContext)
+    return flat.mapInPandas(_round_runner(ref, learning_rate, n_in, n_out), WORKER_PARAMS_SCHEMA)
 
 
 def average_parameters(worker_params: DataFrame, params: str = "params", weight: str | None = "n") -> DataFrame:
@@ -269,7 +273,15 @@ def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learn
     round.  Above it, the average is a Spark aggregate (``posexplode`` +
     ``groupBy(pos)``), with the loss riding along as one more position.
     """
-    wp = fit_round(placed, model, round_no, learning_rate, workers=workers)
+    ref = ModelRef(model, placed.sparkSession.sparkContext)
+    try:
+        return _average_round_rows(fit_round(placed, model, round_no, learning_rate, workers=workers,
+                                             model_ref=ref), model, workers)
+    finally:
+        ref.release()  # a per-round broadcast (large models only) is dropped once used
+
+
+def _average_round_rows(wp: DataFrame, model: Model, workers: int):
     if workers * (model.n_params + 1) <= DRIVER_AVERAGE_MAX:
         got = wp.collect()
         if not got:

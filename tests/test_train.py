@@ -163,3 +163,20 @@ def test_auto_layout_choice(spark):
     assert "_pos" not in assign_workers(many, 8, 10).columns  # hashed workers, splits <= workers
     assert "_pos" in assign_workers(many, 4, 10).columns  # more splits than workers
     assert "_pos" in assign_workers(many.withColumn("w", F.lit(1)), 8, 10, worker_col="w").columns  # given column
+
+
+def test_large_models_travel_as_broadcast(spark, monkeypatch):
+    import parallax.model as pm
+    from parallax.operators.score import score_batched, score_expr
+    from parallax.operators.examples import key_examples
+
+    ex = _examples(spark)
+    opts = TrainOptions(workers=2, batch_size=256, averaging_frequency=2, learning_rate=0.1)
+    m_inline, _ = fit(ex, relu_2_8_1(), 1, opts)
+    ref_scores = {r.row_id: r.prediction[0] for r in score_expr(key_examples(ex), m_inline).collect()}
+    monkeypatch.setattr(pm, "CLOSURE_MAX_PARAMS", 0)
+    assert pm.ModelRef(relu_2_8_1(), spark.sparkContext).broadcast is not None
+    m_bc, _ = fit(ex, relu_2_8_1(), 1, opts)
+    assert np.abs(m_inline.params() - m_bc.params()).max() < 1e-12
+    got = {r.row_id: r.prediction[0] for r in score_batched(key_examples(ex), m_inline, 512).collect()}
+    assert max(abs(got[k] - ref_scores[k]) for k in ref_scores) < 1e-9
