@@ -30,11 +30,11 @@ def test_expr_plan_is_one_codegen_stage_without_python(spark):
 
 
 def test_batched_plan_has_python_and_no_shuffle(spark):
-    s = score_batched(_keyed(spark), relu_2_8_1(), 2048, spread=False)
+    s = score_batched(_keyed(spark), relu_2_8_1(), 2048)
     assert has_python_node(s)
     assert "Exchange" not in physical_plan(s)
-    # a one-split input is spread round-robin over the cores first
-    assert "RoundRobinPartitioning" in physical_plan(score_batched(_keyed(spark), relu_2_8_1(), 2048))
+    # opt-in: a one-split input spread round-robin over the cores first
+    assert "RoundRobinPartitioning" in physical_plan(score_batched(_keyed(spark), relu_2_8_1(), 2048, spread=True))
 
 
 def test_expr_and_batched_agree_for_all_batch_sizes(spark):
