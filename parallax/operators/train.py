@@ -195,6 +195,9 @@ def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int):
             bn = pdf["batch_no"].to_numpy()
             x = pdf[xcols].to_numpy(dtype=np.float64)
             y = pdf[ycols].to_numpy(dtype=np.float64)
+            if not (np.isfinite(x).all() and np.isfinite(y).all()):
+                raise ValueError("training examples contain null, NaN or infinite features or labels; "
+                                 "keep only good records (sources.csv.good_records) or fill them first")
             # runs of equal (worker, batch_no); rows arrive sorted by both
             change = np.flatnonzero((wk[1:] != wk[:-1]) | (bn[1:] != bn[:-1])) + 1
             bounds = np.concatenate([[0], change, [len(pdf)]])

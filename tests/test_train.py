@@ -180,3 +180,9 @@ def test_large_models_travel_as_broadcast(spark, monkeypatch):
     assert np.abs(m_inline.params() - m_bc.params()).max() < 1e-12
     got = {r.row_id: r.prediction[0] for r in score_batched(key_examples(ex), m_inline, 512).collect()}
     assert max(abs(got[k] - ref_scores[k]) for k in ref_scores) < 1e-9
+
+
+def test_null_features_fail_loudly(spark):
+    ex = _examples(spark).withColumn("features", F.when(F.col("row_id") % 7 == 0, F.array(F.lit(None).cast("double"), F.lit(1.0))).otherwise(F.col("features")))
+    with pytest.raises(Exception, match="null, NaN or infinite"):
+        fit(ex, relu_2_8_1(), 1, TrainOptions(workers=2, batch_size=64))
