@@ -94,14 +94,16 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
       job, but one task sorts a whole worker's share: ``auto`` picks it
       when that share is at most about one input split (hash-assigned
       workers and no more splits than workers, or a one-split input).
-    * ``"range"``: range-partitioned on ``(worker, order)`` into many
-      partitions (``num_partitions``, default: the input's split count), so
-      no task holds more than one range however large (or skewed) a worker
-      is.  Position = the row's index in its partition + the rows of its
-      worker in earlier partitions, from a per-(partition, worker) count
-      table of at most ``partitions + workers`` rows, broadcast back.  The
-      range-partitioned rows are checkpointed first (one job, reliable
-      storage).  Adds ``_pos`` (kept: it orders a worker's rows in a round).
+    * ``"range"``: many partitions (``num_partitions``, default: the input's
+      split count), each a contiguous range of one worker's order, so no
+      task holds more than one range however large (or skewed) a worker
+      is.  Position = index in the partition + the worker's rows in earlier
+      ranges, from a small count table broadcast back.  With the default
+      hashed order the ranges are equal-width hash slices (see
+      ``_hash_range_positions``; nothing is materialised); with an explicit
+      ``order_col`` they come from ``repartitionByRange`` and are
+      checkpointed once so counts and rows see the same partitioning.
+      Adds ``_pos`` (kept: it orders a worker's rows in a round).
     """
     if workers < 1 or batch_size < 1:
         raise ValueError("workers and batch_size must be positive")
@@ -123,6 +125,8 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     if layout == "worker":
         placed = keyed.repartitionById(workers, F.col("worker")).sortWithinPartitions(*order)
         placed = placed.withColumn("_p", local_idx)
+    elif layout == "range" and order_col is None:
+        placed = _hash_range_positions(keyed, workers, seed, row_id, num_partitions or max(n_in, workers))
     elif layout == "range":
         parts = num_partitions or max(n_in, workers)
         ranged = (
@@ -154,6 +158,54 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     return placed.withColumnRenamed("_p", "_pos") if layout == "range" else placed.drop("_p")
 
 
+def _hash_range_positions(keyed: DataFrame, workers: int, seed: int, row_id: str, parts: int) -> DataFrame:
+    """Positions for the default (hashed) order without materialising anything.
+
+    The order key ``h = xxhash64(row_id, seed + 1)`` is uniform over the
+    64-bit range, so buckets are equal-width slices of it: worker ``w`` gets
+    ``k_w`` buckets in proportion to its row count (a hot worker gets many),
+    ``bucket = floor((h / 2^64 + 1/2) * k_w)``, monotone in ``h``.  Each
+    (worker, bucket) is one partition (``repartitionById``), sorted by
+    ``(h, row_id)``; position = rows of the worker in earlier buckets (a
+    value-based count table of ``sum(k_w)`` rows, broadcast) + index in the
+    partition.  Everything is a function of the data, so a recomputed
+    partition gets the same positions.  Costs two small aggregations (rows
+    per worker: ``workers`` rows to the driver; rows per bucket).
+    """
+    h = F.xxhash64(F.col(row_id), F.lit(seed + 1))
+    keyed = keyed.withColumn("_h", h)
+    per_worker = {r["worker"]: r["n"] for r in keyed.groupBy("worker").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(per_worker.values())
+    target = max(1, -(-total // max(parts, 1)))  # rows per bucket ~ rows per wanted partition
+    k = {w: max(1, -(-n // target)) for w, n in per_worker.items()}
+    base, acc = {}, 0
+    for w in sorted(k):
+        base[w] = acc
+        acc += k[w]
+    n_buckets = max(acc, 1)
+    spark = keyed.sparkSession
+    shape = spark.createDataFrame([(int(w), int(k[w]), int(base[w])) for w in sorted(k)],
+                                  "worker int, _k int, _base int")  # one row per worker
+    frac = F.col("_h").cast("double") / F.lit(float(2 ** 64)) + F.lit(0.5)
+    bucket = F.least(F.floor(frac * F.col("_k")).cast("int"), F.col("_k") - 1)
+    with_bucket = keyed.join(F.broadcast(shape), "worker").withColumn("_b", F.col("_base") + bucket)
+    counts = with_bucket.groupBy("worker", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("worker").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local_idx = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    ordered = (
+        with_bucket.drop("_k", "_base")
+        .repartitionById(n_buckets, F.col("_b"))
+        .sortWithinPartitions("_h", row_id)
+        .withColumn("_idx", local_idx)
+    )
+    return (
+        ordered.join(F.broadcast(offsets), "_b")  # sum(k_w) rows: about ``parts``
+        .withColumn("_p", F.col("_off") + F.col("_idx"))
+        .drop("_b", "_h", "_idx", "_off")
+    )
+
+
 def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int):
     """The per-partition function of one round (runs in Python workers)."""
 

@@ -186,3 +186,18 @@ def test_null_features_fail_loudly(spark):
     ex = _examples(spark).withColumn("features", F.when(F.col("row_id") % 7 == 0, F.array(F.lit(None).cast("double"), F.lit(1.0))).otherwise(F.col("features")))
     with pytest.raises(Exception, match="null, NaN or infinite"):
         fit(ex, relu_2_8_1(), 1, TrainOptions(workers=2, batch_size=64))
+
+
+def test_hash_range_layout_splits_a_hot_worker_without_materialising(spark):
+    ev = read_table(spark, SF01, "events").select("event_id")
+    ev = ev.withColumn("w", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % 5))
+    a = assign_workers(ev, 5, 100, 2, worker_col="w", row_id="event_id", layout="range", num_partitions=16)
+    assert "checkpoint" not in a._jdf.queryExecution().optimizedPlan().toString().lower()
+    per_part = a.withColumn("pid", F.spark_partition_id()).groupBy("pid").count().agg(F.max("count")).first()[0]
+    assert per_part < 10000 / 3 / 2  # the hot worker is cut into several buckets
+    d = a.withColumn("h", F.xxhash64("event_id", F.lit(12345 + 1))).toPandas()
+    for w, g in d.groupby("worker"):
+        g = g.sort_values(["h", "event_id"])
+        pos = np.arange(len(g))
+        assert (g._pos.to_numpy() == pos).all()
+        assert (g.batch_no.to_numpy() == pos // 100).all() and (g.round_no.to_numpy() == pos // 200).all()
