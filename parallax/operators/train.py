@@ -40,11 +40,19 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallax.model import Model, ModelRef, loss_grad_sums
 from parallax.session import checkpoint_dir, scratch_path
 
 WORKER_PARAMS_SCHEMA = "worker int, params array<double>, n bigint, loss double"
+# The same as a StructType: no DDL parse (a JVM round trip) per round job.
+_WORKER_PARAMS_TYPE = T.StructType([
+    T.StructField("worker", T.IntegerType()),
+    T.StructField("params", T.ArrayType(T.DoubleType())),
+    T.StructField("n", T.LongType()),
+    T.StructField("loss", T.DoubleType()),
+])
 # Largest workers x parameters count averaged on the driver (4M doubles, 32 MB).
 DRIVER_AVERAGE_MAX = 1 << 22
 
@@ -290,20 +298,21 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
     rows (``workers x batch_size x F`` at most) are regrouped by worker."""
     rows = placed if round_no is None else placed.filter(F.col("round_no") == F.lit(round_no))
     n_in, n_out = model.n_inputs, model.n_outputs
-    if all(f"x{i}" in placed.columns for i in range(n_in)) and all(f"y{j}" in placed.columns for j in range(n_out)):
+    cols = set(placed.columns)
+    if all(f"x{i}" in cols for i in range(n_in)) and all(f"y{j}" in cols for j in range(n_out)):
         xs = [F.col(f"x{i}") for i in range(n_in)]
         ys = [F.col(f"y{j}") for j in range(n_out)]
     else:
         xs = [F.col(features)[i].alias(f"x{i}") for i in range(n_in)]
         ys = [F.col(label)[j].alias(f"y{j}") for j in range(n_out)]
-    if "_pos" in placed.columns:
+    if "_pos" in cols:
         # range layout: bring each worker's rows of this round (at most
         # batch_size x F of them) into one task, in position order
         parts = workers or placed.sparkSession.sparkContext.defaultParallelism
         rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
     flat = rows.select("worker", "batch_no", *xs, *ys)
     ref = model_ref or ModelRef(model, placed.sparkSession.sparkContext)
-    return flat.mapInPandas(_round_runner(ref, learning_rate, n_in, n_out), WORKER_PARAMS_SCHEMA)
+    return flat.mapInPandas(_round_runner(ref, learning_rate, n_in, n_out), _WORKER_PARAMS_TYPE)
 
 
 def average_parameters(worker_params: DataFrame, params: str = "params", weight: str | None = "n") -> DataFrame:
