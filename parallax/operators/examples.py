@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 DOUBLE_ARRAY = T.ArrayType(T.DoubleType())
 
+# Fixed value: the constant key the scoring jobs attach to every row.
+DEFAULT_KEY = "carparkOccupancy"
+
 
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A 64-bit id from all (or the given) columns: stable across runs and
@@ -64,7 +67,7 @@ def features_only(examples: DataFrame) -> DataFrame:
     return examples.select(*[c for c in examples.columns if c != "label"])
 
 
-def key_examples(examples: DataFrame, key: str = "carparkOccupancy", row_id: str = "row_id",
+def key_examples(examples: DataFrame, key: str = DEFAULT_KEY, row_id: str = "row_id",
                  keep: list[str] | None = None) -> DataFrame:
     """``keyed_examples``: ``key string, row_id bigint, features array<double>``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parallax.fixtures import linear_2_1, net_price_records, read_table, relu_2_3_1, relu_2_8_1
 from parallax.model import Dense, Model
-from parallax.operators.examples import key_examples, split_by_position, to_examples
+from parallax.operators.examples import DEFAULT_KEY, key_examples, split_by_position, to_examples
 from parallax.operators.partition import write_partitioned
 from parallax.operators.score import score_batched, score_expr
 from parallax.operators.train import TrainOptions, assign_workers, average_parameters, fit, fit_round
@@ -26,7 +26,7 @@ from parallax.sources.model_store import load_model, save_model
 from parallax.sources.sinks import write_predictions
 from parallax.sources.text import read_lines
 
-KEY = "carparkOccupancy"
+KEY = DEFAULT_KEY
 ID_COLS = ["l_orderkey", "l_linenumber"]
 
 # The malformed-input fixture appended to the part lines.
