@@ -31,16 +31,18 @@ def _vector(df: DataFrame, cols: str | list[str]) -> Column:
 
 
 def to_examples(df: DataFrame, features: str | list[str], label: str | list[str] | None,
-                row_id: str | None = "row_id", keep: list[str] | None = None) -> DataFrame:
+                row_id: str | None = "row_id", keep: list[str] | None = None,
+                id_cols: list[str] | None = None) -> DataFrame:
     """``examples``: ``row_id bigint, features array<double>, label array<double>``.
 
     ``features`` / ``label`` are column lists, or one array column.  ``row_id``
-    is ``xxhash64`` of every input column (pass ``None`` to leave it out);
-    ``keep`` carries extra source columns through.
+    is ``xxhash64`` of every input column, or of ``id_cols`` when a natural
+    key exists (then a wide input is not read whole just to hash it); pass
+    ``row_id=None`` to leave it out.  ``keep`` carries source columns through.
     """
     out = []
     if row_id:
-        out.append(row_hash(df).alias(row_id))
+        out.append(row_hash(df, id_cols).alias(row_id))
     out += [F.col(c) for c in (keep or [])]
     out.append(_vector(df, features).alias("features"))
     if label is not None:

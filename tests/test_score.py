@@ -92,3 +92,12 @@ def test_properties_row_count_ids_and_label_independence(spark, rows):
     assert len(got1) == len(rows)
     assert sorted(r.row_id for r in ex.collect()) == [g[0] for g in got1]
     assert got1 == got2
+
+
+def test_scan_reads_only_the_columns_used(spark):
+    li = read_table(spark, SF01, "lineitem")
+    ex = to_examples(li, ["l_extendedprice", "l_discount"], ["l_tax"], id_cols=["l_orderkey", "l_linenumber"])
+    plan = physical_plan(score_expr(key_examples(ex), relu_2_3_1()))
+    schema = plan[plan.index("ReadSchema"):].split("\n")[0]
+    assert "l_shipdate" not in schema and "l_returnflag" not in schema
+    assert all(c in schema for c in ["l_extendedprice", "l_discount", "l_orderkey", "l_linenumber"])
