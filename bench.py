@@ -40,6 +40,14 @@ def timed_median(df, iterations=ITER):
     return statistics.median(run_pass(df) for _ in range(iterations)) / 1e9
 
 
+def _sf_value(sf_dir: str):
+    name = os.path.basename(sf_dir).replace("sf", "")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -75,7 +83,7 @@ def main():
         "value": round(sum(q.values()), 4),
         "unit": "sec",
         "queries": q,
-        "sf": os.path.basename(sf_dir).replace("sf", ""),
+        "sf": _sf_value(sf_dir),
         "rows": n_rows,
         "rounds_per_epoch": hist[0]["rounds"],
         "score_expr_ns_per_row": int(q["score_expr"] * 1e9 / max(n_rows, 1)),
