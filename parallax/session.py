@@ -12,11 +12,15 @@ from pyspark.sql import SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local runs, tests) is a fresh local
-    folder chosen and set; on a cluster the configured shared folder is used.
+    Only a ``local[...]`` session without one (tests, local runs) gets a
+    fresh local folder; elsewhere a missing setting is an error, since a
+    machine-local folder is not shared by the executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS, object store); "
+                               "a machine-local folder is not reachable from every executor")
         d = tempfile.mkdtemp(prefix="parallax-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
