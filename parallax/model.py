@@ -133,11 +133,32 @@ def _act_grad(name: str, z: np.ndarray, a: np.ndarray) -> np.ndarray:
     return a * (1.0 - a)
 
 
-def forward(model: Model, x: np.ndarray) -> np.ndarray:
-    """Predictions for a batch ``x`` of shape (n, n_inputs)."""
+# Layers up to this many weights are evaluated as an explicit left fold.
+FOLD_MAX_WEIGHTS = 4096
+
+
+def _dense_fold(a: np.ndarray, l: Dense) -> np.ndarray:
+    """``((a0*w0 + a1*w1) + ...) + b`` per unit, one IEEE operation at a time:
+    the same order (and so the same bits) as the generated Column
+    expressions and as an SQL engine evaluating ``a0*w0 + a1*w1 + ... + b``."""
+    z = a[:, 0:1] * l.weights[0:1, :]
+    for i in range(1, l.n_in):
+        z = z + a[:, i : i + 1] * l.weights[i : i + 1, :]
+    return z + l.bias
+
+
+def forward(model: Model, x: np.ndarray, exact: bool | None = None) -> np.ndarray:
+    """Predictions for a batch ``x`` of shape (n, n_inputs).
+
+    ``exact`` (default: for layers up to ``FOLD_MAX_WEIGHTS`` weights) sums
+    in the expression order, bit-identical to ``score_expr``; otherwise a
+    BLAS matrix product (same values to about 1e-15).
+    """
     a = np.asarray(x, dtype=np.float64)
     for l in model.layers:
-        a = _act(l.activation, a @ l.weights + l.bias)
+        fold = (l.weights.size <= FOLD_MAX_WEIGHTS) if exact is None else exact
+        z = _dense_fold(a, l) if fold else a @ l.weights + l.bias
+        a = _act(l.activation, z)
     return a
 
 

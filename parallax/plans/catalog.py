@@ -147,7 +147,7 @@ def q_score_relu(spark, sf_dir):
 def _q_score_batched(batch: int):
     def q(spark, sf_dir):
         scored = score_batched(_lineitem_keyed(spark, sf_dir), relu_2_3_1(), batch_size=batch)
-        return _flat_prediction(scored, ["key", *ID_COLS], digits=4)
+        return _flat_prediction(scored, ["key", *ID_COLS])
 
     return q
 
@@ -155,7 +155,7 @@ def _q_score_batched(batch: int):
 def q_score_wide_64(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
     ex = to_examples(emb, "embedding", None, row_id=None, keep=["vec_id"])
-    return _flat_prediction(score_batched(ex, wide_64(), batch_size=2048), ["vec_id"], digits=4)
+    return _flat_prediction(score_batched(ex, wide_64(), batch_size=2048), ["vec_id"])
 
 
 def q_model_round_trip(spark, sf_dir):
@@ -325,11 +325,11 @@ ORACLES: dict[str, str] = {
     "key_examples": f"SELECT '{KEY}' AS key, l_orderkey, l_linenumber, {X1} AS x1, {X2} AS x2 FROM lineitem",
     "score_linear": _scored_sql(LINEAR_SQL),
     "score_relu": _scored_sql(RELU_SQL),
-    "score_batched_5": _scored_sql(RELU_SQL, 4),
-    "score_batched_2048": _scored_sql(RELU_SQL, 4),
-    "score_batched_4096": _scored_sql(RELU_SQL, 4),
-    "score_batched_8192": _scored_sql(RELU_SQL, 4),
-    "score_wide_64": f"SELECT vec_id, round({_WIDE}, 4) AS prediction FROM embeddings",
+    "score_batched_5": _scored_sql(RELU_SQL),
+    "score_batched_2048": _scored_sql(RELU_SQL),
+    "score_batched_4096": _scored_sql(RELU_SQL),
+    "score_batched_8192": _scored_sql(RELU_SQL),
+    "score_wide_64": f"SELECT vec_id, {_WIDE} AS prediction FROM embeddings",
     "model_round_trip": _scored_sql(RELU_SQL),
     "predictions_text": f"SELECT '{KEY}' AS key, {RELU_SQL} AS prediction FROM lineitem",
     "predictions_csv": _scored_sql(RELU_SQL),

@@ -101,3 +101,13 @@ def test_scan_reads_only_the_columns_used(spark):
     schema = plan[plan.index("ReadSchema"):].split("\n")[0]
     assert "l_shipdate" not in schema and "l_returnflag" not in schema
     assert all(c in schema for c in ["l_extendedprice", "l_discount", "l_orderkey", "l_linenumber"])
+
+
+def test_small_networks_score_bit_identically_on_both_paths(spark):
+    # identity/ReLU only: tanh and exp may differ in the last bit between the
+    # JVM and numpy (covered to 1e-12 by test_activations_match_numpy)
+    keyed = _keyed(spark)
+    for m in (relu_2_3_1(), relu_2_8_1(), Model.random([2, 16, 8, 1], ["relu", "relu", "identity"], seed=4)):
+        a = _by_id(score_expr(keyed, m))
+        b = _by_id(score_batched(keyed, m, 4096))
+        assert a == b
