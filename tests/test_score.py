@@ -111,3 +111,11 @@ def test_small_networks_score_bit_identically_on_both_paths(spark):
         a = _by_id(score_expr(keyed, m))
         b = _by_id(score_batched(keyed, m, 4096))
         assert a == b
+
+
+def test_count_would_time_nothing_so_timed_passes_use_noop(spark):
+    scored = score_batched(_keyed(spark, SF001), relu_2_8_1(), 2048)
+    # a count's plan prunes the prediction (and its Python UDF) away...
+    assert not has_python_node(scored.groupBy().count())
+    # ...while writing the scored rows (the noop sink) keeps it
+    assert has_python_node(scored)
