@@ -86,6 +86,7 @@ def main():
         "sf": _sf_value(sf_dir),
         "rows": n_rows,
         "rounds_per_epoch": hist[0]["rounds"],
+        "seconds_per_round": round(q["fit_epoch"] / max(hist[0]["rounds"], 1), 4),
         "score_expr_ns_per_row": int(q["score_expr"] * 1e9 / max(n_rows, 1)),
         "cpus": cpus,
     }
