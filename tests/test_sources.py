@@ -100,3 +100,28 @@ def test_each_line_is_parsed_once(spark, tmp_dir):
     _write(tmp_dir, "a.csv", "1,2,3\n4,5\n")
     plan = good_records(read_records(spark, tmp_dir, 3))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_csv(") == 1
+
+
+def test_partitioned_write_has_no_shuffle_and_round_trips(spark, tmp_dir):
+    from parallax.operators.partition import partition_dataset, write_partitioned
+
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'cold' END AS flag").repartition(4)
+    write_partitioned(df, os.path.join(tmp_dir, "w"), ["flag"])
+    back = spark.read.parquet(os.path.join(tmp_dir, "w"))
+    assert back.count() == 1000 and back.filter("flag = 'hot'").count() == 334
+    files = [f for d, _, fs in os.walk(os.path.join(tmp_dir, "w", "flag=hot")) for f in fs if f.endswith(".parquet")]
+    assert len(files) > 1  # the hot value is written by several tasks, not one
+    assert partition_dataset(df, 6, ["flag"]).rdd.getNumPartitions() == 6
+
+
+def test_salted_partitioning_spreads_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from parallax.operators.partition import partition_dataset
+
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 7 END AS k")
+    plain = partition_dataset(df, 8, ["k"]).withColumn("p", F.spark_partition_id())
+    salted = partition_dataset(df, 8, ["k"], salt=4).withColumn("p", F.spark_partition_id())
+    assert plain.filter("k = 0").select("p").distinct().count() == 1
+    assert salted.filter("k = 0").select("p").distinct().count() > 1
+    assert salted.count() == 3000
