@@ -68,14 +68,14 @@ def main():
     q["csv_pipeline"] = timed_median(score_expr(key_examples(from_csv), model))
 
     opts = TrainOptions(workers=4, batch_size=2048, averaging_frequency=5, learning_rate=0.1)
-    place(examples, opts, n_inputs=model.n_inputs, n_outputs=model.n_outputs)[0].unpersist()  # warm-up
+    place(examples, opts, n_inputs=model.n_inputs, n_outputs=model.n_outputs).release()  # warm-up
     t0 = time.perf_counter()
     placed = place(examples, opts, n_inputs=model.n_inputs, n_outputs=model.n_outputs)
     q["place"] = time.perf_counter() - t0
     fit(examples, model, 1, opts, placed=placed)  # warm-up epoch
     _, hist = fit(examples, model, 3, opts, placed=placed)
     q["fit_epoch"] = statistics.median(e["seconds"] for e in hist)
-    placed[0].unpersist()
+    placed.release()
 
     q = {k: round(v, 4) for k, v in q.items()}
     out = {

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parallax.model import Model, ModelRef, loss_grad_sums
-from parallax.session import checkpoint_dir, scratch_path
+from parallax.session import checkpoint_dir, delete_path, scratch_path
 
 WORKER_PARAMS_SCHEMA = "worker int, params array<double>, n bigint, loss double"
 # The same as a StructType: no DDL parse (a JVM round trip) per round job.
@@ -371,9 +371,28 @@ def _average_round_rows(wp: DataFrame, model: Model, workers: int):
     return vec[:-1], float(vec[-1]), rows
 
 
+class Placement(tuple):
+    """``(placed DataFrame, n_rounds)``; ``release()`` frees what ``place``
+    made: the persisted copy, or the table written under the checkpoint
+    folder (range layout), so repeated training runs do not pile up data."""
+
+    def __new__(cls, df: DataFrame, rounds: int, path: str | None = None):
+        obj = super().__new__(cls, (df, rounds))
+        obj.path = path
+        return obj
+
+    def release(self) -> None:
+        df = self[0]
+        if df.is_cached:
+            df.unpersist()
+        if self.path:
+            delete_path(df.sparkSession, self.path)
+            self.path = None
+
+
 def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = None,
           order_col: str | None = None, n_inputs: int | None = None,
-          n_outputs: int | None = None, layout: str = "auto") -> tuple[DataFrame, int]:
+          n_outputs: int | None = None, layout: str = "auto") -> Placement:
     """Assign, place and materialise the examples; returns ``(placed, n_rounds)``.
 
     With the widths given, features and label are stored as plain double
@@ -394,6 +413,7 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
             *[F.col("features")[i].alias(f"x{i}") for i in range(n_inputs)],
             *[F.col("label")[j].alias(f"y{j}") for j in range(n_outputs)],
         )
+    path = None
     if ranged:
         path = scratch_path(spark, "placed")
         parts = max(examples.rdd.getNumPartitions(), options.workers)
@@ -407,7 +427,7 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
     else:
         placed = assigned.persist(StorageLevel.MEMORY_AND_DISK)
     top = placed.agg(F.max("round_no")).first()[0]
-    return placed, (0 if top is None else int(top) + 1)
+    return Placement(placed, 0 if top is None else int(top) + 1, path)
 
 
 def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOptions = TrainOptions(),
@@ -420,8 +440,9 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
     ``placed`` reuses an earlier ``place`` result (e.g. across benchmark runs).
     """
     own = placed is None
-    placed_df, n_rounds = (place(examples, options, worker_col, order_col, model.n_inputs, model.n_outputs,
-                                 layout) if own else placed)
+    if own:
+        placed = place(examples, options, worker_col, order_col, model.n_inputs, model.n_outputs, layout)
+    placed_df, n_rounds = placed
     history = []
     spark = placed_df.sparkSession
     # Round jobs have no shuffle to re-plan (worker layout) or a fixed-count
@@ -446,6 +467,6 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
                             "seconds": time.perf_counter() - t0})
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
-        if own and placed_df.is_cached:
-            placed_df.unpersist()
+        if own:
+            placed.release()
     return model, history

@@ -60,8 +60,7 @@ def bench_fit(spark: SparkSession, examples: DataFrame, model: Model, epochs: in
             rows.append((name, i, sum(e["rows"] for e in h), ns))
             history.extend(h)
     finally:
-        if options.storage == "persist":
-            placed[0].unpersist()
+        placed.release()
     return spark.createDataFrame(rows, BENCH_RUNS_SCHEMA), model, history
 
 

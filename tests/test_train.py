@@ -201,3 +201,17 @@ def test_hash_range_layout_splits_a_hot_worker_without_materialising(spark):
         pos = np.arange(len(g))
         assert (g._pos.to_numpy() == pos).all()
         assert (g.batch_no.to_numpy() == pos // 100).all() and (g.round_no.to_numpy() == pos // 200).all()
+
+
+def test_release_deletes_a_written_placement(spark):
+    import os
+
+    from parallax.operators.train import place
+
+    opts = TrainOptions(workers=2, batch_size=256, averaging_frequency=2)
+    p = place(_examples(spark), opts, n_inputs=2, n_outputs=1, layout="range")
+    df, rounds = p
+    assert rounds > 0 and p.path and os.path.isdir(p.path.replace("file:", ""))
+    path = p.path
+    p.release()
+    assert not os.path.exists(path.replace("file:", ""))
