@@ -310,7 +310,10 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
         # batch_size x F of them) into one task, in position order
         parts = workers or placed.sparkSession.sparkContext.defaultParallelism
         rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
-    flat = rows.select("worker", "batch_no", *xs, *ys)
+    wanted = {"worker", "batch_no", "round_no", *(f"x{i}" for i in range(n_in)), *(f"y{j}" for j in range(n_out))}
+    # placed rows that already hold exactly the flat columns go in as they are
+    # (one transformation, so one analysis, fewer per round job)
+    flat = rows if cols == wanted else rows.select("worker", "batch_no", *xs, *ys)
     ref = model_ref or ModelRef(model, placed.sparkSession.sparkContext)
     return flat.mapInPandas(_round_runner(ref, learning_rate, n_in, n_out), _WORKER_PARAMS_TYPE)
 
