@@ -215,3 +215,12 @@ def test_release_deletes_a_written_placement(spark):
     path = p.path
     p.release()
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_fit_with_given_worker_and_order_columns(spark):
+    ex = _examples(spark).withColumn("w", F.when(F.col("row_id") % 3 == 0, F.lit(0)).otherwise(F.lit(1)))
+    opts = TrainOptions(workers=2, batch_size=128, averaging_frequency=3, learning_rate=0.2)
+    m_r, h_r = fit(ex, relu_2_8_1(), 2, opts, worker_col="w", order_col="row_id", layout="range")
+    m_w, h_w = fit(ex, relu_2_8_1(), 2, opts, worker_col="w", order_col="row_id", layout="worker")
+    assert np.abs(m_r.params() - m_w.params()).max() < 1e-12
+    assert [e["rows"] for e in h_r] == [6000, 6000] and h_r[0]["rounds"] == h_w[0]["rounds"]
