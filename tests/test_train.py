@@ -224,3 +224,17 @@ def test_fit_with_given_worker_and_order_columns(spark):
     m_w, h_w = fit(ex, relu_2_8_1(), 2, opts, worker_col="w", order_col="row_id", layout="worker")
     assert np.abs(m_r.params() - m_w.params()).max() < 1e-12
     assert [e["rows"] for e in h_r] == [6000, 6000] and h_r[0]["rounds"] == h_w[0]["rounds"]
+
+
+@pytest.mark.parametrize("layout", ["worker", "range"])
+def test_training_survives_a_task_failure(layout):
+    import os
+    import subprocess
+    import sys
+
+    helper = os.path.join(os.path.dirname(__file__), "helpers", "retry_run.py")
+    out = subprocess.run([sys.executable, helper, layout], capture_output=True, text=True, timeout=600)
+    line = [l for l in out.stdout.splitlines() if l.startswith("RESULT")]
+    assert line, out.stderr[-2000:]
+    _, diff, injected = line[0].split()
+    assert injected == "True" and float(diff) == 0.0
