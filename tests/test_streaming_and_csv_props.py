@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from conftest import SF001
 from parallax.fixtures import net_price_records, read_table, relu_2_3_1
 from parallax.operators.examples import key_examples, to_examples
-from parallax.operators.score import score_expr
+from parallax.operators.score import score_batched, score_expr
 from parallax.sources.csv import parse_lines
 
 
@@ -33,6 +33,18 @@ def test_scoring_applies_unchanged_to_a_stream(spark, tmp_dir):
     want = sorted((r.row_id, r.prediction[0]) for r in pipeline(li).collect())
     assert got == want
 
+    # the Arrow-batched form too (a pandas UDF in a micro-batch)
+    batched = score_batched(key_examples(to_examples(net_price_records(stream), ["x1", "x2"], ["y"])),
+                            relu_2_3_1(), 512)
+    q = (batched.writeStream.format("memory").queryName("scored_stream_b")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ckpt_b")).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got_b = sorted((r.row_id, r.prediction[0]) for r in spark.sql("SELECT * FROM scored_stream_b").collect())
+    assert got_b == want
+
 
 _cell = st.one_of(
     st.floats(allow_nan=False, allow_infinity=False, width=32).map(repr),
