@@ -30,6 +30,16 @@ from parallax.sources.model_store import load_model, save_model
 from parallax.sources.sinks import write_predictions
 
 
+# The timed jobs' default settings.
+SCORE_BATCH = 8192
+SCORE_ITERATIONS = 50
+TRAIN_BATCH_PER_WORKER = 2048
+TRAIN_AVERAGING_FREQUENCY = 5
+TRAIN_EPOCHS = 50
+TRAIN_WARMUP = 5
+TRAIN_WORKERS = 4
+
+
 def load_examples(spark: SparkSession, args) -> DataFrame:
     if args.format == "parquet":
         if not args.features:
@@ -57,20 +67,22 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--header", action="store_true", help="csv: drop each file's first line")
         s.add_argument("--features", help="parquet: comma-separated feature columns")
         s.add_argument("--labels", help="csv: number of trailing label columns (default 1); parquet: names")
-        s.add_argument("--iterations", type=int, default=1)
+        s.add_argument("--iterations", type=int, default=None,
+                       help=f"timed repetitions (default: {SCORE_ITERATIONS} for score, 1 for train)")
     s = sub.choices["score"]
-    s.add_argument("--batch", type=int, default=8192)
+    s.add_argument("--batch", type=int, default=SCORE_BATCH)
     s.add_argument("--key", default=DEFAULT_KEY)
     s.add_argument("--method", choices=["auto", "expr", "batched"], default="auto")
     s.add_argument("--out", help="write predictions here (fails if it exists)")
     s.add_argument("--out-format", choices=["parquet", "csv", "text"], default="parquet")
     t = sub.choices["train"]
-    t.add_argument("--workers", type=int, default=4)
-    t.add_argument("--batch", type=int, default=2048)
-    t.add_argument("--averaging", type=int, default=5, help="minibatches between averagings; 0 = once per epoch")
+    t.add_argument("--workers", type=int, default=TRAIN_WORKERS)
+    t.add_argument("--batch", type=int, default=TRAIN_BATCH_PER_WORKER)
+    t.add_argument("--averaging", type=int, default=TRAIN_AVERAGING_FREQUENCY,
+                   help="minibatches between averagings; 0 = once per epoch")
     t.add_argument("--lr", type=float, default=0.1)
-    t.add_argument("--epochs", type=int, default=50)
-    t.add_argument("--warmup", type=int, default=0)
+    t.add_argument("--epochs", type=int, default=TRAIN_EPOCHS)
+    t.add_argument("--warmup", type=int, default=TRAIN_WARMUP, help="untimed warm-up iterations of --epochs each")
     t.add_argument("--seed", type=int, default=12345)
     t.add_argument("--save", help="write the trained weights table here")
     return p
@@ -84,13 +96,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     examples = load_examples(spark, args)
     if args.job == "score":
         scored = score(key_examples(examples, args.key), model, batch_size=args.batch, method=args.method)
-        runs = bench_score(spark, scored, iterations=args.iterations, name="score")
+        runs = bench_score(spark, scored, iterations=args.iterations or SCORE_ITERATIONS, name="score")
         if args.out:
             write_predictions(scored, args.out, fmt=args.out_format, width=model.n_outputs)
     else:
         opts = TrainOptions(workers=args.workers, batch_size=args.batch,
                             averaging_frequency=args.averaging or None, learning_rate=args.lr, seed=args.seed)
-        runs, model, history = bench_fit(spark, examples, model, epochs=args.epochs, iterations=args.iterations,
+        runs, model, history = bench_fit(spark, examples, model, epochs=args.epochs, iterations=args.iterations or 1,
                                          warmup=args.warmup, options=opts, name="train")
         if history:
             print(f"last epoch loss: {history[-1]['loss']}")

@@ -23,10 +23,10 @@ def test_score_and_train_jobs_end_to_end(spark, tmp_dir, capsys):
 
     saved = os.path.join(tmp_dir, "trained")
     runs = main(["train", "--data", data, "--model", model, "--workers", "2", "--batch", "512",
-                 "--averaging", "2", "--epochs", "2", "--save", saved], spark=spark)
+                 "--averaging", "2", "--epochs", "2", "--warmup", "0", "--save", saved], spark=spark)
     assert [r.n_records for r in runs.collect()] == [12000]
     assert load_model(spark, saved).n_params == relu_2_8_1().n_params
 
     runs = main(["score", "--data", SF001 + "/lineitem.parquet", "--format", "parquet", "--model", model,
-                 "--features", "l_extendedprice,l_discount", "--method", "expr"], spark=spark)
+                 "--features", "l_extendedprice,l_discount", "--method", "expr", "--iterations", "1"], spark=spark)
     assert runs.first().n_records == 6000
