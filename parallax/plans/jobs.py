@@ -8,7 +8,7 @@
 
 Data is delimited text (``--format csv``: all-numeric columns, features first,
 then ``--labels`` label columns; ``--header`` drops each file's first line;
-malformed lines are counted and left out) or Parquet (``--format parquet``
+malformed lines are left out, and counted with ``--count-bad``) or Parquet (``--format parquet``
 with ``--features`` / ``--labels`` column names).  The session comes from
 ``SparkSession.builder.getOrCreate()``: master, executors and
 ``spark.checkpoint.dir`` are ``spark-submit`` settings.
@@ -47,9 +47,8 @@ def load_examples(spark: SparkSession, args) -> DataFrame:
         labels = args.labels.split(",") if args.labels else None
         return to_examples(spark.read.parquet(args.data), args.features.split(","), labels)
     checked = read_records(spark, args.data, args.columns, sep=args.sep, header=args.header)
-    n_bad = bad_records(checked).count()
-    if n_bad:
-        print(f"malformed records left out: {n_bad}")
+    if args.count_bad:  # one extra pass over the input, so only on request
+        print(f"malformed records left out: {bad_records(checked).count()}")
     n_labels = int(args.labels or 1)
     return split_by_position(good_records(checked), label_index=args.columns - n_labels, num_labels=n_labels)
 
@@ -65,6 +64,7 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--columns", type=int, default=3, help="csv: fields per line")
         s.add_argument("--sep", default=",")
         s.add_argument("--header", action="store_true", help="csv: drop each file's first line")
+        s.add_argument("--count-bad", action="store_true", help="csv: report malformed lines (an extra pass)")
         s.add_argument("--features", help="parquet: comma-separated feature columns")
         s.add_argument("--labels", help="csv: number of trailing label columns (default 1); parquet: names")
         s.add_argument("--iterations", type=int, default=None,

@@ -14,7 +14,7 @@ def test_score_and_train_jobs_end_to_end(spark, tmp_dir, capsys):
     model = os.path.join(tmp_dir, "model")
     save_model(spark, relu_2_8_1(), model)
 
-    runs = main(["score", "--data", data, "--model", model, "--batch", "2048", "--iterations", "2",
+    runs = main(["score", "--data", data, "--model", model, "--batch", "2048", "--iterations", "2", "--count-bad",
                  "--out", os.path.join(tmp_dir, "pred"), "--out-format", "text"], spark=spark)
     assert [r.n_records for r in runs.collect()] == [6000, 6000]
     assert spark.read.text(os.path.join(tmp_dir, "pred")).count() == 6000
