@@ -136,8 +136,8 @@ def _act_grad(name: str, z: np.ndarray, a: np.ndarray) -> np.ndarray:
 # Layers up to this many weights are evaluated as an explicit left fold
 # (bit-identical to the expressions; 0.45 vs 0.2 ms per 10k rows for a 2-8-1
 # net); wider ones use BLAS, which is 10-100x faster there (a 64x64 layer:
-# 84 ms vs 5 ms per 10k rows, measured).  ``score`` sends networks this
-# small to the JVM expression path anyway.
+# 84 ms vs 5 ms per 10k rows, measured).  ``score`` sends the smallest
+# networks (``operators.score.EXPR_MAX_WEIGHTS``) to the JVM expression path.
 FOLD_MAX_WEIGHTS = 256
 
 
