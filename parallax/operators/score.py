@@ -33,6 +33,13 @@ from parallax.model import Model, ModelRef, forward
 # but 2-37-1 (149) 1.48 vs 0.31 and 2-12-12-1 (205) 0.93 vs 0.29: past some
 # size the fused generated method is too large for the JIT and runs slowly.
 EXPR_MAX_WEIGHTS = 128
+# ... and no layer wider than this (2-32-1 was fast, 2-37-1 was not).
+EXPR_MAX_UNITS = 32
+
+
+def prefers_expressions(model: Model) -> bool:
+    """Whether ``score`` picks the expression path for ``model``."""
+    return model.n_params <= EXPR_MAX_WEIGHTS and max(l.n_out for l in model.layers) <= EXPR_MAX_UNITS
 
 
 def _passthrough(df: DataFrame, features: str, keep: list[str] | None) -> list[str]:
@@ -109,7 +116,7 @@ def score(df: DataFrame, model: Model, batch_size: int = 8192, features: str = "
           output: str = "prediction", keep: list[str] | None = None, method: str = "auto") -> DataFrame:
     """Score with expressions for small networks, Arrow batches otherwise."""
     if method == "auto":
-        method = "expr" if model.n_params <= EXPR_MAX_WEIGHTS else "batched"
+        method = "expr" if prefers_expressions(model) else "batched"
     if method == "expr":
         return score_expr(df, model, features, output, keep)
     if method == "batched":

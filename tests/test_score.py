@@ -119,3 +119,12 @@ def test_count_would_time_nothing_so_timed_passes_use_noop(spark):
     assert not has_python_node(scored.groupBy().count())
     # ...while writing the scored rows (the noop sink) keeps it
     assert has_python_node(scored)
+
+
+def test_auto_choice_thresholds():
+    from parallax.operators.score import prefers_expressions
+
+    assert prefers_expressions(relu_2_8_1())
+    assert prefers_expressions(Model.random([2, 32, 1], ["relu", "identity"]))
+    assert not prefers_expressions(Model.random([2, 37, 1], ["relu", "identity"]))
+    assert not prefers_expressions(Model.random([2, 12, 12, 1], ["relu", "relu", "identity"]))
