@@ -125,6 +125,6 @@ def test_auto_choice_thresholds():
     from parallax.operators.score import prefers_expressions
 
     assert prefers_expressions(relu_2_8_1())
-    assert prefers_expressions(Model.random([2, 32, 1], ["relu", "identity"]))
+    assert prefers_expressions(Model.random([2, 30, 1], ["relu", "identity"]))  # 121 weights, 30 units
     assert not prefers_expressions(Model.random([2, 37, 1], ["relu", "identity"]))
     assert not prefers_expressions(Model.random([2, 12, 12, 1], ["relu", "relu", "identity"]))
