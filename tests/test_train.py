@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
@@ -238,3 +240,16 @@ def test_training_survives_a_task_failure(layout):
     assert line, out.stderr[-2000:]
     _, diff, injected = line[0].split()
     assert injected == "True" and float(diff) == 0.0
+
+
+@settings(max_examples=6, deadline=None)
+@given(workers=st.integers(1, 5), batch=st.integers(1, 400), freq=st.one_of(st.none(), st.integers(1, 4)),
+       layout=st.sampled_from(["worker", "range"]))
+def test_fit_matches_replay_for_random_settings(spark, workers, batch, freq, layout):
+    ex = _examples(spark)
+    opts = TrainOptions(workers=workers, batch_size=batch, averaging_frequency=freq, learning_rate=0.2, seed=7)
+    assigned = assign_workers(ex, workers, batch, freq, seed=7, layout="worker").toPandas()
+    m_ref, h_ref = _brute_force(assigned, relu_2_8_1(), 1, 0.2, workers)
+    m, h = fit(ex, relu_2_8_1(), 1, opts, layout=layout)
+    assert np.abs(m.params() - m_ref.params()).max() < 1e-12
+    assert abs(h[0]["loss"] - h_ref[0]) < 1e-12 and h[0]["rows"] == 6000
