@@ -40,11 +40,8 @@ def _lineitem_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_examples(to_examples(rec, ["x1", "x2"], ["y"], keep=ID_COLS), KEY, keep=ID_COLS)
 
 
-def _flat_prediction(scored: DataFrame, cols: list[str], digits: int | None = None) -> DataFrame:
-    p = F.col("prediction")[0]
-    if digits is not None:
-        p = F.round(p, digits)
-    return scored.select(*cols, p.alias("prediction"))
+def _flat_prediction(scored: DataFrame, cols: list[str]) -> DataFrame:
+    return scored.select(*cols, F.col("prediction")[0].alias("prediction"))
 
 
 def _part_lines_dir(spark: SparkSession, sf_dir: str, header: bool = False) -> str:
@@ -99,9 +96,8 @@ RELU_SQL = (
 )
 
 
-def _scored_sql(pred: str, digits: int | None = None) -> str:
-    p = pred if digits is None else f"round({pred}, {digits})"
-    return f"SELECT '{KEY}' AS key, l_orderkey, l_linenumber, {p} AS prediction FROM lineitem"
+def _scored_sql(pred: str) -> str:
+    return f"SELECT '{KEY}' AS key, l_orderkey, l_linenumber, {pred} AS prediction FROM lineitem"
 
 
 # -------------------------------------------------------------- queries ----
