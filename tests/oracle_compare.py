@@ -28,6 +28,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
@@ -51,14 +54,21 @@ def compare(spark, con, name, query, sql, sf_dir):
     t1 = time.time()
     if sql is None:
         return {"name": name, "ok": None, "rows": len(s_rows), "spark_s": round(t1 - t0, 2)}
+    rel = con.sql(sql)
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = con.execute(sql)
     d_cols = [c[0] for c in res.description]
     d_rows = [tuple(r) for r in res.fetchall()]
     ok_cols = sorted(s_cols) == sorted(d_cols)
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in df.schema.fields}
+    ok_types = all(s_types[c] == d_types.get(c) for c in s_cols)
     ok_rows = len(s_rows) == len(d_rows)
     ok_vals = ok_cols and ok_rows and canon(s_cols, s_rows) == canon(d_cols, d_rows)
     out = {"name": name, "ok": bool(ok_vals), "rows": len(s_rows), "oracle_rows": len(d_rows),
-           "cols": ok_cols, "spark_s": round(t1 - t0, 2)}
+           "cols": ok_cols, "types": ok_types, "spark_s": round(t1 - t0, 2)}
+    if not ok_types:
+        out["type_diff"] = {c: (s_types[c], d_types.get(c)) for c in s_cols if s_types[c] != d_types.get(c)}
     if not ok_vals and ok_cols and ok_rows:
         a, b = canon(s_cols, s_rows), canon(d_cols, d_rows)
         diffs = [(x, y) for x, y in zip(a, b) if x != y]

@@ -29,6 +29,7 @@ def test_query_matches_oracle_small(spark, name):
 
     r = compare(spark, duck(SF001), name, queries()[name], oracle_sql().get(name), SF001)
     assert r["ok"] in (True, None), r
+    assert r.get("types", True), r
     assert r["rows"] > 0
 
 
