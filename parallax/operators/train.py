@@ -53,6 +53,10 @@ _WORKER_PARAMS_TYPE = T.StructType([
     T.StructField("n", T.LongType()),
     T.StructField("loss", T.DoubleType()),
 ])
+# The worker layout sorts one worker's whole share in one task; ``auto`` uses
+# it only while that share is at most this many input splits (~512 MB at the
+# default split size), else the range layout.
+WORKER_TASK_MAX_SPLITS = 4
 # Largest workers x parameters count averaged on the driver (4M doubles, 32 MB).
 DRIVER_AVERAGE_MAX = 1 << 22
 
@@ -100,8 +104,9 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     * ``"worker"``: partition ``w`` holds exactly worker ``w``, sorted; the
       position is the row's index in its partition.  One shuffle, no extra
       job, but one task sorts a whole worker's share: ``auto`` picks it
-      when that share is at most about one input split (hash-assigned
-      workers and no more splits than workers, or a one-split input).
+      while that share is at most ``WORKER_TASK_MAX_SPLITS`` input splits
+      (hashed workers: ``splits / workers``; a given worker column, which
+      may be skewed: all ``splits``).
     * ``"range"``: many partitions (``num_partitions``, default: the input's
       split count), each a contiguous range of one worker's order, so no
       task holds more than one range however large (or skewed) a worker
@@ -122,12 +127,12 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     order = _order_columns(examples, seed, order_col, row_id)
     n_in = examples.rdd.getNumPartitions()
     if layout == "auto":
-        # one partition per worker only when that partition cannot exceed
-        # about one input split: hash-assigned workers (balanced) and no more
-        # splits than workers, or a single-split input.  A given worker
-        # column may be skewed, so it gets range partitions.
-        balanced = worker_col is None and n_in <= workers
-        layout = "worker" if (balanced or n_in == 1) else "range"
+        # one partition per worker only while that one task stays small: at
+        # most WORKER_TASK_MAX_SPLITS input splits' worth of rows.  Hashed
+        # workers are balanced (n_in / workers splits each); a given worker
+        # column may put every row in one worker (n_in splits).
+        worst = -(-n_in // workers) if worker_col is None else n_in
+        layout = "worker" if worst <= WORKER_TASK_MAX_SPLITS else "range"
     keyed = examples.withColumn("worker", worker.cast("int"))
     local_idx = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     if layout == "worker":
