@@ -81,6 +81,15 @@ class TrainOptions:
             raise ValueError("storage must be 'persist' or 'checkpoint'")
 
 
+def _shuffle_width(df: DataFrame, workers: int) -> int:
+    """Partitions for the range layout's shuffles: ``spark.sql.shuffle.partitions``
+    (the cluster's own shuffle sizing; sizing by input splits would give
+    map x reduce block counts the driver cannot track at 100 TB), and at
+    least one per worker."""
+    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    return max(int(conf), workers)
+
+
 def _order_columns(examples: DataFrame, seed: int, order_col: str | None, row_id: str) -> list:
     tie = [F.col(row_id)] if row_id in examples.columns else []
     if order_col is None:
@@ -107,8 +116,9 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
       while that share is at most ``WORKER_TASK_MAX_SPLITS`` input splits
       (hashed workers: ``splits / workers``; a given worker column, which
       may be skewed: all ``splits``).
-    * ``"range"``: many partitions (``num_partitions``, default: the input's
-      split count), each a contiguous range of one worker's order, so no
+    * ``"range"``: many partitions (``num_partitions``, default:
+      ``spark.sql.shuffle.partitions``), each a contiguous range of one
+      worker's order, so no
       task holds more than one range however large (or skewed) a worker
       is.  Position = index in the partition + the worker's rows in earlier
       ranges, from a small count table broadcast back.  With the default
@@ -139,9 +149,9 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
         placed = keyed.repartitionById(workers, F.col("worker")).sortWithinPartitions(*order)
         placed = placed.withColumn("_p", local_idx)
     elif layout == "range" and order_col is None:
-        placed = _hash_range_positions(keyed, workers, seed, row_id, num_partitions or max(n_in, workers))
+        placed = _hash_range_positions(keyed, workers, seed, row_id, num_partitions or _shuffle_width(keyed, workers))
     elif layout == "range":
-        parts = num_partitions or max(n_in, workers)
+        parts = num_partitions or _shuffle_width(keyed, workers)
         ranged = (
             keyed.repartitionByRange(parts, F.col("worker"), *order)
             .sortWithinPartitions(F.col("worker"), *order)
@@ -424,7 +434,7 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
     path = None
     if ranged:
         path = scratch_path(spark, "placed")
-        parts = max(examples.rdd.getNumPartitions(), options.workers)
+        parts = _shuffle_width(examples, options.workers)
         (assigned.repartitionByRange(parts, "round_no", "worker", "_pos")
          .sortWithinPartitions("round_no", "worker", "_pos")
          .write.partitionBy("round_no").parquet(path))
