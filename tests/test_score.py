@@ -128,3 +128,12 @@ def test_auto_choice_thresholds():
     assert prefers_expressions(Model.random([2, 30, 1], ["relu", "identity"]))  # 121 weights, 30 units
     assert not prefers_expressions(Model.random([2, 37, 1], ["relu", "identity"]))
     assert not prefers_expressions(Model.random([2, 12, 12, 1], ["relu", "relu", "identity"]))
+
+
+def test_multi_output_batched_equals_expressions(spark):
+    m = Model.random([2, 5, 3], ["relu", "identity"], seed=2)
+    keyed = _keyed(spark, SF001)
+    a = {r.row_id: list(r.prediction) for r in score_expr(keyed, m).collect()}
+    b = {r.row_id: list(r.prediction) for r in score_batched(keyed, m, 100).collect()}
+    assert a.keys() == b.keys() and all(len(v) == 3 for v in b.values())
+    assert a == b  # small layers: the same summation order, so the same bits
