@@ -254,3 +254,12 @@ def test_fit_matches_replay_for_random_settings(spark, workers, batch, freq, lay
     m, h = fit(ex, relu_2_8_1(), 1, opts, layout=layout)
     assert np.abs(m.params() - m_ref.params()).max() < 1e-12
     assert abs(h[0]["loss"] - h_ref[0]) < 1e-12 and h[0]["rows"] == 6000
+
+
+def test_empty_input_and_more_workers_than_rows(spark):
+    ex = _examples(spark)
+    m, h = fit(ex.limit(0), relu_2_8_1(), 2, TrainOptions(workers=2, batch_size=16))
+    assert [e["rounds"] for e in h] == [0, 0] and (m.params() == relu_2_8_1().params()).all()
+    for layout in ("worker", "range"):
+        m, h = fit(ex.limit(5), relu_2_8_1(), 1, TrainOptions(workers=16, batch_size=2), layout=layout)
+        assert h[0]["rows"] == 5 and np.isfinite(m.params()).all()
