@@ -44,6 +44,8 @@ def load_examples(spark: SparkSession, args) -> DataFrame:
     if args.format == "parquet":
         if not args.features:
             raise SystemExit("--features is required for parquet input")
+        if args.job == "train" and not args.labels:
+            raise SystemExit("--labels (label column names) is required to train on parquet input")
         labels = args.labels.split(",") if args.labels else None
         return to_examples(spark.read.parquet(args.data), args.features.split(","), labels)
     checked = read_records(spark, args.data, args.columns, sep=args.sep, header=args.header)
