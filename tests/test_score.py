@@ -137,3 +137,21 @@ def test_multi_output_batched_equals_expressions(spark):
     b = {r.row_id: list(r.prediction) for r in score_batched(keyed, m, 100).collect()}
     assert a.keys() == b.keys() and all(len(v) == 3 for v in b.values())
     assert a == b  # small layers: the same summation order, so the same bits
+
+
+def test_shuffle_counts_and_nested_network_columns(spark):
+    from pyspark.sql import functions as F
+
+    from parallax.functions import network_columns
+    from parallax.operators.train import assign_workers
+    from parallax.plans.inspect import shuffle_count
+
+    keyed = _keyed(spark, SF001)
+    assert shuffle_count(score_expr(keyed, relu_2_8_1())) == 0
+    assert shuffle_count(assign_workers(to_examples(net_price_records(read_table(spark, SF001, "lineitem")),
+                                                    ["x1", "x2"], ["y"]), 4, 64, 2, layout="worker")) == 1
+    m = relu_2_3_1()
+    nested = keyed.select("row_id", network_columns([F.col("features")[0], F.col("features")[1]], m)[0].alias("p"))
+    a = {r.row_id: r.p for r in nested.collect()}
+    b = _by_id(score_expr(keyed, m))
+    assert a == b
