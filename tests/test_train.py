@@ -263,3 +263,16 @@ def test_empty_input_and_more_workers_than_rows(spark):
     for layout in ("worker", "range"):
         m, h = fit(ex.limit(5), relu_2_8_1(), 1, TrainOptions(workers=16, batch_size=2), layout=layout)
         assert h[0]["rows"] == 5 and np.isfinite(m.params()).all()
+
+
+def test_spark_side_averaging_matches_driver_side(spark, monkeypatch):
+    import parallax.operators.train as tr
+
+    ex = _examples(spark)
+    opts = TrainOptions(workers=3, batch_size=100, averaging_frequency=2, learning_rate=0.2)
+    m_driver, h_driver = fit(ex, relu_2_8_1(), 2, opts)
+    monkeypatch.setattr(tr, "DRIVER_AVERAGE_MAX", 0)  # force the posexplode + groupBy(pos) path
+    m_spark, h_spark = fit(ex, relu_2_8_1(), 2, opts)
+    assert np.abs(m_driver.params() - m_spark.params()).max() < 1e-12
+    assert np.allclose([e["loss"] for e in h_driver], [e["loss"] for e in h_spark], rtol=1e-12)
+    assert [e["rows"] for e in h_spark] == [6000, 6000]
