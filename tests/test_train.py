@@ -85,15 +85,20 @@ def test_one_batch_per_worker_equals_full_batch_step(spark):
 
 
 def test_minibatch_split_over_arrow_chunks_is_exact(spark):
-    ex = _examples(spark)
-    opts = TrainOptions(workers=2, batch_size=1500, averaging_frequency=2, learning_rate=0.2)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
-    try:
-        m_small, _ = fit(ex, relu_2_8_1(), 1, opts)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    m_big, _ = fit(ex, relu_2_8_1(), 1, opts)
-    assert np.abs(m_small.params() - m_big.params()).max() < 1e-12
+    # fit_round directly: fit raises the Arrow batch size while its rounds run
+    placed = assign_workers(_examples(spark), 2, 1500, 2).persist()
+
+    def round_params(records_per_batch):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records_per_batch)
+        try:
+            return {r.worker: np.array(r.params) for r in fit_round(placed, relu_2_8_1(), 0, 0.2).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    small, big = round_params("97"), round_params("100000")  # minibatches cut into 97-row chunks, or whole
+    placed.unpersist()
+    assert small.keys() == big.keys() == {0, 1}
+    assert all(np.abs(small[w] - big[w]).max() < 1e-12 for w in small)
 
 
 def test_loss_falls_and_runs_are_deterministic(spark):
