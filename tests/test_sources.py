@@ -125,3 +125,19 @@ def test_salted_partitioning_spreads_a_hot_key(spark):
     assert plain.filter("k = 0").select("p").distinct().count() == 1
     assert salted.filter("k = 0").select("p").distinct().count() > 1
     assert salted.count() == 3000
+
+
+def test_io_through_filesystem_uris(spark, tmp_dir):
+    """Paths go through Hadoop's FileSystem, as hdfs:// or s3a:// would."""
+    from parallax.session import delete_path
+
+    uri = "file://" + tmp_dir
+    os.makedirs(os.path.join(tmp_dir, "d"))
+    _write(os.path.join(tmp_dir, "d"), "a.csv", "h1,h2,h3\n1,2,3\n4,5,6\n")
+    checked = read_records(spark, uri + "/d", 3, header=True)
+    assert sorted(tuple(r) for r in good_records(checked).collect()) == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
+    save_model(spark, relu_2_3_1(), uri + "/model")
+    assert load_model(spark, uri + "/model").n_params == relu_2_3_1().n_params
+    write_predictions(_preds(spark), uri + "/pred", fmt="text")
+    assert len(read_lines(spark, uri + "/pred").collect()) == 2
+    assert delete_path(spark, uri + "/pred") and not os.path.exists(os.path.join(tmp_dir, "pred"))
