@@ -458,6 +458,11 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
     ``history`` has one entry per epoch: ``epoch, rounds, rows, loss,
     seconds`` (``loss`` is the row-weighted mean minibatch loss of the epoch).
     ``placed`` reuses an earlier ``place`` result (e.g. across benchmark runs).
+
+    While rounds run, the session's ``spark.sql.adaptive.enabled`` is off and
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` is raised to one
+    worker-round; both are restored afterwards (other threads sharing the
+    session see the change meanwhile).
     """
     own = placed is None
     if own:
