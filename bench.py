@@ -29,7 +29,7 @@ from parallax.operators.examples import key_examples, split_by_position, to_exam
 from parallax.operators.score import score_batched, score_expr  # noqa: E402
 from parallax.operators.train import TrainOptions, fit, place  # noqa: E402
 from parallax.plans.bench import run_pass  # noqa: E402
-from parallax.session import local_session, scratch_path  # noqa: E402
+from parallax.session import delete_path, local_session, scratch_path  # noqa: E402
 from parallax.sources.csv import good_records, read_records  # noqa: E402
 
 ITER = int(os.environ.get("BENCH_ITER", "5"))
@@ -76,6 +76,7 @@ def main():
     _, hist = fit(examples, model, 3, opts, placed=placed)
     q["fit_epoch"] = statistics.median(e["seconds"] for e in hist)
     placed.release()
+    delete_path(spark, csv_path)  # the bench's own scratch copy
 
     q = {k: round(v, 4) for k, v in q.items()}
     out = {
