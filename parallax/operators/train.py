@@ -105,7 +105,7 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     """``worker_batches``: the input plus ``worker, batch_no, round_no``.
 
     ``worker`` is ``pmod(xxhash64(row_id, seed), workers)`` unless
-    ``worker_col`` names one (then ``pmod(worker_col, workers)``).  Rows of a
+    ``worker_col`` names one (then ``pmod(worker_col, workers)``, null -> 0).  Rows of a
     worker are numbered in ``order_col`` order (default: a seeded hash of
     ``row_id``, i.e. shuffled), ``batch_no = pos div batch_size``,
     ``round_no = batch_no div averaging_frequency`` (0 for all when None).
@@ -135,7 +135,8 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     if worker_col is None:
         worker = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(workers))
     else:
-        worker = F.pmod(F.col(worker_col), F.lit(workers))
+        # a null worker value goes to worker 0 (never dropped by the joins below)
+        worker = F.coalesce(F.pmod(F.col(worker_col), F.lit(workers)), F.lit(0))
     order = _order_columns(examples, seed, order_col, row_id)
     n_in = examples.rdd.getNumPartitions()
     if layout == "auto":

@@ -281,3 +281,13 @@ def test_spark_side_averaging_matches_driver_side(spark, monkeypatch):
     assert np.abs(m_driver.params() - m_spark.params()).max() < 1e-12
     assert np.allclose([e["loss"] for e in h_driver], [e["loss"] for e in h_spark], rtol=1e-12)
     assert [e["rows"] for e in h_spark] == [6000, 6000]
+
+
+@pytest.mark.parametrize("layout", ["worker", "range"])
+def test_null_worker_values_are_kept(spark, layout):
+    ex = _examples(spark).withColumn("w", F.when(F.col("row_id") % 5 == 0, F.lit(None)).otherwise(F.col("row_id") % 3))
+    a = assign_workers(ex, 3, 100, 2, worker_col="w", layout=layout, num_partitions=6)
+    assert a.count() == 6000 and a.filter(F.col("worker").isNull()).count() == 0
+    m, h = fit(ex, relu_2_8_1(), 1, TrainOptions(workers=3, batch_size=100, averaging_frequency=2),
+               worker_col="w", layout=layout)
+    assert h[0]["rows"] == 6000
