@@ -18,7 +18,9 @@ def activation_column(z: Column, name: str) -> Column:
     if name == "identity":
         return z
     if name == "relu":
-        return F.greatest(z, F.lit(0.0))
+        # not ``greatest(z, 0)``: greatest skips nulls, so a missing input
+        # would turn into 0 instead of staying null
+        return F.when(z < F.lit(0.0), F.lit(0.0)).otherwise(z)
     if name == "tanh":
         return F.tanh(z)
     if name == "sigmoid":
@@ -26,8 +28,8 @@ def activation_column(z: Column, name: str) -> Column:
     raise ValueError(f"unknown activation {name!r}")
 
 
-def dense_layer_columns(inputs: list[Column], layer: Dense) -> list[Column]:
-    """One output Column per unit of ``layer`` given its input Columns."""
+def dense_sum_columns(inputs: list[Column], layer: Dense) -> list[Column]:
+    """The pre-activation sum of every unit of ``layer``."""
     if len(inputs) != layer.n_in:
         raise ValueError(f"layer expects {layer.n_in} inputs, got {len(inputs)}")
     outs = []
@@ -35,11 +37,15 @@ def dense_layer_columns(inputs: list[Column], layer: Dense) -> list[Column]:
         z = inputs[0] * F.lit(float(layer.weights[0, j]))
         for i in range(1, layer.n_in):
             z = z + inputs[i] * F.lit(float(layer.weights[i, j]))
-        z = z + F.lit(float(layer.bias[j]))
-        outs.append(activation_column(z, layer.activation))
+        outs.append(z + F.lit(float(layer.bias[j])))
     return outs
 
 
+def dense_layer_columns(inputs: list[Column], layer: Dense) -> list[Column]:
+    """One output Column per unit of ``layer`` given its input Columns."""
+    return [activation_column(z, layer.activation) for z in dense_sum_columns(inputs, layer)]
+
+
 def network_columns(inputs: list[Column], model: Model) -> list[Column]:
     """The whole network as nested expressions (use only for tiny nets;
     ``operators.score.score_expr`` materialises one projection per layer)."""

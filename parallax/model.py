@@ -117,7 +117,7 @@ def _act(name: str, z: np.ndarray) -> np.ndarray:
     if name == "identity":
         return z
     if name == "relu":
-        return np.maximum(z, 0.0)
+        return np.where(z < 0.0, 0.0, z)  # the expression form's rule (NaN stays NaN)
     if name == "tanh":
         return np.tanh(z)
     return 1.0 / (1.0 + np.exp(-z))

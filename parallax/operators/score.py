@@ -24,17 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parallax.functions.network import dense_layer_columns
+from parallax.functions.network import activation_column, dense_sum_columns
 from parallax.model import Model, ModelRef, forward
 
 # Networks with at most this many weights are scored as expressions.  Measured
 # on 600k rows (8 splits), seconds per pass, expressions vs Arrow: 2-8-1 (33
-# weights) 0.10 vs 0.22, 2-8-8-1 (105) 0.10 vs 0.24, 2-32-1 (129) 0.14 vs 0.26,
-# but 2-37-1 (149) 1.48 vs 0.31 and 2-12-12-1 (205) 0.93 vs 0.29: past some
-# size the fused generated method is too large for the JIT and runs slowly.
-EXPR_MAX_WEIGHTS = 128
-# ... and no layer wider than this (2-32-1 was fast, 2-37-1 was not).
-EXPR_MAX_UNITS = 32
+# weights) 0.12 vs 0.22, 2-24-1 (97) 0.12 vs 0.26, 2-6-6-6-1 (109) 0.09 vs
+# 0.20, but 2-28-1 (113) 1.64 vs 0.25 and 2-10-10-1 (151) 1.26 vs 0.22: past
+# some size the fused generated method is too large for the JIT and runs
+# slowly (the null-propagating ReLU is a CASE, which moves that point lower
+# than ``greatest`` did).
+EXPR_MAX_WEIGHTS = 100
+# ... and no layer wider than this (2-24-1 was fast, 2-28-1 was not).
+EXPR_MAX_UNITS = 24
 
 
 def prefers_expressions(model: Model) -> bool:
@@ -55,9 +57,14 @@ def score_expr(df: DataFrame, model: Model, features: str = "features", output:
     names = [f"__in_{i}" for i in range(model.n_inputs)]
     cur = df.select(*keep, *[F.col(features)[i].alias(n) for i, n in enumerate(names)])
     for li, layer in enumerate(model.layers):
-        outs = dense_layer_columns([F.col(n) for n in names], layer)
+        # sums first, activations in the next projection, so an activation
+        # that reads its input twice (ReLU as a CASE) does not repeat the sum
+        sums = dense_sum_columns([F.col(n) for n in names], layer)
+        znames = [f"__z{li}_{j}" for j in range(layer.n_out)]
+        cur = cur.select(*keep, *[c.alias(n) for c, n in zip(sums, znames)])
         names = [f"__l{li}_{j}" for j in range(layer.n_out)]
-        cur = cur.select(*keep, *[c.alias(n) for c, n in zip(outs, names)])
+        cur = cur.select(*keep, *[activation_column(F.col(z), layer.activation).alias(n)
+                                  for z, n in zip(znames, names)])
     return cur.select(*keep, F.array(*[F.col(n) for n in names]).alias(output))
 
 
@@ -70,10 +77,16 @@ def _batched_udf(ref: ModelRef, batch_size: int, n_out: int):
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         model = ref.get()  # once per task (a broadcast is fetched once per executor)
         for pdf in batches:
-            x = pdf.to_numpy(dtype=np.float64)
+            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
             parts = [forward(model, x[i : i + batch_size]) for i in range(0, len(x), batch_size)]
             out = np.concatenate(parts) if parts else np.empty((0, n_out))
-            yield pd.Series(out[:, 0]) if single else pd.Series(list(out))
+            missing = np.isnan(x).any(axis=1)  # a null input gives a null prediction, as in SQL
+            if single:
+                s = pd.Series(out[:, 0], dtype="Float64")
+                s[missing] = pd.NA
+            else:
+                s = pd.Series([None if m else row for m, row in zip(missing, out)], dtype=object)
+            yield s
 
     return predict
 

@@ -125,8 +125,8 @@ def test_auto_choice_thresholds():
     from parallax.operators.score import prefers_expressions
 
     assert prefers_expressions(relu_2_8_1())
-    assert prefers_expressions(Model.random([2, 30, 1], ["relu", "identity"]))  # 121 weights, 30 units
-    assert not prefers_expressions(Model.random([2, 37, 1], ["relu", "identity"]))
+    assert prefers_expressions(Model.random([2, 24, 1], ["relu", "identity"]))  # 97 weights, 24 units
+    assert not prefers_expressions(Model.random([2, 28, 1], ["relu", "identity"]))
     assert not prefers_expressions(Model.random([2, 12, 12, 1], ["relu", "relu", "identity"]))
 
 
@@ -155,3 +155,17 @@ def test_shuffle_counts_and_nested_network_columns(spark):
     a = {r.row_id: r.p for r in nested.collect()}
     b = _by_id(score_expr(keyed, m))
     assert a == b
+
+
+def test_null_features_give_null_predictions_on_both_paths(spark):
+    from pyspark.sql import functions as F
+
+    keyed = _keyed(spark, SF001).withColumn(
+        "features", F.when(F.col("row_id") % 7 == 0, F.array(F.lit(None).cast("double"), F.lit(0.5))).otherwise(F.col("features")))
+    for m in (relu_2_3_1(), Model.random([2, 4, 3], ["relu", "identity"], seed=3)):
+        a = {r.row_id: r.prediction for r in score_expr(keyed, m).collect()}
+        b = {r.row_id: r.prediction for r in score_batched(keyed, m, 256).collect()}
+        nulls_a = {k for k, v in a.items() if v is None or any(p is None for p in v)}
+        nulls_b = {k for k, v in b.items() if v is None or any(p is None for p in v)}
+        assert nulls_a and nulls_a == nulls_b
+        assert all(a[k] == b[k] for k in a if k not in nulls_a)
