@@ -13,17 +13,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     Only a ``local[...]`` session without one (tests, local runs) gets a
-    fresh local folder; elsewhere a missing setting is an error, since a
+    fresh local folder, kept on the SparkContext (the setting itself is static
+    and never written); elsewhere a missing setting is an error, since a
     machine-local folder is not shared by the executors.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        held = sc.getCheckpointDir()
+        if held:
+            return held
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS, object store); "
                                "a machine-local folder is not reachable from every executor")
-        d = tempfile.mkdtemp(prefix="parallax-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="parallax-ckpt-"))
+        return sc.getCheckpointDir()
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -23,8 +23,6 @@ def spark():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):  # tests only: set one where unset
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="parallax-test-ckpt-"))
     yield spark
     spark.stop()
 

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 from parallax.session import checkpoint_dir
@@ -22,6 +26,9 @@ class _Context:
     def setCheckpointDir(self, d):
         self.dirs.append(d)
 
+    def getCheckpointDir(self):
+        return self.dirs[-1] if self.dirs else None
+
 
 class _Session:
     def __init__(self, master, value=None):
@@ -40,7 +47,24 @@ def test_configured_folder_is_used_as_is():
     assert s.sparkContext.dirs == ["hdfs:///shared/ckpt"]
 
 
-def test_local_session_without_folder_gets_a_temp_one():
-    s = _Session("local[4]")
-    d = checkpoint_dir(s)
-    assert d and s.conf.value == d
+STOCK = """
+from pyspark.sql import SparkSession
+from parallax.session import checkpoint_dir, scratch_path
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert s.conf.get("spark.checkpoint.dir", None) is None
+a, b = checkpoint_dir(s), checkpoint_dir(s)
+assert a == b and "parallax-ckpt-" in a, (a, b)
+assert s.range(5).checkpoint().count() == 5
+s.range(3).write.parquet(scratch_path(s, "t"))
+print("STOCK OK")
+"""
+
+
+def test_stock_local_session_gets_a_temp_folder(tmp_path):
+    """A real session whose configuration folder is empty, so no default sets the folder."""
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "tmp").mkdir()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": root, "TMPDIR": str(tmp_path / "tmp")}
+    run = subprocess.run([sys.executable, "-c", STOCK], env=env, capture_output=True, text=True, timeout=180)
+    assert "STOCK OK" in run.stdout, run.stderr[-2000:]
