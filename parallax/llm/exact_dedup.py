@@ -59,13 +59,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single = known.filter(F.col("n").isNull()).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     multi = known.filter(F.col("n") > 1)
-    # the group's largest-id text; ids may repeat, so one row per hash is taken
-    rep = (multi.filter(F.col("doc_id").eqNullSafe(F.col("top"))).select("h", F.col("norm").alias("rep"))
-           .dropDuplicates(["h"]))
-    checked = multi.join(rep, "h", "left").withColumn("same", F.col("norm") == F.col("rep")).select("h", "same")
+    # The group's largest-id text; ids may repeat, so one row per hash is taken. It and the list of
+    # collisions are written, so that no aggregate stands on the joins and a hot group's side can be split.
+    rep_path, bad_path = scratch_path(spark, "exact-dedup-rep"), scratch_path(spark, "exact-dedup-mixed")
+    (multi.filter(F.col("doc_id").eqNullSafe(F.col("top"))).select("h", F.col("norm").alias("rep"))
+          .dropDuplicates(["h"]).write.parquet(rep_path))
+    (multi.select("h", "norm").join(spark.read.parquet(rep_path), "h").filter(F.col("norm") != F.col("rep"))
+          .select("h").write.parquet(bad_path))
     # A collision leaves rows unlike the representative; then n and top of that hash are of
-    # several texts, so all its rows are regrouped by hash and whole text.
-    bad = checked.filter(~F.col("same")).select("h").distinct()
+    # several texts, so all its rows are regrouped by their whole text.
+    bad = spark.read.parquet(bad_path)
     clean = (multi.join(bad, "h", "left_anti")
              .select("doc_id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), "sha"))
     mixed = multi.join(bad, "h", "left_semi").select("doc_id", "sha", "norm")
