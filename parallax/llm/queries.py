@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parallax.fixtures import read_table
-from parallax.llm import exact_dedup, quality, toxicity
+from parallax.llm import exact_dedup, line_dedup, quality, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train_quality(docs, labels))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines of recurring templates."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_lines(docs).withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_quality": op9_quality,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
