@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parallax.fixtures import read_table
-from parallax.llm import exact_dedup, line_dedup, quality, toxicity
+from parallax.llm import exact_dedup, line_dedup, packing, quality, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces and their places in sequences of 2048."""
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_pieces(docs, tokenizer_file("word_bpe_49k.json")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays for its text."""
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
@@ -35,6 +48,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
