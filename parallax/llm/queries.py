@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parallax.fixtures import read_table
-from parallax.llm import exact_dedup, line_dedup, packing, quality, toxicity
+from parallax.llm import exact_dedup, line_dedup, ngram_join, packing, quality, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class and number of links: five words, Jaccard 0.8."""
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, by rules learned from the labels outside the held-out fold."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
