@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parallax.fixtures import read_table
-from parallax.llm import exact_dedup, line_dedup, ngram_join, packing, quality, toxicity
+from parallax.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def tokenizer_file(name: str) -> str:
     """A vocabulary file of the installed public tokenizers."""
     import public_tokenizers
@@ -34,6 +39,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links of cosine 0.98 or more within its label, and its class."""
+    return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links: five words, Jaccard 0.8."""
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -53,8 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_html_extract": op2_html_extract,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
