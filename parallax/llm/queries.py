@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parallax.fixtures import read_table
-from parallax.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, toxicity
+from parallax.llm import chat, embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, spiece, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,17 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of every participant."""
+    return chat.rotate(read_table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids, and whether they decode to the text."""
+    out = spiece.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links: five words, Jaccard 0.8."""
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -67,11 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_chat": op6_chat,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_chat": chat.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
