@@ -2,8 +2,8 @@
 
 DataFrame functions only.
 
-1. Each text is cut into lines at ``\\n``; a line into words at white space. A
-   word with a digit is a variable field, ``<*>``.
+1. Each text is cut into lines at ``\\n``; a line, less the spaces around it, into
+   words at each space. A word with a digit is a variable field, ``<*>``.
 2. Fixed-depth tree: the leaf of a line is its word count and its first
    ``DEPTH`` words (masked). Lines in leaves seen in fewer than ``MIN_DOCS``
    documents cannot recur and go no further.
@@ -20,9 +20,9 @@ lines recur in ordinary prose by chance.
 
 Scale: lines are counted by hash, with partial aggregation, so a line that a
 third of all documents share is one row per task; only words of lines in
-recurring leaves are counted, once per different line; a document's text moves
-at most once, to meet the list of its dropped lines (which Spark broadcasts when
-it is small).
+recurring leaves are counted, once per different line. Lines travel as hashes;
+a document's text moves at most twice, to give the words of a recurring line and
+to meet the list of its dropped lines (Spark broadcasts either list when it is small).
 
 Defined cases: a null text counts as empty and comes out empty, with no
 lines; a text that loses all its lines comes out empty; an empty table gives
@@ -46,51 +46,60 @@ MIN_WORDS = 3
 FIELD = "<*>"
 
 
-def _hash128(*cols: Column) -> Column:
-    return F.md5(F.concat_ws("\x1f", *cols))
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, pos, line): the lines of each document; ``th`` tells texts of one id apart."""
+def _mask(line: Column) -> Column:
+    """The trimmed line, every word with a digit a field."""
+    t = F.trim(line)
+    return F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(t)
+
+
+def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, t): ``th`` tells texts of one id apart."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
-    return base.select("doc_id", "th", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
 
 
-def _tokens(docs: DataFrame, id_col: str, text_col: str, depth: int, min_words: int) -> DataFrame:
-    """(doc_id, th, pos, leaf, lh, n, words) of the lines long enough to be templates."""
-    lines = split_lines(docs, id_col, text_col)
-    masked = F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+", " ")), r"\S*\d\S*", FIELD)
-    lines = lines.withColumn("words", F.split(masked, " ")).withColumn("n", F.size("words"))
-    lines = lines.filter((F.col("n") >= min_words))
-    return lines.select("doc_id", "th", "pos", "n", "words",
-                        _hash128(F.col("n").cast("string"), F.array_join(F.slice("words", 1, depth), " ")).alias("leaf"),
-                        _hash128(F.array_join("words", " ")).alias("lh"))
+def _line_keys(docs: DataFrame, id_col: str, text_col: str, depth: int, min_words: int) -> DataFrame:
+    """(doc_id, th, pos, leaf, lh) of the lines long enough to be templates: (leaf, lh) is the line's 128-bit hash."""
+    lines = _located(docs, id_col, text_col).select("doc_id", "th", F.posexplode(_lines(F.col("t"))).alias("pos", "line"))
+    lines = lines.withColumn("m", _mask(F.col("line"))).withColumn("words", F.split("m", " "))
+    return (lines.filter(F.size("words") >= min_words)
+            .select("doc_id", "th", "pos", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"),
+                    F.xxhash64(F.lit(1), "m").alias("lh")))
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
                    min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, pos, template, n_docs, dropped): every line of a recurring template."""
     spark = docs.sparkSession
-    tokens = _tokens(docs, id_col, text_col, depth, min_words)
+
+    def settle(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, f"line-dedup-{name}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    keys = settle(_line_keys(docs, id_col, text_col, depth, min_words), "keys")
     # leaves of at least min_docs documents: distinct (leaf, document) first, so a hot leaf is spread
-    leaves = (tokens.select("leaf", "doc_id", "th").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("nd"))
-              .filter(F.col("nd") >= min_docs).select("leaf"))
-    path = scratch_path(spark, "line-dedup")
-    tokens.join(leaves, "leaf", "left_semi").write.parquet(path)
-    known = spark.read.parquet(path)
-    # different lines, with the number of documents that have them
-    variants = (known.groupBy("leaf", "lh", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
-                .groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("nd")))
-    where = known.groupBy("lh").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"))
-    one = variants.join(where, "lh").select("leaf", "lh", "nd", "at.doc_id", "at.th", "at.pos")
-    words = spark.read.parquet(path).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("pos").alias("_p"),
-                                            F.col("lh").alias("_lh"), "n", "words")
-    same = (F.col("lh") == F.col("_lh")) & (F.col("th") == F.col("_th")) & (F.col("pos") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    # equal rows give the same line twice here; one is enough
-    distinct_lines = one.join(words, same).select("leaf", "lh", "nd", "n", "words").dropDuplicates(["lh"])
+    leaves = (keys.groupBy("leaf", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+              .groupBy("leaf").agg(F.count(F.lit(1)).alias("nd")).filter(F.col("nd") >= min_docs).select("leaf"))
+    known = settle(keys.join(leaves, "leaf", "left_semi"), "known")
+    # different lines, with the number of documents that have them and one place each
+    variants = (known.groupBy("leaf", "lh", "doc_id", "th").agg(F.min("pos").alias("pos"))
+                .groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("nd"), F.min(F.struct("doc_id", "th", "pos")).alias("at")))
+    places = variants.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.pos", "leaf", "lh", "nd")).alias("found"))
+    texts = _located(docs, id_col, text_col)
+    # equal rows give the same lines twice here; one is enough
+    rows = (texts.join(places.withColumnsRenamed({"doc_id": "_d", "th": "_th"}),
+                       F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")))
+            .select(_lines(F.col("t")).alias("lines"), F.explode("found").alias("f")))
+    distinct_lines = (rows.select("f.leaf", "f.lh", "f.nd", F.split(_mask(F.element_at("lines", F.col("f.pos") + 1)), " ").alias("words"))
+                      .withColumn("n", F.size("words")))
+    distinct_lines = settle(distinct_lines, "lines")
     by_word = distinct_lines.select("leaf", "lh", "nd", "n", F.posexplode("words").alias("p", "word"))
-    support = by_word.groupBy("leaf", "p", "word").agg(F.sum("nd").alias("support"))
+    support = by_word.distinct().groupBy("leaf", "p", "word").agg(F.sum("nd").alias("support"))
     placed = by_word.join(support, ["leaf", "p", "word"])
     constant = (F.col("support") >= min_docs) & (F.col("word") != FIELD)
     # a line's template: its constant words in their places; collected per line, so bounded by the line
@@ -98,8 +107,8 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.max("n").alias("n"), F.sum(constant.cast("int")).alias("n_constant"),
         F.array_sort(F.collect_list(F.when(constant, F.struct("p", "word")))).alias("fixed"))
         .filter(F.col("n_constant") >= min_constant * F.col("n"))
-        .select("lh", F.md5(F.concat_ws("\x1f", F.col("leaf"), F.to_json("fixed"))).alias("template")))
-    lines = known.select("doc_id", "th", "pos", "lh").distinct().join(templates, "lh")
+        .select("leaf", "lh", F.md5(F.concat_ws("\x1f", F.col("leaf"), F.col("n"), F.to_json("fixed"))).alias("template")))
+    lines = known.distinct().join(templates, ["leaf", "lh"]).select("doc_id", "th", "pos", "template")
     counted = (lines.groupBy("template", "doc_id", "th").agg(F.min("pos").alias("pos"))
                .groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
                .filter(F.col("n_docs") >= min_docs))
@@ -126,8 +135,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 ORACLE = f"""
 WITH t AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM t),
-m AS (SELECT doc_id, text, pos,
-             string_split(regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g'), ' '), '\\S*\\d\\S*', '{FIELD}', 'g'), ' ') AS words FROM l),
+m AS (SELECT doc_id, text, pos, string_split(regexp_replace(trim(line, ' '), '[^ ]*[0-9][^ ]*', '{FIELD}', 'g'), ' ') AS words FROM l),
 k AS (SELECT doc_id, text, pos, words, len(words) AS n, [len(words)::VARCHAR] || words[1:{DEPTH}] AS leaf FROM m WHERE len(words) >= {MIN_WORDS}),
 lf AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text FROM k) GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
 r AS (SELECT k.* FROM k SEMI JOIN lf USING (leaf)),
