@@ -21,6 +21,12 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.xxhash64(*[F.col(c) for c in (columns or df.columns)])
 
 
+def with_scan_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """A Parquet scan with ``row_id``, a hash of the file's path and the row's number in it: the same in every
+    plan over the same files, unique up to 64-bit hash collisions."""
+    return df.withColumn(row_id, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+
+
 def _vector(df: DataFrame, cols: str | list[str]) -> Column:
     if isinstance(cols, str):
         dt = df.schema[cols].dataType
@@ -36,13 +42,21 @@ def to_examples(df: DataFrame, features: str | list[str], label: str | list[str]
     """``examples``: ``row_id bigint, features array<double>, label array<double>``.
 
     ``features`` / ``label`` are column lists, or one array column.  ``row_id``
-    is ``xxhash64`` of every input column, or of ``id_cols`` when a natural
-    key exists (then a wide input is not read whole just to hash it); pass
-    ``row_id=None`` to leave it out.  ``keep`` carries source columns through.
+    names a row, equal rows apart: the input's own ``row_id`` column if it has
+    one (``with_scan_id`` makes one), ``xxhash64`` of ``id_cols`` when a natural
+    key exists (then a wide input is not read whole just to hash it), else
+    ``xxhash64`` of every input column and the row's place in the input.  The
+    last is the same on every read of the same files; after a shuffle whose row
+    order may change on a retry, give ``id_cols`` or make the id at the scan.
+    ``row_id=None`` leaves it out.  ``keep`` carries source columns through.
     """
     out = []
-    if row_id:
+    if row_id and row_id in df.columns:
+        out.append(F.col(row_id))
+    elif row_id and id_cols:
         out.append(row_hash(df, id_cols).alias(row_id))
+    elif row_id:
+        out.append(F.xxhash64(*[F.col(c) for c in df.columns], F.monotonically_increasing_id()).alias(row_id))
     out += [F.col(c) for c in (keep or [])]
     out.append(_vector(df, features).alias("features"))
     if label is not None:
@@ -54,14 +68,15 @@ def split_by_position(records: DataFrame, label_index: int, num_labels: int = 1,
                       row_id: str | None = "row_id") -> DataFrame:
     """Regression split by position: columns ``[label_index, label_index+num_labels)``
     are the label, every other data column a feature (``_bad`` is ignored)."""
-    cols = [c for c in records.columns if c != "_bad"]
+    cols = [c for c in records.columns if c not in ("_bad", row_id)]
     if not 0 <= label_index or label_index + num_labels > len(cols) or num_labels < 1:
         raise ValueError(f"label columns {label_index}..{label_index + num_labels - 1} outside {len(cols)} columns")
     label = cols[label_index : label_index + num_labels]
     features = [c for c in cols if c not in label]
     if not features:
         raise ValueError("no feature columns left")
-    return to_examples(records.select(*cols), features, label, row_id=row_id)
+    held = [row_id] if row_id in records.columns else []
+    return to_examples(records.select(*held, *cols), features, label, row_id=row_id)
 
 
 def features_only(examples: DataFrame) -> DataFrame:

@@ -29,11 +29,9 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parqu
                       mode: str = "errorifexists") -> None:
     """Write one directory per value of ``by`` (readers prune on it).
 
-    No shuffle first: clustering rows on ``by`` would send every row of one
-    value to one task, and a single value may hold a third of the data.
-    Each task writes its own rows into the value directories (Spark's writer
-    sorts them locally by ``by`` and keeps one file open at a time), so
-    tasks stay as balanced as the input and files per value are bounded by
-    the input partitions.
+    A ``rebalance`` hint on ``by`` brings the rows of a value together, so a
+    value gets few files, while adaptive execution splits a value that holds
+    much of the data into tasks of the advisory partition size, and merges
+    small ones.
     """
-    df.write.mode(mode).partitionBy(*by).format(fmt).save(path)
+    df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).format(fmt).save(path)

@@ -338,13 +338,12 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
 
 def average_parameters(worker_params: DataFrame, params: str = "params", weight: str | None = "n") -> DataFrame:
     """``(pos int, value double)``: the row-weighted mean of the workers'
-    parameter vectors (plain mean when ``weight`` is None), ordered by ``pos``."""
+    parameter vectors (plain mean when ``weight`` is None), in no order."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     return (
         worker_params.select(F.posexplode(params).alias("pos", "v"), w.alias("_w"))
         .groupBy("pos")
         .agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("value"))
-        .orderBy("pos")
     )
 
 

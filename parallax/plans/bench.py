@@ -36,9 +36,9 @@ def run_counted_pass(df: DataFrame) -> tuple[int, int]:
     return ns, int(obs.get["rows"])
 
 
-def count_predictions(scored: DataFrame) -> DataFrame:
-    """``n_records``: a global count of the scored rows."""
-    return scored.agg(F.count(F.lit(1)).alias("n_records"))
+def count_predictions(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """``n_records``: a global count of the rows whose first output is not null, so every row is scored."""
+    return scored.agg(F.count(F.col(prediction)[0]).alias("n_records"))
 
 
 def bench_score(spark: SparkSession, scored: DataFrame, iterations: int = 50, name: str = "score",

@@ -15,22 +15,23 @@ from pyspark.sql import functions as F
 
 from parallax.fixtures import linear_2_1, net_price_records, read_table, relu_2_3_1, relu_2_8_1
 from parallax.model import Dense, Model
-from parallax.operators.examples import DEFAULT_KEY, key_examples, split_by_position, to_examples
-from parallax.operators.partition import write_partitioned
-from parallax.operators.score import score_batched, score_expr
+from parallax.operators.examples import DEFAULT_KEY, key_examples, split_by_position, to_examples, with_scan_id
+from parallax.operators.partition import partition_dataset, write_partitioned
+from parallax.operators.score import score, score_batched, score_expr
 from parallax.operators.train import TrainOptions, assign_workers, average_parameters, fit, fit_round
 from parallax.plans.bench import bench_fit, bench_score, count_predictions, summarise_runs
 from parallax.session import scratch_path
 from parallax.sources.csv import good_records, read_records
 from parallax.sources.model_store import load_model, save_model
-from parallax.sources.sinks import write_predictions
+from parallax.sources.sinks import format_prediction, write_predictions
 from parallax.sources.text import read_lines
 
 KEY = DEFAULT_KEY
 ID_COLS = ["l_orderkey", "l_linenumber"]
 
 # The malformed-input fixture appended to the part lines.
-BAD_LINES = ["1,2,3", "4,5", "x,1,2", "7,8,9,10", "", "c0,c1,c2"]
+BAD_LINES = ["1,2,3", "4,5", "x,1,2", "7,8,9,10", "", "c0,c1,c2", "NaN,1,2", "1,Infinity,2", "1,2,-Infinity", "1d,2,3",
+             "1e400,2,3", "1e2,-2.5,+3"]
 
 
 # --------------------------------------------------------------- helpers ----
@@ -190,6 +191,87 @@ def q_full_pipeline(spark, sf_dir):
                          F.col("prediction")[0].alias("prediction"))
 
 
+def two_outputs() -> Model:
+    """A 2-3-2 network whose weights follow a rule: w = (i - j) / 4, b = (j + 1) / 8."""
+    def layer(n_in, n_out, act):
+        w = np.array([[(i - j) / 4.0 + 0.125 for j in range(n_out)] for i in range(n_in)])
+        return Dense(w, np.array([(j + 1) / 8.0 for j in range(n_out)]), act)
+
+    return Model((layer(2, 3, "relu"), layer(3, 2, "identity")))
+
+
+def squashed(activation: str) -> Model:
+    """A 2-3-1 network with the given hidden activation."""
+    return Model((Dense(relu_2_3_1().layers[0].weights, relu_2_3_1().layers[0].bias, activation), relu_2_3_1().layers[1]))
+
+
+# Rows whose first feature is null, or NaN, or whose second is infinite, by a rule on the line number.
+_HOLES = ("CASE WHEN l_linenumber % 7 = 1 THEN NULL WHEN l_linenumber % 7 = 2 THEN CAST('NaN' AS DOUBLE) ELSE {x1} END",
+          "CASE WHEN l_linenumber % 7 = 3 THEN NULL WHEN l_linenumber % 7 = 4 THEN CAST('Infinity' AS DOUBLE) ELSE {x2} END")
+
+
+def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = read_table(spark, sf_dir, "lineitem").selectExpr(
+        *ID_COLS, _HOLES[0].format(x1="(l_extendedprice / CAST(1e5 AS DOUBLE))") + " AS x1", _HOLES[1].format(x2="l_discount") + " AS x2")
+    return key_examples(to_examples(rec, ["x1", "x2"], None, row_id=None, keep=ID_COLS), KEY, keep=ID_COLS)
+
+
+def _spread(scored: DataFrame, n_out: int, path: str | None = None) -> DataFrame:
+    """Outputs as columns p0, p1, ...; NaN, which compares with nothing, as a mark of its own."""
+    outs = []
+    for i in range(n_out):
+        p = F.col("prediction")[i]
+        outs += [F.when(~F.isnan(p), p).alias(f"p{i}"), F.coalesce(F.isnan(p), F.lit(False)).alias(f"nan{i}")]
+    return scored.select(*ID_COLS, F.size("prediction").alias("width"), *outs, *([F.lit(path).alias("path")] if path else []))
+
+
+def q_score_nulls(spark, sf_dir):
+    """Both scoring paths on nulls, NaN and infinities; two outputs."""
+    keyed, m = _holed(spark, sf_dir), two_outputs()
+    return _spread(score_expr(keyed, m), 2, "expr").unionAll(_spread(score_batched(keyed, m, batch_size=2048), 2, "batched"))
+
+
+def q_score_two_outputs(spark, sf_dir):
+    return _spread(score_batched(_lineitem_keyed(spark, sf_dir), two_outputs()), 2).drop("nan0", "nan1", "width")
+
+
+def q_score_auto(spark, sf_dir):
+    return _flat_prediction(score(_lineitem_keyed(spark, sf_dir), relu_2_3_1()), ["key", *ID_COLS])
+
+
+def _q_squashed(activation: str):
+    def q(spark, sf_dir):
+        keyed, m = _lineitem_keyed(spark, sf_dir), squashed(activation)
+        a = _flat_prediction(score_expr(keyed, m), ID_COLS).withColumn("path", F.lit("expr"))
+        b = _flat_prediction(score_batched(keyed, m), ID_COLS).withColumn("path", F.lit("batched"))
+        return a.unionAll(b).withColumn("prediction", F.round("prediction", 4))
+
+    return q
+
+
+def q_row_identity(spark, sf_dir):
+    """Every row has a row_id of its own, from the scan and from the content and place alike."""
+    li = read_table(spark, sf_dir, "lineitem")
+    content = to_examples(net_price_records(li), ["x1", "x2"], ["y"]).select(F.lit("content").alias("kind"), "row_id")
+    scan = with_scan_id(li).select(F.lit("scan").alias("kind"), "row_id")
+    return content.unionAll(scan).groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_id").alias("n_ids"))
+
+
+def q_show_predictions(spark, sf_dir):
+    """The console sink's line of every row, for predictions in thousandths."""
+    scored = score_expr(_lineitem_keyed(spark, sf_dir), linear_2_1())
+    milli = scored.withColumn("prediction", F.transform("prediction", lambda v: F.floor(v * 1000).cast("double")))
+    holes = F.when(F.col("l_linenumber") == 1, F.array(F.lit(None).cast("double"), F.col("prediction")[0])).otherwise(F.col("prediction"))
+    return milli.withColumn("prediction", holes).select(*ID_COLS, format_prediction().alias("line"))
+
+
+def q_partition_dataset(spark, sf_dir):
+    """Rows and partitions of each key after hash partitioning."""
+    part = partition_dataset(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag"), 8, by=["l_returnflag"])
+    return (part.select("l_returnflag", F.spark_partition_id().alias("p")).groupBy("l_returnflag")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("p").alias("n_partitions")))
+
+
 def q_count_predictions(spark, sf_dir):
     return count_predictions(score_expr(_lineitem_keyed(spark, sf_dir), relu_2_3_1()))
 
@@ -241,12 +323,57 @@ def q_sgd_round(spark, sf_dir):
     return average_parameters(wp).select("pos", F.round("value", 9).alias("value"))
 
 
+def _params(spark: SparkSession, model: Model) -> DataFrame:
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.params())], "pos int, value double").select(
+        "pos", F.round("value", 9).alias("value"))
+
+
 def q_fit_epochs(spark, sf_dir):
+    """The parameters after three epochs of one minibatch per worker (averaged: three full-batch steps)."""
     ex = to_examples(net_price_records(read_table(spark, sf_dir, "lineitem")), ["x1", "x2"], ["y"])
-    _, hist = fit(ex, relu_2_8_1(), epochs=2,
-                  options=TrainOptions(workers=4, batch_size=2048, averaging_frequency=5, learning_rate=0.1))
-    return spark.createDataFrame([(h["epoch"], h["rounds"], h["rows"], h["loss"]) for h in hist],
-                                 "epoch int, rounds int, rows bigint, loss double")
+    opts = TrainOptions(workers=4, batch_size=1 << 40, averaging_frequency=1, learning_rate=0.5)
+    model, _ = fit(ex, linear_2_1(), epochs=3, options=opts)
+    return _params(spark, model)
+
+
+def _event_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 10 / CAST(10 AS DOUBLE) AS x1", "event_id % 7 / CAST(7 AS DOUBLE) AS x2")
+    return to_examples(ev.withColumn("y", F.col("x1") * F.lit(0.5) - F.col("x2")), ["x1", "x2"], ["y"], row_id=None, keep=["event_id"])
+
+
+def _q_fit_minibatches(layout: str):
+    def q(spark, sf_dir):
+        """Two minibatches for each of four workers, in the order of a unique key, then one averaging."""
+        ex = _event_examples(spark, sf_dir)
+        batch = -(-ex.count() // 8)
+        opts = TrainOptions(workers=4, batch_size=batch, averaging_frequency=2, learning_rate=0.5)
+        model, _ = fit(ex, linear_2_1(), epochs=1, options=opts, worker_col="event_id", order_col="event_id", layout=layout)
+        return _params(spark, model)
+
+    return q
+
+
+def q_assign_batches_range(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id")
+    a = assign_workers(ev, workers=4, batch_size=128, averaging_frequency=4, worker_col="event_id",
+                       order_col="event_id", layout="range")
+    return a.select("event_id", "worker", "batch_no", "round_no")
+
+
+def q_assign_batches_hashed(spark, sf_dir):
+    """Hashed workers and order, range layout: each worker's positions run from 0 without gaps or repeats, and its
+    share is near a quarter."""
+    ev = read_table(spark, sf_dir, "events").select("event_id")
+    ex = ev.withColumn("row_id", F.xxhash64("event_id"))
+    a = assign_workers(ex, workers=4, batch_size=128, averaging_frequency=4, layout="range")
+    n = F.count(F.lit(1))
+    per = a.groupBy("worker").agg(n.alias("n"), F.countDistinct("_pos").alias("d"), F.min("_pos").alias("lo"), F.max("_pos").alias("hi"),
+                                  F.max("batch_no").alias("b"), F.max("round_no").alias("r"))
+    total = per.agg(F.sum("n").alias("n_rows"))
+    return per.crossJoin(F.broadcast(total)).select(
+        "worker", "n_rows", ((F.col("d") == F.col("n")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("gapless"),
+        (F.abs(F.col("n") * 4 / F.col("n_rows") - 1) < 0.1).alias("balanced"),
+        ((F.col("b") == F.floor((F.col("n") - 1) / 128)) & (F.col("r") == F.floor((F.col("n") - 1) / 512))).alias("numbered"))
 
 
 def q_partition_write(spark, sf_dir):
@@ -274,14 +401,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predictions_text": q_predictions_text,
     "predictions_csv": q_predictions_csv,
     "full_pipeline": q_full_pipeline,
+    "score_nulls": q_score_nulls,
+    "score_two_outputs": q_score_two_outputs,
+    "score_auto": q_score_auto,
+    "score_tanh": _q_squashed("tanh"),
+    "score_sigmoid": _q_squashed("sigmoid"),
+    "row_identity": q_row_identity,
+    "show_predictions": q_show_predictions,
+    "partition_dataset": q_partition_dataset,
     "count_predictions": q_count_predictions,
     "bench_summary": q_bench_summary,
     "bench_score_runs": q_bench_score_runs,
     "bench_fit_runs": q_bench_fit_runs,
     "assign_batches": q_assign_batches,
+    "assign_batches_range": q_assign_batches_range,
+    "assign_batches_hashed": q_assign_batches_hashed,
     "average_parameters": q_average_parameters,
     "sgd_round": q_sgd_round,
     "fit_epochs": q_fit_epochs,
+    "fit_minibatches": _q_fit_minibatches("worker"),
+    "fit_minibatches_range": _q_fit_minibatches("range"),
     "partition_write": q_partition_write,
 }
 
@@ -295,7 +434,13 @@ _BAD_VALUES = (
     "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, '4,5'), "
     "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'x,1,2'), "
     "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, '7,8,9,10'), "
-    "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'c0,c1,c2')) AS t(c0, c1, c2, _bad)"
+    "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'c0,c1,c2'), "
+    "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'NaN,1,2'), "
+    "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, '1,Infinity,2'), "
+    "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, '1,2,-Infinity'), "
+    "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, '1d,2,3'), "
+    "(NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, '1e400,2,3'), "
+    "(100.0::DOUBLE, -2.5::DOUBLE, 3.0::DOUBLE, NULL::VARCHAR)) AS t(c0, c1, c2, _bad)"
 )
 _WIDE = model_sql(wide_64(), [f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(64)])[0]
 
@@ -311,7 +456,84 @@ def _sgd_sql(lr: float = 0.5) -> str:
     )
 
 
+def _squashed_sql(f: str) -> str:
+    h = [f"({X1} * {_d(w[0])} + {X2} * {_d(w[1])} + {_d(b)})"
+         for w, b in zip(relu_2_3_1().layers[0].weights.T, relu_2_3_1().layers[0].bias)]
+    out = relu_2_3_1().layers[1]
+    z = " + ".join(f"{f.format(z=x)} * {_d(w)}" for x, w in zip(h, out.weights[:, 0])) + f" + {_d(out.bias[0])}"
+    return (f"SELECT l_orderkey, l_linenumber, path, round({z}, 4) + CAST(0 AS DOUBLE) AS prediction FROM lineitem, "
+            "(VALUES ('expr'), ('batched')) AS t(path)")
+
+
+def _two_outputs_sql(x1: str, x2: str) -> tuple[str, str]:
+    m = two_outputs()
+    relu = []
+    for j in range(3):
+        z = f"({x1}) * {_d(m.layers[0].weights[0, j])} + ({x2}) * {_d(m.layers[0].weights[1, j])} + {_d(m.layers[0].bias[j])}"
+        relu.append(f"CASE WHEN {z} < 0 THEN CAST(0 AS DOUBLE) ELSE {z} END")
+    return tuple(" + ".join(f"({r}) * {_d(m.layers[1].weights[i, j])}" for i, r in enumerate(relu)) + f" + {_d(m.layers[1].bias[j])}"
+                 for j in range(2))
+
+
+_HOLED_SQL = _two_outputs_sql(_HOLES[0].format(x1=X1), _HOLES[1].format(x2=X2))
+
+# K full-batch steps of a linear unit are a recursion over nine sums.
+_EPOCHS_SQL = (
+    f"WITH RECURSIVE s AS (SELECT avg({X1} * {X1}) AS s11, avg({X1} * {X2}) AS s12, avg({X2} * {X2}) AS s22, avg({X1}) AS m1, "
+    f"avg({X2}) AS m2, avg({X1} * {Y}) AS y1, avg({X2} * {Y}) AS y2, avg({Y}) AS my FROM lineitem), "
+    f"p AS (SELECT 0 AS k, {_d(0.5)} AS a, {_d(-0.25)} AS b, {_d(0.1)} AS c UNION ALL "
+    "SELECT k + 1, a - (a * s11 + b * s12 + c * m1 - y1), b - (a * s12 + b * s22 + c * m2 - y2), c - (a * m1 + b * m2 + c - my) "
+    "FROM p, s WHERE k < 3) "
+    "SELECT CAST(pos AS INTEGER) AS pos, round(CASE pos WHEN 0 THEN a WHEN 1 THEN b ELSE c END, 9) AS value "
+    "FROM p, range(3) AS t(pos) WHERE k = 3"
+)
+
+_MINI_X = "(event_id % 10 / CAST(10 AS DOUBLE))", "(event_id % 7 / CAST(7 AS DOUBLE))"
+
+
+def _mini_step(source: str, batch: int) -> str:
+    """One minibatch's step of every worker, from the parameters in ``source``."""
+    e = "(x1 * a + x2 * b + c - y)"
+    return (f"SELECT e.worker, any_value(a) - avg({e} * x1) AS a, any_value(b) - avg({e} * x2) AS b, any_value(c) - avg({e}) AS c "
+            f"FROM e JOIN {source} s ON e.worker = s.worker WHERE batch_no = {batch} GROUP BY e.worker")
+
+
+_MINIBATCHES_SQL = (
+    f"WITH r AS (SELECT event_id % 4 AS worker, {_MINI_X[0]} AS x1, {_MINI_X[1]} AS x2, {_MINI_X[0]} * 0.5 - {_MINI_X[1]} AS y, "
+    "(row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1) // (SELECT (count(*) + 7) // 8 FROM events) AS batch_no FROM events), "
+    "e AS (SELECT * FROM r), "
+    f"w0 AS (SELECT DISTINCT worker, {_d(0.5)} AS a, {_d(-0.25)} AS b, {_d(0.1)} AS c FROM e), "
+    f"w1 AS ({_mini_step('w0', 0)}), w2 AS ({_mini_step('w1', 1)}), "
+    "n AS (SELECT worker, count(*) AS n FROM e GROUP BY worker), "
+    "m AS (SELECT sum(a * n) / sum(n) AS a, sum(b * n) / sum(n) AS b, sum(c * n) / sum(n) AS c FROM w2 JOIN n USING (worker)) "
+    "SELECT CAST(pos AS INTEGER) AS pos, round(CASE pos WHEN 0 THEN a WHEN 1 THEN b ELSE c END, 9) AS value FROM m, range(3) AS t(pos)"
+)
+
+
 ORACLES: dict[str, str] = {
+    "score_nulls": (
+        f"WITH s AS (SELECT l_orderkey, l_linenumber, {_HOLED_SQL[0]} AS q0, {_HOLED_SQL[1]} AS q1 FROM lineitem) "
+        "SELECT l_orderkey, l_linenumber, CAST(2 AS INTEGER) AS width, CASE WHEN NOT isnan(q0) THEN q0 END AS p0, coalesce(isnan(q0), false) AS nan0, "
+        "CASE WHEN NOT isnan(q1) THEN q1 END AS p1, coalesce(isnan(q1), false) AS nan1, path "
+        "FROM s, (VALUES ('expr'), ('batched')) AS t(path)"),
+    "score_two_outputs": "SELECT l_orderkey, l_linenumber, {0} AS p0, {1} AS p1 FROM lineitem".format(*_two_outputs_sql(X1, X2)),
+    "score_auto": _scored_sql(RELU_SQL),
+    "score_tanh": _squashed_sql("tanh({z})"),
+    "score_sigmoid": _squashed_sql("(1 / (1 + exp(-{z})))"),
+    "row_identity": "SELECT kind, count(*) AS n_rows, count(*) AS n_ids FROM lineitem, (VALUES ('content'), ('scan')) AS t(kind) GROUP BY kind",
+    "show_predictions": (
+        f"WITH s AS (SELECT l_orderkey, l_linenumber, CAST(CAST(floor(({LINEAR_SQL}) * 1000) AS DOUBLE) AS VARCHAR) AS v FROM lineitem) "
+        f"SELECT l_orderkey, l_linenumber, '{KEY}: [' || CASE WHEN l_linenumber = 1 THEN 'null, ' ELSE '' END || v || ']' AS line FROM s"),
+    "partition_dataset": "SELECT l_returnflag, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_partitions FROM lineitem GROUP BY l_returnflag",
+    "assign_batches_range": (
+        "SELECT event_id, CAST(event_id % 4 AS INTEGER) AS worker, "
+        "(row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1) // 128 AS batch_no, "
+        "(row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1) // 512 AS round_no FROM events"),
+    "assign_batches_hashed": (
+        "SELECT CAST(w AS INTEGER) AS worker, (SELECT count(*) FROM events) AS n_rows, true AS gapless, true AS balanced, true AS numbered FROM range(4) AS t(w)"),
+    "fit_epochs": _EPOCHS_SQL,
+    "fit_minibatches": _MINIBATCHES_SQL,
+    "fit_minibatches_range": _MINIBATCHES_SQL,
     "read_lines": ("SELECT CAST(p_partkey AS VARCHAR) || ',' || CAST(p_size AS VARCHAR) || ',' || "
                    "CAST(p_retailprice AS VARCHAR) AS value FROM part"),
     "parse_records": _PART_DOUBLES,
@@ -330,7 +552,7 @@ ORACLES: dict[str, str] = {
     "predictions_text": f"SELECT '{KEY}' AS key, {RELU_SQL} AS prediction FROM lineitem",
     "predictions_csv": _scored_sql(RELU_SQL),
     "full_pipeline": f"SELECT '{KEY}' AS key, {X1} AS x1, {X2} AS x2, {RELU_SQL} AS prediction FROM lineitem",
-    "count_predictions": "SELECT count(*) AS n_records FROM lineitem",
+    "count_predictions": f"SELECT count({RELU_SQL}) AS n_records FROM lineitem",
     "bench_summary": (
         "WITH runs AS (SELECT l_returnflag AS name, l_linenumber AS iteration, count(*) AS n_records, "
         "sum(CAST(l_quantity * 1000.0 AS BIGINT)) AS ns FROM lineitem GROUP BY l_returnflag, l_linenumber) "

@@ -59,7 +59,7 @@ def parse_lines(lines: DataFrame, columns: int | list[str], sep: str = ",", valu
     """``records_checked``: the named double columns plus ``_bad``.
 
     Blank lines are dropped.  A line is malformed when it has too few or too
-    many fields, or a field that is empty or not a number; then every data
+    many fields, or a field that is empty or not a finite decimal number; then every data
     column is null and ``_bad`` holds the line.  For a good line ``_bad`` is
     null and no data column is.
     """
@@ -77,11 +77,16 @@ def parse_lines(lines: DataFrame, columns: int | list[str], sep: str = ",", valu
         ))).alias("_p"))
     )
     # An empty field parses as null: a record with a missing number is
-    # malformed too (a null feature would poison scoring and training).
+    # malformed too (a null feature would poison scoring and training), and so
+    # is one with NaN, an infinity or a number too large for a double.
     missing = None
     for n in names:
-        c = F.col(f"_p.r.`{n}`").isNull()
+        v = F.col(f"_p.r.`{n}`")
+        c = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
         missing = c if missing is None else (missing | c)
+    # The double parser also takes Java literals (1d, 2F, 0x1p3); none of their
+    # letters but an exponent's e is part of a decimal number.
+    missing = missing | F.col("_p.line").rlike("[0-9.][dDfF]|[xXpP]")
     bad = F.coalesce(F.col(f"_p.r.{BAD}"), F.when(missing, F.col("_p.line")))
     return parsed.select(
         *[F.when(bad.isNull(), F.col(f"_p.r.`{n}`")).alias(n) for n in names],

@@ -9,6 +9,7 @@ count is checked first: the driver must hold the model to ship it to tasks.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from parallax.model import Dense, Model
@@ -18,19 +19,24 @@ MODEL_SCHEMA = "layer int, row int, col int, value double, activation string"
 MAX_MODEL_WEIGHTS = 50_000_000
 
 
-def model_rows(model: Model) -> list[tuple]:
-    rows = []
+def model_table(model: Model) -> pa.Table:
+    """The weights table, column by column from numpy index arrays."""
+    parts = []
     for li, l in enumerate(model.layers):
-        for i in range(l.n_in):
-            for j in range(l.n_out):
-                rows.append((li, i, j, float(l.weights[i, j]), l.activation))
-        for j in range(l.n_out):
-            rows.append((li, -1, j, float(l.bias[j]), l.activation))
-    return rows
+        row = np.concatenate([np.repeat(np.arange(l.n_in), l.n_out), np.full(l.n_out, -1)])
+        col = np.concatenate([np.tile(np.arange(l.n_out), l.n_in), np.arange(l.n_out)])
+        parts.append(pa.table({
+            "layer": pa.array(np.full(len(row), li, np.int32)),
+            "row": pa.array(row.astype(np.int32)),
+            "col": pa.array(col.astype(np.int32)),
+            "value": pa.array(np.concatenate([l.weights.ravel(), l.bias])),
+            "activation": pa.array([l.activation]).take(pa.array(np.zeros(len(row), np.int32))),
+        }))
+    return pa.concat_tables(parts)
 
 
 def model_to_df(spark: SparkSession, model: Model) -> DataFrame:
-    return spark.createDataFrame(model_rows(model), MODEL_SCHEMA)
+    return spark.createDataFrame(model_table(model), MODEL_SCHEMA)
 
 
 def save_model(spark: SparkSession, model: Model, path: str, mode: str = "errorifexists") -> None:
@@ -67,6 +73,6 @@ def model_from_df(weights: DataFrame, max_weights: int = MAX_MODEL_WEIGHTS) -> M
     return Model(tuple(layers))
 
 
-def load_model(spark: SparkSession, path: str) -> Model:
-    """Read a weights table written by ``save_model`` (errors are raised, never swallowed)."""
-    return model_from_df(spark.read.schema(MODEL_SCHEMA).parquet(path))
+def load_model(spark: SparkSession, path: str, max_weights: int = MAX_MODEL_WEIGHTS) -> Model:
+    """Read a weights table written by ``save_model``; more than ``max_weights`` weights raise an error."""
+    return model_from_df(spark.read.schema(MODEL_SCHEMA).parquet(path), max_weights)

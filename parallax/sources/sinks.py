@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def format_prediction(key: str = "key", prediction: str = "prediction") -> Column:
-    """``key: [v0, v1, ...]`` as one string column."""
-    body = F.array_join(F.transform(F.col(prediction), lambda v: v.cast("string")), ", ")
-    return F.concat(F.col(key), F.lit(": ["), body, F.lit("]"))
+    """``key: [v0, v1, ...]`` as one string column; a null value, key or prediction is written as ``null``."""
+    body = F.array_join(F.transform(F.col(prediction), lambda v: v.cast("string")), ", ", "null")
+    return F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(": "),
+                    F.coalesce(F.concat(F.lit("["), body, F.lit("]")), F.lit("null")))
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
