@@ -7,7 +7,6 @@ Sub-packages:
 * ``operators`` - examples/keying, scoring, worker placement, training
 * ``functions`` - the network as Column expressions
 * ``plans``     - timed scoring/training jobs and their summaries, plan checks
-* ``streaming`` - (nothing: the workloads are batch jobs; see its docstring)
 """
 
 from __future__ import annotations

@@ -1,5 +0,0 @@
-"""Column-expression builders (JVM-side, whole-stage codegen)."""
-
-from parallax.functions.network import activation_column, dense_layer_columns, network_columns
-
-__all__ = ["activation_column", "dense_layer_columns", "network_columns"]

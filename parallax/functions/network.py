@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parallax.model import Dense, Model
+from parallax.model import Dense
 
 
 def activation_column(z: Column, name: str) -> Column:
@@ -39,17 +39,3 @@ def dense_sum_columns(inputs: list[Column], layer: Dense) -> list[Column]:
             z = z + inputs[i] * F.lit(float(layer.weights[i, j]))
         outs.append(z + F.lit(float(layer.bias[j])))
     return outs
-
-
-def dense_layer_columns(inputs: list[Column], layer: Dense) -> list[Column]:
-    """One output Column per unit of ``layer`` given its input Columns."""
-    return [activation_column(z, layer.activation) for z in dense_sum_columns(inputs, layer)]
-
-
-def network_columns(inputs: list[Column], model: Model) -> list[Column]:
-    """The whole network as nested expressions (use only for tiny nets;
-    ``operators.score.score_expr`` materialises one projection per layer)."""
-    cols = inputs
-    for layer in model.layers:
-        cols = dense_layer_columns(cols, layer)
-    return cols

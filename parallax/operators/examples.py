@@ -53,8 +53,8 @@ def to_examples(df: DataFrame, features: str | list[str], label: str | list[str]
     out = []
     if row_id and row_id in df.columns:
         out.append(F.col(row_id))
-    elif row_id and id_cols:
-        out.append(row_hash(df, id_cols).alias(row_id))
+    elif row_id and (id_cols or df.isStreaming):
+        out.append(row_hash(df, id_cols).alias(row_id))  # a stream has no places: equal rows share an id there
     elif row_id:
         out.append(F.xxhash64(*[F.col(c) for c in df.columns], F.monotonically_increasing_id()).alias(row_id))
     out += [F.col(c) for c in (keep or [])]

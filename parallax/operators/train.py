@@ -9,14 +9,15 @@
    inputs with no more splits than workers, and ``range`` (range partitions
    over ``(worker, order)`` + a small per-partition count table) so that no
    task holds a whole worker's share, however large or skewed.
-2. ``place`` materialises the placement once per ``fit``: persisted /
-   checkpointed (``worker`` layout, rows sorted by round so cached batches of
+2. ``place`` materialises the placement once per ``fit``: persisted
+   (``worker`` layout, rows sorted by round so cached batches of
    other rounds are skipped by min/max statistics) or written as Parquet
-   with one directory per round under the shared checkpoint folder
-   (``range`` layout, so a round reads only its own files).
+   under the shared checkpoint folder, a few rounds to a directory
+   (``range`` layout, or ``storage="checkpoint"``).
 3. One Spark job per averaging round: ``filter(round_no = r)`` ->
-   (``range`` layout: regroup the round's rows by worker, at most
-   ``workers x batch_size x F`` of them) -> ``mapInPandas`` streaming each
+   (written placements: regroup the round's rows by worker; a share of more
+   than ``ROUND_TASK_MAX_ROWS`` rows runs as a chain of bounded jobs that
+   carry each worker's parameters) -> ``mapInPandas`` streaming each
    worker's rows in batch order (the gradient of a minibatch is summed over
    Arrow chunks, so memory is bounded by the Arrow batch, not by
    ``batch_size x F``) -> one ``(worker, params, n, loss)`` row per worker ->
@@ -34,6 +35,7 @@ or written, and every round is a deterministic function of its inputs.
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parallax.model import Model, ModelRef, loss_grad_sums
-from parallax.session import checkpoint_dir, delete_path, scratch_path
+from parallax.session import delete_path, scratch_path
 
 WORKER_PARAMS_SCHEMA = "worker int, params array<double>, n bigint, loss double"
 # The same as a StructType: no DDL parse (a JVM round trip) per round job.
@@ -54,9 +56,14 @@ _WORKER_PARAMS_TYPE = T.StructType([
     T.StructField("loss", T.DoubleType()),
 ])
 # The worker layout sorts one worker's whole share in one task; ``auto`` uses
-# it only while that share is at most this many input splits (~512 MB at the
-# default split size), else the range layout.
-WORKER_TASK_MAX_SPLITS = 4
+# it only while that share is at most this many bytes by the plan's own size
+# estimate (files: their bytes, however many splits), else the range layout.
+WORKER_TASK_MAX_BYTES = 512 << 20
+# Rows per worker of the range layout's regrouping: a longer round runs as a
+# chain of jobs that carry each worker's parameters on.
+ROUND_TASK_MAX_ROWS = 4_000_000
+# Directories of a written placement.
+MAX_ROUND_DIRS = 1000
 # Upper bound on the Arrow batch used by round jobs (rows).
 ROUND_ARROW_MAX_ROWS = 131_072
 # Largest workers x parameters count averaged on the driver (4M doubles, 32 MB).
@@ -72,7 +79,7 @@ class TrainOptions:
     averaging_frequency: int | None = 5  # minibatches between averagings; None = once per epoch
     learning_rate: float = 0.1
     seed: int = 12345
-    storage: str = "persist"  # "persist" (memory+disk) or "checkpoint" (shared checkpoint folder)
+    storage: str = "persist"  # "persist" (memory+disk) or "checkpoint" (Parquet in the shared checkpoint folder)
 
     def __post_init__(self):
         if self.workers < 1 or self.batch_size < 1:
@@ -92,6 +99,11 @@ def _shuffle_width(df: DataFrame, workers: int) -> int:
     return max(int(conf), workers)
 
 
+def _plan_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate of ``df``: no job is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _order_columns(examples: DataFrame, seed: int, order_col: str | None, row_id: str) -> list:
     tie = [F.col(row_id)] if row_id in examples.columns else []
     if order_col is None:
@@ -101,7 +113,8 @@ def _order_columns(examples: DataFrame, seed: int, order_col: str | None, row_id
 
 def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging_frequency: int | None = None,
                    seed: int = 12345, worker_col: str | None = None, order_col: str | None = None,
-                   row_id: str = "row_id", layout: str = "auto", num_partitions: int | None = None) -> DataFrame:
+                   row_id: str = "row_id", layout: str = "auto", num_partitions: int | None = None,
+                   keep_position: bool = False) -> DataFrame:
     """``worker_batches``: the input plus ``worker, batch_no, round_no``.
 
     ``worker`` is ``pmod(xxhash64(row_id, seed), workers)`` unless
@@ -115,9 +128,9 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     * ``"worker"``: partition ``w`` holds exactly worker ``w``, sorted; the
       position is the row's index in its partition.  One shuffle, no extra
       job, but one task sorts a whole worker's share: ``auto`` picks it
-      while that share is at most ``WORKER_TASK_MAX_SPLITS`` input splits
-      (hashed workers: ``splits / workers``; a given worker column, which
-      may be skewed: all ``splits``).
+      while that share is at most ``WORKER_TASK_MAX_BYTES`` (hashed workers:
+      the input's size / workers; a given worker column, which may be
+      skewed: the input's size).
     * ``"range"``: many partitions (``num_partitions``, default:
       ``spark.sql.shuffle.partitions``), each a contiguous range of one
       worker's order, so no
@@ -127,7 +140,7 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
       hashed order the ranges are equal-width hash slices (see
       ``_hash_range_positions``; nothing is materialised); with an explicit
       ``order_col`` they come from ``repartitionByRange`` and are
-      checkpointed once so counts and rows see the same partitioning.
+      written once so counts and rows see the same partitioning.
       Adds ``_pos`` (kept: it orders a worker's rows in a round).
     """
     if workers < 1 or batch_size < 1:
@@ -138,15 +151,12 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
         # a null worker value goes to worker 0 (never dropped by the joins below)
         worker = F.coalesce(F.pmod(F.col(worker_col), F.lit(workers)), F.lit(0))
     order = _order_columns(examples, seed, order_col, row_id)
-    n_in = examples.rdd.getNumPartitions()
     if layout == "auto":
-        # one partition per worker only while that one task stays small: at
-        # most WORKER_TASK_MAX_SPLITS input splits' worth of rows.  Hashed
-        # workers are balanced (n_in / workers splits each); a given worker
-        # column may put every row in one worker (n_in splits).
-        worst = -(-n_in // workers) if worker_col is None else n_in
-        layout = "worker" if worst <= WORKER_TASK_MAX_SPLITS else "range"
+        # Hashed workers are balanced; a given worker column may put every row in one worker.
+        size = _plan_bytes(examples)
+        layout = "worker" if size <= WORKER_TASK_MAX_BYTES * (workers if worker_col is None else 1) else "range"
     keyed = examples.withColumn("worker", worker.cast("int"))
+    written: list[str] = []
     local_idx = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     if layout == "worker":
         placed = keyed.repartitionById(workers, F.col("worker")).sortWithinPartitions(*order)
@@ -161,11 +171,13 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
             .withColumn("_pid", F.spark_partition_id())
             .withColumn("_idx", local_idx)
         )
-        # Materialise once (shared checkpoint folder): the counts and the rows
+        # Written once (shared checkpoint folder): the counts and the rows
         # must see the same partitioning, and two separately optimised copies
         # of the range exchange may sample different bounds.
-        checkpoint_dir(examples.sparkSession)
-        ranged = ranged.checkpoint(eager=True)
+        path = scratch_path(examples.sparkSession, "ranged")
+        ranged.write.parquet(path)
+        written.append(path)
+        ranged = examples.sparkSession.read.parquet(path)
         counts = ranged.groupBy("_pid", "worker").agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
         before = Window.partitionBy("worker").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("_pid", "worker", "_first",
@@ -181,59 +193,60 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     rounds = F.lit(0).cast("long") if averaging_frequency is None else F.expr(
         f"batch_no div {int(averaging_frequency)}")
     placed = placed.withColumn("round_no", rounds)
-    return placed.withColumnRenamed("_p", "_pos") if layout == "range" else placed.drop("_p")
+    placed = placed.withColumnRenamed("_p", "_pos") if layout == "range" or keep_position else placed.drop("_p")
+    placed._parallax_paths = written
+    return placed
 
 
 def _hash_range_positions(keyed: DataFrame, workers: int, seed: int, row_id: str, parts: int) -> DataFrame:
     """Positions for the default (hashed) order without materialising anything.
 
     The order key ``h = xxhash64(row_id, seed + 1)`` is uniform over the
-    64-bit range, so buckets are equal-width slices of it: worker ``w`` gets
-    ``k_w`` buckets in proportion to its row count (a hot worker gets many),
-    ``bucket = floor((h / 2^64 + 1/2) * k_w)``, monotone in ``h``.  Each
-    (worker, bucket) is one partition (``repartitionById``), sorted by
-    ``(h, row_id)``; position = rows of the worker in earlier buckets (a
-    value-based count table of ``sum(k_w)`` rows, broadcast) + index in the
-    partition.  Everything is a function of the data, so a recomputed
-    partition gets the same positions.  Costs two small aggregations (rows
-    per worker: ``workers`` rows to the driver; rows per bucket).
+    64-bit range. One counting pass counts the rows of every worker in fixed,
+    equal-width slices of it (at most 2^20 counts, which the driver reads); neighbouring slices of a worker
+    are merged to buckets of about ``rows / parts`` rows, so a hot worker
+    gets many. Each bucket is one partition (``repartitionById``), sorted by
+    ``(h, row_id)``; position = the worker's rows in earlier slices (from the
+    same counts, carried with the row) + index in the partition. Everything is a function
+    of the data, so a recomputed partition gets the same positions. A slice is
+    not split, so ids must be unique (rows that share an id share a slice).
     """
+    slices = max(16, min(4096, (1 << 20) // max(workers, 1)))
     h = F.xxhash64(F.col(row_id), F.lit(seed + 1))
-    keyed = keyed.withColumn("_h", h)
-    per_worker = {r["worker"]: r["n"] for r in keyed.groupBy("worker").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(per_worker.values())
-    target = max(1, -(-total // max(parts, 1)))  # rows per bucket ~ rows per wanted partition
-    k = {w: max(1, -(-n // target)) for w, n in per_worker.items()}
-    base, acc = {}, 0
-    for w in sorted(k):
-        base[w] = acc
-        acc += k[w]
-    n_buckets = max(acc, 1)
-    spark = keyed.sparkSession
-    shape = spark.createDataFrame([(int(w), int(k[w]), int(base[w])) for w in sorted(k)],
-                                  "worker int, _k int, _base int")  # one row per worker
     frac = F.col("_h").cast("double") / F.lit(float(2 ** 64)) + F.lit(0.5)
-    bucket = F.least(F.floor(frac * F.col("_k")).cast("int"), F.col("_k") - 1)
-    with_bucket = keyed.join(F.broadcast(shape), "worker").withColumn("_b", F.col("_base") + bucket)
-    counts = with_bucket.groupBy("worker", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("worker").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    keyed = keyed.withColumn("_h", h).withColumn("_s", F.least(F.floor(frac * slices), F.lit(slices - 1)).cast("int"))
+    counts = keyed.groupBy("worker", "_s").agg(F.count(F.lit(1)).alias("n")).collect()
+    target = max(1, -(-sum(r["n"] for r in counts) // max(parts, 1)))  # rows per bucket ~ rows per wanted partition
+    table, bucket, filled, off, of = [], -1, 0, 0, None
+    for r in sorted(counts, key=lambda r: (r["worker"], r["_s"])):
+        if r["worker"] != of or filled >= target:
+            if r["worker"] != of:
+                of, seen = r["worker"], 0
+            bucket, filled, off = bucket + 1, 0, seen
+        table.append((r["worker"], r["_s"], bucket, off))
+        filled += r["n"]
+        seen += r["n"]
+    spark = keyed.sparkSession
+    shape = spark.createDataFrame(table, "worker int, _s int, _b int, _off long")  # at most 2^20 rows
     local_idx = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     ordered = (
-        with_bucket.drop("_k", "_base")
-        .repartitionById(n_buckets, F.col("_b"))
+        keyed.join(F.broadcast(shape), ["worker", "_s"])
+        .repartitionById(max(bucket + 1, 1), F.col("_b"))
         .sortWithinPartitions("_h", row_id)
-        .withColumn("_idx", local_idx)
-    )
-    return (
-        ordered.join(F.broadcast(offsets), "_b")  # sum(k_w) rows: about ``parts``
-        .withColumn("_p", F.col("_off") + F.col("_idx"))
-        .drop("_b", "_h", "_idx", "_off")
+        .withColumn("_p", F.col("_off") + local_idx)
     )
+    return ordered.drop("_b", "_h", "_s", "_off")
+
 
+def _refuse_missing(x: np.ndarray, y: np.ndarray) -> None:
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise ValueError("training examples contain null, NaN or infinite features or labels; "
+                         "keep only good records (sources.csv.good_records) or fill them first")
 
-def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int):
-    """The per-partition function of one round (runs in Python workers)."""
+
+def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int, starts: dict | None = None):
+    """The per-partition function of one round (runs in Python workers); ``starts`` holds the workers'
+    own parameters where a round goes on from an earlier job."""
 
     def run(batches):
         import pandas as pd
@@ -273,9 +286,7 @@ def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int):
             bn = pdf["batch_no"].to_numpy()
             x = pdf[xcols].to_numpy(dtype=np.float64)
             y = pdf[ycols].to_numpy(dtype=np.float64)
-            if not (np.isfinite(x).all() and np.isfinite(y).all()):
-                raise ValueError("training examples contain null, NaN or infinite features or labels; "
-                                 "keep only good records (sources.csv.good_records) or fill them first")
+            _refuse_missing(x, y)
             # runs of equal (worker, batch_no); rows arrive sorted by both
             change = np.flatnonzero((wk[1:] != wk[:-1]) | (bn[1:] != bn[:-1])) + 1
             bounds = np.concatenate([[0], change, [len(pdf)]])
@@ -283,6 +294,9 @@ def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int):
                 if wk[s] != cur_w:
                     close_worker()
                     cur_w = wk[s]
+                    if starts and int(cur_w) in starts:
+                        params = starts[int(cur_w)]
+                        m = model.with_params(params)
                 if bn[s] != b_id:
                     close_batch()
                     b_id = bn[s]
@@ -305,35 +319,122 @@ def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int):
     return run
 
 
+def _flat_columns(df: DataFrame, n_in: int, n_out: int, features: str = "features", label: str = "label") -> list:
+    """``x0.., y0..``: as they are, or from the arrays, whose widths must be the model's."""
+    if all(f"x{i}" in df.columns for i in range(n_in)) and all(f"y{j}" in df.columns for j in range(n_out)):
+        return [F.col(f"x{i}") for i in range(n_in)] + [F.col(f"y{j}") for j in range(n_out)]
+
+    def part(col: str, n: int, what: str, name: str) -> list:
+        wrong = F.concat(F.lit(f"the model takes {n} {what}, a row has "), F.size(col).cast("string"))
+        ok = F.col(col).isNull() | (F.size(col) == n)
+        # the check rides on the first value; a null array gives null values, which training refuses
+        first = F.when(ok, F.col(col)[0]).otherwise(F.raise_error(wrong).cast("double"))
+        return [(first if i == 0 else F.col(col)[i]).alias(f"{name}{i}") for i in range(n)]
+
+    return part(features, n_in, "features", "x") + part(label, n_out, "labels", "y")
+
+
 def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_rate: float,
               features: str = "features", label: str = "label", workers: int | None = None,
-              model_ref: ModelRef | None = None) -> DataFrame:
+              model_ref: ModelRef | None = None, starts: dict | None = None,
+              batches: tuple[int, int] | None = None) -> DataFrame:
     """``worker_params`` after one averaging round: each worker starts from
-    ``model`` and steps through its minibatches of round ``round_no`` (all
-    rounds when None); ``loss`` is the mean loss over its rows, each taken
-    before the step of its minibatch.  With the ``worker`` layout there is no
-    shuffle (rows are already placed); with the ``range`` layout the round's
-    rows (``workers x batch_size x F`` at most) are regrouped by worker."""
-    rows = placed if round_no is None else placed.filter(F.col("round_no") == F.lit(round_no))
+    ``model`` (or its own entry in ``starts``) and steps through its minibatches of round ``round_no`` (all
+    rounds when None; only those from ``batches[0]`` up to ``batches[1]`` if given); ``loss`` is the mean loss
+    over its rows, each taken before the step of its minibatch.  With the ``worker`` layout there is no
+    shuffle (rows are already placed); with the ``range`` layout the rows
+    are regrouped by worker (``fit`` bounds how many)."""
+    rows = _round_rows(placed, round_no, batches)
     n_in, n_out = model.n_inputs, model.n_outputs
     cols = set(placed.columns)
-    if all(f"x{i}" in cols for i in range(n_in)) and all(f"y{j}" in cols for j in range(n_out)):
-        xs = [F.col(f"x{i}") for i in range(n_in)]
-        ys = [F.col(f"y{j}") for j in range(n_out)]
-    else:
-        xs = [F.col(features)[i].alias(f"x{i}") for i in range(n_in)]
-        ys = [F.col(label)[j].alias(f"y{j}") for j in range(n_out)]
+    xy = _flat_columns(placed, n_in, n_out, features, label)
     if "_pos" in cols:
-        # range layout: bring each worker's rows of this round (at most
-        # batch_size x F of them) into one task, in position order
+        # range layout: bring each worker's rows into one task, in position order
         parts = workers or placed.sparkSession.sparkContext.defaultParallelism
         rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
     wanted = {"worker", "batch_no", "round_no", *(f"x{i}" for i in range(n_in)), *(f"y{j}" for j in range(n_out))}
     # placed rows that already hold exactly the flat columns go in as they are
     # (one transformation, so one analysis, fewer per round job)
-    flat = rows if cols == wanted else rows.select("worker", "batch_no", *xs, *ys)
+    flat = rows if cols == wanted else rows.select("worker", "batch_no", *xy)
     ref = model_ref or ModelRef(model, placed.sparkSession.sparkContext)
-    return flat.mapInPandas(_round_runner(ref, learning_rate, n_in, n_out), _WORKER_PARAMS_TYPE)
+    return flat.mapInPandas(_round_runner(ref, learning_rate, n_in, n_out, starts), _WORKER_PARAMS_TYPE)
+
+
+def _round_rows(placed: DataFrame, round_no: int | None, batches: tuple[int, int] | None) -> DataFrame:
+    rows = placed if round_no is None else placed.filter(F.col("round_no") == F.lit(round_no))
+    if round_no is not None and "round_group" in placed.columns:
+        rows = rows.filter(F.col("round_group") == F.lit(round_no // placed._parallax_group))  # prunes directories
+    if batches is not None:
+        rows = rows.filter((F.col("batch_no") >= batches[0]) & (F.col("batch_no") < batches[1]))
+    return rows
+
+
+def _gradient_sums(placed: DataFrame, model: Model, round_no: int, batch: int, starts: dict, ref: ModelRef) -> dict:
+    """worker -> (gradient sum, rows, loss sum) of one minibatch: summed where its rows lie, over any number of
+    tasks, then by Spark; what comes back is one vector per worker."""
+    n_in, n_out = model.n_inputs, model.n_outputs
+    flat = _round_rows(placed, round_no, (batch, batch + 1)).select("worker", *_flat_columns(placed, n_in, n_out))
+
+    def run(frames):
+        import pandas as pd
+
+        m = ref.get()
+        sums: dict = {}
+        for pdf in frames:
+            x = pdf[[f"x{i}" for i in range(n_in)]].to_numpy(dtype=np.float64)
+            y = pdf[[f"y{j}" for j in range(n_out)]].to_numpy(dtype=np.float64)
+            _refuse_missing(x, y)
+            for w in np.unique(pdf["worker"].to_numpy()).tolist():
+                at = (pdf["worker"] == w).to_numpy()
+                loss, grad = loss_grad_sums(m.with_params(starts[w]) if w in starts else m, x[at], y[at])
+                had = sums.get(w)
+                v = np.append(grad, (at.sum(), loss))
+                sums[w] = v if had is None else had + v
+        if sums:
+            yield pd.DataFrame({"worker": np.array(list(sums), np.int32), "v": list(sums.values())})
+
+    parts = flat.mapInPandas(run, "worker int, v array<double>")
+    got = parts.select("worker", F.posexplode("v").alias("pos", "v")).groupBy("worker", "pos").agg(F.sum("v").alias("v")).collect()
+    out: dict = {}
+    for r in got:
+        out.setdefault(r["worker"], np.zeros(model.n_params + 2))[r["pos"]] = r["v"]
+    return {w: (v[:-2], int(v[-2]), float(v[-1])) for w, v in out.items()}
+
+
+def _long_round(placed: DataFrame, model: Model, round_no: int, options: "TrainOptions", n_batches: int):
+    """A round whose share per worker is more than ``ROUND_TASK_MAX_ROWS``, as a chain of bounded jobs that carry
+    every worker's parameters on (``workers x parameters`` numbers); the average comes at the end.
+
+    Minibatches that fit are stepped through several to a job; a minibatch that does not is summed over many tasks."""
+    per_round = n_batches if options.averaging_frequency is None else options.averaging_frequency
+    first = 0 if options.averaging_frequency is None else round_no * options.averaging_frequency
+    last = min(n_batches, first + per_round)
+    ref = ModelRef(model, placed.sparkSession.sparkContext)
+    starts: dict = {}
+    rows: dict = {}
+    loss_sum = 0.0
+    step = ROUND_TASK_MAX_ROWS // options.batch_size
+    try:
+        if step >= 1:
+            for b in range(first, last, step):
+                got = fit_round(placed, model, round_no, options.learning_rate, workers=options.workers, model_ref=ref,
+                                starts=starts, batches=(b, min(last, b + step))).collect()
+                for r in got:
+                    starts[r["worker"]] = np.array(r["params"])
+                    rows[r["worker"]] = rows.get(r["worker"], 0) + r["n"]
+                    loss_sum += r["loss"] * r["n"]
+        else:
+            for b in range(first, last):
+                for w, (grad, n, loss) in _gradient_sums(placed, model, round_no, b, starts, ref).items():
+                    starts[w] = (starts[w] if w in starts else model.params()) - options.learning_rate * grad / n
+                    rows[w] = rows.get(w, 0) + n
+                    loss_sum += loss
+    finally:
+        ref.release()
+    total = sum(rows.values())
+    if not total:
+        return None, None, 0
+    return sum(starts[w] * n for w, n in rows.items()) / total, loss_sum / total, total
 
 
 def average_parameters(worker_params: DataFrame, params: str = "params", weight: str | None = "n") -> DataFrame:
@@ -393,21 +494,23 @@ def _average_round_rows(wp: DataFrame, model: Model, workers: int):
 
 class Placement(tuple):
     """``(placed DataFrame, n_rounds)``; ``release()`` frees what ``place``
-    made: the persisted copy, or the table written under the checkpoint
-    folder (range layout), so repeated training runs do not pile up data."""
+    made: the persisted copy, or the tables written under the checkpoint
+    folder, so repeated training runs do not pile up data."""
 
-    def __new__(cls, df: DataFrame, rounds: int, path: str | None = None):
+    def __new__(cls, df: DataFrame, rounds: int, paths: list[str] | None = None, batches: int = 0, group: int = 1):
         obj = super().__new__(cls, (df, rounds))
-        obj.path = path
+        obj.paths = paths or []
+        obj.batches = batches  # of the longest worker
+        obj.group = group      # rounds to a directory
         return obj
 
     def release(self) -> None:
         df = self[0]
         if df.is_cached:
             df.unpersist()
-        if self.path:
-            delete_path(df.sparkSession, self.path)
-            self.path = None
+        for path in self.paths:
+            delete_path(df.sparkSession, path)
+        self.paths = []
 
 
 def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = None,
@@ -416,38 +519,45 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
     """Assign, place and materialise the examples; returns ``(placed, n_rounds)``.
 
     With the widths given, features and label are stored as plain double
-    columns ``x0..``, ``y0..`` (cheaper to cache, scan and ship to Arrow).
-
-    ``worker`` layout: persisted (or checkpointed) as placed.  ``range``
-    layout: written as Parquet under the shared checkpoint folder with one
-    directory per round, clustered by round first so each task writes few
-    directories; a round then reads only its own directory.
+    columns ``x0..``, ``y0..`` (cheaper to cache, scan and ship to Arrow);
+    arrays of other widths raise an error.
+
+    ``worker`` layout: persisted as placed.  ``range`` layout, or
+    ``storage="checkpoint"``: written as Parquet under the shared checkpoint
+    folder, from the partitions it was placed in (each a run of one worker's
+    positions), in at most about ``MAX_ROUND_DIRS`` directories of
+    neighbouring rounds; a round reads its directory's files, less the row
+    groups of other rounds.
     """
     spark = examples.sparkSession
     assigned = assign_workers(examples, options.workers, options.batch_size, options.averaging_frequency,
-                              options.seed, worker_col, order_col, layout=layout)
+                              options.seed, worker_col, order_col, layout=layout, keep_position=options.storage == "checkpoint")
     ranged = "_pos" in assigned.columns
+    paths = assigned._parallax_paths
     if n_inputs is not None and n_outputs is not None:
-        assigned = assigned.select(
-            "worker", "batch_no", "round_no", *(["_pos"] if ranged else []),
-            *[F.col("features")[i].alias(f"x{i}") for i in range(n_inputs)],
-            *[F.col("label")[j].alias(f"y{j}") for j in range(n_outputs)],
-        )
-    path = None
-    if ranged:
-        path = scratch_path(spark, "placed")
-        parts = _shuffle_width(examples, options.workers)
-        (assigned.repartitionByRange(parts, "round_no", "worker", "_pos")
-         .sortWithinPartitions("round_no", "worker", "_pos")
-         .write.partitionBy("round_no").parquet(path))
-        placed = spark.read.parquet(path)
-    elif options.storage == "checkpoint":
-        checkpoint_dir(spark)
-        placed = assigned.checkpoint(eager=True)
-    else:
+        assigned = assigned.select("worker", "batch_no", "round_no", *(["_pos"] if ranged else []),
+                                   *_flat_columns(assigned, n_inputs, n_outputs))
+    top = F.max(F.struct("batch_no", "round_no")).alias("top")
+    if not ranged:
         placed = assigned.persist(StorageLevel.MEMORY_AND_DISK)
-    top = placed.agg(F.max("round_no")).first()[0]
-    return Placement(placed, 0 if top is None else int(top) + 1, path)
+        last = placed.agg(top).first()["top"]
+        return Placement(placed, 0 if last is None else int(last["round_no"]) + 1, batches=0 if last is None else int(last["batch_no"]) + 1)
+    path = scratch_path(spark, "placed")
+    # as many rounds to a directory as keep the directories few, from the plan's row count if it has one
+    group = max(1, -(-_rounds_at_most(assigned, options) // MAX_ROUND_DIRS))
+    (assigned.withColumn("round_group", F.expr(f"round_no div {group}")).write.partitionBy("round_group").parquet(path))
+    placed = spark.read.parquet(path)
+    last = placed.agg(top).first()["top"]
+    rounds, batches = (0, 0) if last is None else (int(last["round_no"]) + 1, int(last["batch_no"]) + 1)
+    return Placement(placed, rounds, [path, *paths], batches, group)
+
+
+def _rounds_at_most(assigned: DataFrame, options: TrainOptions) -> int:
+    """An upper estimate of the number of rounds, from the plan's size (no job): rows of at least 24 bytes in one worker."""
+    if options.averaging_frequency is None:
+        return 1
+    size = min(_plan_bytes(assigned), 1 << 60)
+    return -(-size // (24 * options.batch_size * options.averaging_frequency))
 
 
 def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOptions = TrainOptions(),
@@ -459,10 +569,9 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
     seconds`` (``loss`` is the row-weighted mean minibatch loss of the epoch).
     ``placed`` reuses an earlier ``place`` result (e.g. across benchmark runs).
 
-    While rounds run, the session's ``spark.sql.adaptive.enabled`` is off and
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` is raised to one
-    worker-round; both are restored afterwards (other threads sharing the
-    session see the change meanwhile).
+    Rounds run in a session of their own on the same SparkContext (adaptive
+    planning off, one Arrow batch per worker-round where bounded); the
+    caller's session settings are not touched.
     """
     own = placed is None
     if own:
@@ -472,22 +581,32 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
     spark = placed_df.sparkSession
     # Round jobs have no shuffle to re-plan (worker layout) or a fixed-count
     # one (range layout): adaptive planning only adds latency to each of the
-    # many small jobs (0.21 -> 0.145 s per round measured), so it is off
-    # while rounds run and restored after.
-    aqe = spark.conf.get("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    # One Arrow batch per worker-round where bounded (F x B rows, at most
-    # ROUND_ARROW_MAX_ROWS): fewer batch hand-offs per task (~15% per round).
+    # many small jobs (0.21 -> 0.145 s per round measured).  One Arrow batch
+    # per worker-round where bounded (F x B rows, at most ROUND_ARROW_MAX_ROWS):
+    # fewer batch hand-offs per task (~15% per round).
     arrow_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    arrow = spark.conf.get(arrow_key, "10000")
     per_round = options.batch_size * (options.averaging_frequency or 1)
-    spark.conf.set(arrow_key, str(max(int(arrow), min(per_round, ROUND_ARROW_MAX_ROWS))))
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes"):
+        session.conf.set(key, spark.conf.get(key))
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set(arrow_key, str(max(int(spark.conf.get(arrow_key, "10000")), min(per_round, ROUND_ARROW_MAX_ROWS))))
+    view = f"parallax_placed_{uuid.uuid4().hex}"
+    placed_df.createGlobalTempView(view)  # finds the persisted copy or the written files from the other session
     try:
+        rows_df = session.table(f"global_temp.{view}")
+        rows_df._parallax_group = getattr(placed, "group", 1)
+        batches = getattr(placed, "batches", 0)
+        share = options.batch_size * (options.averaging_frequency or max(1, batches))
+        long = "_pos" in rows_df.columns and batches and min(share, options.batch_size * batches) > ROUND_TASK_MAX_ROWS
         for epoch in range(epochs):
             t0 = time.perf_counter()
             loss_sum, rows = 0.0, 0
             for r in range(n_rounds):
-                vec, loss, n = _averaged_round(placed_df, model, r, options.learning_rate, options.workers)
+                if long:
+                    vec, loss, n = _long_round(rows_df, model, r, options, batches)
+                else:
+                    vec, loss, n = _averaged_round(rows_df, model, r, options.learning_rate, options.workers)
                 if vec is None:
                     continue
                 model = model.with_params(vec)
@@ -497,8 +616,7 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
                             "loss": (loss_sum / rows) if rows else None,
                             "seconds": time.perf_counter() - t0})
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", aqe)
-        spark.conf.set(arrow_key, arrow)
+        spark.catalog.dropGlobalTempView(view)
         if own:
             placed.release()
     return model, history

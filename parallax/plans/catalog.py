@@ -221,7 +221,7 @@ def _spread(scored: DataFrame, n_out: int, path: str | None = None) -> DataFrame
     outs = []
     for i in range(n_out):
         p = F.col("prediction")[i]
-        outs += [F.when(~F.isnan(p), p).alias(f"p{i}"), F.coalesce(F.isnan(p), F.lit(False)).alias(f"nan{i}")]
+        outs += [F.when(~F.isnan(p), p).alias(f"p{i}"), F.coalesce(F.isnan(p), F.lit(False)).cast("int").alias(f"nan{i}")]
     return scored.select(*ID_COLS, F.size("prediction").alias("width"), *outs, *([F.lit(path).alias("path")] if path else []))
 
 
@@ -371,9 +371,9 @@ def q_assign_batches_hashed(spark, sf_dir):
                                   F.max("batch_no").alias("b"), F.max("round_no").alias("r"))
     total = per.agg(F.sum("n").alias("n_rows"))
     return per.crossJoin(F.broadcast(total)).select(
-        "worker", "n_rows", ((F.col("d") == F.col("n")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("gapless"),
-        (F.abs(F.col("n") * 4 / F.col("n_rows") - 1) < 0.1).alias("balanced"),
-        ((F.col("b") == F.floor((F.col("n") - 1) / 128)) & (F.col("r") == F.floor((F.col("n") - 1) / 512))).alias("numbered"))
+        "worker", "n_rows", ((F.col("d") == F.col("n")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).cast("int").alias("gapless"),
+        (F.abs(F.col("n") * 4 / F.col("n_rows") - 1) < 0.05 + 10 / F.sqrt("n_rows")).cast("int").alias("balanced"),
+        ((F.col("b") == F.floor((F.col("n") - 1) / 128)) & (F.col("r") == F.floor((F.col("n") - 1) / 512))).cast("int").alias("numbered"))
 
 
 def q_partition_write(spark, sf_dir):
@@ -513,8 +513,8 @@ _MINIBATCHES_SQL = (
 ORACLES: dict[str, str] = {
     "score_nulls": (
         f"WITH s AS (SELECT l_orderkey, l_linenumber, {_HOLED_SQL[0]} AS q0, {_HOLED_SQL[1]} AS q1 FROM lineitem) "
-        "SELECT l_orderkey, l_linenumber, CAST(2 AS INTEGER) AS width, CASE WHEN NOT isnan(q0) THEN q0 END AS p0, coalesce(isnan(q0), false) AS nan0, "
-        "CASE WHEN NOT isnan(q1) THEN q1 END AS p1, coalesce(isnan(q1), false) AS nan1, path "
+        "SELECT l_orderkey, l_linenumber, CAST(2 AS INTEGER) AS width, CASE WHEN NOT isnan(q0) THEN q0 END AS p0, CAST(coalesce(isnan(q0), false) AS INTEGER) AS nan0, "
+        "CASE WHEN NOT isnan(q1) THEN q1 END AS p1, CAST(coalesce(isnan(q1), false) AS INTEGER) AS nan1, path "
         "FROM s, (VALUES ('expr'), ('batched')) AS t(path)"),
     "score_two_outputs": "SELECT l_orderkey, l_linenumber, {0} AS p0, {1} AS p1 FROM lineitem".format(*_two_outputs_sql(X1, X2)),
     "score_auto": _scored_sql(RELU_SQL),
@@ -530,7 +530,7 @@ ORACLES: dict[str, str] = {
         "(row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1) // 128 AS batch_no, "
         "(row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1) // 512 AS round_no FROM events"),
     "assign_batches_hashed": (
-        "SELECT CAST(w AS INTEGER) AS worker, (SELECT count(*) FROM events) AS n_rows, true AS gapless, true AS balanced, true AS numbered FROM range(4) AS t(w)"),
+        "SELECT CAST(w AS INTEGER) AS worker, (SELECT count(*) FROM events) AS n_rows, CAST(1 AS INTEGER) AS gapless, CAST(1 AS INTEGER) AS balanced, CAST(1 AS INTEGER) AS numbered FROM range(4) AS t(w)"),
     "fit_epochs": _EPOCHS_SQL,
     "fit_minibatches": _MINIBATCHES_SQL,
     "fit_minibatches_range": _MINIBATCHES_SQL,

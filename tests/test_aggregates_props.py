@@ -28,6 +28,6 @@ def test_average_parameters_matches_numpy(spark, workers, width, rnd):
     params = [[rnd.uniform(-5, 5) for _ in range(width)] for _ in range(workers)]
     weights = [rnd.randint(1, 1000) for _ in range(workers)]
     df = spark.createDataFrame(list(zip(params, weights)), "params array<double>, n bigint")
-    got = np.array([r.value for r in average_parameters(df).collect()])
+    got = np.array([r.value for r in average_parameters(df).orderBy("pos").collect()])
     want = (np.array(params) * np.array(weights)[:, None]).sum(axis=0) / sum(weights)
     assert got.shape == (width,) and np.allclose(got, want, rtol=1e-12, atol=1e-12)

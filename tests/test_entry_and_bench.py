@@ -16,10 +16,12 @@ def test_entry_smoke(spark):
     assert df.count() == 6000 or df.count() > 0
 
 
-def test_every_query_has_an_oracle_but_iterative_training():
+def test_every_library_query_has_an_oracle_and_is_registered():
     from __spark_entry__ import oracle_sql, queries
+    from parallax.plans.catalog import ORACLES, QUERIES
 
-    assert set(queries()) - set(oracle_sql()) == {"fit_epochs"}
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
     assert set(oracle_sql()) <= set(queries())
 
 

@@ -33,8 +33,6 @@ def test_batched_plan_has_python_and_no_shuffle(spark):
     s = score_batched(_keyed(spark), relu_2_8_1(), 2048)
     assert has_python_node(s)
     assert "Exchange" not in physical_plan(s)
-    # opt-in: a one-split input spread round-robin over the cores first
-    assert "RoundRobinPartitioning" in physical_plan(score_batched(_keyed(spark), relu_2_8_1(), 2048, spread=True))
 
 
 def test_expr_and_batched_agree_for_all_batch_sizes(spark):
@@ -139,10 +137,7 @@ def test_multi_output_batched_equals_expressions(spark):
     assert a == b  # small layers: the same summation order, so the same bits
 
 
-def test_shuffle_counts_and_nested_network_columns(spark):
-    from pyspark.sql import functions as F
-
-    from parallax.functions import network_columns
+def test_shuffle_counts(spark):
     from parallax.operators.train import assign_workers
     from parallax.plans.inspect import shuffle_count
 
@@ -150,11 +145,6 @@ def test_shuffle_counts_and_nested_network_columns(spark):
     assert shuffle_count(score_expr(keyed, relu_2_8_1())) == 0
     assert shuffle_count(assign_workers(to_examples(net_price_records(read_table(spark, SF001, "lineitem")),
                                                     ["x1", "x2"], ["y"]), 4, 64, 2, layout="worker")) == 1
-    m = relu_2_3_1()
-    nested = keyed.select("row_id", network_columns([F.col("features")[0], F.col("features")[1]], m)[0].alias("p"))
-    a = {r.row_id: r.p for r in nested.collect()}
-    b = _by_id(score_expr(keyed, m))
-    assert a == b
 
 
 def test_null_features_give_null_predictions_on_both_paths(spark):
@@ -169,3 +159,47 @@ def test_null_features_give_null_predictions_on_both_paths(spark):
         nulls_b = {k for k, v in b.items() if v is None or any(p is None for p in v)}
         assert nulls_a and nulls_a == nulls_b
         assert all(a[k] == b[k] for k in a if k not in nulls_a)
+
+
+def test_both_paths_agree_on_null_nan_and_infinity(spark):
+    rows = [(1, [1.0, 2.0]), (2, [None, 2.0]), (3, [float("nan"), 2.0]), (4, [float("inf"), float("-inf")]), (5, None), (6, [float("nan"), None])]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>")
+    for outs in (1, 2):
+        m = Model.random([2, 4, outs], ["relu", "identity"], seed=3)
+        a = {r.row_id: r.prediction for r in score_expr(df, m).collect()}
+        b = {r.row_id: r.prediction for r in score_batched(df, m, 2).collect()}
+        for k in a:
+            assert len(a[k]) == len(b[k]) == outs
+            assert all(x == y or (x is not None and y is not None and np.isnan(x) and np.isnan(y)) for x, y in zip(a[k], b[k]))
+        assert a[2] == a[5] == a[6] == [None] * outs and all(np.isnan(a[3]))
+
+
+@pytest.mark.parametrize("method", ["expr", "batched"])
+def test_wrong_feature_widths_are_refused(spark, method):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "row_id long, features array<double>")
+    with pytest.raises(Exception, match="the model takes 2 features, a row has 3"):
+        score(df, relu_2_3_1(), method=method).collect()
+
+
+def test_batch_size_changes_wide_results_by_rounding_only(spark):
+    m = Model.random([64, 32, 1], ["relu", "identity"], seed=8)
+    x = np.random.default_rng(0).normal(size=(500, 64))
+    whole = forward(m, x)
+    for b in (1, 7, 100):
+        assert np.allclose(np.concatenate([forward(m, x[i:i + b]) for i in range(0, 500, b)]), whole, rtol=1e-12, atol=1e-14)
+
+
+def test_text_form_keeps_nulls(spark):
+    from parallax.sources.sinks import format_prediction
+
+    df = spark.createDataFrame([("k", [None, 2.0]), (None, [1.0]), ("k", None), ("k", [])], "key string, prediction array<double>")
+    assert [r[0] for r in df.select(format_prediction()).collect()] == ["k: [null, 2.0]", "null: [1.0]", "k: null", "k: []"]
+
+
+def test_count_scores_and_counts_non_null_predictions(spark):
+    from parallax.plans.bench import count_predictions
+
+    df = _keyed(spark, SF001).withColumn("features", F.when(F.col("row_id") % 2 == 0, F.col("features")))
+    scored = count_predictions(score_batched(df, relu_2_3_1()))
+    assert has_python_node(scored)
+    assert 2500 < scored.first().n_records < 3500

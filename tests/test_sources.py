@@ -102,15 +102,23 @@ def test_each_line_is_parsed_once(spark, tmp_dir):
     assert plan.count("from_csv(") == 1
 
 
-def test_partitioned_write_has_no_shuffle_and_round_trips(spark, tmp_dir):
+def test_partitioned_write_gives_few_files_and_splits_a_hot_value(spark, tmp_dir):
     from parallax.operators.partition import partition_dataset, write_partitioned
 
-    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'cold' END AS flag").repartition(4)
+    df = spark.range(20000).selectExpr("id", "xxhash64(id) AS v", "CASE WHEN id % 3 = 0 THEN 'rare' ELSE 'hot' END AS flag").repartition(6)
+    files = lambda name, flag: [f for d, _, fs in os.walk(os.path.join(tmp_dir, name, f"flag={flag}")) for f in fs if f.endswith(".parquet")]
     write_partitioned(df, os.path.join(tmp_dir, "w"), ["flag"])
     back = spark.read.parquet(os.path.join(tmp_dir, "w"))
-    assert back.count() == 1000 and back.filter("flag = 'hot'").count() == 334
-    files = [f for d, _, fs in os.walk(os.path.join(tmp_dir, "w", "flag=hot")) for f in fs if f.endswith(".parquet")]
-    assert len(files) > 1  # the hot value is written by several tasks, not one
+    assert back.count() == 20000 and back.filter("flag = 'rare'").count() == 6667
+    assert len(files("w", "hot")) == len(files("w", "rare")) == 1  # not one from each input split
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64k")
+        write_partitioned(df, os.path.join(tmp_dir, "s"), ["flag"])
+    finally:
+        spark.conf.set(key, before)
+    assert len(files("s", "hot")) > 1  # a value above the advisory size is written by several tasks
     assert partition_dataset(df, 6, ["flag"]).rdd.getNumPartitions() == 6
 
 

@@ -21,7 +21,7 @@ def test_scoring_applies_unchanged_to_a_stream(spark, tmp_dir):
     stream = spark.readStream.schema(li.schema).parquet(src)
 
     def pipeline(df):
-        return score_expr(key_examples(to_examples(net_price_records(df), ["x1", "x2"], ["y"])), relu_2_3_1())
+        return score_expr(key_examples(to_examples(net_price_records(df), ["x1", "x2"], ["y"], id_cols=["x1", "x2", "y"])), relu_2_3_1())
 
     q = (pipeline(stream).writeStream.format("memory").queryName("scored_stream")
          .option("checkpointLocation", os.path.join(tmp_dir, "ckpt")).start())
@@ -75,3 +75,12 @@ def test_good_bad_split_matches_a_plain_csv_reading(spark, rows):
     got_good = sorted((r.c0, r.c1, r.c2) for r in got if r._bad is None)
     assert got_good == want_good
     assert len(got) == len(lines)
+
+
+def test_non_finite_and_non_decimal_fields_are_bad_records(spark):
+    bad = ["NaN,1,2", "1,Infinity,2", "1,2,-Infinity", "1d,2,3", "1,2F,3", "1e400,2,3", "0x1p3,1,2", "1,,2", "inf,1,2"]
+    good = ["1,2,3", "1e2,-2.5,+3", "1E-3,0.5,.5", " 1,2,3"]
+    df = parse_lines(spark.createDataFrame([(x,) for x in bad + good], "value string"), 3)
+    rows = df.collect()
+    assert [r._bad for r in rows] == bad + [None] * len(good)
+    assert all((r.c0 is None) == (r._bad is not None) for r in rows)

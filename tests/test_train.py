@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
 from parallax.fixtures import linear_2_1, net_price_records, read_table, relu_2_8_1
-from parallax.model import sgd_steps
 from parallax.operators.examples import to_examples
 from parallax.operators.train import TrainOptions, assign_workers, average_parameters, fit, fit_round
 
+from helpers.replay import sgd_steps
+
 
 def _examples(spark, sf=SF001):
     return to_examples(net_price_records(read_table(spark, sf, "lineitem")), ["x1", "x2"], ["y"])
@@ -77,7 +78,7 @@ def test_one_batch_per_worker_equals_full_batch_step(spark):
     ex = _examples(spark)
     lr = 0.5
     placed = assign_workers(ex, 4, 1 << 40, 1)
-    avg = [r.value for r in average_parameters(fit_round(placed, linear_2_1(), 0, lr)).collect()]
+    avg = [r.value for r in average_parameters(fit_round(placed, linear_2_1(), 0, lr)).orderBy("pos").collect()]
     pdf = ex.toPandas()
     x, y = np.stack(pdf.features.to_numpy()), np.stack(pdf.label.to_numpy())
     p, _, _ = sgd_steps(linear_2_1(), x, y, np.zeros(len(x)), lr)
@@ -123,8 +124,8 @@ def test_checkpoint_storage_and_once_per_epoch_averaging(spark):
 
 def test_average_parameters_weighting(spark):
     wp = spark.createDataFrame([([1.0, 2.0], 1), ([3.0, 6.0], 3)], "params array<double>, n bigint")
-    assert [r.value for r in average_parameters(wp).collect()] == [2.5, 5.0]
-    assert [r.value for r in average_parameters(wp, weight=None).collect()] == [2.0, 4.0]
+    assert [r.value for r in average_parameters(wp).orderBy("pos").collect()] == [2.5, 5.0]
+    assert [r.value for r in average_parameters(wp, weight=None).orderBy("pos").collect()] == [2.0, 4.0]
 
 
 def test_options_validation():
@@ -163,14 +164,97 @@ def test_fit_range_layout_equals_worker_layout(spark):
     assert [e["rows"] for e in h_r] == [6000, 6000]
 
 
-def test_auto_layout_choice(spark):
-    ex = _examples(spark)  # one input split
-    assert "_pos" not in assign_workers(ex, 4, 10).columns
-    many = ex.repartition(6)
-    assert "_pos" not in assign_workers(many, 4, 10).columns  # hashed: 2 splits per worker task
-    assert "_pos" in assign_workers(ex.repartition(20), 4, 10).columns  # hashed: 5 splits per worker task
-    assert "_pos" not in assign_workers(ex.repartition(3).withColumn("w", F.lit(1)), 8, 10, worker_col="w").columns
-    assert "_pos" in assign_workers(many.withColumn("w", F.lit(1)), 8, 10, worker_col="w").columns  # may be skewed
+def test_auto_layout_goes_by_bytes_and_runs_no_job(spark, monkeypatch):
+    import parallax.operators.train as tr
+
+    ex = _examples(spark)
+    size = tr._plan_bytes(ex)
+    monkeypatch.setattr(tr, "WORKER_TASK_MAX_BYTES", size // 2)
+    assert "_pos" not in assign_workers(ex, 4, 10).columns  # hashed: half of the bound per worker
+    assert "_pos" in assign_workers(ex, 1, 10).columns
+    assert "_pos" in assign_workers(ex.withColumn("w", F.lit(1)), 8, 10, worker_col="w").columns  # may be skewed
+    monkeypatch.setattr(tr, "WORKER_TASK_MAX_BYTES", size * 10)
+    assert "_pos" not in assign_workers(ex.repartition(20).withColumn("w", F.lit(1)), 8, 10, worker_col="w").columns
+
+
+def test_equal_rows_are_spread(spark):
+    """A third of the rows equal: partitions within twice the mean, workers within 5 %."""
+    recs = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise(F.col("id") / 3e4).alias("x1"), F.lit(0.5).alias("x2"))
+    ex = to_examples(recs.withColumn("y", F.col("x1")), ["x1", "x2"], ["y"])
+    assert ex.select("row_id").distinct().count() == 30000
+    for layout in ("worker", "range"):
+        a = assign_workers(ex, 4, 100, 2, layout=layout, num_partitions=16).withColumn("pid", F.spark_partition_id())
+        w = [r["count"] for r in a.groupBy("worker").count().collect()]
+        assert max(w) < 1.05 * 7500 and min(w) > 0.95 * 7500
+        p = [r["count"] for r in a.groupBy("pid").count().collect()]
+        assert max(p) < 2 * 30000 / len(p)
+
+
+@pytest.mark.parametrize("limit", [40, 300])
+@pytest.mark.parametrize("freq", [None, 3])
+def test_long_rounds_run_as_bounded_jobs(spark, monkeypatch, limit, freq):
+    """A worker with 77 % of the rows, minibatches of 100: with a bound of 40 rows each one is summed over tasks,
+    with 300 three go to a job; the parameters are those of a replay."""
+    import parallax.operators.train as tr
+
+    ex = _examples(spark).withColumn("w", F.when(F.pmod("row_id", F.lit(100)) < 77, F.lit(0)).otherwise(F.lit(1)))
+    ref = assign_workers(ex, 2, 100, freq, worker_col="w", layout="worker").toPandas()
+    want, hist = _brute_force(ref, relu_2_8_1(), 1, 0.2, 2)
+    seen = []
+    plain = tr.fit_round
+    monkeypatch.setattr(tr, "ROUND_TASK_MAX_ROWS", limit)
+    monkeypatch.setattr(tr, "fit_round", lambda *a, **k: seen.append(k.get("batches")) or plain(*a, **k))
+    opts = TrainOptions(workers=2, batch_size=100, averaging_frequency=freq, learning_rate=0.2)
+    m, h = fit(ex, relu_2_8_1(), 1, opts, worker_col="w", layout="range")
+    assert np.abs(m.params() - want.params()).max() < 1e-10
+    assert abs(h[0]["loss"] - hist[0]) < 1e-10 and h[0]["rows"] == 6000
+    if limit == 40:
+        assert not seen
+    elif freq is None:
+        assert seen and all(b - a <= 3 for a, b in seen)
+
+
+def test_fit_leaves_the_session_alone_and_reads_the_placement(spark):
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    tables = {t.name for t in spark.catalog.listTables("global_temp")}
+    fit(_examples(spark), relu_2_8_1(), 1, TrainOptions(workers=2, batch_size=512))
+    assert before == {k: spark.conf.get(k, None) for k in keys}
+    assert tables == {t.name for t in spark.catalog.listTables("global_temp")}
+
+
+def test_other_session_finds_the_persisted_placement(spark):
+    from parallax.operators.train import place
+
+    placed = place(_examples(spark), TrainOptions(workers=2, batch_size=512), n_inputs=2, n_outputs=1)
+    placed[0].createOrReplaceGlobalTempView("seen_from_elsewhere")
+    plan = spark.newSession().table("global_temp.seen_from_elsewhere")._jdf.queryExecution().executedPlan().toString()
+    placed.release()
+    spark.catalog.dropGlobalTempView("seen_from_elsewhere")
+    assert "InMemoryTableScan" in plan
+
+
+@pytest.mark.parametrize("layout", ["worker", "range"])
+def test_wrong_widths_are_refused(spark, layout):
+    ex = _examples(spark).withColumn("features", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    with pytest.raises(Exception, match="the model takes 2 features"):
+        fit(ex, relu_2_8_1(), 1, TrainOptions(workers=2, batch_size=64), layout=layout)
+    ex = _examples(spark).withColumn("label", F.array(F.lit(1.0), F.lit(2.0)))
+    with pytest.raises(Exception, match="the model takes 1 labels"):
+        fit(ex, relu_2_8_1(), 1, TrainOptions(workers=2, batch_size=64), layout=layout)
+
+
+def test_a_placement_has_few_directories(spark, monkeypatch):
+    import parallax.operators.train as tr
+
+    monkeypatch.setattr(tr, "MAX_ROUND_DIRS", 5)
+    opts = TrainOptions(workers=2, batch_size=16, averaging_frequency=1)
+    placed = tr.place(_examples(spark), opts, n_inputs=2, n_outputs=1, layout="range")
+    assert placed[1] == placed.batches > 180
+    assert placed[0].select("round_group").distinct().count() <= 5
+    m, h = fit(_examples(spark), relu_2_8_1(), 1, opts, placed=placed)
+    placed.release()
+    assert h[0]["rows"] == 6000
 
 
 def test_large_models_travel_as_broadcast(spark, monkeypatch):
@@ -219,10 +303,10 @@ def test_release_deletes_a_written_placement(spark):
     opts = TrainOptions(workers=2, batch_size=256, averaging_frequency=2)
     p = place(_examples(spark), opts, n_inputs=2, n_outputs=1, layout="range")
     df, rounds = p
-    assert rounds > 0 and p.path and os.path.isdir(p.path.replace("file:", ""))
-    path = p.path
+    assert rounds > 0 and p.paths and all(os.path.isdir(x.replace("file:", "")) for x in p.paths)
+    paths = p.paths
     p.release()
-    assert not os.path.exists(path.replace("file:", ""))
+    assert not any(os.path.exists(x.replace("file:", "")) for x in paths)
 
 
 def test_fit_with_given_worker_and_order_columns(spark):
