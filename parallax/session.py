@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Scratch paths made by this process and not yet deleted by ``delete_scratch``.
+_made: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
@@ -36,7 +40,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/parallax-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/parallax-{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def delete_scratch(spark: SparkSession) -> int:
+    """Deletes every scratch path that this process has made; returns their number.
+
+    Call it when no DataFrame that reads them is used any more: a query's result is lazy."""
+    n = len(_made)
+    while _made:
+        delete_path(spark, _made.pop())
+    return n
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "parallax",

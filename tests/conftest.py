@@ -24,6 +24,9 @@ def spark():
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
+    from parallax.session import delete_scratch
+
+    delete_scratch(spark)  # nothing stays behind in the checkpoint folder
     spark.stop()
 
 

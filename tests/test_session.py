@@ -68,3 +68,18 @@ def test_stock_local_session_gets_a_temp_folder(tmp_path):
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": root, "TMPDIR": str(tmp_path / "tmp")}
     run = subprocess.run([sys.executable, "-c", STOCK], env=env, capture_output=True, text=True, timeout=180)
     assert "STOCK OK" in run.stdout, run.stderr[-2000:]
+
+
+def test_scratch_paths_are_deleted_together(spark):
+    from parallax import session
+
+    kept, session._made[:] = list(session._made), []
+    try:
+        paths = [session.scratch_path(spark, "gone") for _ in range(2)]
+        spark.range(3).write.parquet(paths[0])
+        assert session.delete_scratch(spark) == 2 and session._made == []
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(paths[0])
+        assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    finally:
+        session._made[:] = kept
