@@ -60,14 +60,15 @@ def bench_score(spark: SparkSession, scored: DataFrame, iterations: int = 50, na
 
 
 def bench_fit(spark: SparkSession, examples: DataFrame, model: Model, epochs: int = 50, iterations: int = 1,
-              warmup: int = 0, options: TrainOptions = TrainOptions(), name: str = "fit"):
+              warmup: int = 0, options: TrainOptions = TrainOptions(), name: str = "fit",
+              worker_col: str | None = None, order_col: str | None = None, layout: str = "auto"):
     """Warm-up ``warmup x epochs`` untimed, then ``iterations x epochs`` timed.
 
     Returns ``(bench_runs, model, history)``; one run row per iteration, with
     ``n_records`` = rows trained on.  Placement is done once, untimed, and
     reused by every iteration.
     """
-    placed = place(examples, options, n_inputs=model.n_inputs, n_outputs=model.n_outputs)
+    placed = place(examples, options, worker_col, order_col, model.n_inputs, model.n_outputs, layout)
     try:
         for _ in range(warmup):
             model, _h = fit(examples, model, epochs, options, placed=placed)

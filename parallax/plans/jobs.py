@@ -47,7 +47,10 @@ def load_examples(spark: SparkSession, args) -> DataFrame:
         if args.job == "train" and not args.labels:
             raise SystemExit("--labels (label column names) is required to train on parquet input")
         labels = args.labels.split(",") if args.labels else None
-        return to_examples(spark.read.parquet(args.data), args.features.split(","), labels)
+        keep = list(dict.fromkeys(c for c in (getattr(args, "worker_col", None), getattr(args, "order_col", None)) if c))
+        return to_examples(spark.read.parquet(args.data), args.features.split(","), labels, keep=keep)
+    if getattr(args, "worker_col", None) or getattr(args, "order_col", None):
+        raise SystemExit("--worker-col and --order-col name columns of parquet input")
     checked = read_records(spark, args.data, args.columns, sep=args.sep, header=args.header)
     if args.count_bad:  # one extra pass over the input, so only on request
         print(f"malformed records left out: {bad_records(checked).count()}")
@@ -86,6 +89,10 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--epochs", type=int, default=TRAIN_EPOCHS)
     t.add_argument("--warmup", type=int, default=TRAIN_WARMUP, help="untimed warm-up iterations of --epochs each")
     t.add_argument("--seed", type=int, default=12345)
+    t.add_argument("--storage", choices=["persist", "checkpoint"], default="persist", help="where the placed rows live")
+    t.add_argument("--layout", choices=["auto", "worker", "range"], default="auto")
+    t.add_argument("--worker-col", help="parquet: integer column that names each row's worker (default: a hash of the row)")
+    t.add_argument("--order-col", help="parquet: column that orders a worker's rows (default: shuffled by a hash)")
     t.add_argument("--save", help="write the trained weights table here")
     return p
 
@@ -103,9 +110,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
             write_predictions(scored, args.out, fmt=args.out_format, width=model.n_outputs)
     else:
         opts = TrainOptions(workers=args.workers, batch_size=args.batch,
-                            averaging_frequency=args.averaging or None, learning_rate=args.lr, seed=args.seed)
+                            averaging_frequency=args.averaging or None, learning_rate=args.lr, seed=args.seed,
+                            storage=args.storage)
         runs, model, history = bench_fit(spark, examples, model, epochs=args.epochs, iterations=args.iterations or 1,
-                                         warmup=args.warmup, options=opts, name="train")
+                                         warmup=args.warmup, options=opts, name="train",
+                                         worker_col=args.worker_col, order_col=args.order_col, layout=args.layout)
         if history:
             print(f"last epoch loss: {history[-1]['loss']}")
         if args.save:

@@ -30,3 +30,14 @@ def test_score_and_train_jobs_end_to_end(spark, tmp_dir, capsys):
     runs = main(["score", "--data", SF001 + "/lineitem.parquet", "--format", "parquet", "--model", model,
                  "--features", "l_extendedprice,l_discount", "--method", "expr", "--iterations", "1"], spark=spark)
     assert runs.first().n_records == 6000
+
+
+def test_train_job_takes_placement_settings(spark, tmp_dir):
+    model = os.path.join(tmp_dir, "model")
+    save_model(spark, relu_2_8_1(), model)
+    data = os.path.join(tmp_dir, "li")
+    net_price_records(read_table(spark, SF001, "lineitem"), keep=["l_orderkey"]).write.parquet(data)
+    runs = main(["train", "--data", data, "--format", "parquet", "--features", "x1,x2", "--labels", "y", "--model", model, "--workers", "2",
+                 "--batch", "512", "--averaging", "2", "--epochs", "1", "--warmup", "0", "--storage", "checkpoint", "--layout", "range",
+                 "--worker-col", "l_orderkey", "--order-col", "l_orderkey"], spark=spark)
+    assert runs.first().n_records == 6000
