@@ -362,8 +362,9 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
 
 def _round_rows(placed: DataFrame, round_no: int | None, batches: tuple[int, int] | None) -> DataFrame:
     rows = placed if round_no is None else placed.filter(F.col("round_no") == F.lit(round_no))
-    if round_no is not None and "round_group" in placed.columns:
-        rows = rows.filter(F.col("round_group") == F.lit(round_no // placed._parallax_group))  # prunes directories
+    group = getattr(placed, "_parallax_group", None)  # rounds to a directory, known to ``fit``
+    if round_no is not None and group and "round_group" in placed.columns:
+        rows = rows.filter(F.col("round_group") == F.lit(round_no // group))  # prunes directories
     if batches is not None:
         rows = rows.filter((F.col("batch_no") >= batches[0]) & (F.col("batch_no") < batches[1]))
     return rows
