@@ -49,6 +49,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return cur.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionAll(roots)
 
 
+MAX_SIEVE_WORDS = 1 << 20  # 8 MB
+
+
+def mark_possible(rows: DataFrame, column: str, ids: DataFrame, id_col: str, mark: str = "_maybe") -> DataFrame:
+    """``rows`` and a boolean: false where ``column`` is surely not among ``ids``, true where it may be.
+
+    A Bloom filter in blocks of 64 bits, about four ids a block, of at most ``MAX_SIEVE_WORDS`` blocks
+    whatever the number of ids, so it may be broadcast; where the ids outgrow it, more rows are marked.
+    It spares the shuffle the rows that an equi-join with the ids would not match."""
+    words = max(1, min(MAX_SIEVE_WORDS, ids.count() // 4))
+    place = lambda c: F.pmod(F.xxhash64(F.lit(1), c), F.lit(words))
+    bit = lambda c, k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(k), c), F.lit(64)).cast("int"))
+    bits = lambda c: bit(c, 2).bitwiseOR(bit(c, 3))
+    table = ids.select(place(F.col(id_col)).alias("_w"), bits(F.col(id_col)).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_m"))
+    hit = rows.withColumn("_w", place(F.col(column))).join(F.broadcast(table), "_w", "left")
+    maybe = F.coalesce(F.col("_m").bitwiseAND(bits(F.col(column))) == bits(F.col(column)), F.lit(False))
+    return hit.select(*rows.columns, maybe.alias(mark))
+
+
+def sieve(rows: DataFrame, column: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose ``column`` may be among ``ids``: every one that is, and a few others."""
+    return mark_possible(rows, column, ids, id_col).filter("_maybe").drop("_maybe")
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     """Spanning edges of the graph with nodes 0..n-1 and edges (i, j): at most n - 1, each towards a root's smallest node."""
     label = np.arange(n)

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.components import connected_components, forest, sorted_groups
+from parallax.llm.components import connected_components, forest, mark_possible, sieve, sorted_groups
 from parallax.session import scratch_path
 
 N = 5
@@ -295,10 +295,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = int(np.ceil((threshold - MARGIN) * width))
     edges = (_blocks(chunked.select("key", "chunks", "rep", "sig"), "key", "chunks")
              .mapInArrow(partial(_bucket_edges, least=least, width=width), "a long, b long").distinct())
-    families = connected_components(edges).withColumnsRenamed({"id": "rep", "component": "family"})
+    families = settle(connected_components(edges).withColumnsRenamed({"id": "rep", "component": "family"}), "family")
 
-    # full sets of the family members only
-    sized = settle(named.withColumnRenamed("doc_id", "rep").join(families, "rep")
+    # full sets of the family members only; the sieve keeps the other texts out of the shuffle
+    sized = settle(sieve(named.withColumnRenamed("doc_id", "rep"), "rep", families, "rep").join(families, "rep")
                    .join(classes.select(F.col("rep"), "m"), "rep").dropDuplicates(["rep"])
                    .select("family", "rep", "m", "text").mapInArrow(partial(_set_batches, n=n), "family long, rep long, m long, set binary"), "set")
     cut = sized.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_CHUNK),
@@ -319,5 +319,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One document of each class (the smallest id; rows that repeat it count as one document and stay), all columns kept."""
-    gone = (near_duplicates(docs, id_col, text_col, **settings).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "ngram-gone")
+    (near_duplicates(docs, id_col, text_col, **settings).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+     .write.parquet(path))
+    gone = spark.read.parquet(path)
+    # documents that are surely not gone pass without a shuffle
+    marked = mark_possible(docs.withColumn("_id", F.col(id_col).cast("long")), "_id", gone, "_gone")
+    stay = marked.filter("not _maybe").select(*docs.columns)
+    asked = marked.filter("_maybe")
+    return stay.unionAll(asked.join(gone, asked["_id"] == F.col("_gone"), "left_anti").select(*docs.columns))
