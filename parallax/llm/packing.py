@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parallax.llm.wordbpe import WordEncoder
+from parallax.llm.wordbpe import worker_encoder
 from parallax.session import scratch_path
 
 CAPACITY = 2048
@@ -46,7 +46,7 @@ def piece_batches(tokenizer_file: str, capacity: int, end_id: int):
     """For ``mapInPandas``: (doc_id, text) to (doc_id, piece, start, length, ids_crc32)."""
 
     def run(batches: Iterator) -> Iterator:
-        encoder = WordEncoder(tokenizer_file)
+        encoder = worker_encoder(tokenizer_file)
         for pdf in batches:
             n, out = len(pdf), []
             ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
@@ -188,7 +188,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs.sort()
     table = np.array(runs, np.int64).reshape(-1, 5)
     ranked = rank_in_length(pieces)
-    names = [c for c in ranked.columns if c != "_rank"]
+    names = pieces.columns
 
     top = (1 << 62) // (capacity + 1)
     keys = table[:, 0] * top + table[:, 1]

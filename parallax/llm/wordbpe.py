@@ -14,6 +14,7 @@ import json
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -111,3 +112,9 @@ class WordEncoder:
             self._place[r] = len(self._starts)
             self._starts.append(at)
             self._lengths.append(len(self._flat) - at)
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(tokenizer_file: str) -> WordEncoder:
+    """The worker's encoder of a file: its cache lasts over tasks, and is bounded."""
+    return WordEncoder(tokenizer_file)
