@@ -86,7 +86,9 @@ def parse_lines(lines: DataFrame, columns: int | list[str], sep: str = ",", valu
         missing = c if missing is None else (missing | c)
     # The double parser also takes Java literals (1d, 2F, 0x1p3); none of their
     # letters but an exponent's e is part of a decimal number.
-    missing = missing | F.col("_p.line").rlike("[0-9.][dDfF]|[xXpP]")
+    # A line without letters (its lower and upper case are one) is not searched for them.
+    line = F.col("_p.line")
+    missing = missing | F.when(F.lower(line) != F.upper(line), line.rlike("[0-9.][dDfF]|[xXpP]")).otherwise(F.lit(False))
     bad = F.coalesce(F.col(f"_p.r.{BAD}"), F.when(missing, F.col("_p.line")))
     return parsed.select(
         *[F.when(bad.isNull(), F.col(f"_p.r.`{n}`")).alias(n) for n in names],
