@@ -51,7 +51,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MAX_CACHED_WORDS = 200_000
 PAIR_SLOTS = 1 << 21  # a pair's slot is its key's hash; a later pair takes the slot over
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 6_000_000  # characters whose words are learned together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -136,6 +136,11 @@ class PieceModel:
         self.scores = np.array(scores)
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
+        # pieces that decode to the same text wherever they stand (an ASCII byte is no part of a longer
+        # character), and the others
+        self.plain = [chr(int(p[1:-1], 16)) if k == BYTE and int(p[1:-1], 16) < 128 else "" if k == CONTROL else p
+                      for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.hard = np.array([k == UNKNOWN or k == BYTE and int(p[1:-1], 16) > 127 for p, k in zip(self.pieces, self.kinds, strict=True)])
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER_DEFINED)]
         self.ids = {self.pieces[i]: i for i in usable}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -217,65 +222,80 @@ class PieceEncoder:
             step = max(1, 2_000_000 // n)
             for s in range(0, len(group), step):
                 part = group[s:s + step]
-                for w, ids in zip(part, self.viterbi(part, n), strict=True):
-                    self._place[w] = len(self._starts)
-                    self._starts.append(len(self._flat))
-                    self._lengths.append(len(ids))
-                    self._flat.extend(ids)
-
-    def viterbi(self, words: list[str], n: int) -> list[list[int]]:
-        """Ids of words that all have ``n`` characters."""
+                ids, counts = self.viterbi(part, n)
+                base, at = len(self._starts), len(self._flat)
+                self._place.update(zip(part, range(base, base + len(part)), strict=True))
+                self._starts.frombytes((at + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+                self._lengths.frombytes(counts.astype(np.int64).tobytes())
+                self._flat.frombytes(ids.astype(np.int32).tobytes())
+
+    def viterbi(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that all have ``n`` characters, one word after the other, and the number of each word's ids."""
         m = self.model
         count = len(words)
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(count, n).astype(np.uint64)
-        prefix = np.zeros((count, n + 1), np.uint64)
+        # position first, so that a step reads and writes whole rows of memory
+        chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(count, n).T)
+        prefix = np.zeros((n + 1, count), np.uint64)
         power = np.ones(n + 1, np.uint64)
         for k in range(n):  # wraps round at 2^64
-            prefix[:, k + 1] = prefix[:, k] * _BASE + chars[:, k] + np.uint64(1)
+            prefix[k + 1] = prefix[k] * _BASE + chars[k] + np.uint64(1)
             power[k + 1:k + 2] = power[k:k + 1] * _BASE
-        bpe = m.kind == BPE
-        best = np.full((count, n + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((count, n + 1), np.int32)          # start of the last piece
-        last = np.full((count, n + 1), -1, np.int64)       # the last piece, -1 none
+        back = np.zeros((n + 1, count), np.int32)          # start of the last piece
+        last = np.full((n + 1, count), -1, np.int64)       # the last piece, -1 none
+        best = np.full((n + 1, count), -np.inf) if m.kind == UNIGRAM else None
+        if best is not None:
+            best[0] = 0
         lowest = float(m.scores.min()) - 10
         for end in range(1, n + 1):
-            rows = np.arange(count)  # words whose last piece is still open
+            rows = None  # words whose last piece is still open; None: all
             for size in range(min(m.longest, end), 0, -1):
+                if size not in m.keys and size > 1:
+                    continue
                 start = end - size
-                piece = m.probe(prefix[rows, end] - prefix[rows, start] * power[size], size)
-                if bpe:
-                    fits = np.flatnonzero(piece >= 0)
-                    ok = fits[self._follow(last[rows[fits], start], piece[fits])] if len(fits) else fits
-                    if size == 1:  # a character that is no piece is unknown (its bytes, in the output)
-                        piece = np.where(piece < 0, m.unknown, piece)
-                        ok = np.union1d(ok, np.flatnonzero(piece == m.unknown))
-                    hit = rows[ok]
-                    back[hit, end], last[hit, end], best[hit, end] = start, piece[ok], 0
-                    rows = np.delete(rows, ok)  # one candidate has rank 1; the others are -inf
-                    if not len(rows):
-                        break
-                else:
-                    rank = best[:, start] + np.where(piece >= 0, m.scores[piece], lowest if size == 1 else -np.inf)
-                    better = rank > best[:, end]
-                    best[better, end], back[better, end] = rank[better], start
-                    last[better, end] = np.where(piece[better] < 0, m.unknown, piece[better])
+                if best is not None:
+                    piece = m.probe(prefix[end] - prefix[start] * power[size], size)
+                    rank = best[start] + np.where(piece >= 0, m.scores[piece], lowest if size == 1 else -np.inf)
+                    better = np.flatnonzero(rank > best[end])
+                    best[end, better], back[end, better] = rank[better], start
+                    last[end, better] = np.where(piece[better] < 0, m.unknown, piece[better])
+                    continue
+                a, b = (prefix[end], prefix[start]) if rows is None else (prefix[end][rows], prefix[start][rows])
+                piece = m.probe(a - b * power[size], size)
+                fits = np.flatnonzero(piece >= 0)
+                at = fits if rows is None else rows[fits]
+                ok = self._follow(last[start][at], piece[fits])  # rank 1; the other candidates are -inf
+                back[end, at[ok]], last[end, at[ok]] = start, piece[fits[ok]]
+                if size == 1:  # a character that is no piece is unknown (its bytes, in the output)
+                    lone = np.flatnonzero(piece < 0)
+                    lone = lone if rows is None else rows[lone]
+                    back[end, lone], last[end, lone] = start, m.unknown
+                done = np.zeros(len(piece), bool)
+                done[fits[ok]] = True
+                rows = np.flatnonzero(~done) if rows is None else rows[~done]
+                if not len(rows):
+                    break
         # back to the start, all words at once
         steps, at = [], np.full(count, n)
-        while (live := np.flatnonzero(at > 0)).size:
-            start = back[live, at[live]]
-            steps.append((live, start, last[live, at[live]]))
+        live = np.arange(count)
+        while len(live):
+            start = back[at[live], live]
+            steps.append((live, start, last[at[live], live]))
             at[live] = start
+            live = live[start > 0]
         row, start, piece = (np.concatenate(x) for x in zip(*steps, strict=True))
         order = np.lexsort((start, row))
         row, start, piece = row[order], start[order], piece[order]
-        out = [x.tolist() for x in np.split(piece, np.flatnonzero(np.diff(row)) + 1)]
-        if m.bytes:
-            for k in np.unique(row[piece == m.unknown]).tolist():
-                mine = row == k
-                out[k] = [i for p, s in zip(piece[mine].tolist(), start[mine].tolist(), strict=True)
-                          for i in ([p] if p != m.unknown else [m.bytes[b] for b in words[k][s].encode("utf-8", "surrogatepass")])]
-        return out
+        if m.bytes and (lone := np.flatnonzero(piece == m.unknown)).size:
+            code = chars[start[lone], row[lone]]
+            size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+            times = np.ones(len(piece), np.int64)
+            times[lone] = size
+            first = np.cumsum(times) - times
+            row, piece = np.repeat(row, times), np.repeat(piece, times)
+            for k, c in zip(first[lone].tolist(), code.tolist(), strict=True):
+                for d, byte in enumerate(chr(c).encode("utf-8", "surrogatepass")):
+                    piece[k + d] = m.bytes[byte]
+        return piece, np.bincount(row, minlength=count)
 
     def _follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether ``right`` may stand after ``left`` in a BPE encoding; -1 and unknown go with all. A first
@@ -338,8 +358,11 @@ class PieceEncoder:
                     at += 1
             held.clear()
 
+        ids = np.asarray(ids, np.int64)
+        if not m.hard[ids].any():
+            return self._spaces("".join(map(m.plain.__getitem__, ids.tolist())))
         values = {i: b for b, i in m.bytes.items()}
-        for i in np.asarray(ids).tolist():
+        for i in ids.tolist():
             kind = m.kinds[i]
             if kind == BYTE:
                 held.append(values[i])
@@ -350,10 +373,12 @@ class PieceEncoder:
             elif kind != CONTROL:
                 out.append(m.pieces[i])
         flush()
-        text = "".join(out)
-        if m.escape:
+        return self._spaces("".join(out))
+
+    def _spaces(self, text: str) -> str:
+        if self.model.escape:
             text = text.replace(SPACE, " ")
-        return text[1:] if m.dummy_prefix and text.startswith(" ") else text
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
