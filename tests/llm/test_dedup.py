@@ -16,6 +16,7 @@ from parallax.llm import embedding_dedup as E
 from parallax.llm import exact_dedup as X
 from parallax.llm import line_dedup as L
 from parallax.llm import ngram_join as J
+from parallax.llm import components as K
 from parallax.llm.components import connected_components, forest
 from parallax.llm.queries import ORACLES, QUERIES
 
@@ -54,6 +55,17 @@ def test_connected_components_of_a_path_a_star_and_a_cycle(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 20, 2])
+def test_sieve_loses_no_member_at_any_size(spark, monkeypatch, most):
+    monkeypatch.setattr(K, "MAX_SIEVE_WORDS", most)
+    rows = spark.range(20000).select(F.when(F.col("id") > 5, F.col("id")).alias("id"))
+    ids = spark.range(0, 20000, 40).select(F.when(F.col("id") > 0, F.col("id")).alias("i"))
+    got = {r.id for r in K.sieve(rows, "id", ids, "i").collect()}
+    assert {r.i for r in ids.collect()} <= got
+    assert most == 2 or len(got) < 2500  # few others; a sieve that is too small lets more through
+    assert K.mark_possible(rows, "id", ids.limit(0), "i").filter("_maybe").count() == 0
+
+
 # ---- exact dedup
 
 def brute_exact(rows):
@@ -248,7 +260,7 @@ def vectors(seed=0, groups=12, size=12, dim=16):
 
 @pytest.mark.parametrize("chunk", [512, 2])
 def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(E, "CELL_CHUNK", chunk)
+    monkeypatch.setattr(E, "BUCKET_ROWS", chunk)  # with 2 every block is cut
     df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>, label int").withColumn("rep", F.lit("x")).withColumn("m", F.lit(1))
     assert rows_of(E.near_vectors(df)) == brute_vectors(vectors())
 
@@ -266,7 +278,7 @@ def test_traversal_visits_in_order_and_misses_nothing():
     base = rng.normal(size=(40, 12))
     x = np.concatenate([base, base + rng.normal(size=(40, 12)) * 0.03])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    index = E.fit_index(x, 0.98, centroids=8)
+    index = E.fit_index(x, 0.98, target_recall=1.0, centroids=8)
     cells = index.cells(x)
     visits = list(index.visits(x))
     one, two = index.bounds(x)

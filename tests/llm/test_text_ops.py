@@ -102,6 +102,14 @@ def test_quality_without_labels_or_with_one_class(spark, make_docs, make_labels)
     assert Q.score_quality(make_docs([]), Q.RuleModel()).count() == 0
 
 
+def test_large_and_null_ids_pass_unchanged(spark, make_docs):
+    big = (1 << 62) + 1
+    df = make_docs([(big, "a b"), (None, "you idiot"), (3, None)], extra=True)
+    for out in (Q.score_quality(df, Q.RuleModel()), X.score_toxicity(df, X.ToxicGrammar())):
+        assert {r.doc_id for r in out.collect()} == {big, None, 3}
+    assert {r.doc_id for r in X.toxicity_filter(df, X.ToxicGrammar()).collect()} <= {big, None, 3}
+
+
 def test_statistics_of_small_texts():
     assert stats_of(None) == stats_of("  \n ") == [0.0] * len(STATS)
     s = dict(zip(STATS, stats_of("AB cd!! x$\nAB x$ x$"), strict=True))
