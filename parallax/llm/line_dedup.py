@@ -21,8 +21,8 @@ lines recur in ordinary prose by chance.
 Scale: lines are counted by hash, with partial aggregation, so a line that a
 third of all documents share is one row per task; only words of lines in
 recurring leaves are counted, once per different line. Lines travel as hashes;
-a document's text moves at most twice, to give the words of a recurring line and
-to meet the list of its dropped lines (Spark broadcasts either list when it is small).
+the texts that move are those that give the words of a recurring line, and those
+that lose lines (a bounded sieve keeps the others out of the shuffles).
 
 Defined cases: a null text counts as empty and comes out empty, with no
 lines; a text that loses all its lines comes out empty; an empty table gives
@@ -37,6 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.components import mark_possible, sieve
 from parallax.session import scratch_path
 
 DEPTH = 3
@@ -85,12 +86,14 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # leaves of at least min_docs documents: distinct (leaf, document) first, so a hot leaf is spread
     leaves = (keys.groupBy("leaf", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
               .groupBy("leaf").agg(F.count(F.lit(1)).alias("nd")).filter(F.col("nd") >= min_docs).select("leaf"))
-    known = settle(keys.join(leaves, "leaf", "left_semi"), "known")
+    # written first: the join's sides are then plain scans, of which a hot leaf's can be split
+    known = settle(keys.join(settle(leaves, "leaves"), "leaf", "left_semi"), "known")
     # different lines, with the number of documents that have them and one place each
     variants = (known.groupBy("leaf", "lh", "doc_id", "th").agg(F.min("pos").alias("pos"))
                 .groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("nd"), F.min(F.struct("doc_id", "th", "pos")).alias("at")))
     places = variants.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.pos", "leaf", "lh", "nd")).alias("found"))
-    texts = _located(docs, id_col, text_col)
+    places = settle(places, "places")
+    texts = sieve(_located(docs, id_col, text_col), "doc_id", places, "doc_id")
     # equal rows give the same lines twice here; one is enough
     rows = (texts.join(places.withColumnsRenamed({"doc_id": "_d", "th": "_th"}),
                        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")))
@@ -120,13 +123,20 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """Every input row with its text less the dropped lines, ``_n_lines`` and ``_n_dropped`` added."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    drops = (line_templates(docs, id_col, text_col, **settings).filter("dropped")
-             .groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_pos")))
-    out = docs.withColumn("_h", F.xxhash64(t))
-    out = out.join(drops, out[id_col].eqNullSafe(F.col("_d")) & (out["_h"] == F.col("_th")), "left")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "line-dedup-drops")
+    (line_templates(docs, id_col, text_col, **settings).filter("dropped")
+     .groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_pos")).write.parquet(path))
+    drops = spark.read.parquet(path)
+    # documents that surely lose no line pass without a shuffle
+    marked = mark_possible(docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(t)}), "_id", drops, "_d")
+    stay = marked.filter("not _maybe").withColumn("_pos", F.lit(None).cast("array<int>"))
+    asked = marked.filter("_maybe")
+    asked = asked.join(drops, asked["_id"].eqNullSafe(F.col("_d")) & (asked["_h"] == F.col("_th")), "left")
+    out = stay.select(*docs.columns, "_pos").unionAll(asked.select(*docs.columns, "_pos"))
     lines = F.split(t, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_pos"), i)), "\n")
-    return out.select(*[F.when(F.col("_pos").isNull(), t).otherwise(kept).alias(c) if c == text_col else out[c] for c in docs.columns],
+    return out.select(*[F.when(F.col("_pos").isNull(), t).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
                       F.when(t == "", 0).otherwise(F.size(lines)).cast("long").alias("_n_lines"),
                       F.coalesce(F.size("_pos"), F.lit(0)).cast("long").alias("_n_dropped"))
 
