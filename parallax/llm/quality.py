@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -182,11 +183,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> RuleModel:
 def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and the statistics (prefixed) of every whole text."""
     keep = keep or []
-    # positions instead of names while in Python, so that any column name is safe
-    src = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_t"))
+    # positions instead of names while in Python, so that any column name is safe; the text goes once
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    src = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keep, *([] if text_col in keep else [text_col])])])
     schema = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
                           + [T.StructField(s, T.DoubleType()) for s in STATS])
-    out = src.mapInPandas(stats_batches("_t"), schema)
+    out = src.mapInArrow(partial(stats_batches, text_at=at, keep=len(keep)), schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
                       *[F.col(s).alias(PREFIX + s) for s in STATS])
 
@@ -210,5 +212,5 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", id_
 def quality_filter(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """The documents that the model does not reject, all columns kept, in one pass over the texts."""
     names = docs.columns
-    kept = with_statistics(docs.withColumn("_copy", F.col(text_col)), "_copy", names)
+    kept = with_statistics(docs, text_col, names)
     return kept.filter(model.column() >= THRESHOLD).select(*names)

@@ -1,4 +1,4 @@
-"""Document statistics by numpy over code points and words (``mapInPandas``).
+"""Document statistics by numpy over code points and words (``mapInArrow``).
 
 One row in, one row out; a null text counts as empty. Statistics of an empty
 text are all zero. The whole text is read.
@@ -89,16 +89,11 @@ def stats_of(text: str | None) -> list[float]:
     ]
 
 
-def stats_batches(text_col: str) -> callable:
-    """For ``mapInPandas``: every column kept but the text, the statistics after."""
+def stats_batches(batches: Iterator, text_at: int, keep: int) -> Iterator:
+    """For ``mapInArrow``: the first ``keep`` columns as they came, then the statistics of column ``text_at``."""
+    import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            rows = [stats_of(t) for t in pdf[text_col]]
-            out = pdf.drop(columns=[text_col]).reset_index(drop=True)
-            m = np.array(rows, dtype=float).reshape(-1, len(STATS))
-            yield pd.concat([out, pd.DataFrame(m, columns=STATS)], axis=1)
-
-    return run
+    for batch in batches:
+        m = np.array([stats_of(t.as_py()) for t in batch.column(text_at)], float).reshape(-1, len(STATS))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(np.ascontiguousarray(c)) for c in m.T)],
+                                         names=[*batch.schema.names[:keep], *STATS])

@@ -35,6 +35,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -274,26 +275,25 @@ def learn_stems(sample: DataFrame) -> ToxicGrammar:
     return g
 
 
-def _feature_batches(g: ToxicGrammar):
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        pattern = g.pattern()
-        for pdf in batches:
-            x = np.array([features(g, t, pattern) for t in pdf["_t"]], float).reshape(-1, len(FEATURES))
-            out = pdf.drop(columns=["_t"]).reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(x, columns=FEATURES)], axis=1)
+def _feature_batches(batches: Iterator, g: ToxicGrammar, text_at: int, keep: int) -> Iterator:
+    """For ``mapInArrow``: the first ``keep`` columns as they came, then the features of column ``text_at``."""
+    import pyarrow as pa
 
-    return run
+    pattern = g.pattern()
+    for batch in batches:
+        x = np.array([features(g, t.as_py(), pattern) for t in batch.column(text_at)], float).reshape(-1, len(FEATURES))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(np.ascontiguousarray(c)) for c in x.T)],
+                                         names=[*batch.schema.names[:keep], *FEATURES])
 
 
 def with_features(docs: DataFrame, g: ToxicGrammar, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (by position while in Python, so any names are safe) and the features as ``_tox_*``."""
+    """``keep`` columns (by position while in Python, so any names are safe; the text goes once) and the features as ``_tox_*``."""
     keep = keep or []
-    src = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_t"))
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    src = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keep, *([] if text_col in keep else [text_col])])])
     schema = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
                           + [T.StructField(f, T.DoubleType()) for f in FEATURES])
-    out = src.mapInPandas(_feature_batches(g), schema)
+    out = src.mapInArrow(partial(_feature_batches, g=g, text_at=at, keep=len(keep)), schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f).alias(f"_tox_{f}") for f in FEATURES])
 
 
@@ -330,7 +330,7 @@ def score_toxicity(docs: DataFrame, g: ToxicGrammar, text_col: str = "text", id_
 def toxicity_filter(docs: DataFrame, g: ToxicGrammar, text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, all columns kept."""
     names = docs.columns
-    f = with_features(docs.withColumn("_copy", F.col(text_col)), g, "_copy", names)
+    f = with_features(docs, g, text_col, names)
     return f.filter(score_column(g) < THRESHOLD).select(*names)
 
 
