@@ -7,11 +7,10 @@ largest-id row, and members that differ (a hash collision) are regrouped by
 their whole text, so a collision can never merge two texts.
 
 What moves: hashes and ids for the counts (partial aggregation first, so a
-group of a third of all rows is one row per task), then each row's text at
-most once, to meet its group's count; Spark broadcasts the list of repeated hashes
-instead when it is small. The texts of repeated groups only go to the shared scratch folder.
-The byte comparison is an equi-join on the hash whose hot side adaptive
-execution splits.
+group of a third of all rows is one row per task), then the texts of repeated
+hashes only (a bounded sieve keeps the others out of the shuffle). The byte
+comparison is an equi-join on the hash whose hot side adaptive execution
+splits.
 
 Defined cases: a null text counts as empty (and equals other empty texts);
 every input row gives one output row; rows that repeat the largest doc_id of a
@@ -26,6 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parallax.llm.components import sieve
 from parallax.session import scratch_path
 
 
@@ -47,34 +47,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``hash_fn`` maps the SHA-256 column to the group key (tests pass a weak one
     to force collisions)."""
     spark: SparkSession = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), lower_ascii(F.col(text_col)).alias("norm"))
-    base = base.withColumn("sha", F.sha2("norm", 256)).withColumn("h", hash_fn(F.col("sha")))
-    groups = (base.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
-              .filter(F.col("n") > 1))
-    path = scratch_path(spark, "exact-dedup")
-    (base.join(groups, "h", "left")
-         .withColumn("norm", F.when(F.col("n") > 1, F.col("norm")))
-         .write.parquet(path))
-    known = spark.read.parquet(path)
-    single = known.filter(F.col("n").isNull()).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    multi = known.filter(F.col("n") > 1)
-    # The group's largest-id text; ids may repeat, so one row per hash is taken. It and the list of
-    # collisions are written, so that no aggregate stands on the joins and a hot group's side can be split.
-    rep_path, bad_path = scratch_path(spark, "exact-dedup-rep"), scratch_path(spark, "exact-dedup-mixed")
-    (multi.filter(F.col("doc_id").eqNullSafe(F.col("top"))).select("h", F.col("norm").alias("rep"))
-          .dropDuplicates(["h"]).write.parquet(rep_path))
-    (multi.select("h", "norm").join(spark.read.parquet(rep_path), "h").filter(F.col("norm") != F.col("rep"))
-          .select("h").write.parquet(bad_path))
+
+    def settle(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, f"exact-dedup-{name}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    light = settle(raw.select("doc_id", F.sha2(lower_ascii(F.col("text")), 256).alias("sha")), "hash").withColumn("h", hash_fn(F.col("sha")))
+    groups = settle(light.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).filter(F.col("n") > 1), "group")
+    # The texts of repeated hashes, to be compared. Here and below, what a join needs is written first, so that no
+    # aggregate stands on the joins and a hot hash's side can be split.
+    members = light.join(groups, "h", "left_semi")
+    multi = settle(sieve(raw, "doc_id", members, "doc_id").select("doc_id", lower_ascii(F.col("text")).alias("norm"))
+                   .withColumn("sha", F.sha2("norm", 256)).withColumn("h", hash_fn(F.col("sha"))).join(groups, "h"), "text")
+    # the group's largest-id text; ids may repeat, so one row per hash is taken
+    rep = settle(multi.filter(F.col("doc_id").eqNullSafe(F.col("top"))).select("h", F.col("norm").alias("rep")).dropDuplicates(["h"]), "rep")
     # A collision leaves rows unlike the representative; then n and top of that hash are of
     # several texts, so all its rows are regrouped by their whole text.
-    bad = spark.read.parquet(bad_path)
-    clean = (multi.join(bad, "h", "left_anti")
-             .select("doc_id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), "sha"))
+    bad = settle(multi.select("h", "norm").join(rep, "h").filter(F.col("norm") != F.col("rep")).select("h"), "mixed")
+    clean = light.join(bad, "h", "left_anti").join(groups, "h", "left").select(
+        "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).alias("group_size"), "sha")
     mixed = multi.join(bad, "h", "left_semi").select("doc_id", "sha", "norm")
     exact = mixed.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
     collided = mixed.join(exact, "norm").select("doc_id", "keep_id", "group_size", "sha")
-    out = single.unionByName(clean).unionByName(collided)
+    out = clean.unionByName(collided)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                       F.col("sha").alias("text_sha256"))
 
