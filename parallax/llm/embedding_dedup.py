@@ -14,10 +14,11 @@ precision.
    sorted lists of bounds together, nearest cells first (a heap over the grid's
    frontier), until the next cell's bound exceeds the reach. With
    ``target_recall`` 1 the reach is the distance of the cosine threshold and no
-   pair can be missed; a lower target shortens it by the quantile measured on
-   pairs of the sample.
-4. Visits meet the cell's vectors in Spark, in blocks of chunks for large
-   cells, and are verified by a matrix product. A block sends on, for each
+   pair can be missed; a lower target takes the quantile of what links need,
+   measured on the sample's links and on simulated ones (``fit_index``).
+4. A vector is sent once to each bucket of cells that it visits any of, with the
+   list of those cells, and meets their vectors there, in blocks of bounded
+   size, cell by cell, by matrix products. A block sends on, for each
    vector, how many rows it links to, and a spanning forest, never its pairs.
 
 Classes are the connected components of the forests.
@@ -43,10 +44,10 @@ from parallax.llm.components import connected_components, forest, sorted_groups
 from parallax.session import scratch_path
 
 THRESHOLD = 0.98
-TARGET_RECALL = 1.0
+TARGET_RECALL = 0.9999
 SAMPLE = 20_000          # rows that the codebooks are trained on
-CENTROIDS = 32           # in each half
-CELL_CHUNK = 512
+CENTROIDS = 16           # in each half
+BUCKET_ROWS = 4096       # vectors of a bucket of cells, and of a chunk of its visitors
 EPS = 1e-9
 
 
@@ -137,22 +138,43 @@ class MultiIndex:
 
 
 def fit_index(sample: np.ndarray, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, centroids: int = CENTROIDS) -> MultiIndex:
-    """Codebooks from sampled directions; the reach for the target recall."""
+    """Codebooks from sampled directions; the reach for the target recall.
+
+    The reach of target 1 is the threshold's distance itself, which no link exceeds. A lower target is met by
+    the quantile of what links need, over the sample's own links (at most 2,000 from each 1,000 rows) and over links made by turning sampled
+    directions by the threshold's angle, each in a random direction; the larger of both counts."""
     h = sample.shape[1] // 2
     index = MultiIndex(kmeans(sample[:, :h], centroids, seed=1), kmeans(sample[:, h:], centroids, seed=2), np.sqrt(max(0.0, 2 - 2 * threshold)))
     if target_recall < 1:
-        # distances of the sample's near pairs to each other's cells
-        need = []
+        width = len(index.books[1])
+        rng = np.random.default_rng(5)
+
+        def need(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Distance bounds from each x to the cell of its y."""
+            out = []
+            for s in range(0, len(x), 5000):
+                one, two = index.bounds(x[s:s + 5000])
+                cell = index.cells(y[s:s + 5000])
+                k = np.arange(len(cell))
+                out.append(np.sqrt(one[k, cell // width] + two[k, cell % width]))
+            return np.concatenate(out) if out else np.empty(0)
+
+        x = sample[rng.integers(0, len(sample), 40_000)]
+        turn = rng.normal(size=x.shape)
+        turn -= (turn * x).sum(1)[:, None] * x
+        turn /= np.maximum(np.linalg.norm(turn, axis=1), 1e-300)[:, None]
+        reach = float(np.quantile(need(x, threshold * x + np.sqrt(max(0.0, 1 - threshold ** 2)) * turn), target_recall))
+        pairs = []
         for s in range(0, len(sample), 1000):
-            cos = sample[s:s + 1000] @ sample.T
-            one, two = index.bounds(sample[s:s + 1000])
-            cell = index.cells(sample)
-            i, j = np.nonzero(cos >= threshold)
-            width = len(index.books[1])
-            need.append(np.sqrt(one[i, cell[j] // width] + two[i, cell[j] % width])[i + s != j])
-        need = np.concatenate(need)
-        if len(need):
-            index.reach = min(index.reach, float(np.quantile(need, target_recall)))
+            i, j = np.nonzero(sample[s:s + 1000] @ sample.T >= threshold)
+            off = np.flatnonzero(i + s != j)
+            if len(off) > 2000:  # a bounded number of them from each block is enough for a quantile
+                off = rng.choice(off, 2000, replace=False)
+            pairs.append(np.stack([i[off] + s, j[off]]))
+        i, j = np.concatenate(pairs, axis=1)
+        if len(i):
+            reach = max(reach, float(np.quantile(need(sample[i], sample[j]), target_recall)))
+        index.reach = min(index.reach, reach)
     return index
 
 
@@ -170,22 +192,30 @@ def _unit_batches(batches: Iterator) -> Iterator:
 
 
 def _place_batches(batches: Iterator, index: MultiIndex) -> Iterator:
-    """(rep, label, m, unit) to the rows of its own cell (``own``) and of the cells it visits."""
+    """(rep, label, m, unit, buckets) to a row for its own cell (``own``) and one for each bucket of cells that it
+    visits, with those cells; a cell's bucket is its number modulo the label's ``buckets``."""
     import pyarrow as pa
 
     for batch in batches:
         for s in range(0, batch.num_rows, 1000):
             part = batch.slice(s, 1000)
             x = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(part.num_rows, -1)
-            own = index.cells(x)
-            cells = list(index.visits(x))
-            n = np.array([len(c) for c in cells])
-            row = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), n)])
-            cell = np.concatenate([own, *cells])
-            is_own = np.concatenate([np.ones(len(x), bool), np.zeros(n.sum(), bool)])
-            picked = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cell, pa.int32()), pa.array(is_own)],
-                                             names=["rep", "label", "m", "unit", "cell", "own"])
+            buckets = part.column(4).to_numpy()
+            row, bucket, cells, own = [], [], [], []
+            for k, (mine, seen) in enumerate(zip(index.cells(x).tolist(), index.visits(x), strict=True)):
+                row.append(k)
+                bucket.append(mine % buckets[k])
+                cells.append([mine])
+                own.append(True)
+                of = seen % buckets[k]
+                for b in np.unique(of).tolist():
+                    row.append(k)
+                    bucket.append(b)
+                    cells.append(seen[of == b])
+                    own.append(False)
+            picked = part.select(["rep", "label", "m", "unit"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(bucket, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(own)],
+                                             names=["rep", "label", "m", "unit", "bucket", "cells", "own"])
 
 
 def _cell_links(batches: Iterator, threshold: float) -> Iterator:
@@ -195,30 +225,40 @@ def _cell_links(batches: Iterator, threshold: float) -> Iterator:
     def work(table, cut) -> Iterator:
         rep, m, own = table["rep"].to_numpy(), table["m"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
         x = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(table.num_rows, -1)
+        lists = table["cells"].combine_chunks()
+        cell, start = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         oa, ob, on = [], [], []
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            mine = np.flatnonzero(own[lo:hi]) + lo
-            asks = np.flatnonzero(~own[lo:hi]) + lo
-            if not len(mine) or not len(asks):
-                continue
-            for s in range(0, len(asks), 1024):
-                q = asks[s:s + 1024]
-                link = (x[q] @ x[mine].T >= threshold) & (rep[q][:, None] != rep[mine][None, :])
-                count = link @ m[mine]
-                some = count > 0
-                oa.extend(rep[q[some]])
-                ob.extend([-1] * int(some.sum()))
-                on.extend(count[some].astype(np.int64))
+            at = np.repeat(np.arange(lo, hi), np.diff(start[lo:hi + 1]))
+            of = cell[start[lo]:start[hi]]
+            order = np.argsort(of, kind="stable")
+            at, of = at[order], of[order]
+            total = np.zeros(hi - lo, np.int64)
+            left, right = [], []
+            # cell by cell: the vectors that visit it against the vectors in it
+            for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))), strict=True):
+                here = at[a:b]
+                mine, asks = here[own[here]], here[~own[here]]
+                if not len(mine) or not len(asks):
+                    continue
+                link = (x[asks] @ x[mine].T >= threshold) & (rep[asks][:, None] != rep[mine][None, :])
+                np.add.at(total, asks - lo, link @ m[mine])
                 i, j = np.nonzero(link)
-                if len(i):
-                    ids, at = np.unique(np.concatenate([rep[q[i]], rep[mine[j]]]), return_inverse=True)
-                    for a, b in forest(len(ids), at[:len(i)], at[len(i):]):
-                        oa.append(ids[a])
-                        ob.append(ids[b])
-                        on.append(0)
+                if len(i):  # a spanning forest of the cell's links is enough
+                    ids, k = np.unique(np.concatenate([rep[asks[i]], rep[mine[j]]]), return_inverse=True)
+                    for p, q in forest(len(ids), k[:len(i)], k[len(i):]):
+                        left.append(ids[p])
+                        right.append(ids[q])
+            some = np.flatnonzero(total > 0)
+            oa.extend(rep[lo + some])
+            ob.extend([-1] * len(some))
+            on.extend(total[some])
+            oa.extend(left)
+            ob.extend(right)
+            on.extend([0] * len(left))
         yield pa.RecordBatch.from_arrays([pa.array(oa, pa.int64()), pa.array(ob, pa.int64()), pa.array(on, pa.int64())], names=["a", "b", "n"])
 
-    yield from sorted_groups(batches, ["label", "cell", "chunk"], work)
+    yield from sorted_groups(batches, ["label", "bucket", "ci", "cj"], work)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -252,14 +292,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = np.array(sorted(bytes(r["unit"]) for r in picked) or [b"\0" * lengths[0]["n"]])
     index = fit_index(np.frombuffer(b"".join(bytes(u).ljust(lengths[0]["n"], b"\0") for u in sample), np.float64).reshape(len(sample), -1),
                       threshold, target_recall, centroids)
-    placed = settle(classes.mapInArrow(partial(_place_batches, index=index),
-                                       "rep long, label long, m long, unit binary, cell int, own boolean"), "cell")
-    # a large cell's own vectors are cut into chunks, and each visit goes to every chunk
-    sizes = (placed.filter("own").groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL_CHUNK).cast("int").alias("chunks")))
-    met = placed.join(sizes, ["label", "cell"])
-    met = met.withColumn("chunk", F.explode(F.when(F.col("own"), F.array(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")))
-                                            .otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-    met = met.repartition("label", "cell", "chunk").sortWithinPartitions("label", "cell", "chunk")
+    per_label = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("buckets"))
+    placed = settle(classes.join(per_label, "label").select("rep", "label", "m", "unit", "buckets").mapInArrow(
+        partial(_place_batches, index=index),
+        "rep long, label long, m long, unit binary, bucket int, cells array<int>, own boolean"), "cell")
+    # a bucket's own vectors are cut into chunks, its visitors too, and a block is a chunk of each
+    count = lambda c: F.greatest(F.ceil(F.sum(c.cast("long")) / BUCKET_ROWS), F.lit(1)).cast("int")
+    sizes = placed.groupBy("label", "bucket").agg(count(F.col("own")).alias("ni"), count(~F.col("own")).alias("nj"))
+    met = placed.join(sizes, ["label", "bucket"])
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("nj")).otherwise(F.col("ni")) - 1))
+    met = met.withColumn("_o", other)
+    met = met.withColumn("ci", F.when(F.col("own"), part("ni")).otherwise(F.col("_o"))).withColumn(
+        "cj", F.when(F.col("own"), F.col("_o")).otherwise(part("nj"))).drop("_o", "ni", "nj")
+    met = met.repartition("label", "bucket", "ci", "cj").sortWithinPartitions("label", "bucket", "ci", "cj")
     links = settle(met.mapInArrow(partial(_cell_links, threshold=threshold), "a long, b long, n long"), "link")
     counts = links.filter("b < 0 and n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     joined = connected_components(links.filter("n = 0").select("a", "b").distinct()).withColumnsRenamed({"id": "rep"})
