@@ -137,6 +137,23 @@ def test_few_documents_or_few_constant_words_are_no_template(make_docs):
     assert L.drop_recurring_lines(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("n", [60, 600])
+def test_a_field_of_letters_is_variable_at_any_size(make_docs, n):
+    word = lambda k: "".join(chr(97 + k // 26 ** j % 26) for j in range(3))
+    rows = [(k, f"this page was written by {word(k % 60)} from {word(k // 60)}") for k in range(n)]
+    got = L.drop_recurring_lines(make_docs(rows))
+    assert got.filter("_n_dropped = 1 and text = ''").count() == n - 1
+    assert got.filter("_n_dropped = 0").first().text == rows[0][1]
+    assert L.line_templates(make_docs(rows)).filter(f"n_docs = {n}").count() == n
+
+
+def test_a_rare_template_in_a_large_leaf_recurs_too(make_docs):
+    rows = [(k, f"this page was {'seen by all of us' if k % 50 else 'last changed on that day'}") for k in range(500)]
+    got = L.drop_recurring_lines(make_docs(rows))
+    assert {r.text for r in got.filter("_n_dropped = 0").collect()} == {rows[0][1], rows[1][1]}
+    assert got.filter("_n_dropped = 1").count() == 498
+
+
 def test_line_query_equals_its_sql(spark):
     got = QUERIES["op10_line_dedup"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     want = oracle(ORACLES["op10_line_dedup"], documents=pd.read_parquet(f"{SF}/documents.parquet"))
