@@ -154,6 +154,15 @@ def test_a_rare_template_in_a_large_leaf_recurs_too(make_docs):
     assert got.filter("_n_dropped = 1").count() == 498
 
 
+def test_unique_lines_with_the_same_first_words_stay(make_docs):
+    word = lambda k, c: chr(97 + k) + c
+    rows = [(k, "\n".join(["it was a " + " ".join(word(k, c) for c in "xyz"[:m]) for m in (1, 2, 3)] + ["it was a day like this one"]))
+            for k in range(12)]
+    got = {r.doc_id: r for r in L.drop_recurring_lines(make_docs(rows)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[k].text == rows[k][1].rsplit("\n", 1)[0] for k in range(1, 12))
+
+
 def test_line_query_equals_its_sql(spark):
     got = QUERIES["op10_line_dedup"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     want = oracle(ORACLES["op10_line_dedup"], documents=pd.read_parquet(f"{SF}/documents.parquet"))
