@@ -10,6 +10,8 @@ but the last return the columns of ``documents``.
 3. line dedup: lines of templates that recur across documents are dropped, but
    for one document's; ``n_chars`` is counted anew;
 4. n-gram Jaccard join: of each group of near duplicates the smallest id stays;
+   then a long line that several of the documents left have word for word stays in
+   one (``n_chars`` anew), which the stage 3 templates ask for in more documents;
 5. best-fit packing: what is left, as token pieces in sequences of 2048.
 """
 
@@ -38,14 +40,20 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their recurring lines."""
-    out = line_dedup.drop_recurring_lines(docs).drop("_n_lines", "_n_dropped")
-    kind = docs.schema["n_chars"].dataType
-    return out.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+    return _counted_anew(line_dedup.drop_recurring_lines(docs), docs)
+
+
+def _counted_anew(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, ``n_chars`` of the text that is left."""
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return ngram_join.drop_near_duplicates(docs)
+    """One document of each group of near duplicates, without the long lines that an earlier one of them has."""
+    path = scratch_path(spark, "pipeline-no-copies")
+    ngram_join.drop_near_duplicates(docs).write.parquet(path)
+    kept = spark.read.parquet(path)
+    return _counted_anew(line_dedup.drop_repeated_passages(kept), kept)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,12 @@ DataFrame functions only.
    copies one document stays whole. Of a line's templates the most general
    counts; the others' lines are all among its own.
 
+``drop_repeated_passages`` is an exact route beside the templates: a line of
+``LONG_WORDS`` words or more that ``LONG_DOCS`` documents or more have word for
+word stays in the one with the smallest id. Whole copies should be gone before it
+runs, or the short lines of a copy are left over. The op10 query, whose SQL has the
+templates alone, does without it; the pipeline runs it after its near-duplicate join.
+
 Blank lines and lines of fewer than ``MIN_WORDS`` words are never dropped: such
 lines recur in ordinary prose by chance.
 
@@ -49,6 +55,8 @@ DEPTH = 3
 MIN_DOCS = 5
 MIN_CONSTANT = 0.6
 MIN_WORDS = 3
+LONG_WORDS = 20
+LONG_DOCS = 2
 FIELD = "<*>"
 
 
@@ -139,12 +147,39 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .select("doc_id", "th", "pos", "m.template", "m.n_docs", "m.dropped"))
 
 
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = LONG_WORDS,
+                      min_docs: int = LONG_DOCS) -> DataFrame:
+    """(doc_id, th, pos, n_docs, dropped): every long line that several documents have word for word."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "line-dedup-passages")
+    lines = _located(docs, id_col, text_col).select("doc_id", "th", F.posexplode(_lines(F.col("t"))).alias("pos", "line"))
+    (lines.withColumn("m", F.trim("line")).filter(F.size(F.array_remove(F.split("m", " "), "")) >= min_words)
+     .select("doc_id", "th", "pos", F.xxhash64("m").alias("h"), F.xxhash64(F.lit(1), "m").alias("h2")).write.parquet(path))
+    keys = spark.read.parquet(path)
+    counted = (keys.groupBy("h", "h2", "doc_id", "th").agg(F.min("pos").alias("pos"))
+               .groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
+               .filter(F.col("n_docs") >= min_docs))
+    first = (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+             & (F.col("pos") == F.col("first.pos")))
+    return keys.join(counted, ["h", "h2"]).select("doc_id", "th", "pos", "n_docs", (~first).alias("dropped")).distinct()
+
+
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """Every input row with its text less the dropped lines, ``_n_lines`` and ``_n_dropped`` added."""
+    """Every input row with its text less the lines of recurring templates, ``_n_lines`` and ``_n_dropped`` added."""
+    return _without(docs, line_templates(docs, id_col, text_col, **settings), id_col, text_col)
+
+
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """Every input row with its text less the long lines that an earlier id has, ``_n_lines`` and ``_n_dropped`` added."""
+    return _without(docs, repeated_passages(docs, id_col, text_col, **settings), id_col, text_col)
+
+
+def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every input row with its text less the lines dropped in ``found``, ``_n_lines`` and ``_n_dropped`` added."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     spark = docs.sparkSession
     path = scratch_path(spark, "line-dedup-drops")
-    (line_templates(docs, id_col, text_col, **settings).filter("dropped")
+    (found.filter("dropped")
      .groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_pos")).write.parquet(path))
     drops = spark.read.parquet(path)
     # documents that surely lose no line pass without a shuffle

@@ -433,6 +433,15 @@ def test_long_conversations_come_in_parts(spark, monkeypatch):
 
 # ---- pipeline
 
+def test_a_long_line_of_two_documents_stays_once(spark, make_docs):
+    prose = lambda k, n: " ".join(f"{chr(97 + k)}{j}" for j in range(n))
+    passage, almost = prose(20, 50), prose(21, 19)
+    rows = [(k, f"{prose(k, 80)}\n{passage}\n{almost}") for k in range(2)] + [(2, f"{prose(0, 80)}\n{passage}\n{almost}"), (3, None)]
+    got = {r.doc_id: r for r in corpus_pipeline.drop_near_copies(spark, make_docs(rows), SF01).collect()}
+    assert sorted(got) == [0, 1, 3] and got[0].text == rows[0][1]
+    assert got[1].text == f"{prose(1, 80)}\n{almost}" and got[1].n_chars == len(got[1].text)
+
+
 def test_stages_and_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "line_dedup", "near_duplicates", "packing"]
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
