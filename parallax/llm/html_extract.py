@@ -8,7 +8,10 @@
 2. Each block gets its word count and link density, those of the blocks before
    and after it, and marks of where it stands (inside an article or main
    element, inside an element that names itself a menu, header, footer, sidebar,
-   notice, advert, form or comment, a heading, a list item).
+   notice, advert, form or comment, a heading, a list item). An element that is
+   so named by its class, id or role but holds most of the page's words and its
+   running text is a layout wrapper (``<div class='layout with-sidebar'>``): its
+   blocks have a mark of their own, and the tree weighs their words and links.
 3. A decision tree, grown by Gini impurity on a small labelled table (the blocks
    of a few dozen model pages that ``labelled_table`` writes by a rule), tells
    article blocks from the rest. The article's blocks are joined in page order by
@@ -65,7 +68,7 @@ _FRAME_WORDS, _ARTICLE_WORDS = frozenset(FRAME_WORDS), frozenset(ARTICLE_WORDS)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -86,17 +89,43 @@ class Block:
     article: int       # how many open elements name the article
     heading: int
     item: int
+    wrapped: int = 0   # whether an open element that names the frame is a layout wrapper
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _marks(name: str, tag: str) -> tuple[int, int, int]:
-    """(frame, article, unseen) of a start tag."""
-    frame, article, unseen = int(name in _FRAME), int(name in ("article", "main")), 0
+# Fixed value: words of a block that counts as running text.
+RUNNING_WORDS = 15
+
+
+def _settle_wrappers(page: list[Block], named: list[tuple[int, ...]], h1: list[int]) -> None:
+    """Tells layout wrappers among the elements that class, id or role name as frame; ``named`` has each block's.
+
+    A wrapper holds more than half of the words outside the frame's own elements, and the page's h1 or,
+    on a page without, all of its running text (some, at least). The others are frame."""
+    words: dict[int, int] = {}
+    for b, at in zip(page, named, strict=True):
+        for k in at if not b.frame else ():
+            words[k] = words.get(k, 0) + b.words
+    total = sum(b.words for b in page if not b.frame)
+    large = {k for k, n in words.items() if 2 * n > total}
+    # blocks that no smaller named element holds
+    free = [j for j, b in enumerate(page) if not b.frame and large.issuperset(named[j])]
+    marks = [j for j in free if h1[j]]
+    running = [j for j in free if page[j].words >= RUNNING_WORDS and page[j].density < 0.5]
+    wrappers = {k for k in large if (any(k in named[j] for j in marks) if marks else running and all(k in named[j] for j in running))}
+    for b, at in zip(page, named, strict=True):
+        b.wrapped = int(not wrappers.isdisjoint(at))
+        b.frame += sum(k not in wrappers for k in at)
+
+
+def _marks(name: str, tag: str) -> tuple[int, int, int, int]:
+    """(frame, named, article, unseen) of a start tag: frame by its element, named as frame by its attributes."""
+    frame, named, article, unseen = int(name in _FRAME), 0, int(name in ("article", "main")), 0
     if len(tag) > len(name) + 2:
-        for key, value in _ATTR.findall(tag):
+        for key, value in _ATTR.findall(tag, len(name) + 1):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 unseen = 1
@@ -104,17 +133,20 @@ def _marks(name: str, tag: str) -> tuple[int, int, int]:
                 unseen |= bool(_UNSEEN.search(value))
             elif key in ("class", "id", "role"):
                 words = set(_SPLIT.split(_CAMEL.sub(" ", value).lower()))
-                frame |= bool(words & _FRAME_WORDS)
+                named |= bool(words & _FRAME_WORDS) and name not in ("html", "body")
                 article |= bool(words & _ARTICLE_WORDS) and name not in ("html", "body")
-    return frame, article, unseen
+    return frame, named, article, unseen
 
 
 def blocks(html: str | None) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
     page = html or ""
-    # open elements: (name, frame, article, silent)
-    stack: list[tuple[str, int, int, int]] = []
+    # open elements: (name, frame, article, silent, number if it may be a wrapper)
+    stack: list[tuple[str, int, int, int, int]] = []
+    named: list[tuple[int, ...]] = []
+    h1: list[int] = []
+    n_named = 0
     parts: list[str] = []
     link_parts: list[str] = []
     frame = article = silent = links = 0
@@ -126,12 +158,14 @@ def blocks(html: str | None) -> list[Block]:
                 linked = len(" ".join(link_parts).split())
                 names = {x[0] for x in stack}
                 out.append(Block(text, len(text.split()), linked, frame, article, int(bool(names & HEADINGS)), int("li" in names)))
+                named.append(tuple(x[4] for x in stack if x[4]))
+                h1.append(int("h1" in names))
         parts.clear()
         link_parts.clear()
 
     def pop() -> None:
         nonlocal frame, article, silent, links
-        name, f, a, s = stack.pop()
+        name, f, a, s, _ = stack.pop()
         frame -= f
         article -= a
         silent -= s
@@ -172,7 +206,7 @@ def blocks(html: str | None) -> list[Block]:
                     pop()
                 else:
                     k = len(stack) - 1 - [x[0] for x in stack[::-1]].index(name)
-                    _, f, a, s = stack.pop(k)
+                    _, f, a, s, _ = stack.pop(k)
                     frame -= f
                     article -= a
                     silent -= s
@@ -198,7 +232,7 @@ def blocks(html: str | None) -> list[Block]:
                 pop()
         if name in _VOID or tag.endswith("/>"):
             continue
-        f, a, unseen = _marks(name, tag)
+        f, by_name, a, unseen = _marks(name, tag)
         if name == "header":
             # a page's header; an article's own header belongs to the article
             f = int(f or article == 0)
@@ -217,26 +251,35 @@ def blocks(html: str | None) -> list[Block]:
                 del stack[k]
                 links -= 1
             links += 1
-        stack.append((name, f, a, quiet))
+        # around an article and outside the frame, a named element may be a layout wrapper
+        may_wrap = by_name and not f and not frame and not article and name in _BLOCK
+        if may_wrap:
+            n_named += 1
+        f = int(f or by_name and not may_wrap)
+        stack.append((name, f, a, quiet, n_named if may_wrap else 0))
         frame += f
         article += a
         silent += quiet
     flush()
+    if n_named:
+        _settle_wrappers(out, named, h1)
     return out
 
 
 # Statistics of a block that the tree may ask for, in order.
 FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "frame", "in_article",
-            "article_on_page", "heading", "item"]
+            "article_on_page", "heading", "item", "wrapped"]
 
 
 def features(page: list[Block]) -> np.ndarray:
     """One row per block, in the order of FEATURES; the page's ends count as blocks without words."""
-    any_article = float(any(b.article and not b.frame for b in page))
+    # a small box with an article's name does not make the rest of the page frame
+    plain = [b for b in page if not b.frame and b.density < 0.5]
+    any_article = float(0 < sum(b.words for b in plain) <= 4 * sum(b.words for b in plain if b.article))
     w = [0, *(b.words for b in page), 0]
     d = [0.0, *(b.density for b in page), 0.0]
     return np.array([[w[k + 1], d[k + 1], w[k], d[k], w[k + 2], d[k + 2], min(b.frame, 1), min(b.article, 1), any_article,
-                      b.heading, b.item] for k, b in enumerate(page)], float).reshape(-1, len(FEATURES))
+                      b.heading, b.item, b.wrapped] for k, b in enumerate(page)], float).reshape(-1, len(FEATURES))
 
 
 def labelled_table(n_pages: int = 90, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +289,8 @@ def labelled_table(n_pages: int = 90, seed: int = 7) -> tuple[np.ndarray, np.nda
     article of headings, paragraphs of 1 to 300 words, lists and quotations, with
     adverts, sharing bars, forms and comments inside. A third of the pages name the
     article by element, a third by class, a third not at all; there, menus without a
-    name are told by their links. The words are ``art`` and ``frm``, which is the label."""
+    name are told by their links. Some pages stand in a layout wrapper with a frame's
+    name; some small ones are a named part of a frame and no more, or an article and no more. The words are ``art`` and ``frm``, which is the label."""
     rng = np.random.default_rng(seed)
     sizes = [1, 2, 3, 4, 6, 9, 14, 22, 35, 60, 120, 300]
 
@@ -294,9 +338,26 @@ def labelled_table(n_pages: int = 90, seed: int = 7) -> tuple[np.ndarray, np.nda
         loose = f"<p>{say(int(rng.choice(sizes[:10])), 'frm')}</p>" if style < 2 and rng.random() < 0.4 else ""
         foot = f"<footer>{say(int(rng.choice(sizes[:9])), 'frm')}</footer>"
         holder = (("<article>", "</article>"), ("<div class='post-content'>", "</div>"), ("<div>", "</div>"))[style]
-        found = blocks("<body>" + "".join(top) + loose + holder[0] + "".join(inside) + holder[1] + side + foot + "</body>")
+        whole = "".join(top) + loose + holder[0] + "".join(inside) + holder[1] + side + foot
+        if page % 4 == 3:
+            whole = f"<div class='{('layout with-sidebar', 'nav-open', 'discussion')[page % 5 % 3]}'>{whole}</div>"
+        elif page % 8 == 2:
+            whole = "".join(top) + loose + "<section id='discussion'>" + holder[0] + "".join(inside) + holder[1] + "</section>" + side + foot
+        found = blocks("<body>" + whole + "</body>")
         x.append(features(found))
         y.extend(b.text.startswith("art") for b in found)
+    for page in range(n_pages // 3):
+        inner = say(int(rng.choice(sizes[:6])), "frm") if page % 2 else f"<ul>{links(int(rng.integers(1, 9)))}</ul>"
+        found = blocks(f"<body><div class='{('menu', 'cookie-notice', 'sidebar')[page % 3]}'>{inner}</div></body>")
+        x.append(features(found))
+        y.extend([False] * len(found))
+        # an article and nothing else, with and without a wrapper
+        body = "".join(paragraph() for _ in range(int(rng.integers(1, 5))))
+        brief = f"<p>{say(int(rng.choice(sizes[:6])), 'art')}</p>"
+        for whole in (body, brief, f"<p>{say(int(rng.choice(sizes[7:])), 'art')}</p>", f"<h1>{say(int(rng.integers(1, 14)), 'art')}</h1><p>{say(int(rng.choice(sizes[7:])), 'art')}</p>{body}"):
+            found = blocks(f"<body>{whole}</body>" if whole in (body, brief) else f"<body><div class='has-sidebar'>{whole}</div></body>")
+            x.append(features(found))
+            y.extend([True] * len(found))
     return np.concatenate(x), np.array(y, float)
 
 

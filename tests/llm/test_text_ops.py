@@ -203,6 +203,22 @@ def test_broken_and_small_pages(page, want):
     assert H.main_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<body class='single has-sidebar'><nav><a href=/>Home</a></nav>{0}<footer>c 1</footer></body>", "{1}"),
+    ("<body><div class='layout with-sidebar'><nav><a href=/>Home</a></nav>{0}<div class='sidebar'>{2}</div></div></body>", "{1}"),
+    ("<body><section id='discussion'><article>{0}</article></section><div class='comments'>{2}</div></body>", "{1}"),
+    ("<body><nav><a href=/>Home</a></nav><div class='text'>Small box</div><div>{0}</div></body>", "Small box {1}"),
+    ("<div class='has-sidebar'><p>" + "one block alone " * 9 + "</p></div>", ("one block alone " * 9).strip()),
+    ("<body data-id='nav'><div data-class='menu' title='class=nav'>{0}</div></body>", "{1}"),
+    ("<body><article>{0}<div class='comments'>{2}{2}{2}{2}</div></article></body>", "{1}"),
+    ("<body><article>{0}</article><div class='comments'>{2}{2}{2}{2}</div></body>", "{1}"),
+])
+def test_layout_wrappers_with_frame_names_hold_the_article(page, want):
+    text = ["The head", " ".join(["the river rose slowly over several days"] * 4), "and fell again", " ".join(["nobody had seen it so high"] * 6)]
+    article = f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    assert H.main_text(page.format(article, "", "<p>I liked this page a lot and thank you for it</p>")) == want.format("", " ".join(text))
+
+
 def test_tree_learns_its_table_and_other_pages():
     x, y = H.labelled_table()
     assert len(x) < 4000 and (H.accept(H.default_tree(), x) == (y > 0)).mean() > 0.98
