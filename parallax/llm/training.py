@@ -34,6 +34,11 @@ def training_labels(labels: DataFrame, label: str, bound: int = MAX_LABELLED) ->
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, label) of the labelled training documents; the labels are broadcast (bounded)."""
+    """(doc_id, text, label) of the labelled training documents, one per id; the labels are broadcast (bounded).
+
+    An id that many rows have counts once, by the text with the smallest hash; partial aggregation leaves
+    a row per id and task before anything moves."""
     lab = training_labels(labels, label, bound)
-    return docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id")
+    return (docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id")
+            .groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+            .select("doc_id", "m.text", "label"))

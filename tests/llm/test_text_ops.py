@@ -52,6 +52,17 @@ def test_fold_and_bounded_sample(spark, make_labels):
     assert 350 < few < 650
 
 
+def test_a_repeated_document_is_one_training_row(make_docs, make_labels):
+    from parallax.llm.training import training_texts
+
+    ids = [i for i in range(40) if not fold(i)][:3]
+    rows = [(ids[0], "again")] * 500 + [(ids[1], t) for t in ("b", "a", "c")] + [(ids[2], None)]
+    labels = make_labels([(i, 1, 0) for i in ids])
+    got = [sorted(map(tuple, training_texts(make_docs(d), labels, "quality").collect())) for d in (rows, rows[::-1])]
+    assert got[0] == got[1] and [(r[0], r[2]) for r in got[0]] == [(i, 1) for i in ids]
+    assert got[0][0][1] == "again" and got[0][2][1] is None
+
+
 def junk_and_prose(n=300, seed=0):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
