@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import SF001
+from data_dirs import SF001
 from oracle_compare import compare, duck
 from parallax.fixtures import net_price_records, read_table, relu_2_3_1
 from parallax.operators.examples import key_examples, to_examples

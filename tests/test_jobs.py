@@ -1,6 +1,6 @@
 import os
 
-from conftest import SF001
+from data_dirs import SF001
 from parallax.fixtures import net_price_records, read_table, relu_2_8_1
 from parallax.plans.jobs import main
 from parallax.sources.model_store import load_model, save_model

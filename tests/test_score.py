@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from data_dirs import SF001, SF01
 from parallax.fixtures import net_price_records, read_table, relu_2_3_1, relu_2_8_1
 from parallax.model import Model, forward
 from parallax.operators.examples import features_only, key_examples, split_by_position, to_examples

@@ -5,7 +5,7 @@ import os
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import SF001
+from data_dirs import SF001
 from parallax.fixtures import net_price_records, read_table, relu_2_3_1
 from parallax.operators.examples import key_examples, to_examples
 from parallax.operators.score import score_batched, score_expr

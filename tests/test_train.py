@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from data_dirs import SF001, SF01
 from parallax.fixtures import linear_2_1, net_price_records, read_table, relu_2_8_1
 from parallax.operators.examples import to_examples
 from parallax.operators.train import TrainOptions, assign_workers, average_parameters, fit, fit_round
