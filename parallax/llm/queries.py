@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax.fixtures import read_table
-from parallax.llm import chat, embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, spiece, toxicity
+from parallax.llm import (chat, embedding_dedup, exact_dedup, html_extract, lexical_search, line_dedup, merkle, ngram_join, packing, quality,
+                          secret_scan, spiece, toxicity)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(docs).withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts and places."""
+    return secret_scan.secret_digests(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and check against the root, where half of the ids lose their texts' line ends."""
+    text = F.col("text")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    manifest = merkle.build_manifest(read_table(spark, sf_dir, "documents"), F.when(tampered, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text))
+    return merkle.verify(merkle.prove(spark, manifest)).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's twenty best documents."""
+    return lexical_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
@@ -84,9 +104,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_merkle": op12_merkle,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_chat": chat.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_secret_scan": secret_scan.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
