@@ -12,18 +12,20 @@
 2. ``place`` materialises the placement once per ``fit``: persisted
    (``worker`` layout, rows sorted by round so cached batches of
    other rounds are skipped by min/max statistics) or written as Parquet
-   under the shared checkpoint folder, a few rounds to a directory
-   (``range`` layout, or ``storage="checkpoint"``).
-3. One Spark job per averaging round: ``filter(round_no = r)`` ->
-   (written placements: regroup the round's rows by worker; a share of more
-   than ``ROUND_TASK_MAX_ROWS`` rows runs as a chain of bounded jobs that
-   carry each worker's parameters) -> ``mapInPandas`` streaming each
-   worker's rows in batch order (the gradient of a minibatch is summed over
-   Arrow chunks, so memory is bounded by the Arrow batch, not by
+   under the shared checkpoint folder (``range`` layout, or
+   ``storage="checkpoint"``): one file per worker and unit, a unit being a run
+   of rounds (or of a long round's minibatches) of at most
+   ``ROUND_TASK_MAX_ROWS`` rows, sorted (see ``Units``).
+3. One Spark job per averaging round: ``filter(round_no = r)`` -> ``mapInPandas``
+   streaming each worker's rows in batch order (the gradient of a minibatch is
+   summed over Arrow chunks, so memory is bounded by the Arrow batch, not by
    ``batch_size x F``) -> one ``(worker, params, n, loss)`` row per worker ->
    the row-weighted average (numpy on the driver while ``workers x params``
-   is small, else ``average_parameters``: ``posexplode`` + ``groupBy(pos)``),
-   which becomes the next round's starting point.
+   is small, else ``average_parameters``, in blocks), which becomes the next round's
+   starting point. Nothing is shuffled: a persisted partition holds one worker, and
+   of a written placement each task reads one worker's file, whole, in order. A share of
+   more than ``ROUND_TASK_MAX_ROWS`` rows runs as a chain of bounded jobs that
+   carry each worker's parameters.
 
 Plain SGD on squared error; averaging is weighted by rows, over the workers
 that had rows in the round (Zinkevich et al. 2010; McDonald et al. 2010).
@@ -34,18 +36,19 @@ or written, and every round is a deterministic function of its inputs.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parallax.model import Model, ModelRef, loss_grad_sums
-from parallax.session import delete_path, scratch_path
+from parallax.session import delete_path, list_files, path_exists, read_bytes, scratch_path, write_bytes
 
 WORKER_PARAMS_SCHEMA = "worker int, params array<double>, n bigint, loss double"
 # The same as a StructType: no DDL parse (a JVM round trip) per round job.
@@ -59,15 +62,17 @@ _WORKER_PARAMS_TYPE = T.StructType([
 # it only while that share is at most this many bytes by the plan's own size
 # estimate (files: their bytes, however many splits), else the range layout.
 WORKER_TASK_MAX_BYTES = 512 << 20
-# Rows per worker of the range layout's regrouping: a longer round runs as a
+# Rows of a worker that one task steps through: a longer round runs as a
 # chain of jobs that carry each worker's parameters on.
 ROUND_TASK_MAX_ROWS = 4_000_000
-# Directories of a written placement.
-MAX_ROUND_DIRS = 1000
+# A written placement's files are read one to a task: beyond any file's size.
+WHOLE_FILE_BYTES = 1 << 44
 # Upper bound on the Arrow batch used by round jobs (rows).
 ROUND_ARROW_MAX_ROWS = 131_072
 # Largest workers x parameters count averaged on the driver (4M doubles, 32 MB).
 DRIVER_AVERAGE_MAX = 1 << 22
+# Parameters to a row where vectors are averaged on Spark (32 KB).
+AVERAGE_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -90,6 +95,42 @@ class TrainOptions:
             raise ValueError("storage must be 'persist' or 'checkpoint'")
 
 
+@dataclass(frozen=True)
+class Units:
+    """How a written placement is cut into files: ``rounds`` whole rounds to a unit, or, where a worker's share of one
+    round is more than ``ROUND_TASK_MAX_ROWS``, ``batches`` of its minibatches, ``per_round`` units to a round."""
+
+    rounds: int
+    batches: int = 0
+    per_round: int = 1
+    frequency: int | None = None
+
+    @staticmethod
+    def of(options: "TrainOptions") -> "Units":
+        b, f = options.batch_size, options.averaging_frequency
+        if f is not None and b * f <= ROUND_TASK_MAX_ROWS:
+            return Units(ROUND_TASK_MAX_ROWS // (b * f), frequency=f)
+        per = max(1, ROUND_TASK_MAX_ROWS // b)
+        return Units(1, per, 1 if f is None else -(-f // per), f)
+
+    def column(self) -> str:
+        """SQL of a row's unit."""
+        if not self.batches:
+            return f"round_no div {self.rounds}"
+        if self.frequency is None:
+            return f"batch_no div {self.batches}"
+        return f"round_no * {self.per_round} + (batch_no - round_no * {self.frequency}) div {self.batches}"
+
+    def number(self, round_no: int, first_batch: int | None = None) -> int:
+        """The unit of a round, or of the run of its minibatches from ``first_batch`` on."""
+        if not self.batches:
+            return round_no // self.rounds
+        if self.frequency is None:
+            return (first_batch or 0) // self.batches
+        first = round_no * self.frequency
+        return round_no * self.per_round + ((first if first_batch is None else first_batch) - first) // self.batches
+
+
 def _shuffle_width(df: DataFrame, workers: int) -> int:
     """Partitions for the range layout's shuffles: ``spark.sql.shuffle.partitions``
     (the cluster's own shuffle sizing; sizing by input splits would give
@@ -342,14 +383,14 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
     ``model`` (or its own entry in ``starts``) and steps through its minibatches of round ``round_no`` (all
     rounds when None; only those from ``batches[0]`` up to ``batches[1]`` if given); ``loss`` is the mean loss
     over its rows, each taken before the step of its minibatch.  With the ``worker`` layout there is no
-    shuffle (rows are already placed); with the ``range`` layout the rows
-    are regrouped by worker (``fit`` bounds how many)."""
+    shuffle (rows are already placed), and none for a written placement (its files are a worker's each);
+    rows that ``assign_workers`` numbered in the ``range`` layout are regrouped by worker (``fit`` bounds how many)."""
     rows = _round_rows(placed, round_no, batches)
     n_in, n_out = model.n_inputs, model.n_outputs
     cols = set(placed.columns)
     xy = _flat_columns(placed, n_in, n_out, features, label)
-    if "_pos" in cols:
-        # range layout: bring each worker's rows into one task, in position order
+    if "_pos" in cols and "unit" not in cols:
+        # range layout, not written by ``place``: bring each worker's rows into one task, in position order
         parts = workers or placed.sparkSession.sparkContext.defaultParallelism
         rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
     wanted = {"worker", "batch_no", "round_no", *(f"x{i}" for i in range(n_in)), *(f"y{j}" for j in range(n_out))}
@@ -362,9 +403,9 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
 
 def _round_rows(placed: DataFrame, round_no: int | None, batches: tuple[int, int] | None) -> DataFrame:
     rows = placed if round_no is None else placed.filter(F.col("round_no") == F.lit(round_no))
-    group = getattr(placed, "_parallax_group", None)  # rounds to a directory, known to ``fit``
-    if round_no is not None and group and "round_group" in placed.columns:
-        rows = rows.filter(F.col("round_group") == F.lit(round_no // group))  # prunes directories
+    units = getattr(placed, "_parallax_units", None)  # known to ``fit``
+    if round_no is not None and units and (batches or not units.batches):
+        rows = rows.filter(F.col("unit") == F.lit(units.number(round_no, batches[0] if batches else None)))  # prunes directories
     if batches is not None:
         rows = rows.filter((F.col("batch_no") >= batches[0]) & (F.col("batch_no") < batches[1]))
     return rows
@@ -420,7 +461,7 @@ def _long_round(placed: DataFrame, model: Model, round_no: int, options: "TrainO
             for b in range(first, last, step):
                 got = fit_round(placed, model, round_no, options.learning_rate, workers=options.workers, model_ref=ref,
                                 starts=starts, batches=(b, min(last, b + step))).collect()
-                for r in got:
+                for r in sorted(got, key=lambda r: r["worker"]):
                     starts[r["worker"]] = np.array(r["params"])
                     rows[r["worker"]] = rows.get(r["worker"], 0) + r["n"]
                     loss_sum += r["loss"] * r["n"]
@@ -435,7 +476,7 @@ def _long_round(placed: DataFrame, model: Model, round_no: int, options: "TrainO
     total = sum(rows.values())
     if not total:
         return None, None, 0
-    return sum(starts[w] * n for w, n in rows.items()) / total, loss_sum / total, total
+    return sum(starts[w] * rows[w] for w in sorted(rows)) / total, loss_sum / total, total
 
 
 def average_parameters(worker_params: DataFrame, params: str = "params", weight: str | None = "n") -> DataFrame:
@@ -449,6 +490,57 @@ def average_parameters(worker_params: DataFrame, params: str = "params", weight:
     )
 
 
+def average_blocks(worker_params: DataFrame, params: str = "params", weight: str | None = "n", order: str | None = None,
+                   block: int = AVERAGE_BLOCK) -> DataFrame:
+    """``(block int, values array<double>, weight double)``: ``average_parameters`` by runs of ``block`` parameters.
+
+    A vector crosses the shuffle as a row for every ``block`` of its parameters, not one for each; a block's rows are
+    added in Arrow as they come, by ``order`` (if given, sums repeat bit for bit), so a task holds one block's sum."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    src = worker_params.select((F.col(order) if order else F.lit(0)).cast("long").alias("at"), w.alias("w"), F.col(params).cast("array<double>").alias("v"))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at, w = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in range(b.num_rows):
+                v = np.asarray(b.column(2)[k].values)
+                first = np.arange(0, len(v), block)
+                offsets = pa.array(np.append(first, len(v)).astype(np.int32))
+                n = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, at[k])), pa.array(np.full(n, w[k])),
+                     pa.ListArray.from_arrays(offsets, pa.array(v * w[k]))], names=["block", "at", "w", "v"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        held, total, mass = None, None, 0.0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([(total / mass).tolist()], pa.list_(pa.float64())), pa.array([mass])],
+                                              names=["block", "values", "weight"])
+
+        for b in batches:
+            number, w = b.column(0).to_numpy(), b.column(2).to_numpy()
+            for k in range(b.num_rows):
+                v = np.asarray(b.column(3)[k].values)
+                if number[k] != held:
+                    if held is not None:
+                        yield out()
+                    held, total, mass = int(number[k]), v.copy(), float(w[k])
+                else:
+                    total += v
+                    mass += w[k]
+        if held is not None:
+            yield out()
+
+    return (src.mapInArrow(cut, "block int, at long, w double, v array<double>")
+            .repartition("block").sortWithinPartitions("block", "at")
+            .mapInArrow(add, "block int, values array<double>, weight double"))
+
+
 def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learning_rate: float,
                     workers: int):
     """Run one round; return (averaged params, mean loss, rows).
@@ -456,8 +548,8 @@ def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learn
     With at most ``DRIVER_AVERAGE_MAX`` values in ``workers x params`` the
     worker rows themselves are collected (what a tree aggregate would bring
     to the driver anyway) and averaged in numpy, saving a shuffle stage per
-    round.  Above it, the average is a Spark aggregate (``posexplode`` +
-    ``groupBy(pos)``), with the loss riding along as one more position.
+    round.  Above it, the vectors are averaged in blocks on Spark
+    (``average_blocks``), with the loss riding along as one more position.
     """
     ref = ModelRef(model, placed.sparkSession.sparkContext)
     try:
@@ -469,28 +561,19 @@ def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learn
 
 def _average_round_rows(wp: DataFrame, model: Model, workers: int):
     if workers * (model.n_params + 1) <= DRIVER_AVERAGE_MAX:
-        got = wp.collect()
+        got = sorted(wp.collect(), key=lambda r: r["worker"])  # in one order, so that sums repeat bit for bit
         if not got:
             return None, None, 0
         n = np.array([r["n"] for r in got], dtype=np.float64)
         params = np.array([r["params"] for r in got], dtype=np.float64)
         loss = np.array([r["loss"] for r in got], dtype=np.float64)
         return (params * n[:, None]).sum(axis=0) / n.sum(), float((loss * n).sum() / n.sum()), int(n.sum())
-    packed = wp.select(F.concat("params", F.array(F.col("loss"))).alias("params"), "n")
-    agg = (
-        packed.select(F.posexplode("params").alias("pos", "v"), F.col("n").cast("double").alias("_w"))
-        .groupBy("pos")
-        .agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("value"), F.sum("_w").alias("rows"))
-    )
-    got = agg.collect()  # model-sized: n_params + 1 rows
+    packed = wp.select("worker", F.concat("params", F.array(F.col("loss"))).alias("params"), "n")
+    got = sorted(average_blocks(packed, order="worker").collect(), key=lambda r: r["block"])  # model-sized
     if not got:
         return None, None, 0
-    vec = np.empty(len(got))
-    rows = 0
-    for r in got:
-        vec[r["pos"]] = r["value"]
-        rows = int(r["rows"])
-    return vec[:-1], float(vec[-1]), rows
+    vec = np.concatenate([np.array(r["values"]) for r in got])
+    return vec[:-1], float(vec[-1]), int(got[0]["weight"])
 
 
 class Placement(tuple):
@@ -498,15 +581,48 @@ class Placement(tuple):
     made: the persisted copy, or the tables written under the checkpoint
     folder, so repeated training runs do not pile up data."""
 
-    def __new__(cls, df: DataFrame, rounds: int, paths: list[str] | None = None, batches: int = 0, group: int = 1):
+    def __new__(cls, df: DataFrame, rounds: int, paths: list[str] | None = None, batches: int = 0, units: Units | None = None):
         obj = super().__new__(cls, (df, rounds))
         obj.paths = paths or []
         obj.batches = batches  # of the longest worker
-        obj.group = group      # rounds to a directory
+        obj.units = units      # of a written placement: its files
+        obj._rows = None
+        obj._view = None
         return obj
 
+    def round_rows(self, options: "TrainOptions") -> DataFrame:
+        """The placed rows in a session of their own on the same SparkContext, made once: round jobs run there.
+
+        Adaptive planning is off (nothing is shuffled, so it has nothing to re-plan, and it would add latency to each of
+        many small jobs), an Arrow batch holds a worker's round where that is bounded, and a written placement's files
+        are read one to a task. The caller's settings are not touched."""
+        if self._rows is None:
+            df = self[0]
+            spark = df.sparkSession
+            arrow_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+            per_round = options.batch_size * (options.averaging_frequency or 1)
+            session = spark.newSession()
+            for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+                session.conf.set(key, spark.conf.get(key))
+            session.conf.set("spark.sql.adaptive.enabled", "false")
+            session.conf.set(arrow_key, str(max(int(spark.conf.get(arrow_key, "10000")), min(per_round, ROUND_ARROW_MAX_ROWS))))
+            if self.units:
+                # a file is never cut, and its opening counts as a whole task's share, so no two meet in a task
+                for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+                    session.conf.set(key, str(WHOLE_FILE_BYTES))
+                self._rows = session.read.schema(df.schema).parquet(self.paths[0])
+                self._rows._parallax_units = self.units
+            else:
+                self._view = f"parallax_placed_{uuid.uuid4().hex}"
+                df.createGlobalTempView(self._view)  # finds the persisted copy from the other session
+                self._rows = session.table(f"global_temp.{self._view}")
+        return self._rows
+
     def release(self) -> None:
         df = self[0]
+        if self._view:
+            df.sparkSession.catalog.dropGlobalTempView(self._view)
+        self._rows = self._view = None
         if df.is_cached:
             df.unpersist()
         for path in self.paths:
@@ -525,99 +641,175 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
 
     ``worker`` layout: persisted as placed.  ``range`` layout, or
     ``storage="checkpoint"``: written as Parquet under the shared checkpoint
-    folder, from the partitions it was placed in (each a run of one worker's
-    positions), in at most about ``MAX_ROUND_DIRS`` directories of
-    neighbouring rounds; a round reads its directory's files, less the row
-    groups of other rounds.
+    folder, a directory per unit and worker with one file in it, rows in order. A task
+    writes whole files, each of at most ``ROUND_TASK_MAX_ROWS`` rows (a longer minibatch is
+    several files, whose order does not matter: its gradient is a sum), so neither a hot worker nor a long round
+    meets in one task. A round reads its unit's files, less the row groups of other rounds, and shuffles nothing.
     """
     spark = examples.sparkSession
     assigned = assign_workers(examples, options.workers, options.batch_size, options.averaging_frequency,
                               options.seed, worker_col, order_col, layout=layout, keep_position=options.storage == "checkpoint")
-    ranged = "_pos" in assigned.columns
     paths = assigned._parallax_paths
+    written = "_pos" in assigned.columns
     if n_inputs is not None and n_outputs is not None:
-        assigned = assigned.select("worker", "batch_no", "round_no", *(["_pos"] if ranged else []),
+        assigned = assigned.select("worker", "batch_no", "round_no", *(["_pos"] if written else []),
                                    *_flat_columns(assigned, n_inputs, n_outputs))
     top = F.max(F.struct("batch_no", "round_no")).alias("top")
-    if not ranged:
+    units = None
+    if not written:
         placed = assigned.persist(StorageLevel.MEMORY_AND_DISK)
-        last = placed.agg(top).first()["top"]
-        return Placement(placed, 0 if last is None else int(last["round_no"]) + 1, batches=0 if last is None else int(last["batch_no"]) + 1)
-    path = scratch_path(spark, "placed")
-    # as many rounds to a directory as keep the directories few, from the plan's row count if it has one
-    group = max(1, -(-_rounds_at_most(assigned, options) // MAX_ROUND_DIRS))
-    (assigned.withColumn("round_group", F.expr(f"round_no div {group}")).write.partitionBy("round_group").parquet(path))
-    placed = spark.read.parquet(path)
+    else:
+        path = scratch_path(spark, "placed")
+        units = Units.of(options)
+        rows = assigned.withColumn("unit", F.expr(units.column()))
+        part = F.expr(f"(_pos - batch_no * {options.batch_size}) div {ROUND_TASK_MAX_ROWS}") if options.batch_size > ROUND_TASK_MAX_ROWS else F.lit(0)
+        (rows.repartition(_shuffle_width(rows, options.workers), "worker", "unit", part)
+         .sortWithinPartitions("unit", "worker", "_pos")
+         .write.option("maxRecordsPerFile", ROUND_TASK_MAX_ROWS).partitionBy("unit", "worker").parquet(path))
+        paths = [path, *paths]
+        placed = _read_placed(spark, path, rows)
     last = placed.agg(top).first()["top"]
     rounds, batches = (0, 0) if last is None else (int(last["round_no"]) + 1, int(last["batch_no"]) + 1)
-    return Placement(placed, rounds, [path, *paths], batches, group)
+    return Placement(placed, rounds, paths, batches, units)
+
 
+def _read_placed(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
-def _rounds_at_most(assigned: DataFrame, options: TrainOptions) -> int:
-    """An upper estimate of the number of rounds, from the plan's size (no job): rows of at least 24 bytes in one worker."""
-    if options.averaging_frequency is None:
-        return 1
-    size = min(_plan_bytes(assigned), 1 << 60)
-    return -(-size // (24 * options.batch_size * options.averaging_frequency))
+
+class Journal:
+    """What a training run needs to go on after its driver is lost, in a folder that the next driver can reach.
+
+    ``placement``: the options, the model's shape and the written placement; ``state-<n>``: after n rounds (of all
+    epochs), the parameters bit for bit, and the epoch's loss and rows so far. A state is written beside its name and
+    renamed, so a torn one is never read; the last two are kept."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _put(self, name: str, head: dict, body: bytes = b"") -> None:
+        write_bytes(self.spark, f"{self.path}/{name}", json.dumps(head).encode() + b"\n" + body)
+
+    def _get(self, name: str) -> tuple[dict, bytes]:
+        head, _, body = read_bytes(self.spark, f"{self.path}/{name}").partition(b"\n")
+        return json.loads(head), body
+
+    def placement(self, run: dict) -> dict | None:
+        """The placement that this run wrote, if its files are still there; another run's journal is refused."""
+        if not path_exists(self.spark, f"{self.path}/placement"):
+            return None
+        head, _ = self._get("placement")
+        if head["run"] != run:
+            raise ValueError(f"the journal in {self.path} belongs to a run with other options, model or columns: {head['run']}")
+        return head if path_exists(self.spark, f"{head['paths'][0]}/_SUCCESS") else None
+
+    def keep_placement(self, run: dict, placed: Placement) -> None:
+        self._put("placement", {"run": run, "paths": placed.paths, "rounds": placed[1], "batches": placed.batches,
+                                "units": asdict(placed.units), "schema": placed[0].schema.json()})
+
+    def _states(self) -> list[int]:
+        return sorted(int(n[6:]) for n in list_files(self.spark, self.path) if n.startswith("state-") and n[6:].isdigit())
+
+    def keep_state(self, n: int, params: np.ndarray, head: dict) -> None:
+        self._put(f"state-{n}", head, params.astype("<f8").tobytes())
+        for old in self._states()[:-2]:
+            delete_path(self.spark, f"{self.path}/state-{old}")
+
+    def state(self) -> tuple[int, dict, np.ndarray] | None:
+        """Rounds done, the state's head and the parameters."""
+        done = self._states()
+        if not done:
+            return None
+        head, body = self._get(f"state-{done[-1]}")
+        return done[-1], head, np.frombuffer(body, "<f8").astype(np.float64)
+
+
+def _journaled_placement(journal: Journal, run: dict, make) -> Placement:
+    spark = journal.spark
+    known = journal.placement(run)
+    if known is None:
+        placed = make()
+        journal.keep_placement(run, placed)
+        return placed
+    schema = T.StructType.fromJson(json.loads(known["schema"]))
+    df = spark.read.schema(schema).parquet(known["paths"][0]).select(*schema.names)
+    return Placement(df, known["rounds"], known["paths"], known["batches"], Units(**known["units"]))
 
 
 def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOptions = TrainOptions(),
         worker_col: str | None = None, order_col: str | None = None, placed: tuple[DataFrame, int] | None = None,
-        layout: str = "auto"):
+        layout: str = "auto", journal: str | None = None, journal_every: int = 1, max_rounds: int | None = None):
     """Train ``model`` for ``epochs`` passes; returns ``(model, history)``.
 
     ``history`` has one entry per epoch: ``epoch, rounds, rows, loss,
     seconds`` (``loss`` is the row-weighted mean minibatch loss of the epoch).
     ``placed`` reuses an earlier ``place`` result (e.g. across benchmark runs).
 
-    Rounds run in a session of their own on the same SparkContext (adaptive
-    planning off, one Arrow batch per worker-round where bounded); the
-    caller's session settings are not touched.
+    ``journal`` names a folder on shared storage: the placement is written (as with ``storage="checkpoint"``) and
+    noted there, and after every ``journal_every`` rounds the parameters are. A later call with the same arguments, from
+    another driver too, goes on after the last noted round and gives the parameters of a run that was never stopped,
+    bit for bit (but for minibatches above ``ROUND_TASK_MAX_ROWS``, whose sums have no fixed order). More ``epochs`` go on
+    from a finished run. ``max_rounds`` ends a call after so many rounds; the epoch under way has no history entry yet.
+
+    Rounds run in a session of their own on the same SparkContext
+    (``Placement.round_rows``); the caller's session settings are not touched.
     """
     own = placed is None
+    book = None
     if own:
-        placed = place(examples, options, worker_col, order_col, model.n_inputs, model.n_outputs, layout)
-    placed_df, n_rounds = placed
-    history = []
-    spark = placed_df.sparkSession
-    # Round jobs have no shuffle to re-plan (worker layout) or a fixed-count
-    # one (range layout): adaptive planning only adds latency to each of the
-    # many small jobs (0.21 -> 0.145 s per round measured).  One Arrow batch
-    # per worker-round where bounded (F x B rows, at most ROUND_ARROW_MAX_ROWS):
-    # fewer batch hand-offs per task (~15% per round).
-    arrow_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    per_round = options.batch_size * (options.averaging_frequency or 1)
-    session = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes"):
-        session.conf.set(key, spark.conf.get(key))
-    session.conf.set("spark.sql.adaptive.enabled", "false")
-    session.conf.set(arrow_key, str(max(int(spark.conf.get(arrow_key, "10000")), min(per_round, ROUND_ARROW_MAX_ROWS))))
-    view = f"parallax_placed_{uuid.uuid4().hex}"
-    placed_df.createGlobalTempView(view)  # finds the persisted copy or the written files from the other session
+        if journal is not None:
+            options = replace(options, storage="checkpoint")
+        make = lambda: place(examples, options, worker_col, order_col, model.n_inputs, model.n_outputs, layout)
+        if journal is None:
+            placed = make()
+        else:
+            book = Journal(examples.sparkSession, journal)
+            run = {"options": asdict(options), "worker_col": worker_col, "order_col": order_col, "layout": layout,
+                   "layers": [[layer.n_in, layer.n_out, layer.activation] for layer in model.layers], "columns": examples.columns}
+            placed = _journaled_placement(book, run, make)
+    elif journal is not None:
+        raise ValueError("a journal keeps its own placement")
+    if not isinstance(placed, Placement):
+        placed = Placement(*placed)
+    n_rounds = placed[1]
+    history: list[dict] = []
+    done, loss_sum, rows, spent = 0, 0.0, 0, 0.0
+    state = book.state() if book else None
+    if state:
+        done, head, params = state
+        model = model.with_params(params)
+        history, loss_sum, rows, spent = head["history"], head["loss_sum"], head["rows"], head["seconds"]
+    finished = False
     try:
-        rows_df = session.table(f"global_temp.{view}")
-        rows_df._parallax_group = getattr(placed, "group", 1)
-        batches = getattr(placed, "batches", 0)
+        rows_df = placed.round_rows(options)
+        batches = placed.batches
         share = options.batch_size * (options.averaging_frequency or max(1, batches))
-        long = "_pos" in rows_df.columns and batches and min(share, options.batch_size * batches) > ROUND_TASK_MAX_ROWS
-        for epoch in range(epochs):
-            t0 = time.perf_counter()
-            loss_sum, rows = 0.0, 0
-            for r in range(n_rounds):
-                if long:
-                    vec, loss, n = _long_round(rows_df, model, r, options, batches)
-                else:
-                    vec, loss, n = _averaged_round(rows_df, model, r, options.learning_rate, options.workers)
-                if vec is None:
-                    continue
+        long = placed.units is not None and batches and min(share, options.batch_size * batches) > ROUND_TASK_MAX_ROWS
+        stop = epochs * n_rounds if max_rounds is None else min(epochs * n_rounds, done + max_rounds)
+        t0 = time.perf_counter()
+        while done < stop:
+            epoch, r = divmod(done, n_rounds)
+            if long:
+                vec, loss, n = _long_round(rows_df, model, r, options, batches)
+            else:
+                vec, loss, n = _averaged_round(rows_df, model, r, options.learning_rate, options.workers)
+            if vec is not None:
                 model = model.with_params(vec)
                 loss_sum += loss * n
                 rows += n
-            history.append({"epoch": epoch, "rounds": n_rounds, "rows": rows,
-                            "loss": (loss_sum / rows) if rows else None,
-                            "seconds": time.perf_counter() - t0})
+            done += 1
+            if r == n_rounds - 1:
+                now = time.perf_counter()
+                history.append({"epoch": epoch, "rounds": n_rounds, "rows": rows, "loss": (loss_sum / rows) if rows else None,
+                                "seconds": spent + now - t0})
+                t0, loss_sum, rows, spent = now, 0.0, 0, 0.0
+            if book and (done % journal_every == 0 or done == stop):
+                book.keep_state(done, model.params(), {"history": history, "loss_sum": loss_sum, "rows": rows,
+                                                       "seconds": spent + time.perf_counter() - t0})
+        if not n_rounds:
+            history = [{"epoch": e, "rounds": 0, "rows": 0, "loss": None, "seconds": 0.0} for e in range(epochs)]
+        finished = done >= epochs * n_rounds
     finally:
-        spark.catalog.dropGlobalTempView(view)
-        if own:
-            placed.release()
+        if own and (book is None or finished):
+            placed.release()  # a journal's placement stays until the run is over
     return model, history

@@ -81,3 +81,43 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, on whatever file system it names."""
+    p, fs = _file_system(spark, path)
+    return bool(fs.exists(p))
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly in ``path``; none if it is not there."""
+    p, fs = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isFile()] if fs.exists(p) else []
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, whole or not at all: written beside its name, then renamed to it."""
+    p, fs = _file_system(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.part")
+    out = fs.create(part, True)
+    out.write(data)
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(part, p):
+        raise OSError(f"cannot write {path}")
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file's bytes."""
+    p, fs = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream))
+    finally:
+        stream.close()

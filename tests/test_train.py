@@ -244,17 +244,123 @@ def test_wrong_widths_are_refused(spark, layout):
         fit(ex, relu_2_8_1(), 1, TrainOptions(workers=2, batch_size=64), layout=layout)
 
 
-def test_a_placement_has_few_directories(spark, monkeypatch):
+def _files(placed, spark):
+    """(unit, worker) -> files of a written placement."""
+    got = placed[0].select("unit", "worker", F.col("_metadata.file_path").alias("f")).distinct().toPandas()
+    return got.groupby(["unit", "worker"])["f"].nunique()
+
+
+@pytest.mark.parametrize("layout,storage", [("range", "persist"), ("worker", "checkpoint")])
+def test_rounds_of_a_written_placement_shuffle_nothing(spark, monkeypatch, layout, storage):
     import parallax.operators.train as tr
 
-    monkeypatch.setattr(tr, "MAX_ROUND_DIRS", 5)
-    opts = TrainOptions(workers=2, batch_size=16, averaging_frequency=1)
-    placed = tr.place(_examples(spark), opts, n_inputs=2, n_outputs=1, layout="range")
-    assert placed[1] == placed.batches > 180
-    assert placed[0].select("round_group").distinct().count() <= 5
-    m, h = fit(_examples(spark), relu_2_8_1(), 1, opts, placed=placed)
+    monkeypatch.setattr(tr, "ROUND_TASK_MAX_ROWS", 1000)
+    opts = TrainOptions(workers=3, batch_size=64, averaging_frequency=4, learning_rate=0.3, storage=storage)
+    ex = _examples(spark)
+    placed = tr.place(ex, opts, n_inputs=2, n_outputs=1, layout=layout)
+    files = _files(placed, spark)
+    assert len(files) > 3 and (files == 1).all()  # one file for each worker and unit of three rounds
+    rows = placed.round_rows(opts)
+    plan = tr.fit_round(rows, relu_2_8_1(), 2, 0.1, workers=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "PartitionFilters: [isnotnull(unit" in plan
+    in_tasks = rows.withColumn("t", F.spark_partition_id()).groupBy("t").agg(F.countDistinct("worker", "unit").alias("n")).collect()
+    assert {r["n"] for r in in_tasks} == {1}  # a task reads one file
+    m, h = fit(ex, relu_2_8_1(), 2, opts, placed=placed)
     placed.release()
-    assert h[0]["rows"] == 6000
+    want, _ = fit(ex, relu_2_8_1(), 2, TrainOptions(workers=3, batch_size=64, averaging_frequency=4, learning_rate=0.3), layout="worker")
+    assert (m.params() == want.params()).all() and [e["rows"] for e in h] == [6000, 6000]
+
+
+def test_units_bound_what_a_file_holds(spark, monkeypatch):
+    import parallax.operators.train as tr
+
+    monkeypatch.setattr(tr, "ROUND_TASK_MAX_ROWS", 300)
+    ex = _examples(spark).withColumn("w", F.when(F.pmod("row_id", F.lit(100)) < 77, F.lit(0)).otherwise(F.lit(1)))
+    for batch, freq in ((20, 2), (20, None), (100, 7), (1000, 2)):
+        placed = tr.place(ex, TrainOptions(workers=2, batch_size=batch, averaging_frequency=freq), "w", None, 2, 1, "range")
+        sizes = placed[0].groupBy(F.col("_metadata.file_path")).count()
+        assert sizes.agg(F.max("count")).first()[0] <= 300 and placed[0].count() == 6000
+        placed.release()
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("layout,freq,limit,every", [("worker", 2, 4_000_000, 1), ("range", 2, 4_000_000, 3), ("range", None, 700, 1)])
+def test_a_stopped_run_goes_on_bit_for_bit(spark, tmp_dir, monkeypatch, layout, freq, limit, every):
+    """The driver is lost mid-epoch, twice; the parameters are those of a run that was never stopped."""
+    import parallax.operators.train as tr
+
+    monkeypatch.setattr(tr, "ROUND_TASK_MAX_ROWS", limit)
+    opts = TrainOptions(workers=3, batch_size=100, averaging_frequency=freq, learning_rate=0.3)
+    ex = _examples(spark)
+    want, hist = fit(ex, relu_2_8_1(), 2, opts, layout=layout, journal=f"{tmp_dir}/whole", journal_every=every)
+    rounds = hist[0]["rounds"]
+    assert rounds == (11 if freq else 1)
+    name = "_averaged_round" if freq else "_long_round"
+    plain, calls, stops = getattr(tr, name), [], {5, 16} if freq else {2}
+
+    def lost(*a, **k):
+        calls.append(1)
+        if len(calls) in stops:
+            raise Lost
+        return plain(*a, **k)
+
+    monkeypatch.setattr(tr, name, lost)
+    for _ in stops:
+        with pytest.raises(Lost):
+            fit(ex, relu_2_8_1(), 2, opts, layout=layout, journal=f"{tmp_dir}/cut", journal_every=every)
+    placed = tr.place
+    monkeypatch.setattr(tr, "place", None)  # the written placement is found, not made again
+    got, again = fit(ex, relu_2_8_1(), 2, opts, layout=layout, journal=f"{tmp_dir}/cut", journal_every=every)
+    assert (got.params() == want.params()).all()
+    assert [(e["epoch"], e["rows"], e["loss"]) for e in again] == [(e["epoch"], e["rows"], e["loss"]) for e in hist]
+    assert len(calls) - len(stops) <= 2 * rounds + len(stops) * (every - 1)
+    # a finished run: nothing more to do; more epochs go on from it
+    monkeypatch.setattr(tr, "place", placed)
+    n = len(calls)
+    same, _ = fit(ex, relu_2_8_1(), 2, opts, layout=layout, journal=f"{tmp_dir}/cut", journal_every=every)
+    assert (same.params() == want.params()).all() and len(calls) == n
+    monkeypatch.setattr(tr, name, plain)
+    more, h = fit(ex, relu_2_8_1(), 3, opts, layout=layout, journal=f"{tmp_dir}/cut")
+    three, _ = fit(ex, relu_2_8_1(), 3, opts, layout=layout, journal=f"{tmp_dir}/three")
+    assert (more.params() == three.params()).all() and len(h) == 3
+
+
+def test_a_journal_of_another_run_is_refused(spark, tmp_dir):
+    ex = _examples(spark)
+    fit(ex, relu_2_8_1(), 1, TrainOptions(workers=2, batch_size=512), journal=f"{tmp_dir}/j", max_rounds=1)
+    with pytest.raises(ValueError, match="other options"):
+        fit(ex, relu_2_8_1(), 1, TrainOptions(workers=2, batch_size=256), journal=f"{tmp_dir}/j")
+
+
+def test_torn_journal_files_are_not_read(spark, tmp_dir):
+    from parallax.operators.train import Journal
+
+    book = Journal(spark, f"{tmp_dir}/j")
+    assert book.state() is None
+    for n in range(5):
+        book.keep_state(n, np.full(3, n + 0.1), {"n": n})
+    (__import__("pathlib").Path(tmp_dir) / "j" / "state-9.abc.part").write_bytes(b"{")
+    done, head, params = book.state()
+    assert done == 4 and head == {"n": 4} and (params == 4.1).all() and book._states() == [3, 4]
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_blocked_averages_equal_the_mean_and_shuffle_fewer_rows(spark, block):
+    from parallax.operators.train import average_blocks, average_parameters
+
+    rng = np.random.default_rng(3)
+    vectors, n = rng.normal(size=(5, 50)), np.array([3, 1, 4, 1, 5])
+    wp = spark.createDataFrame([(w, vectors[w].tolist(), int(n[w])) for w in range(5)], "worker int, params array<double>, n long").repartition(5)
+    got = sorted(average_blocks(wp, order="worker", block=block).collect(), key=lambda r: r["block"])
+    flat = np.concatenate([r["values"] for r in got])
+    assert len(got) == -(-50 // block) and np.abs(flat - (vectors * n[:, None]).sum(0) / n.sum()).max() < 1e-14
+    assert {r["weight"] for r in got} == {14.0}
+    want = {r["pos"]: r["value"] for r in average_parameters(wp).collect()}
+    assert np.abs(flat - [want[k] for k in range(50)]).max() < 1e-14
+    assert average_blocks(wp.filter("worker < 0"), block=block).collect() == []
 
 
 def test_large_models_travel_as_broadcast(spark, monkeypatch):
