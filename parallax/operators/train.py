@@ -16,7 +16,7 @@
    ``storage="checkpoint"``): one file per worker and unit, a unit being a run
    of rounds (or of a long round's minibatches) of at most
    ``ROUND_TASK_MAX_ROWS`` rows, sorted (see ``Units``).
-3. One Spark job per averaging round: ``filter(round_no = r)`` -> ``mapInPandas``
+3. One Spark job per averaging round: ``filter(round_no = r)`` -> ``mapInArrow``
    streaming each worker's rows in batch order (the gradient of a minibatch is
    summed over Arrow chunks, so memory is bounded by the Arrow batch, not by
    ``batch_size x F``) -> one ``(worker, params, n, loss)`` row per worker ->
@@ -40,6 +40,7 @@ import json
 import time
 import uuid
 from dataclasses import asdict, dataclass, replace
+from functools import partial
 
 import numpy as np
 from pyspark import StorageLevel
@@ -285,79 +286,73 @@ def _refuse_missing(x: np.ndarray, y: np.ndarray) -> None:
                          "keep only good records (sources.csv.good_records) or fill them first")
 
 
-def _round_runner(ref: ModelRef, learning_rate: float, n_in: int, n_out: int, starts: dict | None = None):
-    """The per-partition function of one round (runs in Python workers); ``starts`` holds the workers'
-    own parameters where a round goes on from an earlier job."""
-
-    def run(batches):
-        import pandas as pd
-
-        model = ref.get()
-        start = model.params()
-
-        xcols = [f"x{i}" for i in range(n_in)]
-        ycols = [f"y{i}" for i in range(n_out)]
-        out = []
-        cur_w = None
-        params = start
-        m = model
+def _run_round(batches, ref: ModelRef, learning_rate: float, n_in: int, n_out: int, starts: dict | None = None):
+    """For ``mapInArrow``: one round over a partition of (worker, batch_no, x..., y...) rows, sorted by both; ``starts``
+    holds the workers' own parameters where a round goes on from an earlier job."""
+    import pyarrow as pa
+
+    model = ref.get()
+    start = model.params()
+    xcols = [f"x{i}" for i in range(n_in)]
+    ycols = [f"y{i}" for i in range(n_out)]
+    out = []
+    cur_w = None
+    params = start
+    m = model
+    b_id, b_n, b_loss, b_grad = None, 0, 0.0, None
+    w_n, w_loss = 0, 0.0
+
+    def close_batch():
+        nonlocal params, m, b_id, b_n, b_loss, b_grad, w_n, w_loss
+        if b_id is not None and b_n:
+            params = params - learning_rate * (b_grad / b_n)
+            m = m.with_params(params)
+            w_n += b_n
+            w_loss += b_loss
         b_id, b_n, b_loss, b_grad = None, 0, 0.0, None
-        w_n, w_loss = 0, 0.0
-
-        def close_batch():
-            nonlocal params, m, b_id, b_n, b_loss, b_grad, w_n, w_loss
-            if b_id is not None and b_n:
-                params = params - learning_rate * (b_grad / b_n)
-                m = m.with_params(params)
-                w_n += b_n
-                w_loss += b_loss
-            b_id, b_n, b_loss, b_grad = None, 0, 0.0, None
-
-        def close_worker():
-            nonlocal params, m, w_n, w_loss
-            close_batch()
-            if cur_w is not None and w_n:
-                out.append((int(cur_w), params.copy(), int(w_n), float(w_loss / w_n)))
-            params, m, w_n, w_loss = start, model, 0, 0.0
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            wk = pdf["worker"].to_numpy()
-            bn = pdf["batch_no"].to_numpy()
-            x = pdf[xcols].to_numpy(dtype=np.float64)
-            y = pdf[ycols].to_numpy(dtype=np.float64)
-            _refuse_missing(x, y)
-            # runs of equal (worker, batch_no); rows arrive sorted by both
-            change = np.flatnonzero((wk[1:] != wk[:-1]) | (bn[1:] != bn[:-1])) + 1
-            bounds = np.concatenate([[0], change, [len(pdf)]])
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                if wk[s] != cur_w:
-                    close_worker()
-                    cur_w = wk[s]
-                    if starts and int(cur_w) in starts:
-                        params = starts[int(cur_w)]
-                        m = model.with_params(params)
-                if bn[s] != b_id:
-                    close_batch()
-                    b_id = bn[s]
-                loss, grad = loss_grad_sums(m, x[s:e], y[s:e])
-                b_n += e - s
-                b_loss += loss
-                b_grad = grad if b_grad is None else b_grad + grad
-        close_worker()
-        if not out:
-            return
-        yield pd.DataFrame(
-            {
-                "worker": pd.Series([r[0] for r in out], dtype="int32"),
-                "params": [r[1] for r in out],
-                "n": pd.Series([r[2] for r in out], dtype="int64"),
-                "loss": pd.Series([r[3] for r in out], dtype="float64"),
-            }
-        )
 
-    return run
+    def close_worker():
+        nonlocal params, m, w_n, w_loss
+        close_batch()
+        if cur_w is not None and w_n:
+            out.append((int(cur_w), params.copy(), int(w_n), float(w_loss / w_n)))
+        params, m, w_n, w_loss = start, model, 0, 0.0
+
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        wk, bn = batch.column("worker").to_numpy(), batch.column("batch_no").to_numpy()
+        x, y = _matrix(batch, xcols), _matrix(batch, ycols)
+        _refuse_missing(x, y)
+        # runs of equal (worker, batch_no); rows arrive sorted by both
+        change = np.flatnonzero((wk[1:] != wk[:-1]) | (bn[1:] != bn[:-1])) + 1
+        bounds = np.concatenate([[0], change, [rows]])
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            if wk[s] != cur_w:
+                close_worker()
+                cur_w = wk[s]
+                if starts and int(cur_w) in starts:
+                    params = starts[int(cur_w)]
+                    m = model.with_params(params)
+            if bn[s] != b_id:
+                close_batch()
+                b_id = bn[s]
+            loss, grad = loss_grad_sums(m, x[s:e], y[s:e])
+            b_n += e - s
+            b_loss += loss
+            b_grad = grad if b_grad is None else b_grad + grad
+    close_worker()
+    if out:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.list_(pa.float64())),
+             pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.float64())],
+            names=["worker", "params", "n", "loss"])
+
+
+def _matrix(batch, cols: list[str]) -> np.ndarray:
+    """An Arrow batch's columns as a matrix; nulls become NaN."""
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for c in cols])
 
 
 def _flat_columns(df: DataFrame, n_in: int, n_out: int, features: str = "features", label: str = "label") -> list:
@@ -388,7 +383,6 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
     rows = _round_rows(placed, round_no, batches)
     n_in, n_out = model.n_inputs, model.n_outputs
     cols = set(placed.columns)
-    xy = _flat_columns(placed, n_in, n_out, features, label)
     if "_pos" in cols and "unit" not in cols:
         # range layout, not written by ``place``: bring each worker's rows into one task, in position order
         parts = workers or placed.sparkSession.sparkContext.defaultParallelism
@@ -396,9 +390,9 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
     wanted = {"worker", "batch_no", "round_no", *(f"x{i}" for i in range(n_in)), *(f"y{j}" for j in range(n_out))}
     # placed rows that already hold exactly the flat columns go in as they are
     # (one transformation, so one analysis, fewer per round job)
-    flat = rows if cols == wanted else rows.select("worker", "batch_no", *xy)
+    flat = rows if cols == wanted else rows.select("worker", "batch_no", *_flat_columns(placed, n_in, n_out, features, label))
     ref = model_ref or ModelRef(model, placed.sparkSession.sparkContext)
-    return flat.mapInPandas(_round_runner(ref, learning_rate, n_in, n_out, starts), _WORKER_PARAMS_TYPE)
+    return flat.mapInArrow(partial(_run_round, ref=ref, learning_rate=learning_rate, n_in=n_in, n_out=n_out, starts=starts), _WORKER_PARAMS_TYPE)
 
 
 def _round_rows(placed: DataFrame, round_no: int | None, batches: tuple[int, int] | None) -> DataFrame:

@@ -10,15 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parallax.fixtures import linear_2_1, net_price_records, read_table, relu_2_3_1, relu_2_8_1
 from parallax.model import Dense, Model
 from parallax.operators.examples import DEFAULT_KEY, key_examples, split_by_position, to_examples, with_scan_id
-from parallax.operators.partition import partition_dataset, write_partitioned
+from parallax.operators.partition import balanced_partitions, partition_dataset, write_partitioned
+from parallax.operators.row_ids import with_dense_id
 from parallax.operators.score import score, score_batched, score_expr
-from parallax.operators.train import TrainOptions, assign_workers, average_parameters, fit, fit_round
+from parallax.operators.train import TrainOptions, assign_workers, average_blocks, average_parameters, fit, fit_round
 from parallax.plans.bench import bench_fit, bench_score, count_predictions, summarise_runs
 from parallax.session import scratch_path
 from parallax.sources.csv import good_records, read_records
@@ -272,6 +273,36 @@ def q_partition_dataset(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("p").alias("n_partitions")))
 
 
+def q_balanced_partitions(spark, sf_dir):
+    """Lineitem in 16 ranges of a key of which one value has a third of the rows: none above 1.5 times the median, in order."""
+    li = read_table(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, F.lit(7)).otherwise(F.col("l_orderkey")).alias("k"))
+    parts = balanced_partitions(li, 16, ["k"], part_col="part").groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    in_order = F.coalesce(F.col("lo") >= F.lag("hi").over(Window.orderBy("part")), F.lit(True))
+    return parts.withColumn("ok", in_order).agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n").alias("n_rows"), F.min("ok").alias("in_order"),
+                                                (F.max("n") <= F.median("n") * 1.5).alias("balanced"))
+
+
+def q_dense_row_id(spark, sf_dir):
+    """Every lineitem row's dense id, and that several files' ids have no gaps."""
+    li = read_table(spark, sf_dir, "lineitem").select(*ID_COLS)
+    one = with_dense_id(li).select("row_id", *ID_COLS, F.lit("one").alias("files"))
+    path = scratch_path(spark, "several-files")
+    li.repartition(7).write.parquet(path)
+    several = with_dense_id(spark.read.parquet(path)).select("row_id", F.lit(None).cast("long").alias("l_orderkey"),
+                                                             F.lit(None).cast(li.schema["l_linenumber"].dataType).alias("l_linenumber"), F.lit("several").alias("files"))
+    return one.unionAll(several)
+
+
+def q_average_blocks(spark, sf_dir):
+    """The embeddings' mean weighted by label, in blocks of 16 components."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    wp = emb.select("vec_id", F.col("embedding").cast("array<double>").alias("params"), F.col("label").alias("n"))
+    blocks = average_blocks(wp, order="vec_id", block=16)
+    return blocks.select("block", F.posexplode("values").alias("i", "v")).select(
+        (F.col("block") * 16 + F.col("i")).alias("pos"), F.round("v", 9).alias("value"))
+
+
 def q_count_predictions(spark, sf_dir):
     return count_predictions(score_expr(_lineitem_keyed(spark, sf_dir), relu_2_3_1()))
 
@@ -336,6 +367,16 @@ def q_fit_epochs(spark, sf_dir):
     return _params(spark, model)
 
 
+def q_fit_resumed(spark, sf_dir):
+    """``fit_epochs`` stopped after each round and resumed from its journal."""
+    ex = to_examples(net_price_records(read_table(spark, sf_dir, "lineitem")), ["x1", "x2"], ["y"])
+    opts = TrainOptions(workers=4, batch_size=1 << 40, averaging_frequency=1, learning_rate=0.5)
+    journal = scratch_path(spark, "journal")
+    for _ in range(3):
+        model, _ = fit(ex, linear_2_1(), epochs=3, options=opts, journal=journal, max_rounds=1)
+    return _params(spark, model)
+
+
 def _event_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 10 / CAST(10 AS DOUBLE) AS x1", "event_id % 7 / CAST(7 AS DOUBLE) AS x2")
     return to_examples(ev.withColumn("y", F.col("x1") * F.lit(0.5) - F.col("x2")), ["x1", "x2"], ["y"], row_id=None, keep=["event_id"])
@@ -419,6 +460,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "average_parameters": q_average_parameters,
     "sgd_round": q_sgd_round,
     "fit_epochs": q_fit_epochs,
+    "fit_resumed": q_fit_resumed,
+    "balanced_partitions": q_balanced_partitions,
+    "dense_row_id": q_dense_row_id,
+    "average_blocks": q_average_blocks,
     "fit_minibatches": _q_fit_minibatches("worker"),
     "fit_minibatches_range": _q_fit_minibatches("range"),
     "partition_write": q_partition_write,
@@ -532,6 +577,11 @@ ORACLES: dict[str, str] = {
     "assign_batches_hashed": (
         "SELECT CAST(w AS INTEGER) AS worker, (SELECT count(*) FROM events) AS n_rows, CAST(1 AS INTEGER) AS gapless, CAST(1 AS INTEGER) AS balanced, CAST(1 AS INTEGER) AS numbered FROM range(4) AS t(w)"),
     "fit_epochs": _EPOCHS_SQL,
+    "fit_resumed": _EPOCHS_SQL,
+    "balanced_partitions": "SELECT CAST(16 AS BIGINT) AS n_parts, count(*) AS n_rows, true AS in_order, true AS balanced FROM lineitem",
+    "dense_row_id": (
+        "SELECT row_number() OVER () - 1 AS row_id, l_orderkey, l_linenumber, 'one' AS files FROM lineitem "
+        "UNION ALL SELECT row_number() OVER () - 1, NULL, NULL, 'several' FROM lineitem"),
     "fit_minibatches": _MINIBATCHES_SQL,
     "fit_minibatches_range": _MINIBATCHES_SQL,
     "read_lines": ("SELECT CAST(p_partkey AS VARCHAR) || ',' || CAST(p_size AS VARCHAR) || ',' || "
@@ -577,5 +627,10 @@ ORACLES: dict[str, str] = {
         "FROM e GROUP BY pos"
     ),
     "sgd_round": _sgd_sql(),
+    "average_blocks": (
+        "WITH e AS (SELECT unnest(generate_series(0, len(embedding) - 1)) AS pos, "
+        "unnest(embedding) AS v, label FROM embeddings) "
+        "SELECT CAST(pos AS INTEGER) AS pos, round(sum(CAST(v AS DOUBLE) * label) / sum(label), 9) AS value "
+        "FROM e GROUP BY pos"),
     "partition_write": f"SELECT l_returnflag, {X1} AS x1, {X2} AS x2, {Y} AS y FROM lineitem",
 }

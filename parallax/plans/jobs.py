@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from parallax.operators.examples import DEFAULT_KEY, key_examples, split_by_position, to_examples
 from parallax.operators.score import score
-from parallax.operators.train import TrainOptions
-from parallax.plans.bench import bench_fit, bench_score, summarise_runs
+from parallax.operators.train import TrainOptions, fit
+from parallax.plans.bench import BENCH_RUNS_SCHEMA, bench_fit, bench_score, summarise_runs
 from parallax.sources.csv import bad_records, good_records, read_records
 from parallax.sources.model_store import load_model, save_model
 from parallax.sources.sinks import write_predictions
@@ -93,6 +94,8 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--layout", choices=["auto", "worker", "range"], default="auto")
     t.add_argument("--worker-col", help="parquet: integer column that names each row's worker (default: a hash of the row)")
     t.add_argument("--order-col", help="parquet: column that orders a worker's rows (default: shuffled by a hash)")
+    t.add_argument("--journal", help="folder on shared storage that keeps the run's progress: one untimed fit that goes on after the "
+                                     "last round noted there (no warm-up, one iteration)")
     t.add_argument("--save", help="write the trained weights table here")
     return p
 
@@ -112,9 +115,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
         opts = TrainOptions(workers=args.workers, batch_size=args.batch,
                             averaging_frequency=args.averaging or None, learning_rate=args.lr, seed=args.seed,
                             storage=args.storage)
-        runs, model, history = bench_fit(spark, examples, model, epochs=args.epochs, iterations=args.iterations or 1,
-                                         warmup=args.warmup, options=opts, name="train",
-                                         worker_col=args.worker_col, order_col=args.order_col, layout=args.layout)
+        if args.journal:
+            t0 = time.perf_counter_ns()
+            model, history = fit(examples, model, args.epochs, opts, args.worker_col, args.order_col, layout=args.layout, journal=args.journal)
+            runs = spark.createDataFrame([("train", 0, sum(e["rows"] for e in history), time.perf_counter_ns() - t0)], BENCH_RUNS_SCHEMA)
+        else:
+            runs, model, history = bench_fit(spark, examples, model, epochs=args.epochs, iterations=args.iterations or 1,
+                                             warmup=args.warmup, options=opts, name="train",
+                                             worker_col=args.worker_col, order_col=args.order_col, layout=args.layout)
         if history:
             print(f"last epoch loss: {history[-1]['loss']}")
         if args.save:

@@ -26,6 +26,12 @@ def test_score_and_train_jobs_end_to_end(spark, tmp_dir, capsys):
                  "--averaging", "2", "--epochs", "2", "--warmup", "0", "--save", saved], spark=spark)
     assert [r.n_records for r in runs.collect()] == [12000]
     assert load_model(spark, saved).n_params == relu_2_8_1().n_params
+    again = ["train", "--data", data, "--model", model, "--workers", "2", "--batch", "512", "--averaging", "2", "--epochs", "2",
+             "--journal", os.path.join(tmp_dir, "journal")]
+    for name in ("one", "two"):  # the second call finds the run finished
+        assert [r.n_records for r in main([*again, "--save", os.path.join(tmp_dir, name)], spark=spark).collect()] == [12000]
+    one, two = (load_model(spark, os.path.join(tmp_dir, n)).params() for n in ("one", "two"))
+    assert (one == two).all()
 
     runs = main(["score", "--data", SF001 + "/lineitem.parquet", "--format", "parquet", "--model", model,
                  "--features", "l_extendedprice,l_discount", "--method", "expr", "--iterations", "1"], spark=spark)

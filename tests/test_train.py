@@ -234,6 +234,21 @@ def test_other_session_finds_the_persisted_placement(spark):
     assert "InMemoryTableScan" in plan
 
 
+def test_a_reused_placement_stays_cached(spark):
+    """Dropping a view over persisted rows drops their cache too: fits on one placement must not."""
+    from parallax.operators.train import place
+
+    opts = TrainOptions(workers=2, batch_size=512)
+    ex = _examples(spark)
+    placed = place(ex, opts, n_inputs=2, n_outputs=1)
+    for _ in range(2):
+        fit(ex, relu_2_8_1(), 1, opts, placed=placed)
+        rows = placed.round_rows(opts)
+        for df in (placed[0].select("x0"), rows.filter("round_no = 0")):
+            assert "InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString()
+    placed.release()
+
+
 @pytest.mark.parametrize("layout", ["worker", "range"])
 def test_wrong_widths_are_refused(spark, layout):
     ex = _examples(spark).withColumn("features", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
