@@ -31,9 +31,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     before = None
     for _ in range(max_rounds):
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that no aggregate stands on the join and a hub's side can be split
+        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
-        least2 = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = settle(large)
+        least2 = settle(large.groupBy("hi").agg(F.min("lo").alias("m")))
         joined = large.join(least2, "hi")
         # small star: hi -> m, and every other smaller neighbour -> m
         cur = settle(joined.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"),
@@ -49,6 +51,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return cur.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionAll(roots)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names for inside use, like ``wanted``, that ``df`` does not have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 MAX_SIEVE_WORDS = 1 << 20  # 8 MB
 
 
@@ -62,15 +76,17 @@ def mark_possible(rows: DataFrame, column: str, ids: DataFrame, id_col: str, mar
     place = lambda c: F.pmod(F.xxhash64(F.lit(1), c), F.lit(words))
     bit = lambda c, k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(k), c), F.lit(64)).cast("int"))
     bits = lambda c: bit(c, 2).bitwiseOR(bit(c, 3))
-    table = ids.select(place(F.col(id_col)).alias("_w"), bits(F.col(id_col)).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_m"))
-    hit = rows.withColumn("_w", place(F.col(column))).join(F.broadcast(table), "_w", "left")
-    maybe = F.coalesce(F.col("_m").bitwiseAND(bits(F.col(column))) == bits(F.col(column)), F.lit(False))
+    at, mask = free_names(rows, "_w", "_m")
+    table = ids.select(place(F.col(id_col)).alias(at), bits(F.col(id_col)).alias("_b")).groupBy(at).agg(F.bit_or("_b").alias(mask))
+    hit = rows.withColumn(at, place(F.col(column))).join(F.broadcast(table), at, "left")
+    maybe = F.coalesce(F.col(mask).bitwiseAND(bits(F.col(column))) == bits(F.col(column)), F.lit(False))
     return hit.select(*rows.columns, maybe.alias(mark))
 
 
 def sieve(rows: DataFrame, column: str, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows whose ``column`` may be among ``ids``: every one that is, and a few others."""
-    return mark_possible(rows, column, ids, id_col).filter("_maybe").drop("_maybe")
+    mark, = free_names(rows, "_maybe")
+    return mark_possible(rows, column, ids, id_col, mark).filter(F.col(mark)).drop(mark)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ set holds its n-grams of ``n`` words (one n-gram of all its words if it has
 fewer). Two documents link if the Jaccard similarity of their sets is at least
 ``threshold``.
 
-1. Equal word sequences form a class; the class's smallest id stands for it.
+1. Equal word sequences form a class, known by their digest; one of its rows, that of the smallest id, stands for it.
 2. Each representative gets ``rows * bands`` MinHash values; ``choose_bands``
    takes the most selective banding of at most ``MAX_HASHES`` values that finds
    a pair at the threshold with ``target_recall``.
@@ -26,8 +26,9 @@ different texts is lost beyond the banding's recall.
 
 Defined cases: a null text counts as empty; texts without words form one class
 (their word sequences are equal) and link to no other text; a row with a null
-id has no class, no links and is kept; rows that repeat an id count once for each
-row in ``n_links`` of the others; an empty table gives no rows; very long texts
+id has no class, no links and is kept; rows that repeat an id are documents of their
+own with their own text's class, count once each in ``n_links`` of the others, and are kept
+where that class is named by their id; an empty table gives no rows; very long texts
 are hashed whole; further columns are ignored.
 """
 
@@ -41,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.components import connected_components, forest, mark_possible, sieve, sorted_groups
+from parallax.llm.components import connected_components, forest, free_names, mark_possible, sieve, sorted_groups
 from parallax.session import scratch_path
 
 N = 5
@@ -113,28 +114,32 @@ def _coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
 def minhash(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest of ``a * x + b`` (mod 2^64) over the set, for each (a, b)."""
     out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(shingles), 4096):
-        part = shingles[s:s + 4096]
-        for k in range(len(a)):
-            v = part * a[k]
-            v += b[k]
-            m = v.min()
-            if m < out[k]:
-                out[k] = m
+    for s in range(0, len(shingles), 1024):
+        v = a[:, None] * shingles[s:s + 1024]
+        v += b[:, None]
+        np.minimum(out, v.min(axis=1), out=out)
     return out
 
 
+def _digest(words: np.ndarray) -> bytes:
+    """A word sequence's class."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(words.tobytes())
+
+
 def _sketch_batches(batches: Iterator, n: int, bands: int, rows: int) -> Iterator:
+    """(..., text) to (..., cls, keys, sig)."""
     import pyarrow as pa
     import xxhash
 
     shingler = Shingler(n)
     a, b = _coefficients(bands * rows)
     for batch in batches:
-        ids, cls, keys, sigs = batch.column(0), [], [], []
-        for text in batch.column(1):
+        cls, keys, sigs = [], [], []
+        for text in batch.column(batch.num_columns - 1):
             words = shingler.words(text.as_py())
-            cls.append(xxhash.xxh3_128_digest(words.tobytes()))
+            cls.append(_digest(words))
             s = shingler.shingles(words)
             if len(s):
                 sig = minhash(s, a, b)
@@ -143,18 +148,22 @@ def _sketch_batches(batches: Iterator, n: int, bands: int, rows: int) -> Iterato
             else:
                 keys.append([])
                 sigs.append(b"")
-        yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                                         names=["doc_id", "cls", "keys", "sig"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                                         names=[*batch.schema.names[:-1], "cls", "keys", "sig"])
 
 
 def _set_batches(batches: Iterator, n: int) -> Iterator:
-    """(..., text) to (..., set bytes); the text is the last column."""
+    """(..., cls, text) to (..., set bytes) of the texts of that class."""
     import pyarrow as pa
 
     shingler = Shingler(n)
     for batch in batches:
-        sets = [shingler.shingles(shingler.words(t.as_py())).tobytes() for t in batch.column(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "set"])
+        sets = []
+        for cls, text in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+            words = shingler.words(text.as_py())
+            sets.append(shingler.shingles(words).tobytes() if _digest(words) == cls.as_py() else None)
+        own = pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-2], "set"])
+        yield own.filter(own.column("set").is_valid())
 
 
 def _pairs_in_block(side: np.ndarray, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +280,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     target_recall: float = TARGET_RECALL) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest id reachable by links), n_links (other documents linked
     directly, equal ones included), kept (doc_id = class_id)."""
+    return _classed(docs, id_col, text_col, n, threshold, target_recall).select("doc_id", "class_id", "n_links", "kept")
+
+
+def _classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD,
+             target_recall: float = TARGET_RECALL) -> DataFrame:
+    """``near_duplicates`` with ``th``, a hash of the row's text, which tells the rows of one id apart."""
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, target_recall)
     width = bands * rows
@@ -280,12 +295,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     named = src.filter(F.col("doc_id").isNotNull())
     sketches = settle(named.mapInArrow(partial(_sketch_batches, n=n, bands=bands, rows=rows),
-                                       "doc_id long, cls binary, keys array<long>, sig binary"), "sketch")
-    classes = settle(sketches.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")), "class")
-    reps = sketches.withColumnRenamed("doc_id", "rep").join(classes, ["cls", "rep"]).dropDuplicates(["rep"])
+                                       "doc_id long, th long, cls binary, keys array<long>, sig binary"), "sketch")
+    # a class's number is only a name inside; the written table fixes it
+    first = F.min(F.struct("doc_id", "th")).alias("first")
+    classes = settle(sketches.groupBy("cls").agg(first, F.count(F.lit(1)).alias("m")).select(
+        "cls", "m", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.monotonically_increasing_id().alias("rep")), "class")
+    # rows of a class have one sketch, so any of those that repeat its first row will do
+    reps = sketches.join(classes.drop("m"), ["cls", "doc_id", "th"]).dropDuplicates(["rep"])
 
     # buckets that two or more representatives share
     spread = reps.select("rep", F.explode("keys").alias("key"))
@@ -295,25 +314,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = int(np.ceil((threshold - MARGIN) * width))
     edges = (_blocks(chunked.select("key", "chunks", "rep", "sig"), "key", "chunks")
              .mapInArrow(partial(_bucket_edges, least=least, width=width), "a long, b long").distinct())
-    families = settle(connected_components(edges).withColumnsRenamed({"id": "rep", "component": "family"}), "family")
+    families = connected_components(edges).withColumnsRenamed({"id": "rep", "component": "family"})
+    families = settle(families.join(classes, "rep"), "family")
 
     # full sets of the family members only; the sieve keeps the other texts out of the shuffle
-    sized = settle(sieve(named.withColumnRenamed("doc_id", "rep"), "rep", families, "rep").join(families, "rep")
-                   .join(classes.select(F.col("rep"), "m"), "rep").dropDuplicates(["rep"])
-                   .select("family", "rep", "m", "text").mapInArrow(partial(_set_batches, n=n), "family long, rep long, m long, set binary"), "set")
-    cut = sized.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_CHUNK),
-                                                 F.ceil(F.sum(F.octet_length("set") / 8) / FAMILY_SHINGLES), F.lit(1)).cast("int").alias("chunks"))
+    texts = sieve(named, "doc_id", families, "doc_id").join(families, ["doc_id", "th"]).dropDuplicates(["rep"])
+    sized = settle(texts.select("family", "rep", "m", "cls", "text")
+                   .mapInArrow(partial(_set_batches, n=n), "family long, rep long, m long, set binary"), "set")
+    cut = settle(sized.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_CHUNK),
+                                                        F.ceil(F.sum(F.octet_length("set") / 8) / FAMILY_SHINGLES), F.lit(1)).cast("int").alias("chunks")), "cut")
     links = settle(_blocks(sized.join(cut, "family"), "family", "chunks")
                    .mapInArrow(partial(_family_links, threshold=threshold), "a long, b long, n long"), "link")
     counts = links.filter("b < 0 and n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    joined = connected_components(links.filter("n = 0").select("a", "b").distinct()).withColumnsRenamed({"id": "rep"})
-    found = (classes.join(joined, "rep", "left").join(counts, "rep", "left")
-             .select("cls", F.coalesce("component", "rep").alias("class_id"),
-                     (F.col("m") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")))
-    out = sketches.select("doc_id", "cls").join(found, "cls").select(
-        "doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    joined = settle(connected_components(links.filter("n = 0").select("a", "b").distinct()).withColumnsRenamed({"id": "rep"})
+                    .join(classes.select("rep", "doc_id"), "rep"), "joined")
+    least_id = settle(joined.groupBy("component").agg(F.min("doc_id").alias("class_id")), "name")
+    named_by = joined.select("rep", "component").join(least_id, "component").select("rep", "class_id")
+    found = settle(classes.join(named_by, "rep", "left").join(counts, "rep", "left")
+                   .select("cls", F.coalesce("class_id", "doc_id").alias("class_id"),
+                           (F.col("m") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")), "found")
+    out = sketches.select("doc_id", "th", "cls").join(found, "cls").select(
+        "doc_id", "th", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     nameless = src.filter(F.col("doc_id").isNull()).select(
-        "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+        "doc_id", "th", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return out.unionAll(nameless)
 
 
@@ -321,11 +344,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each class (the smallest id; rows that repeat it count as one document and stay), all columns kept."""
     spark = docs.sparkSession
     path = scratch_path(spark, "ngram-gone")
-    (near_duplicates(docs, id_col, text_col, **settings).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-     .write.parquet(path))
+    number, text_hash, key, mark = free_names(docs, "_id", "_th", "_key", "_maybe")
+    (_classed(docs, id_col, text_col, **settings).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+     .withColumn("gone_key", F.xxhash64("gone_id", "gone_th")).write.parquet(path))
     gone = spark.read.parquet(path)
     # documents that are surely not gone pass without a shuffle
-    marked = mark_possible(docs.withColumn("_id", F.col(id_col).cast("long")), "_id", gone, "_gone")
-    stay = marked.filter("not _maybe").select(*docs.columns)
-    asked = marked.filter("_maybe")
-    return stay.unionAll(asked.join(gone, asked["_id"] == F.col("_gone"), "left_anti").select(*docs.columns))
+    named = docs.withColumn(number, F.col(id_col).cast("long")).withColumn(text_hash, F.xxhash64(F.col(text_col)))
+    marked = mark_possible(named.withColumn(key, F.xxhash64(number, text_hash)), key, gone, "gone_key", mark)
+    stay = marked.filter(~F.col(mark)).select(*docs.columns)
+    asked, listed = marked.filter(F.col(mark)).alias("a"), gone.alias("g")
+    same = (F.col(f"a.{number}") == F.col("g.gone_id")) & (F.col(f"a.{text_hash}") == F.col("g.gone_th"))
+    return stay.unionAll(asked.join(listed, same, "left_anti").select(*docs.columns))
