@@ -69,9 +69,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without the lines of recurring templates."""
+    """Every document's text without the lines of recurring templates and repeated passages."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_recurring_lines(docs).withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+    return line_dedup.drop_recurring_lines(docs, long_lines=True).withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
 
 
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
