@@ -1,13 +1,16 @@
 """Embedding near-dedup: an inverted multi-index with multi-sequence traversal.
 
-Vectors are compared only with vectors of the same label, by cosine in double
+Vectors are compared only with vectors of the same label and length, by cosine in double
 precision.
 
 1. Equal directions (equal normalised vectors) of a label form one class, so a
    vector that a third of all rows hold is compared once.
 2. Two codebooks, one for each half of the vector, are trained by k-means on a
-   bounded sample (``SAMPLE`` rows). Their product is the grid of cells; every
-   vector lies in the cell of its nearest centroids.
+   bounded sample (``SAMPLE`` rows, those with the smallest hashes). Their product is the grid of cells; every
+   vector lies in the cell of its nearest centroids. The codebooks have the most common
+   length; in the index alone, other vectors are cut or filled with zeros to it, which
+   brings no two further apart, so the bounds below hold for them too. A half has at least ``CENTROIDS``
+   centroids, and as many as give the largest label a cell for every ``BUCKET_ROWS`` vectors, up to ``MAX_CENTROIDS``.
 3. A vector within distance d of the query lies, in each half, on its own
    centroid's side of the bisector; so each half has a lower bound of the distance
    from the query to a cell, and the squares add up. The traversal walks the two
@@ -19,14 +22,16 @@ precision.
 4. A vector is sent once to each bucket of cells that it visits any of, with the
    list of those cells, and meets their vectors there, in blocks of bounded
    size, cell by cell, by matrix products. A block sends on, for each
-   vector, how many rows it links to, and a spanning forest, never its pairs.
+   vector, how many rows it links to, and a spanning forest, never its pairs. A pair that
+   only one side visits (the other's bound tells) counts there for both.
 
 Classes are the connected components of the forests.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components, and vectors without a label or of another length than most, link
-with nothing and are kept; repeated rows count as links of each other; ties go
-to the smallest id; an empty table gives no rows; a null id has no links and
+components, and vectors without a label link
+with nothing and are kept; repeated rows count as links of each other; rows that repeat an id
+with another vector are vectors of their own, and kept where their component is named by their id;
+ties go to the smallest id; an empty table gives no rows; a null id has no links and
 is kept; further columns are ignored.
 """
 
@@ -46,7 +51,8 @@ from parallax.session import scratch_path
 THRESHOLD = 0.98
 TARGET_RECALL = 0.9999
 SAMPLE = 20_000          # rows that the codebooks are trained on
-CENTROIDS = 16           # in each half
+CENTROIDS = 16           # in each half, at least
+MAX_CENTROIDS = 1024     # and at most
 BUCKET_ROWS = 4096       # vectors of a bucket of cells, and of a chunk of its visitors
 EPS = 1e-9
 
@@ -90,6 +96,11 @@ class MultiIndex:
         self.between = tuple(np.sqrt(_squares(b, b)) for b in self.books)
         self.reach = reach
 
+    def keys(self, units: list[bytes]) -> np.ndarray:
+        """Directions of any length, cut or filled with zeros to that of the codebooks."""
+        width = self.books[0].shape[1] + self.books[1].shape[1]
+        return np.frombuffer(b"".join(u[:8 * width].ljust(8 * width, b"\0") for u in units), np.float64).reshape(len(units), width)
+
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = x.shape[1] // 2
         return x[:, :h], x[:, h:]
@@ -111,6 +122,16 @@ class MultiIndex:
             out.append(np.maximum(lower, 0) ** 2)
         return out[0], out[1]
 
+    def visited(self, units: list[bytes], by: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Whether the vectors at ``by`` visit the cells of those at ``of``."""
+        sides = []
+        for at in (by, of):
+            u, back = np.unique(at, return_inverse=True)
+            sides.append((self.keys([units[k] for k in u]), back))
+        (one, two), cell = self.bounds(sides[0][0]), self.cells(sides[1][0])[sides[1][1]]
+        width, row = len(self.books[1]), sides[0][1]
+        return one[row, cell // width] + two[row, cell % width] <= self.reach ** 2 + EPS
+
     def visits(self, x: np.ndarray) -> Iterator[np.ndarray]:
         """The cells that each vector visits, nearest first: the multi-sequence traversal."""
         one, two = self.bounds(x)
@@ -199,7 +220,7 @@ def _place_batches(batches: Iterator, index: MultiIndex) -> Iterator:
     for batch in batches:
         for s in range(0, batch.num_rows, 1000):
             part = batch.slice(s, 1000)
-            x = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(part.num_rows, -1)
+            x = index.keys(part.column(3).to_pylist())
             buckets = part.column(4).to_numpy()
             row, bucket, cells, own = [], [], [], []
             for k, (mine, seen) in enumerate(zip(index.cells(x).tolist(), index.visits(x), strict=True)):
@@ -218,13 +239,13 @@ def _place_batches(batches: Iterator, index: MultiIndex) -> Iterator:
                                              names=["rep", "label", "m", "unit", "bucket", "cells", "own"])
 
 
-def _cell_links(batches: Iterator, threshold: float) -> Iterator:
+def _cell_links(batches: Iterator, threshold: float, index: MultiIndex) -> Iterator:
     """For each block: (rep, -1, linked rows) and spanning edges (rep, rep, 0)."""
     import pyarrow as pa
 
     def work(table, cut) -> Iterator:
         rep, m, own = table["rep"].to_numpy(), table["m"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
-        x = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(table.num_rows, -1)
+        units = table["unit"].to_pylist()
         lists = table["cells"].combine_chunks()
         cell, start = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         oa, ob, on = [], [], []
@@ -235,16 +256,21 @@ def _cell_links(batches: Iterator, threshold: float) -> Iterator:
             at, of = at[order], of[order]
             total = np.zeros(hi - lo, np.int64)
             left, right = [], []
+            x = np.frombuffer(b"".join(units[lo:hi]), np.float64).reshape(hi - lo, -1)  # a group's label fixes the length
             # cell by cell: the vectors that visit it against the vectors in it
             for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))), strict=True):
                 here = at[a:b]
                 mine, asks = here[own[here]], here[~own[here]]
                 if not len(mine) or not len(asks):
                     continue
-                link = (x[asks] @ x[mine].T >= threshold) & (rep[asks][:, None] != rep[mine][None, :])
+                link = (x[asks - lo] @ x[mine - lo].T >= threshold) & (rep[asks][:, None] != rep[mine][None, :])
                 np.add.at(total, asks - lo, link @ m[mine])
                 i, j = np.nonzero(link)
-                if len(i):  # a spanning forest of the cell's links is enough
+                if len(i):
+                    # pairs that the other side does not visit count for it here
+                    back = ~index.visited(units, mine[j], asks[i])
+                    np.add.at(total, mine[j[back]] - lo, m[asks[i[back]]])
+                    # a spanning forest of the cell's links is enough
                     ids, k = np.unique(np.concatenate([rep[asks[i]], rep[mine[j]]]), return_inverse=True)
                     for p, q in forest(len(ids), k[:len(i)], k[len(i):]):
                         left.append(ids[p])
@@ -272,33 +298,38 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    # labels of any type are compared by their text; a hash of it stands for the label while in numpy
+    # labels of any type are compared by their text; a hash of it and the length stands for the label while in numpy
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"),
-                         F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string"))).alias("label"),
+                         F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string"), F.size(vector_col))).alias("label"),
                          F.col(vector_col).cast("array<double>").alias("v"))
     units = settle(src.mapInArrow(_unit_batches, "vec_id long, label long, unit binary"), "unit")
-    usable = units.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("unit").isNotNull())
-    lengths = usable.groupBy(F.octet_length("unit").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    alone = units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
-        return alone
-    usable = usable.filter(F.octet_length("unit") == lengths[0]["n"])
-    # classes of equal directions: keyed by the bytes themselves
-    classes = settle(usable.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
-                     .select("rep", "label", "m", "unit"), "class")
-    n = classes.count()
-    share = min(1_000_000, int(1_000_000 * sample_rows / n))
-    picked = classes.filter(F.pmod(F.xxhash64(F.lit(3), "unit"), F.lit(1_000_000)) < share).select("unit").limit(2 * sample_rows).collect()
-    sample = np.array(sorted(bytes(r["unit"]) for r in picked) or [b"\0" * lengths[0]["n"]])
-    index = fit_index(np.frombuffer(b"".join(bytes(u).ljust(lengths[0]["n"], b"\0") for u in sample), np.float64).reshape(len(sample), -1),
-                      threshold, target_recall, centroids)
-    per_label = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("buckets"))
-    placed = settle(classes.join(per_label, "label").select("rep", "label", "m", "unit", "buckets").mapInArrow(
+    fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("unit").isNotNull()
+    usable = units.filter(fit)
+    alone = lambda rows: rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    common = usable.groupBy(F.octet_length("unit").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
+    if not common:
+        return alone(units)
+    # classes of equal directions: keyed by the bytes themselves; the written table fixes their numbers
+    classes = settle(usable.groupBy("label", "unit").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("m"))
+                     .select(F.monotonically_increasing_id().alias("rep"), "vec_id", "label", "m", "unit"), "class")
+    per_label = settle(classes.groupBy("label").agg(F.count(F.lit(1)).alias("rows")), "label")
+    n, most = per_label.agg(F.sum("rows"), F.max("rows")).first()
+    centroids = max(centroids, min(MAX_CENTROIDS, int(np.ceil(np.sqrt(most / BUCKET_ROWS)))))
+    # the smallest hashes, from about twice as many as are wanted, so that no task sees more
+    order = F.xxhash64(F.lit(3), "unit")
+    share = min(1.0, 2 * sample_rows / n)
+    near = classes if share == 1.0 else classes.filter(order < F.lit(int(share * (1 << 64)) - (1 << 63)))
+    picked = near.orderBy(order, "unit").select("unit").limit(sample_rows).collect()
+    width = common[0]["n"]
+    sample = np.array(sorted(bytes(r["unit"])[:width].ljust(width, b"\0") for r in picked), dtype=object)
+    index = fit_index(np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1), threshold, target_recall, centroids)
+    buckets = per_label.select("label", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("buckets"))
+    placed = settle(classes.join(buckets, "label").select("rep", "label", "m", "unit", "buckets").mapInArrow(
         partial(_place_batches, index=index),
         "rep long, label long, m long, unit binary, bucket int, cells array<int>, own boolean"), "cell")
     # a bucket's own vectors are cut into chunks, its visitors too, and a block is a chunk of each
     count = lambda c: F.greatest(F.ceil(F.sum(c.cast("long")) / BUCKET_ROWS), F.lit(1)).cast("int")
-    sizes = placed.groupBy("label", "bucket").agg(count(F.col("own")).alias("ni"), count(~F.col("own")).alias("nj"))
+    sizes = settle(placed.groupBy("label", "bucket").agg(count(F.col("own")).alias("ni"), count(~F.col("own")).alias("nj")), "size")
     met = placed.join(sizes, ["label", "bucket"])
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("nj")).otherwise(F.col("ni")) - 1))
@@ -306,14 +337,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = met.withColumn("ci", F.when(F.col("own"), part("ni")).otherwise(F.col("_o"))).withColumn(
         "cj", F.when(F.col("own"), F.col("_o")).otherwise(part("nj"))).drop("_o", "ni", "nj")
     met = met.repartition("label", "bucket", "ci", "cj").sortWithinPartitions("label", "bucket", "ci", "cj")
-    links = settle(met.mapInArrow(partial(_cell_links, threshold=threshold), "a long, b long, n long"), "link")
+    links = settle(met.mapInArrow(partial(_cell_links, threshold=threshold, index=index), "a long, b long, n long"), "link")
     counts = links.filter("b < 0 and n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    joined = connected_components(links.filter("n = 0").select("a", "b").distinct()).withColumnsRenamed({"id": "rep"})
-    found = (classes.join(joined, "rep", "left").join(counts, "rep", "left")
-             .select("rep", "label", "unit", F.coalesce("component", "rep").alias("component_id"),
-                     (F.col("m") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")))
+    joined = settle(connected_components(links.filter("n = 0").select("a", "b").distinct()).withColumnsRenamed({"id": "rep"})
+                    .join(classes.select("rep", "vec_id"), "rep"), "joined")
+    name = settle(joined.groupBy("component").agg(F.min("vec_id").alias("component_id")), "name")
+    named = joined.select("rep", "component").join(name, "component").select("rep", "component_id")
+    found = settle(classes.join(named, "rep", "left").join(counts, "rep", "left")
+                   .select("label", "unit", F.coalesce("component_id", "vec_id").alias("component_id"),
+                           (F.col("m") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")), "found")
     linked = usable.join(found, ["label", "unit"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    unusable = units.filter(~(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("unit").isNotNull()
-                              & (F.octet_length("unit") == lengths[0]["n"])) | F.col("vec_id").isNull() | F.col("label").isNull() | F.col("unit").isNull())
-    rest = unusable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionAll(rest)
+    return linked.unionAll(alone(units.filter(~fit)))
