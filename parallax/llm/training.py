@@ -28,8 +28,9 @@ def training_labels(labels: DataFrame, label: str, bound: int = MAX_LABELLED) ->
             .groupBy("doc_id").agg(F.max("label").alias("label")))
     n = rows.count()
     if n > bound:
-        share = int(bound / n * 1_000_000)
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < share)
+        # the labels with the smallest hashes: a share of the whole 64-bit range, so it is not 0 at any number of labels
+        share = int(bound / n * (1 << 64)) - (1 << 63)
+        rows = rows.filter(F.xxhash64(F.lit(7), "doc_id") < F.lit(share))
     return rows
 
 

@@ -163,6 +163,34 @@ def test_unique_lines_with_the_same_first_words_stay(make_docs):
     assert all(got[k].text == rows[k][1].rsplit("\n", 1)[0] for k in range(1, 12))
 
 
+def line_sql(docs):
+    want = oracle(L.ORACLE, documents=docs.select("doc_id", "text").toPandas())
+    got = L.drop_recurring_lines(docs, long_lines=True).select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    key = ["doc_id", "text", "n_lines", "n_dropped"]
+    return sorted(map(tuple, got.toPandas()[key].to_numpy().tolist())), sorted(map(tuple, want[key].to_numpy().tolist()))
+
+
+def test_the_whole_line_rule_equals_its_sql(make_docs):
+    """Fields of letters with frequent values, leaves whose lines share their first words alone, long lines in two documents,
+    long texts: what one threshold and no long lines would tell otherwise."""
+    rng = random.Random(8)
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "ijklm"]
+    rows = []
+    for k in range(160):
+        lines = [f"this page was written by {names[rng.randrange(5 if k % 2 else 40)]} from {'xyz'[k % 3]} in {k}",
+                 f"it was a {rng.choice(names)} {rng.choice(names)}", f"copyright {k} by the very same owner {rng.choice('pq')}", f"own line number {rng.random()} {k} words"]
+        rng.shuffle(lines)
+        rows.append((k, "\n".join(lines)))
+    passage = " ".join(rng.choice(names) for _ in range(60))
+    rows += [(200, "before\n" + passage + "\nafter"), (201, "other\n  " + passage), (202, passage + "\n" + passage),
+             (203, "\n".join(f"long text line {'abcdefghij'[k % 10]} of {'klmno'[k // 10 % 5]} kinds" for k in range(6000)))]
+    got, want = line_sql(make_docs(rows))
+    assert got == want
+    by = {r[0]: r for r in got}
+    assert by[200][3] == 0 and by[201][1] == "other" and by[202][1] == ""
+    assert sum("this page was written by" in r[1] for r in got) < 16 and sum("it was a" in r[1] for r in got) == 160
+
+
 def test_line_query_equals_its_sql(spark):
     got = QUERIES["op10_line_dedup"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     want = oracle(ORACLES["op10_line_dedup"], documents=pd.read_parquet(f"{SF}/documents.parquet"))
@@ -238,6 +266,32 @@ def test_near_duplicates_edge_cases(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute_ngrams(near_copies()) if r[3])
 
 
+def test_repeated_ids_keep_each_text_and_its_links(make_docs):
+    """Id 1 has two texts and each of 2 and 3 is a near copy of one of them; id 9 has many texts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    a, b = [word() for _ in range(120)], [word() for _ in range(120)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"])), (1, " ".join(a))]
+    rows += [(9, " ".join(word() for _ in range(30))) for _ in range(12)] + [(8, " ".join(word() for _ in range(30)))]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in J.near_duplicates(make_docs(rows)).collect())
+    assert got[:5] == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 1)]
+    assert got[5:] == [(8, 8, 0)] + [(9, 9, 0)] * 12
+    # a text of its own is not dropped because another text of its id is a copy
+    kept = J.drop_near_duplicates(make_docs([*rows, (2, "a text that no other document has at all")]))
+    assert sorted((r["doc_id"], len(r["text"].split())) for r in kept.collect()) == sorted(
+        [(1, 120), (1, 120), (1, 120), (2, 9), (8, 30)] + [(9, 30)] * 12)
+
+
+def test_columns_with_inside_names_pass_unchanged(make_docs):
+    names = ["_id", "_h", "_w", "_pos", "_d", "_th", "_maybe", "_lines", "_key", "_m", "gone_id", "gone_th", "th", "rep", "cls"]
+    docs = make_docs([*((k, f"same long line of words here {'z' * k}\nbuilt for you by the team today\nown {k}") for k in range(1, 9)), *near_copies(families=1)])
+    for c in names:
+        docs = docs.withColumn(c, F.lit(f"mine {c}"))
+    for out in (J.drop_near_duplicates(docs), L.drop_recurring_lines(docs, long_lines=True), L.drop_repeated_passages(docs)):
+        assert out.columns[:len(docs.columns)] == docs.columns
+        assert {tuple(r) for r in out.select(*names).collect()} == {tuple(f"mine {c}" for c in names)}
+
+
 def test_ngram_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(QUERIES["op8_ngram_join"](spark, SF)) == brute_ngrams(rows)
@@ -263,7 +317,7 @@ def brute_vectors(rows, threshold=0.98):
 
     for i in range(len(rows)):
         for j in range(i):
-            if unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= threshold:
+            if unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold:
                 links[i] += 1
                 links[j] += 1
                 a, b = sorted((find(i), find(j)), key=lambda k: rows[k][0])
@@ -299,6 +353,50 @@ def test_vectors_edge_cases(spark):
     assert rows_of(E.near_vectors(twice)) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
 
 
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_vectors_of_mixed_lengths_and_repeated_ids_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(E, "BUCKET_ROWS", chunk)
+    kind = "vec_id long, embedding array<float>, label int"
+    rows = [(i, [1.0, 2.0], 1) for i in range(3)] + [(10 + i, [1.0, 2.0, 3.0], 1) for i in range(5)] + [(20, [7.0], 1), (21, [8.0], 1), (22, [-8.0], 1)]
+    rows += [(100 + i, v, lab) for i, v, lab in vectors(1, groups=4, size=6, dim=7)] + [(200 + i, v, lab) for i, v, lab in vectors(2, groups=3, size=6, dim=16)]
+    # an id with vectors of two clusters, each with links of its own
+    rows += [(5, [9.0, 0.1], 1), (5, [0.1, 9.0], 1), (6, [9.0, 0.2], 1), (7, [0.2, 9.0], 1)]
+    got = rows_of(E.near_vectors(spark.createDataFrame(rows, kind), target_recall=1.0))
+    assert got == brute_vectors([(i, None if v is None else [float(np.float32(x)) if x is not None else None for x in v], lab) for i, v, lab in rows])
+
+
+def test_a_link_that_one_side_visits_counts_for_both(spark, monkeypatch):
+    plain = E.fit_index
+
+    def short(*a, **k):
+        index = plain(*a, **k)
+        index.reach *= 0.15
+        return index
+
+    monkeypatch.setattr(E, "fit_index", short)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(300, 8))
+    pairs = np.concatenate([base, base + rng.normal(size=base.shape) * 0.12])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(pairs)]
+    got = {r["vec_id"]: r for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), centroids=12).collect()}
+    links = [r["n_links"] for r in got.values()]
+    assert 0 < sum(links) < sum(r[1] for r in brute_vectors(rows))  # the short reach does miss some
+    size = Counter(r["component_id"] for r in got.values())
+    for r in got.values():  # pairs: linked on both sides or on neither
+        if size[r["component_id"]] == 2:
+            assert r["n_links"] == 1
+        elif size[r["component_id"]] == 1:
+            assert r["n_links"] == 0
+
+
+def test_sampling_takes_rows_at_any_size(spark):
+    from parallax.llm import training as T
+
+    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS toxic")
+    got = T.training_labels(labels, "toxic", bound=100).count()
+    assert 50 < got < 160
+
+
 def test_traversal_visits_in_order_and_misses_nothing():
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 12))
