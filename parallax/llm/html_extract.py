@@ -10,7 +10,8 @@
    element, inside an element that names itself a menu, header, footer, sidebar,
    notice, advert, form or comment, a heading, a list item). An element that is
    so named by its class, id or role but holds most of the page's words and its
-   running text is a layout wrapper (``<div class='layout with-sidebar'>``): its
+   running text is a layout wrapper (``<div class='layout with-sidebar'>``), inside
+   an article too if the names are ones that a layout may carry: its
    blocks have a mark of their own, and the tree weighs their words and links.
 3. A decision tree, grown by Gini impurity on a small labelled table (the blocks
    of a few dozen model pages that ``labelled_table`` writes by a rule), tells
@@ -20,8 +21,8 @@
 Defined cases: null or empty html gives an empty text; a page without any block
 that the tree accepts gives an empty text; markup that is cut off or badly
 nested is read as far as it goes (an unclosed tag of a kind that cannot hold its
-own kind is closed by the next); very long pages are read whole; repeated rows
-and null ids are kept as they are; further columns are ignored.
+own kind is closed by the next), in time linear in its length; very long pages are read whole; repeated rows
+and null ids are kept as they are; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,6 +59,11 @@ FRAME_WORDS = ["nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs
                "signup", "login", "share", "sharing", "social", "comment", "comments", "reply", "replies", "respond", "disqus",
                "discussion", "pagination", "pager", "tags", "toolbar", "search", "copyright", "legal", "disclaimer", "hidden",
                "skip", "toc", "feedback", "reviews", "dialog", "form"]
+# Those of them that an article's own layout carries too.
+LAYOUT_WORDS = ["nav", "navbar", "menu", "header", "masthead", "banner", "footer", "sidebar", "aside", "widget", "notice", "legal", "form",
+                "discussion", "search", "tags", "toc", "feedback", "reviews", "dialog"]
+# Those that a paragraph or heading of an article carries too.
+PARAGRAPH_WORDS = ["header", "legal", "form", "discussion"]
 # Words in class, id or role that name the article.
 ARTICLE_WORDS = ["article", "main", "content", "post", "entry", "story", "body", "text"]
 
@@ -65,8 +71,12 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 _BLOCK, _SILENT, _RAW, _VOID, _FRAME = map(frozenset, (BLOCK_TAGS, SILENT_TAGS, RAW_TAGS, VOID_TAGS, FRAME_TAGS))
 _FRAME_WORDS, _ARTICLE_WORDS = frozenset(FRAME_WORDS), frozenset(ARTICLE_WORDS)
+_LAYOUT_WORDS, _PARAGRAPH_WORDS = frozenset(LAYOUT_WORDS), frozenset(PARAGRAPH_WORDS)
+_PARAGRAPHS = HEADINGS | {"p", "blockquote", "pre"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*>", re.S)
+_TAG = re.compile(r"</?[a-zA-Z]")
+_OUTSIDE = re.compile(r"[^>\"']*")
+_CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -76,6 +86,8 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # What each element's start tag closes if it is open above the nearest barrier.
 CLOSES = {"p": ["p"], "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"],
           "th": ["td", "th"], "option": ["option"], "thead": ["tr", "td", "th"], "tbody": ["tr", "td", "th", "thead", "tbody"]}
+# The barriers, which such an end does not pass.
+BARRIERS = ["ul", "ol", "table", "div", "article", "section", "body", "td", "blockquote", "dl", "select"]
 
 
 @dataclass
@@ -100,30 +112,47 @@ class Block:
 RUNNING_WORDS = 15
 
 
-def _settle_wrappers(page: list[Block], named: list[tuple[int, ...]], h1: list[int]) -> None:
-    """Tells layout wrappers among the elements that class, id or role name as frame; ``named`` has each block's.
+def _settle_wrappers(page: list[Block], inner: list[int], h1: list[int], parent: list[int], in_article: list[int]) -> None:
+    """Tells layout wrappers among the elements that class, id or role name as frame.
 
+    ``inner`` has each block's innermost such element, ``parent`` each element's own (0: none; later ones have larger numbers).
     A wrapper holds more than half of the words outside the frame's own elements, and the page's h1 or,
-    on a page without, all of its running text (some, at least). The others are frame."""
-    words: dict[int, int] = {}
-    for b, at in zip(page, named, strict=True):
-        for k in at if not b.frame else ():
-            words[k] = words.get(k, 0) + b.words
-    total = sum(b.words for b in page if not b.frame)
-    large = {k for k, n in words.items() if 2 * n > total}
+    on a page without, all of its running text (some, at least); inside an article and without an h1, four fifths of the words too. The others are frame."""
+    words = [0] * len(parent)
+    depth = [0] * len(parent)
+    for k in range(1, len(parent)):
+        depth[k] = depth[parent[k]] + 1
+    for b, k in zip(page, inner, strict=True):
+        if not b.frame:
+            words[k] += b.words
+    for k in range(len(parent) - 1, 0, -1):
+        words[parent[k]] += words[k]
+    total = words[0]
+    large = [2 * n > total for n in words]  # one chain of elements inside each other
     # blocks that no smaller named element holds
-    free = [j for j, b in enumerate(page) if not b.frame and large.issuperset(named[j])]
+    free = [j for j, b in enumerate(page) if not b.frame and (not inner[j] or large[inner[j]])]
     marks = [j for j in free if h1[j]]
     running = [j for j in free if page[j].words >= RUNNING_WORDS and page[j].density < 0.5]
-    wrappers = {k for k in large if (any(k in named[j] for j in marks) if marks else running and all(k in named[j] for j in running))}
-    for b, at in zip(page, named, strict=True):
-        b.wrapped = int(not wrappers.isdisjoint(at))
-        b.frame += sum(k not in wrappers for k in at)
+    chain = sorted(k for k in range(1, len(parent)) if large[k])  # outermost first
+
+    def hold(j: int) -> int:
+        """How many elements of the chain hold a free block: all up to its innermost one."""
+        return depth[inner[j]]
+
+    most = max((hold(j) for j in marks), default=0) if marks else min((hold(j) for j in running), default=0)
+    wrappers = {k for k in chain if depth[k] <= most and (marks or not in_article[k] or 5 * words[k] >= 4 * total)}
+    held = [0] * len(parent)  # wrappers among an element and those around it
+    for k in range(1, len(parent)):
+        held[k] = held[parent[k]] + (k in wrappers)
+    for b, k in zip(page, inner, strict=True):
+        b.wrapped = int(held[k] > 0)
+        b.frame += depth[k] - held[k]
 
 
 def _marks(name: str, tag: str) -> tuple[int, int, int, int]:
-    """(frame, named, article, unseen) of a start tag: frame by its element, named as frame by its attributes."""
-    frame, named, article, unseen = int(name in _FRAME), 0, int(name in ("article", "main")), 0
+    """(frame, named, article, unseen) of a start tag: frame by its element; named as frame by its attributes, 1, or 2 if
+    an article's layout, or 3 if an article's paragraph may be named so."""
+    frame, named, article, unseen = int(name in _FRAME), set(), int(name in ("article", "main")), 0
     if len(tag) > len(name) + 2:
         for key, value in _ATTR.findall(tag, len(name) + 1):
             key, value = key.lower(), value.strip("\"'")
@@ -131,45 +160,122 @@ def _marks(name: str, tag: str) -> tuple[int, int, int, int]:
                 unseen = 1
             elif key == "style":
                 unseen |= bool(_UNSEEN.search(value))
-            elif key in ("class", "id", "role"):
+            elif key in ("class", "id", "role") and name not in ("html", "body"):
                 words = set(_SPLIT.split(_CAMEL.sub(" ", value).lower()))
-                named |= bool(words & _FRAME_WORDS) and name not in ("html", "body")
-                article |= bool(words & _ARTICLE_WORDS) and name not in ("html", "body")
-    return frame, named, article, unseen
+                named |= words & _FRAME_WORDS
+                article |= bool(words & _ARTICLE_WORDS)
+    kind = 0 if not named else 3 if named <= _PARAGRAPH_WORDS else 2 if named <= _LAYOUT_WORDS else 1
+    return frame, kind, article, unseen
+
+
+class _Tags:
+    """The tags, comments and declarations of a page, in order, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends: dict[int, int] = {}     # where a tag ends that is outside quotes here; -1: nowhere
+        self.last: dict[str, int] = {}     # where a quote that is known to occur no more does so last
+
+    def _end(self, at: int) -> int:
+        """Past the ``>`` that ends a tag, from a place outside quotes; -1 if the page ends before."""
+        page, ends, passed = self.page, self.ends, []
+        while at not in ends:
+            passed.append(at)
+            stop = _OUTSIDE.match(page, at).end()
+            if stop == len(page):
+                out = -1
+                break
+            quote = page[stop]
+            if quote == ">":
+                out = stop + 1
+                break
+            close = -1 if stop >= self.last.get(quote, len(page)) else page.find(quote, stop + 1)
+            if close < 0:
+                self.last[quote] = min(stop, self.last.get(quote, stop))
+                out = -1
+                break
+            at = close + 1
+        else:
+            out = ends[at]
+        ends.update(dict.fromkeys(passed, out))
+        return out
+
+    def after(self, at: int) -> tuple[int, int] | None:
+        """(start, end) of the next one from ``at`` on."""
+        page, n = self.page, len(self.page)
+        start = page.find("<", at)
+        while start >= 0:
+            if page.startswith(("<!", "<?"), start):
+                for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                    if page.startswith(opening, start):
+                        end = page.find(closing, start + (len(opening) if len(opening) > 1 else 2))
+                        return start, n if end < 0 else end + len(closing)
+            m = _TAG.match(page, start)
+            following = page.find("<", start + 1)
+            if m:
+                end = self._end(m.end())
+                if end < 0:  # a quote that never closes: up to the next >, if no tag starts before
+                    end = page.find(">", start, n if following < 0 else following) + 1
+                if end > 0:
+                    return start, end
+            start = following
+        return None
 
 
 def blocks(html: str | None) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
     page = html or ""
-    # open elements: (name, frame, article, silent, number if it may be a wrapper)
-    stack: list[tuple[str, int, int, int, int]] = []
-    named: list[tuple[int, ...]] = []
-    h1: list[int] = []
-    n_named = 0
+    # open elements: (name, frame, article, silent, number if it may be a wrapper); None where one was closed out of turn
+    stack: list[tuple[str, int, int, int, int] | None] = []
+    open_at: dict[str, list[int]] = {}   # name -> places in the stack
+    blocks_at: list[int] = []            # places of block elements
+    parent, in_article = [0], [0]        # of elements that may be wrappers
+    inner, h1 = [], []
     parts: list[str] = []
     link_parts: list[str] = []
-    frame = article = silent = links = 0
+    frame = article = silent = links = within = 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 linked = len(" ".join(link_parts).split())
-                names = {x[0] for x in stack}
-                out.append(Block(text, len(text.split()), linked, frame, article, int(bool(names & HEADINGS)), int("li" in names)))
-                named.append(tuple(x[4] for x in stack if x[4]))
-                h1.append(int("h1" in names))
+                out.append(Block(text, len(text.split()), linked, frame, article, int(any(open_at.get(h) for h in HEADINGS)), int(bool(open_at.get("li")))))
+                inner.append(within)
+                h1.append(int(bool(open_at.get("h1"))))
         parts.clear()
         link_parts.clear()
 
-    def pop() -> None:
-        nonlocal frame, article, silent, links
-        name, f, a, s, _ = stack.pop()
+    def leave(k: int) -> None:
+        """Closes the element at ``k``, the last of its name."""
+        nonlocal frame, article, silent, links, within
+        name, f, a, s, number = stack[k]
+        open_at[name].pop()
+        if blocks_at and blocks_at[-1] == k:
+            blocks_at.pop()
         frame -= f
         article -= a
         silent -= s
         links -= name == "a"
+        if number:
+            within = parent[number]
+        if k == len(stack) - 1:
+            stack.pop()
+        else:
+            stack[k] = None
+
+    def close(k: int) -> None:
+        """Closes all elements from the top down to ``k``."""
+        while len(stack) > k:
+            if stack[-1] is None:
+                stack.pop()
+            else:
+                leave(len(stack) - 1)
+
+    def last(name: str) -> int:
+        at = open_at.get(name)
+        return at[-1] if at else -1
 
     def say(raw: str) -> None:
         if raw and not silent:
@@ -178,39 +284,32 @@ def blocks(html: str | None) -> list[Block]:
             if links:
                 link_parts.append(t)
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Tags(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        found = tags.after(at)
+        if found is None:
             # a tag that the page's end cuts off is no text
-            cut = re.compile(r"<[a-zA-Z/!?][^<>]*\Z").search(page, at)
+            cut = _CUT.search(page, at)
             say(page[at:cut.start()] if cut else page[at:])
             break
-        say(page[at:m.start()])
-        at = m.end()
-        tag = m[0]
-        found = _NAME.match(tag)
-        if not found:
+        say(page[at:found[0]])
+        tag, at = page[found[0]:found[1]], found[1]
+        m = _NAME.match(tag)
+        if not m:
             if tag.startswith("<![CDATA["):
                 parts.append("" if silent else tag[9:].removesuffix("]]>"))
             continue
-        name = found[1].lower()
+        name = m[1].lower()
         if tag[1] == "/":
             if name in _BLOCK:
                 flush()
-            if any(x[0] == name for x in stack):
+            k = last(name)
+            if k >= 0:
                 # an inline end tag does not reach past an open block
-                if name in _BLOCK or name in _SILENT or not any(x[0] in _BLOCK for x in stack[len(stack) - 1 - [x[0] for x in stack[::-1]].index(name):]):
-                    while stack[-1][0] != name:
-                        pop()
-                    pop()
+                if name in _BLOCK or name in _SILENT or not (blocks_at and blocks_at[-1] > k):
+                    close(k)
                 else:
-                    k = len(stack) - 1 - [x[0] for x in stack[::-1]].index(name)
-                    _, f, a, s, _ = stack.pop(k)
-                    frame -= f
-                    article -= a
-                    silent -= s
-                    links -= name == "a"
+                    leave(k)
             continue
         if name in _BLOCK:
             flush()
@@ -219,20 +318,15 @@ def blocks(html: str | None) -> list[Block]:
                 parts.append(" " if name != "wbr" else "")
         for closed in CLOSES.get(name, ()):
             # up to the nearest element that such an end cannot pass
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == closed:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in ("ul", "ol", "table", "div", "article", "section", "body", "td", "blockquote", "dl", "select") and stack[k][0] != closed:
-                    break
-        if name == "body":
+            k = last(closed)
+            if k >= 0 and k > max(last(x) for x in BARRIERS if x != closed):
+                close(k)
+        if name == "body" and last("head") >= 0:
             # a head that was never closed ends here
-            while any(x[0] == "head" for x in stack):
-                pop()
+            close(open_at["head"][0])
         if name in _VOID or tag.endswith("/>"):
             continue
-        f, by_name, a, unseen = _marks(name, tag)
+        f, kind, a, unseen = _marks(name, tag)
         if name == "header":
             # a page's header; an article's own header belongs to the article
             f = int(f or article == 0)
@@ -242,27 +336,32 @@ def blocks(html: str | None) -> list[Block]:
             if name in ("textarea",):
                 flush()
             at = end.start() if end else n
-            close = page.find(">", at)
-            at = close + 1 if end and close >= 0 else n
+            shut = page.find(">", at)
+            at = shut + 1 if end and shut >= 0 else n
             continue
         if name == "a":
-            while links:
-                k = max(i for i, x in enumerate(stack) if x[0] == "a")
-                del stack[k]
-                links -= 1
+            while last("a") >= 0:
+                leave(last("a"))
             links += 1
-        # around an article and outside the frame, a named element may be a layout wrapper
-        may_wrap = by_name and not f and not frame and not article and name in _BLOCK
+        if kind == 3 and article and name in _PARAGRAPHS:
+            kind = 0
+        # outside the frame a named element may be a layout wrapper
+        may_wrap = kind and not f and not frame and (not article or kind > 1) and name in _BLOCK
+        f = int(f or kind and not may_wrap)
         if may_wrap:
-            n_named += 1
-        f = int(f or by_name and not may_wrap)
-        stack.append((name, f, a, quiet, n_named if may_wrap else 0))
+            parent.append(within)
+            in_article.append(article)
+            within = len(parent) - 1
+        open_at.setdefault(name, []).append(len(stack))
+        if name in _BLOCK:
+            blocks_at.append(len(stack))
+        stack.append((name, f, a, quiet, within if may_wrap else 0))
         frame += f
         article += a
         silent += quiet
     flush()
-    if n_named:
-        _settle_wrappers(out, named, h1)
+    if len(parent) > 1:
+        _settle_wrappers(out, inner, h1, parent, in_article)
     return out
 
 
@@ -290,7 +389,7 @@ def labelled_table(n_pages: int = 90, seed: int = 7) -> tuple[np.ndarray, np.nda
     adverts, sharing bars, forms and comments inside. A third of the pages name the
     article by element, a third by class, a third not at all; there, menus without a
     name are told by their links. Some pages stand in a layout wrapper with a frame's
-    name; some small ones are a named part of a frame and no more, or an article and no more. The words are ``art`` and ``frm``, which is the label."""
+    name, some have one inside the article; some small ones are a named part of a frame and no more, or an article and no more. The words are ``art`` and ``frm``, which is the label."""
     rng = np.random.default_rng(seed)
     sizes = [1, 2, 3, 4, 6, 9, 14, 22, 35, 60, 120, 300]
 
@@ -338,6 +437,8 @@ def labelled_table(n_pages: int = 90, seed: int = 7) -> tuple[np.ndarray, np.nda
         loose = f"<p>{say(int(rng.choice(sizes[:10])), 'frm')}</p>" if style < 2 and rng.random() < 0.4 else ""
         foot = f"<footer>{say(int(rng.choice(sizes[:9])), 'frm')}</footer>"
         holder = (("<article>", "</article>"), ("<div class='post-content'>", "</div>"), ("<div>", "</div>"))[style]
+        if page % 5 == 4 and style < 2:  # a layout wrapper inside the article
+            holder = (f"{holder[0]}<div class='{('content long-form', 'with-sidebar', 'legal-news')[page % 7 % 3]}'>", "</div>" + holder[1])
         whole = "".join(top) + loose + holder[0] + "".join(inside) + holder[1] + side + foot
         if page % 4 == 3:
             whole = f"<div class='{('layout with-sidebar', 'nav-open', 'discussion')[page % 5 % 3]}'>{whole}</div>"

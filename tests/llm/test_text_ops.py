@@ -230,6 +230,61 @@ def test_layout_wrappers_with_frame_names_hold_the_article(page, want):
     assert H.main_text(page.format(article, "", "<p>I liked this page a lot and thank you for it</p>")) == want.format("", " ".join(text))
 
 
+ARTICLE = "<h1>The head</h1>" + "".join(f"<p>{t}</p>" for t in ("A paragraph of the article with words enough to be prose for its readers here. " * 3,
+                                                                        "Another one, of the same kind, that goes on for as long as it has to. " * 3))
+ARTICLE_TEXT = " ".join(re.sub(r"<[^>]*>", " ", ARTICLE).split())
+
+
+@pytest.mark.parametrize("page", [
+    "<html><body><nav><a>Home</a></nav><main><div class='layout with-sidebar'>{0}<div class='sidebar'>side box text</div></div></main><footer>foot</footer></body></html>",
+    "<body><article><div class='content long-form'>{0}</div></article></body>",
+    "<body><div class='post-content'><div id='legal-news'>{0}</div></div></body>",
+    "<body><article><div class='with-sidebar'><div class='long-form'>{0}<div class='ad'>Buy now</div></div></div></article><div class='comments'><p>so true, thank you all</p></div></body>",
+    "<body><article>{0}<div class='comments'>" + "<p>A reader's comment that is as long as any paragraph of the article could be, or more.</p>" * 12 + "</div></article></body>",
+    "<body><main><article>{0}</article><section class='comments'>" + "<p>A reader's comment that is as long as any paragraph of the article could be, or more.</p>" * 12 + "</section></main></body>",
+])
+def test_named_wrappers_inside_an_article(page):
+    assert H.main_text(page.format(ARTICLE)) == ARTICLE_TEXT
+
+
+def test_a_named_paragraph_belongs_to_its_article():
+    page = f"<body><article>{ARTICLE}<p class='discussion'>What this means is discussed here.</p><p class='ad'>Buy it now</p></article></body>"
+    assert H.main_text(page) == ARTICLE_TEXT + " What this means is discussed here."
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<span>" * n + "<p>x y</p>" * n, lambda n: "<a b'" * n, lambda n: '<p title="x' * n, lambda n: "<ul><li>x" * n, lambda n: "<div class='with-sidebar'>a b c" * n,
+    lambda n: "<div>" * n + "text</b>" * n, lambda n: "<a href=#>x" * n, lambda n: "<article>" + "<div class='long-form'>a b c" * n, lambda n: "<!-- x" * n, lambda n: "<p '\">" * n,
+])
+def test_broken_pages_take_linear_time(make):
+    import time
+
+    def took(n):
+        page = make(n)
+        best = []
+        for _ in range(2):
+            t = time.process_time()
+            H.main_text(page)
+            best.append(time.process_time() - t)
+        return min(best)
+
+    H.default_tree()
+    assert took(12_000) < 8 * took(3000) + 0.2  # four times the tags
+
+
+REGEX = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*>", re.S)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<p", "<a", "</p>", ">", " x='", ' y="', "'", '"', "<!--", "-->", "<!", "<?", "<![CDATA[", "]]>", "t", " ", "<", "=", "/"]), max_size=24).map("".join))
+def test_tags_are_those_of_one_expression(page):
+    tags, at, got = H._Tags(page), 0, []
+    while (found := tags.after(at)) is not None:
+        got.append(page[found[0]:found[1]])
+        at = found[1]
+    assert got == [m[0] for m in REGEX.finditer(page)]
+
+
 def test_tree_learns_its_table_and_other_pages():
     x, y = H.labelled_table()
     assert len(x) < 4000 and (H.accept(H.default_tree(), x) == (y > 0)).mean() > 0.98
