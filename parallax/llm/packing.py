@@ -160,15 +160,15 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
 def rank_in_length(pieces: DataFrame, rows_per_salt: int = 200_000) -> DataFrame:
     """``_rank`` of each piece among those of its length, 0 up without gaps.
 
-    A length that many pieces share is dealt over salts (by a hash of the id, about
-    ``rows_per_salt`` rows each), ranked in each, and shifted by the counts of the salts before."""
+    A length that many pieces share is dealt over salts (by a hash of ``_row``, a number of each row's own, so that
+    repeated rows are dealt too; about ``rows_per_salt`` rows each), ranked in each, and shifted by the counts of the salts before."""
     n = pieces.count()
     salts = max(8, min(100_000, -(-n // rows_per_salt)))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     within = salted.withColumn("_in", F.row_number().over(
-        W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+        W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32", "_row")) - 1)
     return within.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in")).drop("_salt", "_in", "_before")
 
 
@@ -179,7 +179,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length counts, at most ``capacity`` rows, and sent to the tasks."""
     spark = pieces.sparkSession
     path = scratch_path(spark, "packing")
-    pieces.write.parquet(path)
+    names = pieces.columns
+    pieces.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     pieces = spark.read.parquet(path)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(n < 1 or n > capacity for n in counts):
@@ -188,7 +189,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs.sort()
     table = np.array(runs, np.int64).reshape(-1, 5)
     ranked = rank_in_length(pieces)
-    names = pieces.columns
 
     top = (1 << 62) // (capacity + 1)
     keys = table[:, 0] * top + table[:, 1]
