@@ -11,17 +11,19 @@ markup below, a turn is
 
 and the loss mask covers the assistant's text and its ``<|im_end|>``. Markup
 inside a turn's text is broken up (a zero-width joiner after ``<``), so that no
-text can pose as a turn; names are cut down to letters, digits, ``_`` and ``-``.
+text can pose as a turn; names are cut down to letters, marks, digits, ``_`` and ``-``. A
+participant is a role as it stands: where the names of several roles of a conversation come
+out alike, all but the first role's get ``#2``, ``#3`` and so on, in order of the roles.
 
 Shape: a rendering is cut into parts of at most ``PART_TURNS`` turns, so that a
 conversation of any length never has to fit one row or one task: parts join, in
-order, to the whole rendering, and each part's spans count from its own start. A
-turn's place comes from salted windows. Only turns and names are shuffled: a turn
+order, to the whole rendering, and each part's spans count from its own start. Turns
+are numbered over range partitions, so neither a long conversation nor many turns of one number meet in a task. Only turns and names are shuffled: a turn
 is rendered once per perspective, after it has met the conversation's list of
 participants.
 
-Defined cases: a null text is an empty turn; a null role is a speaker named
-``unknown``; a null turn number comes first; equal turn numbers are ordered by
+Defined cases: a null text is an empty turn, a very long one stays whole; a null role is a speaker named
+``unknown`` (and not the same as a role of that name); a null turn number comes first; equal turn numbers are ordered by
 role and text; repeated rows are repeated turns; conversations with system turns
 only have no participants and give no rows; a null conv_id is a conversation of
 its own; an empty table gives no rows; further columns are ignored.
@@ -33,16 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parallax.llm.components import places
+from parallax.session import scratch_path
+
 PART_TURNS = 64
 SYSTEM = "system"
 UNKNOWN = "unknown"
 START, END = "<|im_start|>", "<|im_end|>"
-TURNS_PER_SLICE = 10_000  # turn numbers that one window ranks together
 
 
 def speaker_name(role: Column) -> Column:
     """The speaker's name as markup may hold it."""
-    name = F.regexp_replace(F.coalesce(role, F.lit(UNKNOWN)), r"[^\p{L}\p{N}_-]+", "_")
+    name = F.regexp_replace(F.coalesce(role, F.lit(UNKNOWN)), r"[^\p{L}\p{M}\p{N}_-]+", "_")
     return F.when(name == "", F.lit(UNKNOWN)).otherwise(name)
 
 
@@ -53,21 +57,19 @@ def safe_text(text: Column) -> Column:
 
 def ranked_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text") -> DataFrame:
-    """(conv_id, place, speaker, text): turns numbered from 0 in their conversation.
-
-    Ranked within slices of turn numbers and shifted by the counts of the slices before, so a
-    conversation that holds a third of all turns is spread over tasks."""
+    """(conv_id, place, speaker, text): turns numbered from 0 in their conversation, speakers by their names in it."""
+    spark = turns.sparkSession
     t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"),
                      F.col(text_col).alias("text"))
-    t = t.withColumn("_slice", F.coalesce(F.floor(F.col("turn") / TURNS_PER_SLICE), F.lit(-(1 << 62))))
-    inside = W.partitionBy("conv_id", "_slice").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    sizes = t.groupBy("conv_id", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(F.col("conv_id").alias("_c"), F.col("_slice").alias("_s"),
-                          (F.sum("_n").over(W.partitionBy("conv_id").orderBy("_slice")) - F.col("_n")).alias("_before"))
-    placed = t.withColumn("_in", F.row_number().over(inside) - 1)
-    return (placed.join(before, placed["conv_id"].eqNullSafe(before["_c"]) & (placed["_slice"] == before["_s"]))
-            .select("conv_id", (F.col("_before") + F.col("_in")).alias("place"), speaker_name(F.col("role")).alias("speaker"),
-                    safe_text(F.col("text")).alias("text")))
+    placed = places(t, "conv_id", "turn", "role", "text").withColumn("name", speaker_name(F.col("role")))
+    # roles whose name another role of the conversation has too; written, so that a join with few is a broadcast
+    roles = t.select("conv_id", "role").distinct().withColumn("name", speaker_name(F.col("role")))
+    alike = roles.withColumn("k", F.row_number().over(W.partitionBy("conv_id", "name").orderBy(F.asc_nulls_first("role")))).filter("k > 1")
+    path = scratch_path(spark, "chat-names")
+    alike.select(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.concat("name", F.lit("#"), "k").alias("alias")).write.parquet(path)
+    alias = spark.read.parquet(path)
+    return (placed.join(alias, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("role").eqNullSafe(F.col("_r")), "left")
+            .select("conv_id", F.col("_at").alias("place"), F.coalesce("alias", "name").alias("speaker"), safe_text(F.col("text")).alias("text")))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
@@ -104,9 +106,12 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 # The same rendering in DuckDB SQL, for the query's columns.
 ORACLE = f"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place,
-                  regexp_replace(coalesce(role, '{UNKNOWN}'), '[^\\p{{L}}\\p{{N}}_-]+', '_', 'g') AS s0,
+                  role, regexp_replace(coalesce(role, '{UNKNOWN}'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_-]+', '_', 'g') AS s0,
                   regexp_replace(coalesce(text, ''), '<(\\|im_(?:start|end)\\|>)', '<' || chr(8205) || '\\1', 'g') AS text FROM conversations),
-p AS (SELECT conv_id, place, place // {PART_TURNS} AS part, CASE WHEN s0 = '' THEN '{UNKNOWN}' ELSE s0 END AS speaker, text FROM t),
+s AS (SELECT conv_id, place, role, CASE WHEN s0 = '' THEN '{UNKNOWN}' ELSE s0 END AS name, text FROM t),
+a AS (SELECT conv_id, role, name, row_number() OVER (PARTITION BY conv_id, name ORDER BY role NULLS FIRST) AS k FROM (SELECT DISTINCT conv_id, role, name FROM s)),
+p AS (SELECT s.conv_id, place, place // {PART_TURNS} AS part, CASE WHEN k > 1 THEN a.name || '#' || k ELSE a.name END AS speaker, text
+      FROM s JOIN a ON s.conv_id IS NOT DISTINCT FROM a.conv_id AND s.role IS NOT DISTINCT FROM a.role),
 w AS (SELECT DISTINCT conv_id, speaker AS assistant FROM p WHERE speaker <> '{SYSTEM}'),
 n AS (SELECT conv_id, max(part) + 1 AS n_parts FROM p GROUP BY conv_id),
 r AS (SELECT p.conv_id, assistant, part, place, speaker = assistant AS own,

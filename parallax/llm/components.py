@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallax.session import scratch_path
@@ -63,6 +64,37 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def places(df: DataFrame, tree: str, *order: str) -> DataFrame:
+    """``df`` and ``_at``, its rows' places 0, 1, ... within each tree by ``order``, and ``_n``, the tree's rows.
+
+    The rows are range-partitioned by tree and order and written; a place is the place in the partition plus the tree's
+    rows in the partitions before. So no task ranks a tree, however large, and
+    equal rows are told apart by where they were read, so that even they spread over partitions."""
+    spark = df.sparkSession
+
+    def settle(rows: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, f"places-{name}")
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(tree).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in order), F.col("_row")]
+    first = settle(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ranged = settle(
+        first.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).drop("_row"), "ranged")
+    # one row for each partition and tree in it
+    counts = ranged.groupBy(tree, "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_in").alias("_first"))
+    of_tree = W.partitionBy(tree)
+    before = of_tree.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = settle(counts.select(
+        F.col(tree).alias("_t"), F.col("_part").alias("_p"), (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_c").over(of_tree).alias("_n")), "shift")
+    return (ranged.join(shift, (F.col("_part") == F.col("_p")) & F.col(tree).eqNullSafe(F.col("_t")))
+            .withColumn("_at", F.col("_in") + F.col("_shift")).drop("_part", "_in", "_p", "_t", "_shift"))
+
+
 MAX_SIEVE_WORDS = 1 << 20  # 8 MB
 
 

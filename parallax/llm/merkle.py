@@ -32,9 +32,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parallax.llm.components import places
 from parallax.session import scratch_path
 
 FAN = 3
@@ -73,29 +73,6 @@ def _settle(df: DataFrame, name: str) -> str:
     return path
 
 
-def _places(df: DataFrame, tree: str, *order: str) -> DataFrame:
-    """``df`` and ``_at``, its rows' places 0, 1, ... within each tree by ``order``, and ``_n``, the tree's rows.
-
-    Equal rows are told apart by where they were read, so that even they spread over partitions."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(tree).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in order), F.col("_row")]
-    first = spark.read.parquet(_settle(df.withColumn("_row", F.monotonically_increasing_id()), "rows"))
-    ranged = spark.read.parquet(_settle(
-        first.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).drop("_row"), "ranged"))
-    # one row for each partition and tree in it
-    counts = ranged.groupBy(tree, "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_in").alias("_first"))
-    of_tree = W.partitionBy(tree)
-    before = of_tree.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shift = spark.read.parquet(_settle(counts.select(
-        F.col(tree).alias("_t"), F.col("_part").alias("_p"), (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.sum("_c").over(of_tree).alias("_n")), "shift"))
-    return (ranged.join(shift, (F.col("_part") == F.col("_p")) & F.col(tree).eqNullSafe(F.col("_t")))
-            .withColumn("_at", F.col("_in") + F.col("_shift")).drop("_part", "_in", "_p", "_t", "_shift"))
-
-
 def _height(n: Column) -> Column:
     """Levels above n nodes until one remains."""
     return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in _HEIGHTS]), lambda x: x < n))
@@ -158,10 +135,10 @@ def build_manifest(docs: DataFrame, tampered_text: Column | None = None) -> Mani
     changed = F.lit(None).cast("string") if tampered_text is None else F.when(
         ~tampered_text.eqNullSafe(row["text"]), leaf_hash(row | {"text": tampered_text}))
     leaves = docs.select(_tree_name(row["source"]).alias("_tree"), "source", "doc_id", leaf_hash(row).alias("node"), changed.alias("tampered"))
-    levels, roots = _levels(spark, _places(leaves, "_tree", "doc_id", "node"), "level")
+    levels, roots = _levels(spark, places(leaves, "_tree", "doc_id", "node"), "level")
     subroots = roots.withColumn("source", F.when(F.col("_tree") != "-", F.substring(F.col("_tree"), 2, 2 ** 31 - 1)))
-    places = _places(subroots.select(F.lit("all").alias("_tree"), "source", "node"), "_tree", "source")
-    return Manifest(levels, _levels(spark, places, "over")[0])
+    ordered = places(subroots.select(F.lit("all").alias("_tree"), "source", "node"), "_tree", "source")
+    return Manifest(levels, _levels(spark, ordered, "over")[0])
 
 
 def _proofs(spark: SparkSession, levels: list[str], above: DataFrame, carried: list[str]) -> DataFrame:
