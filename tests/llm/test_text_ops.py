@@ -20,6 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from parallax.llm import chat as C
+from parallax.llm import components as K
 from parallax.llm import html_extract as H
 from parallax.llm import packing as P
 from parallax.llm import quality as Q
@@ -381,7 +382,8 @@ def test_packing_edge_rows(spark, make_docs):
 def test_salted_ranks_have_no_gaps(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
                                   F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50 + 1).cast("long").alias("length"),
-                                  F.col("id").alias("ids_crc32"))
+                                  F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("ids_crc32"), F.col("id").alias("_row"))
+    df = df.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 7).otherwise(F.col("doc_id")))  # a third of the rows are one
     got = P.rank_in_length(df, rows_per_salt=100).groupBy("length").agg(F.count("*").alias("n"), F.countDistinct("_rank").alias("d"), F.max("_rank").alias("m"))
     assert all(r.n == r.d == r.m + 1 for r in got.collect())
 
@@ -503,8 +505,37 @@ def test_rotation_masks_and_names(spark):
     assert C.rotate(df.limit(0)).count() == 0
 
 
-def test_long_conversations_come_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(C, "TURNS_PER_SLICE", 7)
+def chat_sql(df):
+    got = C.rotate(df).withColumn("mask", C.mask_text(F.col("mask")))
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype(object).where(lambda d: d.notna(), None))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({C.ORACLE})").fetchall()
+    return sorted(map(tuple, got.collect()), key=repr), sorted(want, key=repr)
+
+
+def test_every_role_is_a_participant_of_its_own(spark):
+    names = ["Ann B", "Ann.B", "Ann_B", None, "unknown", "Ann_B_2", "कवि", "कव", "system", "System"]
+    rows = [(7, k, r, f"turn {k}") for k, r in enumerate(names * 2)] + [(8, 0, "Ann.B", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got, want = chat_sql(df)
+    assert got == want
+    seven = {r[1]: r for r in got if r[0] == 7}
+    assert set(seven) == {"Ann_B", "Ann_B#2", "Ann_B#3", "unknown", "unknown#2", "Ann_B_2", "कवि", "कव", "System"}
+    # each has the loss on its own two turns alone
+    assert all(len(r[-1].split(",")) == 2 and r[5].count("<|im_start|>assistant") == 2 for r in seven.values())
+    assert [r[1] for r in got if r[0] == 8] == ["Ann_B"]
+
+
+def test_many_turns_of_one_number_spread_over_tasks(spark):
+    df = spark.range(4000).selectExpr("1 AS conv_id", "IF(id % 3 = 0, id, NULL) AS turn", "concat('s', id % 3) AS role", "'same text' AS text")
+    df = df.selectExpr("CAST(conv_id AS LONG) conv_id", "turn", "role", "text")
+    got, want = chat_sql(df)
+    assert got == want
+    parts = K.places(df.withColumn("one", F.lit(1)), "one", "turn", "role", "text")
+    assert sorted(r["_at"] for r in parts.select("_at").collect()) == list(range(4000))
+
+
+def test_long_conversations_come_in_parts(spark):
     df = spark.createDataFrame([(1, k * 2, f"s{k % 3}", f"t{k}") for k in range(200)], "conv_id long, turn long, role string, text string")
     whole = {r.assistant: r.text for r in C.rotate(df, part_turns=1000).collect()}
     parts = C.rotate(df, part_turns=16).collect()
@@ -524,6 +555,40 @@ def test_a_long_line_of_two_documents_stays_once(spark, make_docs):
     assert got[1].text == f"{prose(1, 80)}\n{almost}" and got[1].n_chars == len(got[1].text)
 
 
+def test_pipeline_of_nulls_repeats_and_no_rows(spark, make_docs, tmp_path):
+    """Against a plain run of the stages' rules on rows that every rule can be read off."""
+    vocab = [f"{a}{b}{c}" for a in ("ri", "to", "wa", "len", "mor", "shi") for b in ("ver", "wn", "ter", "d") for c in ("", "s", "ed", "ing", "er", "ly")]
+    prose = lambda k: " ".join(random.Random(k).choices(vocab, k=45)).capitalize() + "."
+    boiler = [f"Posted by the staff of our little paper on page {k}" for k in range(40)]
+    rows = [(k, "\n".join([prose(k), boiler[k], prose(k + 50)])) for k in range(30)]
+    rows += [(100, None), (101, ""), (None, rows[3][1]), (5, rows[5][1]), (5, rows[5][1]), (200, rows[6][1])]
+    out = {}
+    for name, data in (("full", rows), ("empty", [])):
+        d = tmp_path / name
+        make_docs(data, extra=True).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(r[0], 1, 0) for r in data if r[0] is not None and r[0] < 100], "doc_id long, quality int, toxic int").dropDuplicates(["doc_id"]).write.parquet(f"{d}/labels.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, str(d))
+            assert docs.columns == spark.read.parquet(f"{d}/documents.parquet").columns, stage
+        out[name] = corpus_pipeline.run(spark, str(d)).collect()
+    assert out["empty"] == []
+    got = Counter(r["doc_id"] for r in out["full"])
+    # all different documents stay, the empty ones as one, 6 without its copy 200; the rows of 5 and the one without an id as they are
+    assert got == Counter({**dict.fromkeys(range(30), 1), 5: 3, 100: 1, None: 1})
+    lines = corpus_pipeline.drop_lines(spark, spark.read.parquet(f"{tmp_path}/full/documents.parquet"), str(tmp_path / "full")).collect()
+    assert sum("Posted by" in r["text"] for r in lines) == 1  # the template's first, the row without an id, has it alone
+    ends = {}
+    for r in out["full"]:
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in ends.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_stages_and_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "line_dedup", "near_duplicates", "packing"]
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
