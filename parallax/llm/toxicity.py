@@ -1,20 +1,25 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Five transducers read a clause's words from left to right:
-
-* insult: a weighted trie of stems and whole words, learned from the labelled
-  documents (log odds of a toxic document), with a small fixed seed list;
-* threat: intent words followed within ``SPAN`` words by harm words;
-* target: words that address or point at someone;
-* negation: opens a scope of ``NEG_SPAN`` words;
-* reported speech: verbs of saying and quotation marks open a scope up to the
-  clause's end.
-
-Their composition rewrites each insult or threat to one of the symbols plain,
-targeted, negated, reported: the scopes that are open where it matches decide,
-and a target within ``SPAN`` words on either side raises it. A clause's matches
-are summed by symbol; a document's features are sums, maxima and counts over
-its clauses, and a small logistic model fitted on the labelled sample turns
+A lexicon turns a clause's words into input symbols (``CLASSES``); a word that a weighted
+trie of stems and whole words knows is an insult, with its weight. The trie is learned from the labelled
+documents (log odds of a toxic document), with a small fixed seed list. Five finite
+transducers read the symbols, each a table of states and arcs:
+
+* negation, from the left: a negation opens a scope of ``NEG_SPAN`` words; a weak one (``no``,
+  ``hardly``) a scope of ``WEAK_SPAN``, which a word that addresses someone closes;
+* threat, from the left: a word of intent opens a window of ``SPAN`` words for a word of harm;
+* target, from the left and from the right: words that address or point at someone mark ``SPAN``
+  words on either side;
+* reported speech, from the left: a verb of saying opens a scope up to the clause's end, a quotation mark one up to
+  its closing mark; a verb within ``SPAN`` words after a closed quotation belongs to that and opens nothing;
+* trailing reported speech, from the right: a verb of saying with at most ``TRAIL`` words after it reports
+  what stands before it (``idiot, he said``), up to a quotation mark.
+
+``compose`` builds their product once: one machine that reads from the left, one that reads from
+the right, and the output of a word by its symbol and both states (a bimachine): each insult or threat becomes
+reported, negated, threat, targeted or plain, in this order. A clause's matches
+are summed by output; a document's features are sums, maxima and counts over
+its matched clauses, and a small logistic model fitted on the labelled sample turns
 them into a score. Words outside a matching clause count for nothing.
 
 The learned trie: a stem is a prefix of 3 to 8 characters, or a whole word.
@@ -24,8 +29,8 @@ entries that pass the odds and support tests are collected (at most
 ``MAX_STEMS``).
 
 Defined cases: a null or empty text has no clause and gets the score of no
-match; without labels the seed list and fixed weights are used; the whole text
-is read, clause by clause, so a very long text needs no more memory than its
+match; without labels the seed list and fixed weights are used; an empty table gives no rows; the whole text
+is read, clause by clause, in time linear in it, so a very long text needs no more memory than its
 longest clause; repeated rows get equal scores; further columns pass unchanged.
 """
 
@@ -35,7 +40,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,6 +52,9 @@ from parallax.llm.training import held_out, training_texts
 THRESHOLD = 0.5  # fixed by the query's contract
 SPAN = 3
 NEG_SPAN = 3
+WEAK_SPAN = 2
+TRAIL = 2
+THREAT_WEIGHT = 4.0
 MIN_PREFIX, MAX_PREFIX = 3, 8
 MAX_STEMS = 5000
 MIN_TOTAL = 5            # words of documents that an entry must occur as
@@ -58,26 +66,29 @@ SEED_INSULTS = ["idiot", "idiots", "moron", "morons", "loser", "losers", "scum",
                 "disgusting", "trash", "clown", "dumb", "imbecile", "dummkopf", "trottel", "abschaum", "crétin",
                 "imbécile", "idiota", "estúpido", "basura", "imbécil"]
 # Words of intent and words of harm.
-INTENT = ["will", "gonna", "going", "shall", "should", "must", "i'll", "we'll", "werde", "werden", "vais", "allons",
+INTENT = ["hope", "hopes", "wish", "wishes", "will", "gonna", "going", "shall", "should", "must", "i'll", "we'll", "werde", "werden", "vais", "allons",
           "voy", "vamos", "deserve", "deserves"]
 HARM = ["kill", "hurt", "beat", "destroy", "die", "shoot", "stab", "burn", "töten", "umbringen", "verletzen", "tuer",
         "frapper", "mourir", "matar", "golpear", "morir"]
 # Words that address or point at someone.
 TARGET = ["you", "your", "you're", "ya", "u", "he's", "she's", "they're", "du", "dich", "dir", "dein", "ihr", "tu", "toi",
           "vous", "votre", "tú", "usted", "ustedes"]
-# Negations.
-NEGATION = ["not", "never", "isn't", "aren't", "wasn't", "don't", "nobody", "nicht", "kein", "keine", "niemals", "pas",
-            "jamais", "nunca", "tampoco"]
-# Verbs of saying, and quotation marks (as words of their own).
+# Negations, and weak ones.
+NEGATION = ["not", "never", "isn't", "aren't", "wasn't", "weren't", "don't", "doesn't", "didn't", "won't", "can't", "cannot", "nobody", "nicht",
+            "kein", "keine", "niemals", "pas", "jamais", "nunca", "tampoco"]
+WEAK_NEGATION = ["no", "hardly", "barely", "scarcely", "kaum", "aucun", "aucune", "ningún", "ninguna"]
+# Verbs of saying.
 REPORTED = ["said", "says", "wrote", "claimed", "quoted", "quote", "according", "called", "sagte", "schrieb", "dit",
-            "écrit", "dijo", "escribió", '"', "“", "„", "«"]
+            "écrit", "dijo", "escribió"]
+# Quotation marks (as words of their own) that open or close, only open, only close.
+QUOTES, OPENING, CLOSING = ['"'], ["“", "„", "«"], ["”", "»"]
 
 _CLAUSE = re.compile(r"[^.!?;\n]+")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“„«]")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“„«”»]")
 
 # Features of a document, in order.
-FEATURES = ["plain_sum", "targeted_sum", "negated_sum", "reported_sum", "threat_sum", "clause_max", "n_clauses", "has_match",
-            "word_max", "distinct_sum"]
+FEATURES = ["plain_sum", "targeted_sum", "negated_sum", "reported_sum", "threat_sum", "clause_max", "n_clauses", "clause_mean",
+            "second_max"]
 
 
 @dataclass
@@ -86,7 +97,7 @@ class ToxicGrammar:
 
     prefixes: dict[str, float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEED_INSULTS, 3.0))
-    weights: list[float] = field(default_factory=lambda: [0.2, 0.5, -0.1, 0.0, 1.0, 0.5, 0.2, 2.0, 0.2, 0.2])
+    weights: list[float] = field(default_factory=lambda: [0.4, 0.8, -0.1, 0.0, 1.2, 1.0, 0.6, 0.8, 0.2])
     bias: float = -3.0
 
     def pattern(self) -> re.Pattern:
@@ -130,39 +141,129 @@ def _branches(words: list[str]) -> str:
     return emit(root)
 
 
+# The input symbols: negation, weak negation, reporting verb, intent, harm, target, quotation marks, insult, any other word.
+CLASSES = {"g": NEGATION, "w": WEAK_NEGATION, "r": REPORTED, "n": INTENT, "h": HARM, "t": TARGET, "q": QUOTES, "(": OPENING, ")": CLOSING}
+INSULT, OTHER = "i", "o"
+SYMBOLS = [*CLASSES, INSULT, OTHER]
+_CLASS = {word: symbol for symbol, words in reversed(CLASSES.items()) for word in words}
+Arcs = dict[tuple[object, str], object]  # (state, symbol) -> next state; a machine starts in state 0
+
+
+def _countdown(opens: dict[str, object], spans: dict[object, int], closes: dict[object, str] | None = None) -> Arcs:
+    """A scope of so many words: ``opens`` names the scope that a symbol opens, ``spans`` its length; state (scope, words left)."""
+    states = [0, *((scope, k) for scope, n in spans.items() for k in range(1, n + 1))]
+    arcs: Arcs = {}
+    for state in states:
+        for x in SYMBOLS:
+            if x in opens:
+                arcs[state, x] = (opens[x], spans[opens[x]])
+            elif state == 0 or state[1] == 1 or x in (closes or {}).get(state[0], ""):
+                arcs[state, x] = 0
+            else:
+                arcs[state, x] = (state[0], state[1] - 1)
+    return arcs
+
+
+def negation_arcs() -> Arcs:
+    return _countdown({"g": "strong", "w": "weak"}, {"strong": NEG_SPAN, "weak": WEAK_SPAN}, {"weak": "t"})
+
+
+def threat_arcs() -> Arcs:
+    return _countdown({"n": "intent"}, {"intent": SPAN})
+
+
+def target_arcs() -> Arcs:
+    return _countdown({"t": "near"}, {"near": SPAN})
+
+
+def report_arcs() -> Arcs:
+    """States: 0, ``said`` (after a verb), ``quoted``, and ("after", k): k more words in which a verb belongs to the quotation before."""
+    arcs: Arcs = {}
+    after = [("after", k) for k in range(1, SPAN + 1)]
+    for state in (0, "said", "quoted", *after):
+        for x in SYMBOLS:
+            if state == "quoted":
+                arcs[state, x] = after[-1] if x in "q)" else "quoted"
+            elif x in "q(":
+                arcs[state, x] = "quoted"
+            elif state in after:
+                arcs[state, x] = 0 if x == "r" or state[1] == 1 else ("after", state[1] - 1)
+            else:
+                arcs[state, x] = "said" if x == "r" else state
+    return arcs
+
+
+def trailing_arcs() -> Arcs:
+    """From the right. States: 0, ("end", k): k words read and a verb may still trail; ``past``; ``said``: left of such a verb."""
+    end = [("end", k) for k in range(1, TRAIL + 1)]
+    arcs: Arcs = {}
+    for state in (0, *end, "past", "said"):
+        for x in SYMBOLS:
+            if x in "q()":
+                arcs[state, x] = "past"
+            elif state == "said" or state == "past":
+                arcs[state, x] = state
+            elif x == "r":
+                arcs[state, x] = "said"
+            else:
+                k = state[1] if state else 0
+                arcs[state, x] = end[k] if k < TRAIL else "past"
+    return arcs
+
+
+def _product(machines: list[Arcs]) -> tuple[list[tuple], dict[str, list[int]]]:
+    """The states of the machines' product that can be reached, the start first, and for each symbol the table of next states."""
+    start = tuple(0 for _ in machines)
+    number, states, arcs = {start: 0}, [start], {x: [] for x in SYMBOLS}
+    for state in states:  # grows
+        for x in SYMBOLS:
+            nxt = tuple(m[part, x] for m, part in zip(machines, state, strict=True))
+            if nxt not in number:
+                number[nxt] = len(states)
+                states.append(nxt)
+            arcs[x].append(number[nxt])
+    return states, arcs
+
+
+@lru_cache(1)
+def compose() -> tuple[dict[str, list[int]], dict[str, list[int]], list[list[tuple[str, str]]]]:
+    """The composed grammar: the next-state tables from the left and from the right, and for each pair of states the outputs
+    of a word of harm with an intent and of an insult; both states are those before the word."""
+    left_states, left = _product([negation_arcs(), threat_arcs(), target_arcs(), report_arcs()])
+    right_states, right = _product([target_arcs(), trailing_arcs()])
+
+    def output(a: tuple, b: tuple, kind: str) -> str:
+        negated, _, near_left, said = a
+        near_right, trailing = b
+        if said in ("said", "quoted") or trailing == "said":
+            return "reported"
+        if negated:
+            return "negated"
+        return "targeted" if kind == "plain" and (near_left or near_right) else kind
+
+    out = [[(output(a, b, "threat") if a[1] else "", output(a, b, "plain")) for b in right_states] for a in left_states]
+    return left, right, out
+
+
 def match_clause(g: ToxicGrammar, words: list[str]) -> list[tuple[str, float, str]]:
-    """(symbol, weight, word) of every insult and threat of a clause: the composed transducer."""
-    out = []
-    negated_until, reported, intent_until = -1, False, -1
-    targets = [i for i, w in enumerate(words) if w in _TARGET]
-    for i, w in enumerate(words):
-        if w in _NEGATION:
-            negated_until = i + NEG_SPAN
-            continue
-        if w in _REPORTED:
-            reported = True
-            continue
-        if w in _INTENT:
-            intent_until = i + SPAN
-            continue
-        if w in _HARM and i <= intent_until:
-            kind, weight = "threat", 4.0
-        else:
-            weight = g.insult(w)
-            kind = "plain"
-            if not weight:
-                continue
-        if reported:
-            kind = "reported"
-        elif i <= negated_until:
-            kind = "negated"
-        elif kind == "plain" and any(abs(i - t) <= SPAN for t in targets):
-            kind = "targeted"
-        out.append((kind, weight, w))
-    return out
-
-
-_TARGET, _NEGATION, _REPORTED, _INTENT, _HARM = map(frozenset, (TARGET, NEGATION, REPORTED, INTENT, HARM))
+    """(output, weight, word) of every insult and threat of a clause, by one pass from either side of the composed machine."""
+    left, right, out = compose()
+    weights = [0.0 if w in _CLASS and _CLASS[w] != "h" else g.insult(w) for w in words]
+    symbols = [_CLASS.get(w) or (INSULT if weights[k] else OTHER) for k, w in enumerate(words)]
+    after, state = [0] * len(words), 0
+    for k in range(len(words) - 1, -1, -1):
+        after[k] = state
+        state = right[symbols[k]][state]
+    found, state = [], 0
+    for k, x in enumerate(symbols):
+        if x == "h" or x == INSULT:
+            threat, plain = out[state][after[k]]
+            if x == "h" and threat:
+                found.append((threat, THREAT_WEIGHT, words[k]))
+            elif weights[k]:
+                found.append((plain, weights[k], words[k]))
+        state = left[x][state]
+    return found
 
 
 def matches(g: ToxicGrammar, text: str | None, pattern: re.Pattern | None = None) -> Iterator[tuple[int, int, list]]:
@@ -173,8 +274,8 @@ def matches(g: ToxicGrammar, text: str | None, pattern: re.Pattern | None = None
     for hit in pattern.finditer(t):
         if hit.start() < done:
             continue
-        # the clause around the hit
-        start = max(t.rfind(c, 0, hit.start()) for c in ".!?;\n") + 1
+        # the clause around the hit; the last one's end is where this one starts at the earliest
+        start = max(t.rfind(c, max(done, 0), hit.start()) for c in ".!?;\n") + 1
         clause = _CLAUSE.match(t, start)
         done = clause.end()
         found = match_clause(g, _WORD.findall(t, start, done))
@@ -185,20 +286,16 @@ def matches(g: ToxicGrammar, text: str | None, pattern: re.Pattern | None = None
 def features(g: ToxicGrammar, text: str | None, pattern: re.Pattern | None = None) -> list[float]:
     """The document's features, in the order of FEATURES; sums are damped by log(1 + x)."""
     sums = dict.fromkeys(("plain", "targeted", "negated", "reported", "threat"), 0.0)
-    most, n, top = 0.0, 0, 0.0
-    seen: dict[str, float] = {}
+    clauses: list[float] = []
     for _, _, found in matches(g, text, pattern):
-        n += 1
         clause = 0.0
-        for kind, w, word in found:
+        for kind, w, _ in found:
             sums[kind] += w
-            if kind != "reported":
-                top = max(top, w)
-                seen[word] = w
             clause += w if kind in ("plain", "targeted", "threat") else 0.0
-        most = max(most, clause)
-    return [*(math.log1p(sums[k]) for k in ("plain", "targeted", "negated", "reported", "threat")), math.log1p(most),
-            math.log1p(n), float(n > 0), top, math.log1p(sum(seen.values()))]
+        clauses.append(clause)
+    best = sorted(clauses, reverse=True)[:2] + [0.0, 0.0]
+    return [*(math.log1p(sums[k]) for k in ("plain", "targeted", "negated", "reported", "threat")), math.log1p(best[0]),
+            math.log1p(len(clauses)), sum(clauses) / max(1, len(clauses)), math.log1p(best[1])]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.002, steps: int = 50) -> tuple[list[float], float]:
@@ -335,7 +432,7 @@ def toxicity_filter(docs: DataFrame, g: ToxicGrammar, text_col: str = "text") ->
 
 
 def clause_matches(docs: DataFrame, g: ToxicGrammar, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per matched clause: doc_id, start, end (code points of the lower-cased text), symbols, weight."""
+    """One row per matched clause: doc_id, start, end (code points of the lower-cased text), outputs, weight."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -192,6 +192,74 @@ def test_toxicity_without_labels(spark, make_docs, make_labels):
     assert got == {1: 1, 2: 0}
 
 
+SAID = [
+    ('"Great day" she said, you idiot', ["targeted"]), ("idiot, he said", ["reported"]), ("she is no idiot", ["negated"]), ("he is hardly an idiot", ["negated"]),
+    ("i hope you die", ["threat"]), ("he said you are an idiot", ["reported"]), ("no you idiot", ["targeted"]), ("not an idiot", ["negated"]),
+    ('he wrote "you idiot" and you are a moron', ["reported", "targeted"]), ("«idiot» dijo", ["reported"]), ("i will kill you", ["threat"]),
+    ("they didn't kill", []), ("you said it, idiot", ["reported"]), ("“idiot” you moron", ["reported", "targeted"]), ("idiot", ["plain"]),
+]
+
+
+@pytest.mark.parametrize("clause,want", SAID)
+def test_scopes_of_speech_and_negation(clause, want):
+    assert [k for _, _, found in X.matches(X.ToxicGrammar(), clause) for k, _, _ in found] == want
+
+
+def brute_outputs(words, symbols):
+    """Each word's output by the scopes' definitions, one scope after the other, without tables or states in common."""
+    n, out = len(words), []
+    quoted, said, after = [False] * n, [False] * n, 0
+    inside = verb = False
+    for k, x in enumerate(symbols):
+        quoted[k], said[k] = inside, verb
+        if inside:
+            if x in 'q)':
+                inside, after = False, X.SPAN + 1
+        elif x in 'q(':
+            inside, verb, after = True, False, 0
+        elif x == "r":
+            verb, after = verb or not after, 0
+        after = max(0, after - 1)
+    for k, x in enumerate(symbols):
+        if x not in "hi":
+            continue
+        intent = [j for j in range(max(0, k - X.SPAN), k) if symbols[j] == "n"]
+        near = [j for j in range(max(0, k - X.SPAN), min(n, k + X.SPAN + 1)) if j != k and symbols[j] == "t"]
+        neg = [j for j in range(k) if symbols[j] in "gw"]
+        negated = bool(neg) and (k - neg[-1] <= X.NEG_SPAN if symbols[neg[-1]] == "g" else k - neg[-1] <= X.WEAK_SPAN and "t" not in symbols[neg[-1]:k])
+        verbs = [j for j in range(max(k + 1, n - 1 - X.TRAIL), n) if symbols[j] == "r" and not set(symbols[k + 1:]) & set("q()")]
+        kind = "threat" if x == "h" and intent else "plain" if x == "i" else None
+        if kind:
+            out.append("reported" if quoted[k] or said[k] or verbs else "negated" if negated else "targeted" if kind == "plain" and near else kind)
+    return out
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(["not", "no", "said", "will", "kill", "you", '"', "“", "”", "idiot", "day", "tree"]), max_size=14))
+def test_composed_machine_equals_the_scopes_one_by_one(words):
+    symbols = [X._CLASS.get(w) or ("i" if w == "idiot" else "o") for w in words]
+    got = [k for k, _, _ in X.match_clause(X.ToxicGrammar(), words)]
+    assert got == brute_outputs(words, "".join(symbols))
+
+
+def test_long_clauses_and_texts_take_linear_time():
+    import time
+
+    g = X.ToxicGrammar()
+    for make in (lambda n: "you idiot " * n, lambda n: "you idiot. " * n, lambda n: '"idiot ' * n):
+        took = []
+        for n in (4000, 16_000):
+            t = time.process_time()
+            X.features(g, make(n))
+            took.append(time.process_time() - t)
+        assert took[1] < 10 * took[0] + 0.2
+
+
+def test_toxicity_of_an_empty_table(make_docs, make_labels):
+    g = X.train_toxicity(make_docs([]), make_labels([]))
+    assert X.score_toxicity(make_docs([]), g).collect() == [] and X.toxicity_filter(make_docs([]), g).collect() == []
+
+
 # ---- html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site</p><nav><a href=/>Home</a></nav></header>
