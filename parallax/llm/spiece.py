@@ -4,7 +4,8 @@ A model file (protocol buffer) is read into its pieces, scores, kinds and
 normaliser settings. A text is normalised, cut into words (a word starts at a
 ``▁`` that follows another character; no piece crosses that border), and the
 different words are encoded in batches of equal length that advance together,
-one character per step:
+one character per step (a run of more than ``LONG_WORD`` characters without a space is
+first cut between characters that stand side by side in no piece, which no piece can cross either):
 
 * hashes of all substrings that end at the step come from running prefix
   hashes and probe the sorted hashes of the pieces;
@@ -28,7 +29,7 @@ or the unknown piece. Decoding looks pieces up, joins bytes (a byte that is part
 of no character becomes U+FFFD) and turns ``▁`` back into spaces; texts of only
 known characters or with byte fallback come back as they were normalised.
 
-Defined cases: a null or empty text has no ids and decodes to an empty text; very
+Defined cases: a null or empty text has no ids and decodes to an empty text; an empty table gives no rows; very
 long texts are encoded whole; repeated rows and null ids are kept as they are;
 further columns are ignored; a model with a normaliser table other than identity
 is refused.
@@ -49,6 +50,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 # Kinds of pieces in the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+LONG_WORD = 64
 MAX_CACHED_WORDS = 200_000
 PAIR_SLOTS = 1 << 21  # a pair's slot is its key's hash; a later pair takes the slot over
 SLICE_CHARS = 6_000_000  # characters whose words are learned together
@@ -152,6 +154,8 @@ class PieceModel:
         values, sizes = np.array(list(self.ids.values()), np.int64), np.array([len(p) for p in self.ids])
         order = np.argsort(h)
         h, values, sizes = h[order], values[order], sizes[order]
+        # neighbouring characters in pieces, as sorted numbers
+        self.pairs = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)], np.int64))
         # the sorted keys and ids of the pieces of each length
         self.keys = {k: (h[sizes == k], values[sizes == k]) for k in np.unique(sizes).tolist()}
 
@@ -163,6 +167,15 @@ class PieceModel:
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         return np.where(keys[at] == hashes, ids[at], -1)
 
+    def segments(self, word: str) -> list[str]:
+        """The word cut where no piece can cross, so that its encoding is the segments' one after the other."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = codes[:-1] << 21 | codes[1:]
+        at = np.searchsorted(self.pairs, pair)
+        known = self.pairs[np.minimum(at, len(self.pairs) - 1)] == pair if len(self.pairs) else np.zeros(len(pair), bool)
+        ends = [*(np.flatnonzero(~known) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     @staticmethod
     def _hash(piece: str) -> np.uint64:
         h = np.uint64(0)
@@ -199,7 +212,7 @@ class PieceEncoder:
     # ---- encoding
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [_WORDS.findall(self.model.normalise(t)) for t in texts]
+        cut = [self._words(self.model.normalise(t)) for t in texts]
         wanted = {w for words in cut for w in words}
         if len(self._place) + len(wanted.difference(self._place)) > MAX_CACHED_WORDS:
             self._clear()
@@ -214,6 +227,12 @@ class PieceEncoder:
             out.append(flat[np.repeat(starts[k] - ends + n, n) + np.arange(ends[-1] if len(k) else 0)])
         return out
 
+    def _words(self, text: str) -> list[str]:
+        words = _WORDS.findall(text)
+        if any(len(w) > LONG_WORD for w in words):
+            words = [s for w in words for s in (self.model.segments(w) if len(w) > LONG_WORD else (w,))]
+        return words
+
     def _learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:

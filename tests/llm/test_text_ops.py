@@ -483,6 +483,22 @@ def test_pieces_equal_the_library(texts):
     assert [enc.decode(x) for x in ids] == [lib.decode(x.tolist()) for x in ids]
 
 
+def test_long_runs_without_spaces_equal_the_library_and_take_linear_time():
+    import time
+
+    enc = S.PieceEncoder(PIECES)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(1)
+    run = lambda n, alphabet: "".join(rng.choices(alphabet, k=n))
+    texts = [run(300, "abcdefgh漢字日本語中文ABC123"), run(2000, "thequickbrownfox"), run(500, "漢字日本語中文"), "a" * 500, run(400, "ab▁c"),
+             run(900, "é-_/.:aeiounrst0123456789"), "see http://" + run(400, "abcdefghijklmnop/._-") + " there"]
+    assert [x.tolist() for x in enc.encode(texts)] == lib.encode(texts)
+    text = run(60_000, "abcdefgh漢字日本語中文ABC")
+    start = time.process_time()
+    ids = enc.encode([text])[0]
+    assert time.process_time() - start < 5 and enc.decode(ids) == text
+
+
 def test_broken_bytes_decode_as_the_library_does():
     enc = S.PieceEncoder(PIECES)
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
