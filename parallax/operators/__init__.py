@@ -10,12 +10,15 @@ from parallax.operators.train import (
     average_blocks,
     average_parameters,
     fit,
+    fit_paths,
     fit_round,
     place,
+    place_files,
+    write_minibatches,
 )
 
 __all__ = [
     "TrainOptions", "assign_workers", "average_blocks", "average_parameters", "balanced_partitions", "features_only", "fit",
-    "fit_round", "key_examples", "partition_dataset", "place", "score", "score_batched", "score_expr",
-    "split_by_position", "to_examples", "with_dense_id", "write_partitioned",
+    "fit_paths", "fit_round", "key_examples", "partition_dataset", "place", "place_files", "score", "score_batched", "score_expr",
+    "split_by_position", "to_examples", "with_dense_id", "write_minibatches", "write_partitioned",
 ]

@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parallax.model import Model, ModelRef, loss_grad_sums
+from parallax.operators.row_ids import file_offsets
 from parallax.session import delete_path, list_files, path_exists, read_bytes, scratch_path, write_bytes
 
 WORKER_PARAMS_SCHEMA = "worker int, params array<double>, n bigint, loss double"
@@ -575,7 +576,7 @@ class Placement(tuple):
     made: the persisted copy, or the tables written under the checkpoint
     folder, so repeated training runs do not pile up data."""
 
-    def __new__(cls, df: DataFrame, rounds: int, paths: list[str] | None = None, batches: int = 0, units: Units | None = None):
+    def __new__(cls, df: DataFrame, rounds: int, batches: int = 0, paths: list[str] | None = None, units: Units | None = None):
         obj = super().__new__(cls, (df, rounds))
         obj.paths = paths or []
         obj.batches = batches  # of the longest worker
@@ -648,29 +649,86 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
     if n_inputs is not None and n_outputs is not None:
         assigned = assigned.select("worker", "batch_no", "round_no", *(["_pos"] if written else []),
                                    *_flat_columns(assigned, n_inputs, n_outputs))
-    top = F.max(F.struct("batch_no", "round_no")).alias("top")
-    units = None
-    if not written:
-        placed = assigned.persist(StorageLevel.MEMORY_AND_DISK)
-    else:
-        path = scratch_path(spark, "placed")
-        units = Units.of(options)
-        rows = assigned.withColumn("unit", F.expr(units.column()))
-        part = F.expr(f"(_pos - batch_no * {options.batch_size}) div {ROUND_TASK_MAX_ROWS}") if options.batch_size > ROUND_TASK_MAX_ROWS else F.lit(0)
-        (rows.repartition(_shuffle_width(rows, options.workers), "worker", "unit", part)
-         .sortWithinPartitions("unit", "worker", "_pos")
-         .write.option("maxRecordsPerFile", ROUND_TASK_MAX_ROWS).partitionBy("unit", "worker").parquet(path))
-        paths = [path, *paths]
-        placed = _read_placed(spark, path, rows)
-    last = placed.agg(top).first()["top"]
-    rounds, batches = (0, 0) if last is None else (int(last["round_no"]) + 1, int(last["batch_no"]) + 1)
-    return Placement(placed, rounds, paths, batches, units)
+    if written:
+        return _write_placed(assigned, options, paths)
+    placed = assigned.persist(StorageLevel.MEMORY_AND_DISK)
+    return Placement(placed, *_extent(placed))
+
+
+def _extent(placed: DataFrame) -> tuple[int, int]:
+    """Rounds, and minibatches of the longest worker."""
+    last = placed.agg(F.max(F.struct("batch_no", "round_no")).alias("top")).first()["top"]
+    return (0, 0) if last is None else (int(last["round_no"]) + 1, int(last["batch_no"]) + 1)
+
+
+def _write_placed(assigned: DataFrame, options: TrainOptions, paths: list[str]) -> Placement:
+    """Rows with ``worker, batch_no, round_no, _pos`` as a written placement: a file per worker and unit."""
+    spark = assigned.sparkSession
+    path = scratch_path(spark, "placed")
+    units = Units.of(options)
+    rows = assigned.withColumn("unit", F.expr(units.column()))
+    part = F.expr(f"(_pos - batch_no * {options.batch_size}) div {ROUND_TASK_MAX_ROWS}") if options.batch_size > ROUND_TASK_MAX_ROWS else F.lit(0)
+    (rows.repartition(_shuffle_width(rows, options.workers), "worker", "unit", part)
+     .sortWithinPartitions("unit", "worker", "_pos")
+     .write.option("maxRecordsPerFile", ROUND_TASK_MAX_ROWS).partitionBy("unit", "worker").parquet(path))
+    placed = _read_placed(spark, path, rows)
+    return Placement(placed, *_extent(placed), [path, *paths], units)
 
 
 def _read_placed(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
+def write_minibatches(examples: DataFrame, path: str, options: TrainOptions, worker_col: str | None = None, order_col: str | None = None,
+                      layout: str = "auto") -> None:
+    """Each minibatch of a placement as one Parquet file of ``features`` and ``label``, rows in order; the paths' order is
+    that of batch and worker, as ``place_files`` deals them."""
+    assigned = assign_workers(examples, options.workers, options.batch_size, options.averaging_frequency,
+                              options.seed, worker_col, order_col, layout=layout, keep_position=True)
+    number = F.lpad((F.col("batch_no") * options.workers + F.col("worker")).cast("string"), 18, "0")
+    (assigned.withColumn("minibatch", number).repartition(_shuffle_width(assigned, options.workers), "minibatch")
+     .sortWithinPartitions("minibatch", "_pos").select("minibatch", "features", "label")
+     .write.option("maxRecordsPerFile", 0).partitionBy("minibatch").parquet(path))
+    for written in assigned._parallax_paths:
+        delete_path(examples.sparkSession, written)
+
+
+def place_files(spark: SparkSession, paths: str | list[str], options: TrainOptions, n_inputs: int, n_outputs: int,
+                features: str = "features", label: str = "label") -> Placement:
+    """A placement of minibatch files: the k-th file by path is minibatch ``k div workers`` of worker ``k mod workers``.
+
+    ``paths``: Parquet files or folders of them, each file one minibatch of at most ``options.batch_size`` rows, in its own order.
+    The files' row counts are read first (no data column), then each task reads whole files' rows and writes them to
+    their worker's unit, as ``place`` does, so rounds shuffle nothing. Files of no rows are passed over."""
+    scan = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    path = scratch_path(spark, "minibatch-files")
+    # one row per file, as in the driver's own list of the scan's files
+    (file_offsets(scan).withColumn("k", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))
+     .select("file", "rows", "k").write.parquet(path))
+    files = spark.read.parquet(path)
+    longest = files.agg(F.max("rows")).first()[0]
+    if longest is not None and longest > options.batch_size:
+        raise ValueError(f"a minibatch file holds {longest} rows, the batch size is {options.batch_size}")
+    rows = scan.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_i"), *_flat_columns(scan, n_inputs, n_outputs, features, label))
+    f = options.averaging_frequency
+    assigned = (rows.join(files, F.col("_file") == F.col("file"))
+                .withColumn("worker", (F.col("k") % options.workers).cast("int")).withColumn("batch_no", F.expr(f"k div {options.workers}"))
+                .withColumn("round_no", F.lit(0).cast("long") if f is None else F.expr(f"batch_no div {f}"))
+                .withColumn("_pos", F.col("batch_no") * options.batch_size + F.col("_i"))
+                .select("worker", "batch_no", "round_no", "_pos", *(f"x{i}" for i in range(n_inputs)), *(f"y{j}" for j in range(n_outputs))))
+    return _write_placed(assigned, options, [path])
+
+
+def fit_paths(spark: SparkSession, paths: str | list[str], model: Model, epochs: int = 1, options: TrainOptions = TrainOptions(),
+              features: str = "features", label: str = "label"):
+    """``fit`` on minibatch files (see ``place_files``); returns ``(model, history)``."""
+    placed = place_files(spark, paths, options, model.n_inputs, model.n_outputs, features, label)
+    try:
+        return fit(placed[0], model, epochs, options, placed=placed)
+    finally:
+        placed.release()
+
+
 class Journal:
     """What a training run needs to go on after its driver is lost, in a folder that the next driver can reach.
 
@@ -727,7 +785,7 @@ def _journaled_placement(journal: Journal, run: dict, make) -> Placement:
         return placed
     schema = T.StructType.fromJson(json.loads(known["schema"]))
     df = spark.read.schema(schema).parquet(known["paths"][0]).select(*schema.names)
-    return Placement(df, known["rounds"], known["paths"], known["batches"], Units(**known["units"]))
+    return Placement(df, known["rounds"], known["batches"], known["paths"], Units(**known["units"]))
 
 
 def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOptions = TrainOptions(),

@@ -19,7 +19,7 @@ from parallax.operators.examples import DEFAULT_KEY, key_examples, split_by_posi
 from parallax.operators.partition import balanced_partitions, partition_dataset, write_partitioned
 from parallax.operators.row_ids import with_dense_id
 from parallax.operators.score import score, score_batched, score_expr
-from parallax.operators.train import TrainOptions, assign_workers, average_blocks, average_parameters, fit, fit_round
+from parallax.operators.train import TrainOptions, assign_workers, average_blocks, average_parameters, fit, fit_paths, fit_round, write_minibatches
 from parallax.plans.bench import bench_fit, bench_score, count_predictions, summarise_runs
 from parallax.session import scratch_path
 from parallax.sources.csv import good_records, read_records
@@ -303,6 +303,16 @@ def q_average_blocks(spark, sf_dir):
         (F.col("block") * 16 + F.col("i")).alias("pos"), F.round("v", 9).alias("value"))
 
 
+def q_fit_paths(spark, sf_dir):
+    """``fit_minibatches`` from eight minibatch files."""
+    ex = _event_examples(spark, sf_dir)
+    opts = TrainOptions(workers=4, batch_size=-(-ex.count() // 8), averaging_frequency=2, learning_rate=0.5)
+    path = scratch_path(spark, "minibatches")
+    write_minibatches(ex, path, opts, worker_col="event_id", order_col="event_id")
+    model, _ = fit_paths(spark, path, linear_2_1(), 1, opts)
+    return _params(spark, model)
+
+
 def q_count_predictions(spark, sf_dir):
     return count_predictions(score_expr(_lineitem_keyed(spark, sf_dir), relu_2_3_1()))
 
@@ -461,6 +471,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sgd_round": q_sgd_round,
     "fit_epochs": q_fit_epochs,
     "fit_resumed": q_fit_resumed,
+    "fit_paths": q_fit_paths,
     "balanced_partitions": q_balanced_partitions,
     "dense_row_id": q_dense_row_id,
     "average_blocks": q_average_blocks,
@@ -584,6 +595,7 @@ ORACLES: dict[str, str] = {
         "UNION ALL SELECT row_number() OVER () - 1, NULL, NULL, 'several' FROM lineitem"),
     "fit_minibatches": _MINIBATCHES_SQL,
     "fit_minibatches_range": _MINIBATCHES_SQL,
+    "fit_paths": _MINIBATCHES_SQL,
     "read_lines": ("SELECT CAST(p_partkey AS VARCHAR) || ',' || CAST(p_size AS VARCHAR) || ',' || "
                    "CAST(p_retailprice AS VARCHAR) AS value FROM part"),
     "parse_records": _PART_DOUBLES,

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from data_dirs import SF001, SF01
@@ -298,6 +299,30 @@ def test_units_bound_what_a_file_holds(spark, monkeypatch):
         placed.release()
 
 
+def test_minibatch_files_train_like_their_batches(spark, tmp_dir):
+    """Files written from a placement, found again by path, give the parameters of ``fit`` on the same batches."""
+    from parallax.operators.train import fit_paths, place_files, write_minibatches
+
+    ex = _examples(spark).withColumn("k", F.row_number().over(Window.orderBy("row_id")).cast("long"))
+    opts = TrainOptions(workers=3, batch_size=100, averaging_frequency=4, learning_rate=0.3)
+    write_minibatches(ex, f"{tmp_dir}/mb", opts, worker_col="k", order_col="k")
+    files = spark.read.parquet(f"{tmp_dir}/mb").select(F.col("_metadata.file_path").alias("f")).groupBy("f").count().collect()
+    assert len(files) == 60 and {r["count"] for r in files} == {100}
+    want, hist = fit(ex, relu_2_8_1(), 2, opts, worker_col="k", order_col="k", layout="worker")
+    got, h = fit_paths(spark, f"{tmp_dir}/mb", relu_2_8_1(), 2, opts)
+    assert (got.params() == want.params()).all() and [e["rows"] for e in h] == [e["rows"] for e in hist]
+    # a list of some files; a round's plan shuffles nothing
+    some = sorted(r["f"] for r in files)[:7]
+    placed = place_files(spark, some, opts, 2, 1)
+    assert placed[0].count() == 700 and placed.batches == 3 and placed[1] == 1
+    assert {(r["worker"], r["batch_no"]) for r in placed[0].select("worker", "batch_no").distinct().collect()} == {(k % 3, k // 3) for k in range(7)}
+    plan = fit_round(placed.round_rows(opts), relu_2_8_1(), 0, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    placed.release()
+    with pytest.raises(ValueError, match="batch size"):
+        place_files(spark, some, TrainOptions(workers=3, batch_size=99), 2, 1)
+
+
 class Lost(Exception):
     pass
 
