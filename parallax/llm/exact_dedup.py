@@ -13,6 +13,7 @@ comparison is an equi-join on the hash whose hot side adaptive execution
 splits.
 
 Defined cases: a null text counts as empty (and equals other empty texts);
+very long texts are hashed and compared whole; an empty table gives no rows;
 every input row gives one output row; rows that repeat the largest doc_id of a
 group with an equal text are the same document and all are kept; null doc_ids
 rank lowest; columns of the input other than id and text are ignored.

@@ -15,7 +15,8 @@ model is a list of at most a few hundred rules. Scoring reads every whole text.
 Defined cases: a null or empty text has all statistics zero and gets the score
 of that point; without any usable label the score is 1 everywhere (nothing is
 rejected); with labels of one class only, the score is that class's smoothed
-share. Repeated rows get equal scores; other columns pass unchanged.
+share. An empty table gives no rows; very long texts are read whole; repeated rows
+get equal scores; other columns pass unchanged.
 """
 
 from __future__ import annotations

@@ -255,6 +255,11 @@ def test_long_clauses_and_texts_take_linear_time():
         assert took[1] < 10 * took[0] + 0.2
 
 
+def test_quality_of_an_empty_table(make_docs, make_labels):
+    m = Q.train_quality(make_docs([]), make_labels([]))
+    assert Q.score_quality(make_docs([]), m).collect() == [] and Q.quality_filter(make_docs([]), m).collect() == []
+
+
 def test_toxicity_of_an_empty_table(make_docs, make_labels):
     g = X.train_toxicity(make_docs([]), make_labels([]))
     assert X.score_toxicity(make_docs([]), g).collect() == [] and X.toxicity_filter(make_docs([]), g).collect() == []
