@@ -13,6 +13,12 @@ but the last return the columns of ``documents``.
    then a long line that several of the documents left have word for word stays in
    one (``n_chars`` anew), which the stage 3 templates ask for in more documents;
 5. best-fit packing: what is left, as token pieces in sequences of 2048.
+
+Defined cases: null texts count as empty, get the scores of an empty text and, where they stay, come out of stage 3 as
+empty ones; texts without words are near duplicates of each other, so the smallest id stays; rows without an id
+are never near duplicates and stay; rows that repeat an id and text stay together, as one document; a document
+without labels is judged like any other; without any label stage 1 keeps all and stage 2 goes by its seed list; an
+empty table gives no rows; further columns pass stages 1 to 4.
 """
 
 from __future__ import annotations
