@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parallax.model import Model
 from parallax.operators.train import TrainOptions, fit, place
+from parallax.plans.accounting import run_group
 
 BENCH_RUNS_SCHEMA = "name string, iteration int, n_records bigint, ns bigint"
 
@@ -47,14 +48,16 @@ def bench_score(spark: SparkSession, scored: DataFrame, iterations: int = 50, na
     are all inside each pass, as they are re-done every time).
 
     Records are counted during each pass (an ``Observation``), unless
-    ``n_records`` is given; no extra pass over the data either way.
+    ``n_records`` is given; no extra pass over the data either way. Each pass is a job group of its own:
+    ``plans.accounting.run_metrics`` tells from the event log what it cost.
     """
     rows = []
     for i in range(iterations):
-        if n_records is None:
-            ns, n = run_counted_pass(scored)
-        else:
-            ns, n = run_pass(scored), n_records
+        with run_group(spark, name, i):
+            if n_records is None:
+                ns, n = run_counted_pass(scored)
+            else:
+                ns, n = run_pass(scored), n_records
         rows.append((name, i, n, ns))
     return spark.createDataFrame(rows, BENCH_RUNS_SCHEMA)
 
@@ -74,9 +77,10 @@ def bench_fit(spark: SparkSession, examples: DataFrame, model: Model, epochs: in
             model, _h = fit(examples, model, epochs, options, placed=placed)
         rows, history = [], []
         for i in range(iterations):
-            t0 = time.perf_counter_ns()
-            model, h = fit(examples, model, epochs, options, placed=placed)
-            ns = time.perf_counter_ns() - t0
+            with run_group(examples.sparkSession, name, i):
+                t0 = time.perf_counter_ns()
+                model, h = fit(examples, model, epochs, options, placed=placed)
+                ns = time.perf_counter_ns() - t0
             rows.append((name, i, sum(e["rows"] for e in h), ns))
             history.extend(h)
     finally:
