@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import json
 import time
+import math
 import uuid
 from dataclasses import asdict, dataclass, replace
 from functools import partial
@@ -65,6 +66,11 @@ _WORKER_PARAMS_TYPE = T.StructType([
 # estimate (files: their bytes, however many splits), else the range layout.
 WORKER_TASK_MAX_BYTES = 512 << 20
 # Rows of a worker that one task steps through: a longer round runs as a
+# ... and while its rows, as the sort holds them, are at most this many bytes
+# (rows counted: compressed files say little of it).
+WORKER_SORT_MAX_BYTES = 384 << 20
+# Rows of one bucket of the range layout, which a task sorts.
+RANGE_TASK_MAX_ROWS = 1_000_000
 # chain of jobs that carry each worker's parameters on.
 ROUND_TASK_MAX_ROWS = 4_000_000
 # A written placement's files are read one to a task: beyond any file's size.
@@ -152,6 +158,12 @@ def _order_columns(examples: DataFrame, seed: int, order_col: str | None, row_id
     if order_col is None:
         return [F.xxhash64(F.col(row_id), F.lit(seed + 1)), *tie]
     return [F.col(order_col), *([] if order_col == row_id else tie)]
+def _sort_bytes(df: DataFrame) -> int:
+    """About what a row takes in a sort: eight bytes a value, more for an array or a string, and the sort's own pointers."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    return 32 + sum(8 if isinstance(f.dataType, fixed) else 48 for f in df.schema.fields)
+
+
 
 
 def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging_frequency: int | None = None,
@@ -169,9 +181,10 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     Two layouts give the same numbers:
 
     * ``"worker"``: partition ``w`` holds exactly worker ``w``, sorted; the
-      position is the row's index in its partition.  One shuffle, no extra
-      job, but one task sorts a whole worker's share: ``auto`` picks it
-      while that share is at most ``WORKER_TASK_MAX_BYTES`` (hashed workers:
+      position is the row's index in its partition.  One shuffle,
+      but one task sorts a whole worker's share: ``auto`` picks it
+      while that share is at most ``WORKER_TASK_MAX_BYTES`` by the plan and
+      ``WORKER_SORT_MAX_BYTES`` by its rows, which it counts (hashed workers:
       the input's size / workers; a given worker column, which may be
       skewed: the input's size).
     * ``"range"``: many partitions (``num_partitions``, default:
@@ -196,18 +209,26 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     order = _order_columns(examples, seed, order_col, row_id)
     if layout == "auto":
         # Hashed workers are balanced; a given worker column may put every row in one worker.
-        size = _plan_bytes(examples)
-        layout = "worker" if size <= WORKER_TASK_MAX_BYTES * (workers if worker_col is None else 1) else "range"
+        shares = workers if worker_col is None else 1
+        fits = _plan_bytes(examples) <= WORKER_TASK_MAX_BYTES * shares
+        if fits:
+            n_rows = examples.count()
+            fits = n_rows * _sort_bytes(examples) <= WORKER_SORT_MAX_BYTES * shares
+        layout = "worker" if fits else "range"
     keyed = examples.withColumn("worker", worker.cast("int"))
+    n_rows = None
     written: list[str] = []
     local_idx = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     if layout == "worker":
         placed = keyed.repartitionById(workers, F.col("worker")).sortWithinPartitions(*order)
         placed = placed.withColumn("_p", local_idx)
     elif layout == "range" and order_col is None:
-        placed = _hash_range_positions(keyed, workers, seed, row_id, num_partitions or _shuffle_width(keyed, workers))
+        placed, n_rows = _hash_range_positions(keyed, workers, seed, row_id, num_partitions or _shuffle_width(keyed, workers),
+                                               None if num_partitions else RANGE_TASK_MAX_ROWS)
     elif layout == "range":
-        parts = num_partitions or _shuffle_width(keyed, workers)
+        if n_rows is None:
+            n_rows = examples.count()
+        parts = num_partitions or max(_shuffle_width(keyed, workers), -(-n_rows // RANGE_TASK_MAX_ROWS))
         ranged = (
             keyed.repartitionByRange(parts, F.col("worker"), *order)
             .sortWithinPartitions(F.col("worker"), *order)
@@ -241,13 +262,15 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     return placed
 
 
-def _hash_range_positions(keyed: DataFrame, workers: int, seed: int, row_id: str, parts: int) -> DataFrame:
-    """Positions for the default (hashed) order without materialising anything.
+def _hash_range_positions(keyed: DataFrame, workers: int, seed: int, row_id: str, parts: int, most: int | None) -> tuple[DataFrame, int]:
+    """(rows, their number): positions for the default (hashed) order without materialising anything.
+    placed._parallax_rows = n_rows  # None where no one counted
+    placed._parallax_frequency = averaging_frequency
 
     The order key ``h = xxhash64(row_id, seed + 1)`` is uniform over the
     64-bit range. One counting pass counts the rows of every worker in fixed,
     equal-width slices of it (at most 2^20 counts, which the driver reads); neighbouring slices of a worker
-    are merged to buckets of about ``rows / parts`` rows, so a hot worker
+    are merged to buckets of about ``rows / parts`` rows (or ``most``, if that is fewer), so a hot worker
     gets many. Each bucket is one partition (``repartitionById``), sorted by
     ``(h, row_id)``; position = the worker's rows in earlier slices (from the
     same counts, carried with the row) + index in the partition. Everything is a function
@@ -259,7 +282,9 @@ def _hash_range_positions(keyed: DataFrame, workers: int, seed: int, row_id: str
     frac = F.col("_h").cast("double") / F.lit(float(2 ** 64)) + F.lit(0.5)
     keyed = keyed.withColumn("_h", h).withColumn("_s", F.least(F.floor(frac * slices), F.lit(slices - 1)).cast("int"))
     counts = keyed.groupBy("worker", "_s").agg(F.count(F.lit(1)).alias("n")).collect()
-    target = max(1, -(-sum(r["n"] for r in counts) // max(parts, 1)))  # rows per bucket ~ rows per wanted partition
+    total = sum(r["n"] for r in counts)
+    target = max(1, -(-total // max(parts, 1)))  # rows per bucket ~ rows per wanted partition
+    target = min(target, most or target)
     table, bucket, filled, off, of = [], -1, 0, 0, None
     for r in sorted(counts, key=lambda r: (r["worker"], r["_s"])):
         if r["worker"] != of or filled >= target:
@@ -278,7 +303,7 @@ def _hash_range_positions(keyed: DataFrame, workers: int, seed: int, row_id: str
         .sortWithinPartitions("_h", row_id)
         .withColumn("_p", F.col("_off") + local_idx)
     )
-    return ordered.drop("_b", "_h", "_s", "_off")
+    return ordered.drop("_b", "_h", "_s", "_off"), total
 
 
 def _refuse_missing(x: np.ndarray, y: np.ndarray) -> None:
@@ -380,7 +405,8 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
     rounds when None; only those from ``batches[0]`` up to ``batches[1]`` if given); ``loss`` is the mean loss
     over its rows, each taken before the step of its minibatch.  With the ``worker`` layout there is no
     shuffle (rows are already placed), and none for a written placement (its files are a worker's each);
-    rows that ``assign_workers`` numbered in the ``range`` layout are regrouped by worker (``fit`` bounds how many)."""
+    rows that ``assign_workers`` numbered in the ``range`` layout are regrouped by worker (``fit`` bounds how many), or,
+    where a round is one minibatch, stay where they lie: only their gradient sums meet."""
     rows = _round_rows(placed, round_no, batches)
     n_in, n_out = model.n_inputs, model.n_outputs
     cols = set(placed.columns)
@@ -389,6 +415,12 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
         parts = workers or placed.sparkSession.sparkContext.defaultParallelism
         rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
     wanted = {"worker", "batch_no", "round_no", *(f"x{i}" for i in range(n_in)), *(f"y{j}" for j in range(n_out))}
+    one_step = round_no is not None and not starts and batches is None and getattr(placed, "_parallax_frequency", None) == 1
+    if "_pos" in cols and "unit" not in cols and one_step:
+        flat = rows.select("worker", *_flat_columns(placed, n_in, n_out, features, label))
+        ref = model_ref or ModelRef(model, placed.sparkSession.sparkContext)
+        return _one_step(_gradient_parts(flat, n_in, n_out, {}, ref), ref, learning_rate,
+                         workers or placed.sparkSession.sparkContext.defaultParallelism)
     # placed rows that already hold exactly the flat columns go in as they are
     # (one transformation, so one analysis, fewer per round job)
     flat = rows if cols == wanted else rows.select("worker", "batch_no", *_flat_columns(placed, n_in, n_out, features, label))
@@ -406,12 +438,8 @@ def _round_rows(placed: DataFrame, round_no: int | None, batches: tuple[int, int
     return rows
 
 
-def _gradient_sums(placed: DataFrame, model: Model, round_no: int, batch: int, starts: dict, ref: ModelRef) -> dict:
-    """worker -> (gradient sum, rows, loss sum) of one minibatch: summed where its rows lie, over any number of
-    tasks, then by Spark; what comes back is one vector per worker."""
-    n_in, n_out = model.n_inputs, model.n_outputs
-    flat = _round_rows(placed, round_no, (batch, batch + 1)).select("worker", *_flat_columns(placed, n_in, n_out))
-
+def _gradient_parts(flat: DataFrame, n_in: int, n_out: int, starts: dict, ref: ModelRef) -> DataFrame:
+    """``(worker, v)``: each task's gradient sum of each worker in it, then its rows and loss sum."""
     def run(frames):
         import pandas as pd
 
@@ -430,7 +458,37 @@ def _gradient_sums(placed: DataFrame, model: Model, round_no: int, batch: int, s
         if sums:
             yield pd.DataFrame({"worker": np.array(list(sums), np.int32), "v": list(sums.values())})
 
-    parts = flat.mapInPandas(run, "worker int, v array<double>")
+    return flat.mapInPandas(run, "worker int, v array<double>")
+
+
+def _one_step(parts: DataFrame, ref: ModelRef, learning_rate: float, tasks: int) -> DataFrame:
+    """``worker_params`` after one step on the sums of ``_gradient_parts``, a vector from each task."""
+    def run(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:
+            for w, v in zip(b.column("worker").to_pylist(), b.column("v")):
+                v = np.asarray(v.values)
+                sums[w] = sums[w] + v if w in sums else v
+        start = ref.get().params()
+        for w, v in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w], pa.int32()), pa.array([start - learning_rate * (v[:-2] / v[-2])], pa.list_(pa.float64())),
+                 pa.array([int(v[-2])], pa.int64()), pa.array([float(v[-1] / v[-2])], pa.float64())], names=["worker", "params", "n", "loss"])
+
+    numbered = parts.withColumn("at", F.spark_partition_id())
+    return (numbered.repartitionById(tasks, F.col("worker") % tasks).sortWithinPartitions("worker", "at")
+            .mapInArrow(run, _WORKER_PARAMS_TYPE))
+
+
+def _gradient_sums(placed: DataFrame, model: Model, round_no: int, batch: int, starts: dict, ref: ModelRef) -> dict:
+    """worker -> (gradient sum, rows, loss sum) of one minibatch: summed where its rows lie, over any number of
+    tasks, then by Spark; what comes back is one vector per worker."""
+    n_in, n_out = model.n_inputs, model.n_outputs
+    flat = _round_rows(placed, round_no, (batch, batch + 1)).select("worker", *_flat_columns(placed, n_in, n_out))
+
+    parts = _gradient_parts(flat, n_in, n_out, starts, ref)
     got = parts.select("worker", F.posexplode("v").alias("pos", "v")).groupBy("worker", "pos").agg(F.sum("v").alias("v")).collect()
     out: dict = {}
     for r in got:
@@ -644,7 +702,7 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
     spark = examples.sparkSession
     assigned = assign_workers(examples, options.workers, options.batch_size, options.averaging_frequency,
                               options.seed, worker_col, order_col, layout=layout, keep_position=options.storage == "checkpoint")
-    paths = assigned._parallax_paths
+    paths, rows = assigned._parallax_paths, assigned._parallax_rows
     written = "_pos" in assigned.columns
     if n_inputs is not None and n_outputs is not None:
         assigned = assigned.select("worker", "batch_no", "round_no", *(["_pos"] if written else []),
@@ -661,16 +719,22 @@ def _extent(placed: DataFrame) -> tuple[int, int]:
     return (0, 0) if last is None else (int(last["round_no"]) + 1, int(last["batch_no"]) + 1)
 
 
-def _write_placed(assigned: DataFrame, options: TrainOptions, paths: list[str]) -> Placement:
-    """Rows with ``worker, batch_no, round_no, _pos`` as a written placement: a file per worker and unit."""
+def _write_placed(assigned: DataFrame, options: TrainOptions, paths: list[str], n_rows: int | None = None) -> Placement:
+    """Rows with ``worker, batch_no, round_no, _pos`` as a written placement: a file per worker and unit.
+
+    The files are dealt in turn over at least ``n_rows / ROUND_TASK_MAX_ROWS`` tasks, so a task sorts one or two. A minibatch longer than a file
+    is a sum, in any order: its rows are written where they lie."""
     spark = assigned.sparkSession
     path = scratch_path(spark, "placed")
     units = Units.of(options)
     rows = assigned.withColumn("unit", F.expr(units.column()))
-    part = F.expr(f"(_pos - batch_no * {options.batch_size}) div {ROUND_TASK_MAX_ROWS}") if options.batch_size > ROUND_TASK_MAX_ROWS else F.lit(0)
-    (rows.repartition(_shuffle_width(rows, options.workers), "worker", "unit", part)
-     .sortWithinPartitions("unit", "worker", "_pos")
-     .write.option("maxRecordsPerFile", ROUND_TASK_MAX_ROWS).partitionBy("unit", "worker").parquet(path))
+    dealt = rows
+    if options.batch_size <= ROUND_TASK_MAX_ROWS:
+        tasks = max(_shuffle_width(rows, options.workers), -(-(n_rows or 0) // ROUND_TASK_MAX_ROWS) + options.workers)
+        while math.gcd(tasks, options.workers) > 1:  # so one worker's files go round all tasks
+            tasks += 1
+        dealt = rows.repartitionById(tasks, F.expr(f"cast((unit * {options.workers} + worker) % {tasks} as int)")).sortWithinPartitions("unit", "worker", "_pos")
+    dealt.write.option("maxRecordsPerFile", ROUND_TASK_MAX_ROWS).partitionBy("unit", "worker").parquet(path)
     placed = _read_placed(spark, path, rows)
     return Placement(placed, *_extent(placed), [path, *paths], units)
 
@@ -706,7 +770,7 @@ def place_files(spark: SparkSession, paths: str | list[str], options: TrainOptio
     (file_offsets(scan).withColumn("k", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))
      .select("file", "rows", "k").write.parquet(path))
     files = spark.read.parquet(path)
-    longest = files.agg(F.max("rows")).first()[0]
+    longest, n_rows = files.agg(F.max("rows"), F.sum("rows")).first()
     if longest is not None and longest > options.batch_size:
         raise ValueError(f"a minibatch file holds {longest} rows, the batch size is {options.batch_size}")
     rows = scan.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_i"), *_flat_columns(scan, n_inputs, n_outputs, features, label))
@@ -716,7 +780,7 @@ def place_files(spark: SparkSession, paths: str | list[str], options: TrainOptio
                 .withColumn("round_no", F.lit(0).cast("long") if f is None else F.expr(f"batch_no div {f}"))
                 .withColumn("_pos", F.col("batch_no") * options.batch_size + F.col("_i"))
                 .select("worker", "batch_no", "round_no", "_pos", *(f"x{i}" for i in range(n_inputs)), *(f"y{j}" for j in range(n_outputs))))
-    return _write_placed(assigned, options, [path])
+    return _write_placed(assigned, options, [path], n_rows)
 
 
 def fit_paths(spark: SparkSession, paths: str | list[str], model: Model, epochs: int = 1, options: TrainOptions = TrainOptions(),

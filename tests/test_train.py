@@ -521,3 +521,55 @@ def test_null_worker_values_are_kept(spark, layout):
     m, h = fit(ex, relu_2_8_1(), 1, TrainOptions(workers=3, batch_size=100, averaging_frequency=2),
                worker_col="w", layout=layout)
     assert h[0]["rows"] == 6000
+
+
+def _two_partitions(spark):
+    return spark.range(0, 6000, 1, 2).selectExpr("id / 6000D AS x1", "id % 7 / 7D AS x2", "id / 6000D - id % 7 / 14D AS y")
+
+
+def test_auto_layout_counts_rows_that_compress_well(spark, monkeypatch):
+    """By the plan the share is small, by its rows a sort of it would not be."""
+    import parallax.operators.train as tr
+
+    ex = to_examples(_two_partitions(spark), ["x1", "x2"], ["y"])
+    assert "_pos" not in assign_workers(ex, 4, 10).columns
+    monkeypatch.setattr(tr, "WORKER_SORT_MAX_BYTES", 6000 * 32 // 4)
+    assert "_pos" in assign_workers(ex, 4, 10).columns
+
+
+def test_one_minibatch_a_worker_is_summed_where_it_lies(spark, monkeypatch):
+    """No bucket, and no task of the round, holds a worker's share; the step is the full batch's."""
+    import parallax.operators.train as tr
+
+    monkeypatch.setattr(tr, "RANGE_TASK_MAX_ROWS", 300)
+    ex = to_examples(_two_partitions(spark), ["x1", "x2"], ["y"])
+    placed = assign_workers(ex, 2, 1 << 40, 1, layout="range")
+    assert placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 600
+    wp = fit_round(placed, linear_2_1(), 0, 0.5)
+    plan = wp._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") < plan.index("MapInPandas")  # only sums are dealt by worker
+    avg = [r.value for r in average_parameters(wp).orderBy("pos").collect()]
+    pdf = ex.toPandas()
+    x, y = np.stack(pdf.features.to_numpy()), np.stack(pdf.label.to_numpy())
+    p, _, _ = sgd_steps(linear_2_1(), x, y, np.zeros(len(x)), 0.5)
+    assert np.abs(np.array(avg) - p).max() < 1e-12
+    got = {r.worker: r for r in wp.collect()}
+    assert sum(r.n for r in got.values()) == 6000 and set(got) == {0, 1}
+
+
+def test_files_of_a_written_placement_are_dealt_evenly(spark, monkeypatch):
+    """With many more rows than tasks, none sorts more than two files; a minibatch longer than a file is not sorted at all."""
+    import parallax.operators.train as tr
+
+    monkeypatch.setattr(tr, "ROUND_TASK_MAX_ROWS", 100)
+    monkeypatch.setattr(tr, "RANGE_TASK_MAX_ROWS", 100)
+    ex = to_examples(_two_partitions(spark), ["x1", "x2"], ["y"])
+    for batch, freq in ((20, 2), (1 << 40, 1)):
+        placed = tr.place(ex, TrainOptions(workers=4, batch_size=batch, averaging_frequency=freq), n_inputs=2, n_outputs=1, layout="range")
+        files = placed[0].groupBy(F.col("_metadata.file_path").alias("f")).count().collect()
+        written_by = {}
+        for r in files:  # part-<task>-...
+            written_by.setdefault(r["f"].split("part-")[1][:5], []).append(r["count"])
+        assert sum(r["count"] for r in files) == 6000
+        assert max(sum(c) for c in written_by.values()) <= 200 and len(written_by) >= 30
+        placed.release()
