@@ -23,7 +23,8 @@
    the row-weighted average (numpy on the driver while ``workers x params``
    is small, else ``average_parameters``, in blocks), which becomes the next round's
    starting point. Nothing is shuffled: a persisted partition holds one worker, and
-   of a written placement each task reads one worker's file, whole, in order. A share of
+   of a written placement each task reads one worker's file, whole, in order. ``fit``'s short rounds
+   read packed minibatches instead (see ``PackedRounds``). A share of
    more than ``ROUND_TASK_MAX_ROWS`` rows runs as a chain of bounded jobs that
    carry each worker's parameters.
 
@@ -37,8 +38,8 @@ or written, and every round is a deterministic function of its inputs.
 from __future__ import annotations
 
 import json
-import time
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass, replace
 from functools import partial
@@ -65,18 +66,22 @@ _WORKER_PARAMS_TYPE = T.StructType([
 # it only while that share is at most this many bytes by the plan's own size
 # estimate (files: their bytes, however many splits), else the range layout.
 WORKER_TASK_MAX_BYTES = 512 << 20
-# Rows of a worker that one task steps through: a longer round runs as a
 # ... and while its rows, as the sort holds them, are at most this many bytes
 # (rows counted: compressed files say little of it).
 WORKER_SORT_MAX_BYTES = 384 << 20
 # Rows of one bucket of the range layout, which a task sorts.
 RANGE_TASK_MAX_ROWS = 1_000_000
+# Rows of a worker that one task steps through: a longer round runs as a
 # chain of jobs that carry each worker's parameters on.
 ROUND_TASK_MAX_ROWS = 4_000_000
 # A written placement's files are read one to a task: beyond any file's size.
 WHOLE_FILE_BYTES = 1 << 44
 # Upper bound on the Arrow batch used by round jobs (rows).
 ROUND_ARROW_MAX_ROWS = 131_072
+# Packed rounds (``PackedRounds``): bytes of a partition, as wanted and at most, and partitions at most.
+PACK_BYTES = 1 << 20
+PACK_MAX_BYTES = 32 << 20
+PACK_MAX_PARTITIONS = 8192
 # Largest workers x parameters count averaged on the driver (4M doubles, 32 MB).
 DRIVER_AVERAGE_MAX = 1 << 22
 # Parameters to a row where vectors are averaged on Spark (32 KB).
@@ -153,17 +158,17 @@ def _plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _order_columns(examples: DataFrame, seed: int, order_col: str | None, row_id: str) -> list:
-    tie = [F.col(row_id)] if row_id in examples.columns else []
-    if order_col is None:
-        return [F.xxhash64(F.col(row_id), F.lit(seed + 1)), *tie]
-    return [F.col(order_col), *([] if order_col == row_id else tie)]
 def _sort_bytes(df: DataFrame) -> int:
     """About what a row takes in a sort: eight bytes a value, more for an array or a string, and the sort's own pointers."""
     fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
     return 32 + sum(8 if isinstance(f.dataType, fixed) else 48 for f in df.schema.fields)
 
 
+def _order_columns(examples: DataFrame, seed: int, order_col: str | None, row_id: str) -> list:
+    tie = [F.col(row_id)] if row_id in examples.columns else []
+    if order_col is None:
+        return [F.xxhash64(F.col(row_id), F.lit(seed + 1)), *tie]
+    return [F.col(order_col), *([] if order_col == row_id else tie)]
 
 
 def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging_frequency: int | None = None,
@@ -207,6 +212,7 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
         # a null worker value goes to worker 0 (never dropped by the joins below)
         worker = F.coalesce(F.pmod(F.col(worker_col), F.lit(workers)), F.lit(0))
     order = _order_columns(examples, seed, order_col, row_id)
+    n_rows = None
     if layout == "auto":
         # Hashed workers are balanced; a given worker column may put every row in one worker.
         shares = workers if worker_col is None else 1
@@ -216,7 +222,6 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
             fits = n_rows * _sort_bytes(examples) <= WORKER_SORT_MAX_BYTES * shares
         layout = "worker" if fits else "range"
     keyed = examples.withColumn("worker", worker.cast("int"))
-    n_rows = None
     written: list[str] = []
     local_idx = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     if layout == "worker":
@@ -259,13 +264,13 @@ def assign_workers(examples: DataFrame, workers: int, batch_size: int, averaging
     placed = placed.withColumn("round_no", rounds)
     placed = placed.withColumnRenamed("_p", "_pos") if layout == "range" or keep_position else placed.drop("_p")
     placed._parallax_paths = written
+    placed._parallax_rows = n_rows  # None where no one counted
+    placed._parallax_frequency = averaging_frequency
     return placed
 
 
 def _hash_range_positions(keyed: DataFrame, workers: int, seed: int, row_id: str, parts: int, most: int | None) -> tuple[DataFrame, int]:
     """(rows, their number): positions for the default (hashed) order without materialising anything.
-    placed._parallax_rows = n_rows  # None where no one counted
-    placed._parallax_frequency = averaging_frequency
 
     The order key ``h = xxhash64(row_id, seed + 1)`` is uniform over the
     64-bit range. One counting pass counts the rows of every worker in fixed,
@@ -410,17 +415,17 @@ def fit_round(placed: DataFrame, model: Model, round_no: int | None, learning_ra
     rows = _round_rows(placed, round_no, batches)
     n_in, n_out = model.n_inputs, model.n_outputs
     cols = set(placed.columns)
-    if "_pos" in cols and "unit" not in cols:
-        # range layout, not written by ``place``: bring each worker's rows into one task, in position order
-        parts = workers or placed.sparkSession.sparkContext.defaultParallelism
-        rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
-    wanted = {"worker", "batch_no", "round_no", *(f"x{i}" for i in range(n_in)), *(f"y{j}" for j in range(n_out))}
     one_step = round_no is not None and not starts and batches is None and getattr(placed, "_parallax_frequency", None) == 1
     if "_pos" in cols and "unit" not in cols and one_step:
         flat = rows.select("worker", *_flat_columns(placed, n_in, n_out, features, label))
         ref = model_ref or ModelRef(model, placed.sparkSession.sparkContext)
         return _one_step(_gradient_parts(flat, n_in, n_out, {}, ref), ref, learning_rate,
                          workers or placed.sparkSession.sparkContext.defaultParallelism)
+    if "_pos" in cols and "unit" not in cols:
+        # range layout, not written by ``place``: bring each worker's rows into one task, in position order
+        parts = workers or placed.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartitionById(parts, F.col("worker")).sortWithinPartitions("worker", "batch_no", "_pos")
+    wanted = {"worker", "batch_no", "round_no", *(f"x{i}" for i in range(n_in)), *(f"y{j}" for j in range(n_out))}
     # placed rows that already hold exactly the flat columns go in as they are
     # (one transformation, so one analysis, fewer per round job)
     flat = rows if cols == wanted else rows.select("worker", "batch_no", *_flat_columns(placed, n_in, n_out, features, label))
@@ -594,9 +599,89 @@ def average_blocks(worker_params: DataFrame, params: str = "params", weight: str
             .mapInArrow(add, "block int, values array<double>, weight double"))
 
 
+class PackedRounds:
+    """A placement's minibatches as float64 matrices in a persisted RDD, for rounds too short to pay for a query each.
+
+    A partition holds one worker's minibatches of ``rounds`` successive rounds (about ``PACK_BYTES``), in order. A round is a job on
+    its workers' partitions alone, planned once: no scan, no filter, no shuffle. A lost partition is packed anew from the placement."""
+
+    def __init__(self, rows: DataFrame, n_rounds: int, options: TrainOptions, n_in: int, n_out: int, rounds: int):
+        self.workers, self.rounds, self.width, self.n_in = options.workers, rounds, n_in + n_out, n_in
+        slots = -(-n_rounds // rounds) * options.workers
+        packed = rows.select("worker", "batch_no", "round_no", *_flat_columns(rows, n_in, n_out)).mapInArrow(
+            partial(_pack, n_in=n_in, n_out=n_out), "worker int, batch_no long, round_no long, data binary")
+        dealt = (packed.repartitionById(slots, F.expr(f"cast((round_no div {rounds}) * {options.workers} + worker as int)"))
+                 .sortWithinPartitions("batch_no"))
+        self.rdd = dealt.rdd.map(lambda r: (r["round_no"], r["worker"], bytes(r["data"]))).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rdd.count()  # packed now, so that rounds only read
+
+    @staticmethod
+    def rounds_of(n_rounds: int, options: TrainOptions, width: int) -> int:
+        """Rounds to a partition; 0 where a round's share is too long to be packed, or the rounds too many."""
+        if options.averaging_frequency is None or not n_rounds:
+            return 0
+        share = options.batch_size * options.averaging_frequency * width * 8
+        rounds = max(PACK_BYTES // share, -(-n_rounds * options.workers // PACK_MAX_PARTITIONS), 1)
+        return rounds if share * rounds <= PACK_MAX_BYTES else 0
+
+    def run(self, ref: ModelRef, round_no: int, learning_rate: float) -> list[tuple]:
+        """(worker, params, n, loss) of the workers with rows in the round."""
+        first = round_no // self.rounds * self.workers
+        step = partial(_run_packed, ref=ref, round_no=round_no, learning_rate=learning_rate, width=self.width, n_in=self.n_in)
+        return self.rdd.context.runJob(self.rdd, step, list(range(first, first + self.workers)))
+
+    def release(self) -> None:
+        self.rdd.unpersist()
+
+
+def _pack(batches, n_in: int, n_out: int):
+    """For ``mapInArrow``: sorted (worker, batch_no, round_no, x..., y...) rows to a row per minibatch."""
+    import pyarrow as pa
+
+    held, parts = None, []
+
+    def row():
+        return [pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64()),
+                pa.array([b"".join(p.tobytes() for p in parts)], pa.binary())]
+
+    names = ["worker", "batch_no", "round_no", "data"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        wk, bn, rn = (batch.column(c).to_numpy() for c in names[:3])
+        m = _matrix(batch, batch.schema.names[3:])
+        _refuse_missing(m[:, :n_in], m[:, n_in:])
+        change = np.flatnonzero((wk[1:] != wk[:-1]) | (bn[1:] != bn[:-1])) + 1
+        bounds = np.concatenate([[0], change, [len(wk)]])
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            key = (int(wk[s]), int(bn[s]), int(rn[s]))
+            if key != held:
+                if parts:
+                    yield pa.RecordBatch.from_arrays(row(), names=names)
+                held, parts = key, []
+            parts.append(m[s:e].copy())
+    if parts:
+        yield pa.RecordBatch.from_arrays(row(), names=names)
+
+
+def _run_packed(items, ref: ModelRef, round_no: int, learning_rate: float, width: int, n_in: int) -> list[tuple]:
+    """One round over a worker's packed minibatches, in order."""
+    m = ref.get()
+    params, worker, n, loss = m.params(), None, 0, 0.0
+    for r, w, data in items:
+        if r != round_no:
+            continue
+        xy = np.frombuffer(data, np.float64).reshape(-1, width)
+        part, grad = loss_grad_sums(m, np.ascontiguousarray(xy[:, :n_in]), np.ascontiguousarray(xy[:, n_in:]))
+        params = params - learning_rate * (grad / len(xy))
+        m = m.with_params(params)
+        worker, n, loss = w, n + len(xy), loss + part
+    return [] if worker is None else [(worker, params, n, loss / n)]
+
+
 def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learning_rate: float,
-                    workers: int):
-    """Run one round; return (averaged params, mean loss, rows).
+                    workers: int, packed: PackedRounds | None = None):
+    """Run one round, on the packed minibatches if there are any; return (averaged params, mean loss, rows).
 
     With at most ``DRIVER_AVERAGE_MAX`` values in ``workers x params`` the
     worker rows themselves are collected (what a tree aggregate would bring
@@ -606,21 +691,26 @@ def _averaged_round(placed: DataFrame, model: Model, round_no: int | None, learn
     """
     ref = ModelRef(model, placed.sparkSession.sparkContext)
     try:
+        if packed is not None and workers * (model.n_params + 1) <= DRIVER_AVERAGE_MAX:
+            return _average_vectors(packed.run(ref, round_no, learning_rate))
         return _average_round_rows(fit_round(placed, model, round_no, learning_rate, workers=workers,
                                              model_ref=ref), model, workers)
     finally:
         ref.release()  # a per-round broadcast (large models only) is dropped once used
 
 
+def _average_vectors(got: list[tuple]):
+    """The row-weighted average of (worker, params, n, loss) rows."""
+    if not got:
+        return None, None, 0
+    _, params, n, loss = zip(*sorted(got, key=lambda r: r[0]))  # in one order, so that sums repeat bit for bit
+    params, n, loss = (np.array(v, dtype=np.float64) for v in (params, n, loss))
+    return (params * n[:, None]).sum(axis=0) / n.sum(), float((loss * n).sum() / n.sum()), int(n.sum())
+
+
 def _average_round_rows(wp: DataFrame, model: Model, workers: int):
     if workers * (model.n_params + 1) <= DRIVER_AVERAGE_MAX:
-        got = sorted(wp.collect(), key=lambda r: r["worker"])  # in one order, so that sums repeat bit for bit
-        if not got:
-            return None, None, 0
-        n = np.array([r["n"] for r in got], dtype=np.float64)
-        params = np.array([r["params"] for r in got], dtype=np.float64)
-        loss = np.array([r["loss"] for r in got], dtype=np.float64)
-        return (params * n[:, None]).sum(axis=0) / n.sum(), float((loss * n).sum() / n.sum()), int(n.sum())
+        return _average_vectors(wp.collect())
     packed = wp.select("worker", F.concat("params", F.array(F.col("loss"))).alias("params"), "n")
     got = sorted(average_blocks(packed, order="worker").collect(), key=lambda r: r["block"])  # model-sized
     if not got:
@@ -641,8 +731,23 @@ class Placement(tuple):
         obj.units = units      # of a written placement: its files
         obj._rows = None
         obj._view = None
+        obj._packed = None
         return obj
 
+    def packed(self, options: "TrainOptions", n_in: int, n_out: int) -> PackedRounds | None:
+        """The minibatches packed, made once; None where a query per round serves better (see ``PackedRounds.rounds_of``)."""
+        if self._packed is None and self.batches:
+            rounds = PackedRounds.rounds_of(self[1], options, n_in + n_out)
+            if rounds:
+                self._packed = PackedRounds(self.round_rows(options), self[1], options, n_in, n_out, rounds)
+        return self._packed
+
+    def unpack(self) -> None:
+        """Frees the packed minibatches; the placement stays."""
+        if self._packed is not None:
+            self._packed.release()
+            self._packed = None
+
     def round_rows(self, options: "TrainOptions") -> DataFrame:
         """The placed rows in a session of their own on the same SparkContext, made once: round jobs run there.
 
@@ -672,6 +777,7 @@ class Placement(tuple):
         return self._rows
 
     def release(self) -> None:
+        self.unpack()
         df = self[0]
         if self._view:
             df.sparkSession.catalog.dropGlobalTempView(self._view)
@@ -698,6 +804,8 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
     writes whole files, each of at most ``ROUND_TASK_MAX_ROWS`` rows (a longer minibatch is
     several files, whose order does not matter: its gradient is a sum), so neither a hot worker nor a long round
     meets in one task. A round reads its unit's files, less the row groups of other rounds, and shuffles nothing.
+
+    Where rounds are short, their minibatches are packed here as well (``PackedRounds``), from either kind of placement.
     """
     spark = examples.sparkSession
     assigned = assign_workers(examples, options.workers, options.batch_size, options.averaging_frequency,
@@ -708,9 +816,13 @@ def place(examples: DataFrame, options: TrainOptions, worker_col: str | None = N
         assigned = assigned.select("worker", "batch_no", "round_no", *(["_pos"] if written else []),
                                    *_flat_columns(assigned, n_inputs, n_outputs))
     if written:
-        return _write_placed(assigned, options, paths)
-    placed = assigned.persist(StorageLevel.MEMORY_AND_DISK)
-    return Placement(placed, *_extent(placed))
+        placement = _write_placed(assigned, options, paths, rows)
+    else:
+        placed = assigned.persist(StorageLevel.MEMORY_AND_DISK)
+        placement = Placement(placed, *_extent(placed))
+    if n_inputs is not None and n_outputs is not None:
+        placement.packed(options, n_inputs, n_outputs)
+    return placement
 
 
 def _extent(placed: DataFrame) -> tuple[int, int]:
@@ -901,6 +1013,7 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
         batches = placed.batches
         share = options.batch_size * (options.averaging_frequency or max(1, batches))
         long = placed.units is not None and batches and min(share, options.batch_size * batches) > ROUND_TASK_MAX_ROWS
+        packed = None if long or (epochs * n_rounds <= done) else placed.packed(options, model.n_inputs, model.n_outputs)
         stop = epochs * n_rounds if max_rounds is None else min(epochs * n_rounds, done + max_rounds)
         t0 = time.perf_counter()
         while done < stop:
@@ -908,7 +1021,7 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
             if long:
                 vec, loss, n = _long_round(rows_df, model, r, options, batches)
             else:
-                vec, loss, n = _averaged_round(rows_df, model, r, options.learning_rate, options.workers)
+                vec, loss, n = _averaged_round(rows_df, model, r, options.learning_rate, options.workers, packed)
             if vec is not None:
                 model = model.with_params(vec)
                 loss_sum += loss * n
@@ -926,6 +1039,8 @@ def fit(examples: DataFrame, model: Model, epochs: int = 1, options: TrainOption
             history = [{"epoch": e, "rounds": 0, "rows": 0, "loss": None, "seconds": 0.0} for e in range(epochs)]
         finished = done >= epochs * n_rounds
     finally:
+        if own:
+            placed.unpack()
         if own and (book is None or finished):
             placed.release()  # a journal's placement stays until the run is over
     return model, history

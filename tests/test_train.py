@@ -573,3 +573,27 @@ def test_files_of_a_written_placement_are_dealt_evenly(spark, monkeypatch):
         assert sum(r["count"] for r in files) == 6000
         assert max(sum(c) for c in written_by.values()) <= 200 and len(written_by) >= 30
         placed.release()
+
+
+@pytest.mark.parametrize("layout", ["worker", "range"])
+def test_short_rounds_read_packed_minibatches(spark, monkeypatch, layout):
+    """A fit's rounds are jobs on their workers' packed partitions alone, and give the parameters of a query per round."""
+    import parallax.operators.train as tr
+
+    ex = to_examples(_two_partitions(spark), ["x1", "x2"], ["y"])
+    opts = TrainOptions(workers=3, batch_size=50, averaging_frequency=4, learning_rate=0.3)
+    with monkeypatch.context() as m:
+        m.setattr(tr.PackedRounds, "rounds_of", staticmethod(lambda *a: 0))
+        want, hist = fit(ex, relu_2_8_1(), 2, opts, layout=layout)
+    monkeypatch.setattr(tr, "PACK_BYTES", 50 * 4 * 3 * 8 * 2)  # two rounds to a partition
+    placed = tr.place(ex, opts, n_inputs=2, n_outputs=1, layout=layout)
+    assert placed.packed(opts, 2, 1).rdd.getNumPartitions() == -(-placed[1] // 2) * 3
+    with monkeypatch.context() as m:
+        m.setattr(tr, "fit_round", None)  # no query per round
+        got, h = fit(ex, relu_2_8_1(), 2, opts, placed=placed)
+    placed.release()
+    assert placed._packed is None
+    assert np.abs(got.params() - want.params()).max() < 1e-12
+    assert [(e["rounds"], e["rows"]) for e in h] == [(e["rounds"], e["rows"]) for e in hist]
+    assert np.allclose([e["loss"] for e in h], [e["loss"] for e in hist], rtol=1e-12)
+    assert tr.PackedRounds.rounds_of(100, TrainOptions(batch_size=1 << 40, averaging_frequency=1), 3) == 0
