@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parallax.llm.components import connected_components, forest, free_names, mark_possible, sieve, sorted_groups
-from parallax.session import scratch_path
+from parallax.session import free_arrow, scratch_path
 
 N = 5
 THRESHOLD = 0.8
@@ -150,6 +150,7 @@ def _sketch_batches(batches: Iterator, n: int, bands: int, rows: int) -> Iterato
                 sigs.append(b"")
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                                          names=[*batch.schema.names[:-1], "cls", "keys", "sig"])
+        free_arrow()
 
 
 def _set_batches(batches: Iterator, n: int) -> Iterator:
@@ -164,6 +165,7 @@ def _set_batches(batches: Iterator, n: int) -> Iterator:
             sets.append(shingler.shingles(words).tobytes() if _digest(words) == cls.as_py() else None)
         own = pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-2], "set"])
         yield own.filter(own.column("set").is_valid())
+        free_arrow()
 
 
 def _pairs_in_block(side: np.ndarray, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:

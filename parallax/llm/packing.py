@@ -35,11 +35,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallax.llm.wordbpe import worker_encoder
-from parallax.session import scratch_path
+from parallax.session import free_arrow, scratch_path
 
 CAPACITY = 2048
 END_ID = 0
-SLICE_CHARS = 4_000_000  # characters that one call of the tokenizer sees
+SLICE_CHARS = 400_000  # characters that one call of the tokenizer sees: it and the split words take some 50 bytes for each
 
 
 def piece_batches(tokenizer_file: str, capacity: int, end_id: int):
@@ -64,6 +64,7 @@ def piece_batches(tokenizer_file: str, capacity: int, end_id: int):
                 at = to
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype(
                 {"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+            free_arrow()
 
     return run
 

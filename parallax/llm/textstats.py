@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from parallax.session import free_arrow
+
 # The statistics, in order.
 STATS = [
     "n_words",          # words (runs without white space)
@@ -97,3 +99,4 @@ def stats_batches(batches: Iterator, text_at: int, keep: int) -> Iterator:
         m = np.array([stats_of(t.as_py()) for t in batch.column(text_at)], float).reshape(-1, len(STATS))
         yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(np.ascontiguousarray(c)) for c in m.T)],
                                          names=[*batch.schema.names[:keep], *STATS])
+        free_arrow()

@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parallax.llm.training import held_out, training_texts
+from parallax.session import free_arrow
 
 THRESHOLD = 0.5  # fixed by the query's contract
 SPAN = 3
@@ -381,6 +382,7 @@ def _feature_batches(batches: Iterator, g: ToxicGrammar, text_at: int, keep: int
         x = np.array([features(g, t.as_py(), pattern) for t in batch.column(text_at)], float).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(np.ascontiguousarray(c)) for c in x.T)],
                                          names=[*batch.schema.names[:keep], *FEATURES])
+        free_arrow()
 
 
 def with_features(docs: DataFrame, g: ToxicGrammar, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

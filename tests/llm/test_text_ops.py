@@ -698,3 +698,22 @@ def test_stages_and_run(spark):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 500 < len(ids) < 1000 and "pipeline" not in ORACLES
+
+
+def test_packing_bounds_what_a_worker_holds(monkeypatch):
+    """The tokenizer sees a batch in slices, and Arrow's memory goes back after each batch; the pieces are those of one text at a time."""
+    import pandas as pd
+
+    from parallax.llm import packing
+    from parallax.llm.queries import tokenizer_file
+    from parallax.llm.wordbpe import WordEncoder
+
+    file = tokenizer_file("word_bpe_49k.json")
+    texts = [f"word{k} and more " * 5000 for k in range(16)]  # 1.2 million characters
+    want = [len(x) + 1 for x in WordEncoder(file).encode(texts)]
+    sizes, freed, plain = [], [], WordEncoder.encode
+    monkeypatch.setattr(WordEncoder, "encode", lambda self, t: sizes.append(sum(map(len, t))) or plain(self, t))
+    monkeypatch.setattr(packing, "free_arrow", lambda: freed.append(1))
+    out = pd.concat(packing.piece_batches(file, 2048, 0)([pd.DataFrame({"doc_id": [str(k) for k in range(16)], "text": texts})]))
+    assert max(sizes) <= 500_000 and sum(sizes) == sum(map(len, texts)) and freed == [1]
+    assert out.groupby("doc_id", sort=False)["length"].sum().tolist() == want
