@@ -3,7 +3,8 @@
 A tokenizer that splits a text into words before its merges gives each word the
 same ids wherever it stands. So a batch's different words are encoded once by
 ``tokenizers`` and the texts' ids are put together from them; words seen before
-by the worker are not encoded again (a bounded cache). Texts outside the plain
+by the worker are not encoded again (a bounded cache). Arrow splits the texts
+and tells their different words, numpy gathers the ids. Texts outside the plain
 alphabet for which this is exact go through ``tokenizers`` whole, and so does
 every text if the file's rules are not of that kind.
 """
@@ -15,15 +16,18 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-# Characters for which the file's normaliser and word pattern mean the same to Python's re: printable
+# Characters for which the file's normaliser and word pattern mean the same to Python and Arrow: printable
 # ASCII, tab, line ends, Latin letters and marks below U+0250 (but for the superscripts and fractions, which
 # are numbers, and the capital dotted I, which lower-cases to two characters), general punctuation, the euro sign.
 _PLAIN = re.compile("[\t\n\r -~ -±´-¸º»¿-įı-ɏ‐-‧€]*")
-# The word pattern of the file, as Python's re spells it for those characters.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# The word pattern of the file but for the words of letters alone: set between spaces, these matches leave those words.
+_OTHER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+"
 # The rules in the tokenizer file for which word-by-word encoding holds.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISERS = ["NFC", "Replace", "Lowercase"]
@@ -32,7 +36,7 @@ MAX_CACHED = 400_000
 
 
 def _by_word(rules: dict) -> bool:
-    """Whether the tokenizer's rules are those that ``_PLAIN`` and ``_WORD`` stand for."""
+    """Whether the tokenizer's rules are those that ``_PLAIN`` and ``_OTHER`` stand for."""
     norm, pre, model = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}, rules.get("model") or {}
     parts = pre.get("pretokenizers") or [{}]
     return ([x.get("type") for x in norm.get("normalizers") or []] == _NORMALISERS
@@ -51,8 +55,8 @@ def _byte_letters() -> dict[int, int]:
 class WordEncoder:
     """``encode(texts)``: an array of ids for each text, as ``tokenizers`` gives them without special tokens added.
 
-    The unit of the cache is a run without white space; what it holds is one flat list of
-    ids and each run's place in it, so that a text's ids are gathered by numpy."""
+    The unit of the cache is a word; what it holds is one flat list of ids and
+    each word's place in it, so that the texts' ids are gathered by numpy."""
 
     def __init__(self, tokenizer_file: str, max_cached: int = MAX_CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
@@ -70,8 +74,9 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._place: dict[str, int] = {}
-        self._flat, self._starts, self._lengths = array("I"), array("q"), array("q")
+        # the empty word, which stands at the ends of a split text, has no ids
+        self._place: dict[str, int] = {"": 0}
+        self._flat, self._starts, self._lengths = array("I"), array("q", [0]), array("q", [0])
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,35 +88,56 @@ class WordEncoder:
         if not self._words:
             return self._whole(texts)
         plain = [self._plain(t) for t in texts]
-        odd = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]) if not all(plain) else [])
-        runs = [t.lower().split() if ok else None for t, ok in zip(texts, plain, strict=True)]
-        self._learn({r for x in runs if x for r in x})
-        flat, starts, lengths = (np.array(x, dtype=kind) for x, kind in
+        whole = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]) if not all(plain) else [])
+        by_word = iter(self._gathered([t for t, ok in zip(texts, plain, strict=True) if ok]))
+        return [next(by_word if ok else whole) for ok in plain]
+
+    def _gathered(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of plain texts, put together from their words' ids."""
+        if not texts:
+            return []
+        lower = pa.array([t.lower().replace("\xa0", " ") for t in texts], pa.large_string())
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _OTHER, r" \0 "))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        k = self._places(different)[words.indices.to_numpy()]
+        flat, starts, lengths = (np.frombuffer(x, kind) for x, kind in
                                  ((self._flat, np.uint32), (self._starts, np.int64), (self._lengths, np.int64)))
-        out = []
-        for x in runs:
-            if x is None:
-                out.append(next(odd))
-                continue
-            k = np.fromiter(map(self._place.__getitem__, x), np.int64, len(x))
-            n = lengths[k]
-            ends = np.cumsum(n)
-            out.append(flat[np.repeat(starts[k] - ends + n, n) + np.arange(ends[-1] if len(x) else 0)])
-        return out
-
-    def _learn(self, runs: set[str]) -> None:
-        """Puts every one of the runs into the cache."""
-        new = runs.difference(self._place)
-        if len(self._place) + len(new) > self._max:
+        n = lengths[k]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(starts[k] - ends[:-1], n) + np.arange(ends[-1])]
+        # a text's words stand from offset to offset; flatten() starts at the first one
+        offsets = split.offsets.to_numpy()
+        return np.split(ids, ends[offsets - offsets[0]][1:-1])
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the cache holds each of the words, all different; puts those it lacks into it."""
+        places = self._found(words)
+        missing = np.flatnonzero(places < 0)
+        if len(self._place) + len(missing) > self._max:
             self._clear()
-            new = runs
-        for r in new:
-            at = len(self._flat)
-            for word in _WORD.findall(r):
-                self._flat.extend([t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._letters))])
-            self._place[r] = len(self._starts)
+            places = self._found(words)
+            missing = np.flatnonzero(places < 0)
+        at = len(self._starts)
+        self._learn([words[k] for k in missing.tolist()])
+        places[missing] = np.arange(at, at + len(missing))
+        return places
+
+    def _found(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self._place.get, words, repeat(-1)), np.int64, len(words))
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds words that the cache lacks, in their order."""
+        tokenize, letters = self._model.tokenize, self._letters
+        at = len(self._flat)
+        for place, w in enumerate(new, len(self._starts)):
+            spelt = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
+            ids = [t.id for t in tokenize(spelt)]
+            self._flat.extend(ids)
+            self._place[w] = place
             self._starts.append(at)
-            self._lengths.append(len(self._flat) - at)
+            self._lengths.append(len(ids))
+            at += len(ids)
 
 
 @lru_cache(maxsize=2)

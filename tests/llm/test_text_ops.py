@@ -475,6 +475,34 @@ def test_word_encoding_equals_the_library(texts):
 ENCODERS: dict = {}
 
 
+def test_every_plain_character_is_split_as_the_library_does():
+    enc, lib = WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    texts = [t for c in map(chr, range(0x2500)) if enc._plain(c)
+             for t in (c, f" {c}{c} ", f"a{c}b {c}{c}1{c} 'S{c}'s {c}'ll,{c}\n{c}")]
+    assert len(texts) > 1500
+    assert [x.tolist() for x in enc.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in WordEncoder(WORD_BPE).encode(["", " \n\xa0"])] == [[], []] and enc.encode([]) == []
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it():
+    """The unit of the cache is a word: punctuation, digits and contractions beside it make no new entry, nor does a later batch."""
+    enc, lib, seen = WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, word):
+            seen.append(word)
+            return self.model.tokenize(word)
+
+    enc._model = Counted(enc._model)
+    texts = ["alpha beta, (alpha) beta. alpha's", "'alpha' beta7 7alpha alpha,beta", "(beta) alpha. BETA's"]
+    for t in texts:
+        assert enc.encode([t])[0].tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert len(seen) == len(set(seen)) and {"alpha", "beta", "'s", "7"} <= set(seen)
+
+
 # ---- SentencePiece
 
 @settings(max_examples=50, deadline=None)
